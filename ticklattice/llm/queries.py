@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, piece, shared, simhash, tokenfile, warc
+from . import decontam, langid, piece, shared, simhash, substring, tokenfile, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_language_id": op2_language_id,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_token_files": op7_token_files,
