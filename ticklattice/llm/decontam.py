@@ -263,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     be null or repeat; an empty benchmark hits nothing.  ``keep`` names further columns to carry.
     """
     carried = ["doc_id", *(keep or [])]
-    source = docs.select(*carried, "text")
+    source = docs.select(*carried, *([] if "text" in carried else ["text"]))
     fields = [source.schema[c] for c in carried]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += ", n_words long, n_hit long, items array<string>, contaminated boolean" + ", kept_text string" * with_text

@@ -166,10 +166,11 @@ def identify(docs: DataFrame, training: list[tuple[str, bytes]], *, keep: list[s
     """
     keep = list(keep or [])
     given = docs.sparkSession.sparkContext.broadcast(training)
-    source = docs.select("doc_id", "text", *keep)
+    source = docs.select("doc_id", "text", *[c for c in keep if c != "text"])
     kept = [source.schema[c] for c in ["doc_id", *keep]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    # Without extra columns the text itself isn't sent back.
+
+    # The text is sent back only if it is among the columns to keep.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         training = given.value
         key = tuple((lang, hash(data)) for lang, data in training)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, piece, shared, simhash, substring, tokenfile, warc
+from . import covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_entities", "kinds")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,32 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(index)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+    from embeddings
+    where embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+    select q.vec_id as query_id, c.vec_id as vec_id,
+           cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+    where q.vec_id % 50 = 0
+),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from s)
+select query_id, cast(rk as integer) as rank, vec_id, score from r where rk <= 5
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -67,13 +97,16 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_language_id": op2_language_id,
+        "op3_pii": op3_pii,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_token_files": op7_token_files,
+        "op8_url_filter": op8_url_filter,
+        "op9_top_k": op9_top_k,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL}
