@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+from pkgutil import iter_modules
+
+from ticklattice import plans
+
+
+def _modules():
+    return [import_module(f"ticklattice.plans.{m.name}") for m in iter_modules(plans.__path__) if m.name.startswith("q_")]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    from ticklattice.plans.q_indicators import latest_signals
+
+    return latest_signals(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _modules() for name, f in m.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.Q.sql.items()}
