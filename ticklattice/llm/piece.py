@@ -244,26 +244,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        new, old = self.new, self.old
-        missing = {c for one in cut for c in one if c not in new}
-        for c in [c for c in missing if c in old]:
-            new[c] = old[c]
-            missing.discard(c)
-        learnt = self.learn(missing)
-        once = {c: learnt.pop(c) for c in [c for c in learnt if len(c) > LONGEST]}
-        new.update(learnt)
-        get = new.__getitem__
-        out = []
-        for one in cut:
-            try:
-                ids = b"".join(map(get, one))
-            except KeyError:
-                ids = b"".join([once[c] if c in once else new[c] for c in one])
-            out.append(np.frombuffer(ids, np.int32))
-        if len(new) > REMEMBERED // 2:
-            self.old, self.new = new, {}
-        return out
+        words, edge = [], [0]
+        for t in texts:
+            words += self.chunks(t)
+            edge.append(len(words))
+        found = list(map(self.new.get, words))
+        missing = {c for c, ids in zip(words, found, strict=True) if ids is None}
+        if missing:
+            made = {c: self.old[c] for c in missing if c in self.old}
+            made |= self.learn({c for c in missing if c not in made})
+            self.new.update((c, ids) for c, ids in made.items() if len(c) <= LONGEST)
+            found = [made[c] if ids is None else ids for c, ids in zip(words, found, strict=True)]
+        if len(self.new) > REMEMBERED // 2:
+            self.old, self.new = self.new, {}
+        return [np.frombuffer(b"".join(found[lo:hi]), np.int32) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
 
 _CODECS: dict[str, Codec] = {}

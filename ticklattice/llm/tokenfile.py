@@ -32,7 +32,7 @@ MAGIC = b"TLP1"
 #: Ids of a block.
 BLOCK = 1 << 16
 #: Chunks remembered in a worker's two generations, about; longer ones are encoded each time.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 1_400_000, 64
 
 
 def pack(ids: np.ndarray, *, bits: bool = False, level: int = 3) -> bytes:
@@ -119,36 +119,36 @@ class ByteEncoder:
             out[k] = ids
         rest = [k for k in range(len(texts)) if out[k] is None]
         # Keys of chunks with their space lack it; the first chunk of a text has a key that no other can have.
-        cut = {}
+        words, edge = [], [0]
         for k in rest:
-            words = texts[k].split(" ")
-            words[0] = " " + words[0]
-            cut[k] = words
-        new, old = self.new, self.old
-        missing = {w for words in cut.values() for w in words if w not in new}
-        for w in [w for w in missing if w in old]:
-            new[w] = old[w]
-            missing.discard(w)
-        fresh = list(missing)
+            cut = texts[k].split(" ")
+            cut[0] = " " + cut[0]
+            words += cut
+            edge.append(len(words))
+        found = list(map(self.new.get, words))
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if missing:
+            made = self._learn(missing)
+            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        for k, lo, hi in zip(rest, edge[:-1], edge[1:], strict=True):
+            out[k] = b"".join(found[lo:hi])
+        if len(self.new) > REMEMBERED // 2:
+            self.old, self.new = self.new, {}
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the younger generation lacks; all but very long ones are remembered in it."""
+        made = {w: self.old[w] for w in missing if w in self.old}
+        fresh = [w for w in missing if w not in made]
         first = [w for w in fresh if w[:1] == " "]
-        inner = [w for w in fresh if w[:1] != " "]
-        made = dict(zip(first, self._library([w[1:] for w in first]), strict=True))
+        made |= zip(first, self._library([w[1:] for w in first]), strict=True)
         # White space at a chunk's end would meet the next chunk's space; those go apart.
-        apart = [w for w in inner if w[-1:].isspace() or w[:1].isspace()]
+        apart = [w for w in fresh if w[:1] != " " and (w[-1:].isspace() or w[:1].isspace())]
         made |= zip(apart, self._library([" " + w for w in apart]), strict=True)
-        inner = [w for w in inner if w not in made]
+        inner = [w for w in fresh if w not in made]
         made |= zip(inner, self._words([" " + w for w in inner]), strict=True)
-        once = {w: made.pop(w) for w in fresh if len(w) > LONGEST}
-        new.update(made)
-        get = new.__getitem__
-        for k, words in cut.items():
-            try:
-                out[k] = b"".join(map(get, words))
-            except KeyError:
-                out[k] = b"".join([once[w] if w in once else new[w] for w in words])
-        if len(new) > REMEMBERED // 2:
-            self.old, self.new = new, {}
-        return out
+        self.new.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
+        return made
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
