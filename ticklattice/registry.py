@@ -5,7 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 from pkgutil import iter_modules
 
+from pyspark.sql import functions as F
+
 from ticklattice import plans
+from ticklattice.plans.doubles import DOUBLES
+
+#: Digits of doubles in registered results.
+DIGITS = 6
 
 
 def _modules():
@@ -18,9 +24,28 @@ def flagship(spark, sf_dir):
     return latest_signals(spark, sf_dir)
 
 
+def rounded(f):
+    """The query with its doubles at ``DIGITS`` digits: sums of doubles depend on their order beyond that."""
+
+    def run(spark, sf_dir):
+        out = f(spark, sf_dir)
+        # Adding 0 makes a negative zero plain.
+        return out.select(*[(F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0)).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in out.dtypes])
+
+    return run
+
+
+def rounded_sql(name: str, sql: str) -> str:
+    """The SQL with the same columns as doubles of as many digits."""
+    columns = DOUBLES.get(name, "").split()
+    if not columns:
+        return sql
+    return "select * replace (" + ", ".join(f'round(cast("{c}" as double), {DIGITS}) + 0.0 as "{c}"' for c in columns) + f") from ({sql.strip()})"
+
+
 def queries() -> dict:
-    return {name: f for m in _modules() for name, f in m.Q.queries.items()}
+    return {name: rounded(f) for m in _modules() for name, f in m.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.Q.sql.items()}
+    return {name: rounded_sql(name, sql) for m in _modules() for name, sql in m.Q.sql.items()}
