@@ -9,6 +9,8 @@ what occurs in the texts; those that collide are drawn again.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +248,6 @@ def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame
     All other columns stay as they are.  A null text stays null, with 0 entities.  Equal entities get equal surrogates in
     all rows; distinct ones get distinct ones.  Marks of private use that the operator needs are dropped from texts.
     """
-    spark = docs.sparkSession
     again = shared.written(redrawn(entities(docs.select(F.col(text).alias("text"))), key=key), "redrawn")
     size = again.limit(SMALL + 1).count()
     found = pieces(marked(F.col(text)))
@@ -255,9 +256,8 @@ def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame
     if size == 0:
         attempt = lambda p: F.lit(0)
     elif size <= SMALL:
-        listed = [(f"{r['kind']}\x1f{r['canon']}", r["attempt"]) for r in again.collect()]  # at most SMALL rows
-        table = spark.createDataFrame([(dict(listed),)], "attempts map<string,int>")
-        rows = rows.crossJoin(F.broadcast(table))  # one row
+        listed = {f"{r['kind']}\x1f{r['canon']}": r["attempt"] for r in again.collect()}  # at most SMALL rows
+        rows = rows.withColumn("attempts", F.from_json(F.lit(json.dumps(listed)), "map<string,int>"))
         attempt = lambda p: F.coalesce(F.try_element_at("attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
     else:
         # Each row's redrawn entities come by a plain join and gather by a row key.

@@ -7,7 +7,7 @@ ascending doc_id order, so what the runs hold is always of smaller documents.
 
 Before windows are hashed for the index, those that cannot repeat are left out: every window names its least inner shingle
 hash as anchor, equal windows have equal anchors, and an anchor that only one document has needs no entry.  The anchors
-that repeat are a bitmap of bounded size; a full bitmap would only let more windows through, never fewer.
+that repeat are a Bloom filter of bounded size; a full filter would only let more windows through, never fewer.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ WINDOW = 50
 ANCHOR = 10
 BATCHES = 3
 FAN_IN = 2
-#: Bits of the anchors' bitmap: between these powers of two, 16 for each anchor.
+#: Bits of the anchors' filter: between these powers of two, 16 for each anchor.  An anchor sets three in a block of 512.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Windows that a task holds before it passes them on.
 HELD = 1_000_000
@@ -73,8 +73,14 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, least long, most long")
 
 
+def _places(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The three bits of each anchor in the filter."""
+    block = (anchor >> np.uint64(64 - (bits - 9))).astype(np.int64) << 9
+    return [block + ((anchor >> np.uint64(shift)) & np.uint64(511)).astype(np.int64) for shift in (0, 9, 18)]
+
+
 def _bitmap(docs: DataFrame, window: int, anchor: int) -> tuple[list[str], int]:
-    """Files with the bitmap of anchors that more than one document has, and its bits (a power of two)."""
+    """Files with the filter of anchors that more than one document has, and its bits (a power of two)."""
     spark = docs.sparkSession
     repeated = (
         _anchors(docs, window, anchor).groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"))
@@ -88,10 +94,10 @@ def _bitmap(docs: DataFrame, window: int, anchor: int) -> tuple[list[str], int]:
         held: dict[int, np.ndarray] = {}
         size = (1 << bits) // SEGMENTS
         for batch in batches:
-            bit = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            for segment in np.unique(bit // size).tolist():
-                own = held.setdefault(segment, np.zeros(size, bool))
-                own[bit[bit // size == segment] % size] = True
+            for bit in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                for segment in np.unique(bit // size).tolist():
+                    own = held.setdefault(segment, np.zeros(size, bool))
+                    own[bit[bit // size == segment] % size] = True
         names = []
         for segment, own in held.items():
             names.append(f"{folder}/{segment:03d}-{uuid.uuid4().hex}")
@@ -119,37 +125,37 @@ def _load(files: list[str], bits: int) -> np.ndarray:
     return _BITMAPS[key]
 
 
-SEEN = "h1 long, h2 long, doc_id long, copy int, starts array<int>"
+#: A run of ``n`` consecutive windows of one anchor in one document: the place of the first (with the number of the row's copy
+#: in the upper half) and the hashes of all.  Runs without hashes are known to repeat already.
+SEEN = "anchor long, doc_id long, place long, n int, h1 array<long>, h2 array<int>"
 
 
-def _lists(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, cut: np.ndarray, h1: np.ndarray | None, h2: np.ndarray | None) -> pa.RecordBatch:
-    at = pa.array(np.concatenate([cut, [len(start)]]).astype(np.int32))
-    lists = pa.ListArray.from_arrays(at, pa.array(start.astype(np.int32)))
-    none = pa.nulls(len(cut), pa.int64())
+def _runs(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per run of windows; the input is in the order of (doc, place)."""
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1])]))
+    at = np.append(new, len(doc)).astype(np.int32)
+    hashes = [pa.nulls(len(new), pa.list_(pa.int64())), pa.nulls(len(new), pa.list_(pa.int32()))]
+    if h1 is not None:
+        hashes = [pa.ListArray.from_arrays(pa.array(at), pa.array(h)) for h in (h1.view(np.int64), h2)]
     return pa.RecordBatch.from_arrays(
-        [none if h1 is None else pa.array(h1[cut].view(np.int64)), none if h2 is None else pa.array(h2[cut].view(np.int64)),
-         pa.array(doc[cut].astype(np.int64)), pa.array(copy[cut].astype(np.int32)), lists],
-        names=["h1", "h2", "doc_id", "copy", "starts"],
-    )
+        [pa.array(anchor[new].view(np.int64)), pa.array(doc[new]), pa.array(place[new]), pa.array(np.diff(at)), *hashes],
+        names=["anchor", "doc_id", "place", "n", "h1", "h2"],
+    )
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Windows of a task: one row for each distinct one's first document, and rows without hashes for what later documents
-    of this task lose to it."""
-    h1, h2, doc, copy, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((start, copy, doc, h2, h1))
-    h1, h2, doc, copy, start = h1[order], h2[order], doc[order], copy[order], start[order]
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    own = doc == first
-    cut = np.flatnonzero(np.concatenate([[True], (h1[own][1:] != h1[own][:-1]) | (h2[own][1:] != h2[own][:-1]) | (copy[own][1:] != copy[own][:-1])]))
-    yield _lists(doc[own], copy[own], start[own], cut, h1[own], h2[own])
+    """Windows of a task: those of each distinct one's first document, and runs that later documents of this task lose."""
+    anchor, h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, h2, h1))
+    new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+    own = np.empty(len(order), bool)
+    own[order] = doc[order] == doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    order = np.lexsort((place, doc))
+    anchor, h1, h2, doc, place, own = (x[order] for x in (anchor, h1, h2, doc, place, own))
+    yield _runs(anchor[own], doc[own], place[own], h1[own], h2[own])
     if not own.all():
-        doc, copy, start = doc[~own], copy[~own], start[~own]
-        order = np.lexsort((start, copy, doc))
-        doc, copy, start = doc[order], copy[order], start[order]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])]))
-        yield _lists(doc, copy, start, cut, None, None)
+        lost = ~own
+        yield _runs(tx.mix(doc[lost].view(np.uint64)), doc[lost], place[lost])
 
 
 def _seen(docs: DataFrame, files: list[str], bits: int, window: int, anchor: int) -> DataFrame:
@@ -159,12 +165,15 @@ def _seen(docs: DataFrame, files: list[str], bits: int, window: int, anchor: int
             ids, copies = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in tx.passes(batch.column(2)):
                 hashes, row, place, start, least = _windows(batch.column(2).slice(lo, hi - lo), window, anchor)
-                bit = (least >> np.uint64(64 - bits)).astype(np.int64)
-                start = start[((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)]
+                known = np.ones(len(start), bool)
+                for bit in _places(least, bits):
+                    known &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                start, least = start[known], least[known]
                 if not len(start):
                     continue
                 h1, h2 = tx.window_hashes(hashes, window, _B1)[start], tx.window_hashes(hashes, window, _B2)[start]
-                parts.append((h1, h2, ids[lo + row[start]], copies[lo + row[start]], place[start]))
+                of = lo + row[start]
+                parts.append((least, h1, h2.astype(np.uint32).view(np.int32), ids[of].astype(np.int64), (copies[of].astype(np.int64) << 32) + place[start]))
                 held += len(start)
                 if held >= HELD:
                     yield from _combined(parts)
@@ -182,52 +191,78 @@ class FingerprintIndex:
         self.spark, self.fan_in = spark, fan_in
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.tables: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame, name: str) -> str:
-        """A run: rows already dealt by h1, as a bucketed and sorted table whose files lie in the shared folder."""
+        """A run: rows already dealt by anchor, as a bucketed and sorted table whose files lie in the shared folder."""
         path = shared.scratch(self.spark, name)
         table = "ticklattice_" + uuid.uuid4().hex
-        rows.write.bucketBy(self.buckets, "h1").sortBy("h1").option("path", path).format("parquet").saveAsTable(table)
-        self.tables.append(table)
+        # Rows dealt by anchor alone meet on (anchor, hash) where they are.
+        option = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(option)
+        self.spark.conf.set(option, "false")
+        try:
+            rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "h1").option("path", path).format("parquet").saveAsTable(table)
+        finally:
+            self.spark.conf.set(option, before)
+        self.paths[table] = path
         return table
 
     def add(self, seen: DataFrame) -> DataFrame:
-        """Judge a batch (rows as ``SEEN`` with hashes) and index it; returns (doc_id, copy, starts) of repeated windows."""
-        dealt = seen.repartition(self.buckets, "h1")
+        """Judge a batch (rows as ``SEEN``) and index it; returns (doc_id, place, n): runs of its repeated windows.
+
+        Windows are dealt by their anchors, so that a run of them is one row in the shuffle; equal windows have equal ones.
+        """
+        if len(self.runs) >= self.fan_in:
+            self.compact()
+        dealt = seen.repartition(self.buckets, "anchor").select(
+            "anchor", "doc_id", "place", "n", F.posexplode_outer(F.arrays_zip("h1", "h2")).alias("k", "h")
+        ).select(
+            "anchor", "doc_id", (F.col("place") + F.coalesce("k", F.lit(0))).alias("place"), F.when(F.col("h").isNull(), F.col("n")).otherwise(1).alias("n"),
+            F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"),
+        )
         history = F.lit(None).cast("long")
         for k, run in enumerate(self.runs):
-            old = self.spark.table(run).filter("is_new").select(
-                F.col("h1").alias(f"h1_{k}"), F.col("h2").alias(f"h2_{k}"), F.col("first_id").alias(f"first_{k}")
-            )
+            old = self.spark.table(run).filter("is_new").select(*[F.col(c).alias(f"{c}_{k}") for c in ("anchor", "h1", "h2", "doc_id")])
             # The merge joins on the first hash; the second one verifies.
-            dealt = dealt.join(old, (F.col("h1") == F.col(f"h1_{k}")) & (F.col("h2").bitwiseXOR(F.col(f"h2_{k}")) == 0), "left")
-            history = F.least(history, F.col(f"first_{k}"))
-        own = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+            same = (F.col("anchor") == F.col(f"anchor_{k}")) & (F.col("h1") == F.col(f"h1_{k}")) & (F.col("h2").bitwiseXOR(F.col(f"h2_{k}")) == 0)
+            dealt = dealt.join(old, same, "left")
+            history = F.least(history, F.col(f"doc_id_{k}"))
+        order = Window.partitionBy("anchor", "h1", "h2").orderBy("doc_id", "place")
+        known = F.col("h1").isNull()
         judged = dealt.select(
-            "h1", "h2", "doc_id", "copy", "starts", F.least(history, own).alias("first_id"), history.isNull().alias("unseen")
-        ).select("h1", "h2", "doc_id", "copy", "starts", "first_id", (F.col("unseen") & (F.col("doc_id") == F.col("first_id"))).alias("is_new"))
-        run = self._write(judged, "run")
+            "anchor", "doc_id", "place", "n", "h1", "h2",
+            (known | (F.col("doc_id") > F.least(history, F.first("doc_id").over(order)))).alias("lost"),
+            (~known & history.isNull() & (F.row_number().over(order) == 1)).alias("is_new"),
+        ).filter("lost or is_new")
+        new = F.col("is_new")
+        run = self._write(
+            judged.select(
+                "anchor", F.when(new, F.col("h1")).alias("h1"), F.when(new, F.col("h2")).alias("h2"), "doc_id",
+                F.when(~new, F.col("place")).alias("place"), F.when(~new, F.col("n")).alias("n"), "is_new",
+            ), "run",
+        )
         self.runs.append(run)
-        repeated = self.spark.table(run).filter("doc_id > first_id").select("doc_id", "copy", "starts")
-        if len(self.runs) >= self.fan_in:
-            self.compact()
-        return repeated
+        # Read by path: the result stands when the table's name is dropped.
+        return self.spark.read.parquet(self.paths[run]).filter("not is_new").select("doc_id", "place", "n")
 
     def compact(self) -> None:
-        """Merge all runs into one; runs are disjoint in hashes but for equal rows of a document's copies."""
-        rows = None
-        for run in self.runs:
-            one = self.spark.table(run).filter("is_new").select("h1", "h2", "first_id")
-            rows = one if rows is None else rows.union(one)
-        rows = rows.groupBy("h1", "h2").agg(F.min("first_id").alias("first_id")).withColumn("is_new", F.lit(True))
-        self.runs = [self._write(rows.repartition(self.buckets, "h1"), "compacted")]
+        """Merge the runs into one, two at a time: sorted buckets meet without a shuffle."""
+        while len(self.runs) > 1:
+            names = ("anchor", "h1", "h2", "doc_id")
+            a, b = (
+                self.spark.table(run).filter("is_new").select(*[F.col(c).alias(f"{side}_{c}") for c in names])
+                for side, run in zip("ab", self.runs[:2], strict=True)
+            )
+            same = (F.col("a_anchor") == F.col("b_anchor")) & (F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2").bitwiseXOR(F.col("b_h2")) == 0)
+            both = a.join(b, same, "full")
+            rows = both.select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in names[:3]], F.least("a_doc_id", "b_doc_id").alias("doc_id"), F.lit(True).alias("is_new"))
+            self.runs = [self._write(rows, "compacted"), *self.runs[2:]]
 
     def forget_names(self) -> None:
         """Drop the tables' names; their files stay for the reads that are planned on them."""
-        for table in self.tables:
+        for table in self.paths:
             self.spark.sql(f"drop table if exists {table}")
-        self.tables = []
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -259,16 +294,14 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
         part = rows.filter(F.col("doc_id").isNotNull())
         part = part if low is None else part.filter(F.col("doc_id") > low)
         part = part if high is None else part.filter(F.col("doc_id") <= high)
-        seen = shared.written(_seen(part, files, bits, window, anchor), "seen")
-        lost.append(seen.filter("h1 is null").select("doc_id", "copy", "starts"))
-        lost.append(index.add(seen.filter("h1 is not null")))
+        lost.append(index.add(_seen(part, files, bits, window, anchor)))
     repeated = lost[0]
     for more in lost[1:]:
         repeated = repeated.union(more)
-    starts = repeated.groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    starts = shared.written(starts, "repeated").withColumnRenamed("doc_id", "of_id").withColumnRenamed("copy", "of_copy")
+    run = F.shiftleft(F.col("place").bitwiseAND(0xFFFFFFFF), 32) + F.col("n")
+    starts = repeated.groupBy(F.col("doc_id").alias("of_id"), F.shiftright("place", 32).cast("int").alias("of_copy")).agg(F.collect_list(run).alias("runs"))
     index.forget_names()
-    joined = rows.join(starts, (rows.doc_id == starts.of_id) & (rows.copy == starts.of_copy), "left").select("doc_id", "text", "starts")
+    joined = rows.join(starts, (rows.doc_id == starts.of_id) & (rows.copy == starts.of_copy), "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +315,9 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
                 lists = batch.column(2).slice(lo, hi - lo)
                 flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 if len(flat):
-                    from_word = np.repeat(begin, sizes) + flat
+                    from_word = np.repeat(begin, sizes) + (flat >> 32)
                     np.add.at(cover, from_word, 1)
-                    np.add.at(cover, from_word + window, -1)
+                    np.add.at(cover, from_word + (flat & 0xFFFFFFFF) + window - 1, -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 gone = np.bincount(row[~keep], minlength=hi - lo)
                 first, end, row = first[keep], end[keep], row[keep]
