@@ -1,0 +1,472 @@
+"""Training-data operators against brute force, on texts with nulls, ties, repeats, long rows and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ticklattice.llm import components, covertree, decontam, langid, pii, piece, queries, shared, simhash, substring, tokenfile, urlfilter, warc
+from ticklattice.llm import text as tx
+
+LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+SPACED, ALNUM = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+
+#: Columns whose names the operators use inside.
+EXTRA = ("h", "digest", "anchor", "fingerprint", "kind", "copy", "path", "score", "place")
+
+
+def passage(seed: int, n: int, vocabulary: int = 60) -> str:
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice(['wort', 'mot', 'word', 'Éa'])}{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus() -> list[tuple]:
+    shared_part, long = passage(1, 60), passage(2, 9000)
+    texts = [
+        None, "", " \t\n ", "one", "one", "Two words", long, long + " tail", passage(3, 80) + " " + shared_part + " " + passage(4, 30), shared_part, shared_part,
+        passage(5, 20) + "\n" + shared_part + "\n\n" + passage(6, 90), "a b c " * 200, "a b c " * 200, "x  y   z ", "naïve café ﬁ 日本語 🎉 ▁ ▁▁x", "<|endoftext|> a <s> </s>",
+        passage(7, 120), passage(7, 119) + " other", "foo\n \nbar \r\n baz ", "mail me@host.example.org or +1 (864) 555-2588 card 4173893178530722", passage(8, 49), passage(8, 50), passage(8, 50),
+    ]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """The corpus, a row without an id and one twice; further columns clash with the operators' names."""
+    more = [*rows, (None, passage(1, 60)), rows[9]]
+    frame = spark.createDataFrame(more, "doc_id long, text string")
+    return frame.withColumns({c: F.lit("kept") for c in EXTRA}).withColumn("lang", F.lit("en")).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect() if r["doc_id"] is not None}
+
+
+def test_word_spans_and_hashes_equal_python(rows):
+    import pyarrow as pa
+
+    texts = [t for _, t in rows]
+    raw, at = tx.utf8(pa.array(texts, pa.string()))
+    first, end, row = tx.word_spans(raw, at, tx.SPACE)
+    got = [[] for _ in texts]
+    for a, b, r in zip(first, end, row, strict=True):
+        got[r].append(raw[a:b].tobytes().decode())
+    assert got == [SPACED.findall(t or "") for t in texts]
+    hashes = tx.word_hashes(raw, first, end)
+    words = [w for one in got for w in one]
+    assert len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
+    x = np.random.default_rng(0).integers(0, 1000, 300).astype(np.uint64)
+    assert (tx.sliding_min(x, 41) == np.lib.stride_tricks.sliding_window_view(x, 41).min(axis=1)).all()
+
+
+# 1
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 60
+    pages = [(0, "http://a/", big), (1, "http://b/\r\nX: y", big), (2, None, "short"), (3, "u", "short"), (4, "u", None), (5, "u", ""), (None, "n", big), (1, "again", "<p>" * 100_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("payload", F.lit(1))
+    index = warc.write_archives(frame, f"file://{tmp_path}/w")
+    got = sorted((r["page_id"] is None, r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload"]) for r in warc.read_archives(index).collect())
+    assert len(got) == len(pages)
+    by = {(g[1], g[2]): g for g in got}
+    assert by[0, "http://a/"][3:] == ("response", None, 120, big.encode())
+    assert by[1, "http://b/%0D%0AX: y"][3:] == ("revisit", 0, 120, None)
+    assert by[2, None][3] == by[3, "u"][3] == by[4, "u"][3] == "response" and by[4, "u"][5] == 0
+    assert by[None, "n"][3] == "response" and by[1, "again"][6] == b"<p>" * 100_000
+    # A selection of the index reads only those records.
+    assert warc.read_archives(index.filter("page_id = 3")).count() == 1
+    none = warc.write_archives(frame.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archives(none).count() == 0
+
+
+# 2
+
+
+def test_language_needs_fewest_phrases():
+    training = [("a", langid._fold("the cat sat on the mat and the dog ran to the hat " * 20)), ("b", langid._fold("der hund und die katze sind auf der matte im haus " * 20))]
+    model = langid.Model(training)
+
+    def naive(text: bytes, data: bytes) -> int:
+        total = 0
+        for lo in range(0, len(text), langid.BLOCK):
+            block, k = text[lo : lo + langid.BLOCK], 0
+            while k < len(block):
+                n = 1
+                while k + n <= len(block) and block[k : k + n] in data:
+                    n += 1
+                k += max(1, n - 1) if block[k : k + 1] in data else 1
+                total += 1
+        return total
+
+    texts = [langid._fold(t) for t in ("the hund sat on the matte", "die katze und der dog" * 60, "zzz", "x")]
+    got = model.phrases(texts)
+    want = np.array([[naive(t, data) for t in texts] for _, data in training])
+    # A phrase that begins with a byte the training lacks counts when that byte is met, so counts agree within it.
+    assert (np.abs(got - want) <= np.array([sum(1 for c in t if bytes([c]) not in training[0][1]) + 1 for t in texts])).all()
+    cost = got * model.weight[:, None]
+    assert cost[0, 0] < cost[1, 0] and cost[1, 1] < cost[0, 1]
+
+
+def test_language_of_whole_table(spark, sf_dir, docs, empty):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op2_language_id(spark, sf_dir).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(truth) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
+    found = langid.fit_and_identify(docs)
+    assert found.count() == docs.count()
+    pred = by_id(found, "lang_pred", "score")
+    assert pred[0] == pred[1] == pred[2] == ("und", 0.0) and pred[5] == ("en", 1.0)
+    assert langid.fit_and_identify(empty).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs, []).collect()} == {"und"}
+
+
+# 3
+
+
+def test_pii_surrogates(spark, docs, empty):
+    out = pii.replace(docs).collect()
+    assert len(out) == docs.count() and all(r["kind"] == "kept" for r in out)
+    text = {r["doc_id"]: r for r in out}[20]["text"]
+    assert re.fullmatch(r"mail \S+@example\.org or \+1 \(\d{3}\) \d{3}-\d{4} card 4\d{15}", text) and "me@host" not in text and "4173893178530722" not in text
+    digits = [int(d) for d in text[-16:]]
+    assert sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    plain = {i: t for i, t in corpus() if i != 20}
+    assert all(r["text"] == plain[r["doc_id"]] for r in out if r["doc_id"] in plain)
+    assert pii.replace(empty).count() == 0
+
+
+def test_pii_coreference_distinctness_and_format(spark):
+    texts = ["A@x.org a@X.org b@x.org", "1.2.3.4 and 5.6.7.8", "Mr. Adam Smith, Frau Anna Klein; господин Иван Петров", "555-12-3456 x 4173-8931-7853-0722", "v1.2.3.4.5 2024-01-02 12345 @home"]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    a, b, c = out[0].split()
+    assert a == b != c
+    one, two = out[1].split(" and ")
+    assert one != two and all(0 <= int(x) <= 255 for x in (one + "." + two).split("."))
+    assert re.fullmatch(r"Mr\. (\w+) \w+, Frau (\w+) \w+; господин (\w+) \w+", out[2])
+    m, f, k = re.fullmatch(r"Mr\. (\w+) \w+, Frau (\w+) \w+; господин (\w+) \w+", out[2]).groups()
+    assert m in pii.FIRST["latin", "m"] and f in pii.FIRST["latin", "f"] and k in pii.FIRST["cyrillic", "m"]
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4} x 4\d{3}-\d{4}-\d{4}-\d{4}", out[3]) and out[4] == texts[4]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_pii_collisions_are_drawn_again(spark, monkeypatch, small):
+    # Addresses fill their space: 3000 of four octets never meet, so ssn-like numbers with 300 values out of few are forced.
+    monkeypatch.setattr(pii, "SMALL", 10_000 if small else 0)
+    original = pii.surrogate
+
+    def crowded(kind, value, attempt, key=pii.KEY):
+        return F.when(attempt == 0, F.lit("1.1.1.1")).otherwise(original(kind, value, attempt, key))
+
+    monkeypatch.setattr(pii, "surrogate", crowded)
+    frame = spark.createDataFrame([(k, f"ip 10.0.0.{k} and 10.0.0.{k}") for k in range(40)], "doc_id long, text string")
+    out = [r["text"].split()[1::2] for r in pii.replace(frame).collect()]
+    assert all(a == b for a, b in out) and len({a for a, _ in out}) == 40
+
+
+# 4
+
+
+def brute_substrings(rows, window=50):
+    seen, out = {}, {}
+    for doc_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = SPACED.findall(text or "")
+        own = [tuple(w[k : k + window]) for k in range(len(w) - window + 1)]
+        gone = {j for k, x in enumerate(own) if seen.get(x, doc_id) < doc_id for j in range(k, k + window)}
+        for x in own:
+            seen.setdefault(x, doc_id)
+        out[doc_id] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_substrings_equal_brute_force(docs, rows, empty, batches):
+    found = substring.deduplicate(docs, batches=batches)
+    assert found.count() == docs.count()
+    assert by_id(found, "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+    null = [r for r in found.collect() if r["doc_id"] is None]
+    assert [r["n_removed"] for r in null] == [0]
+    assert substring.deduplicate(empty).count() == 0
+
+
+def test_rows_of_one_id_do_not_count_against_each_other(spark):
+    text = passage(11, 70)
+    frame = spark.createDataFrame([(1, text), (1, "x " + text), (2, text)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substring.deduplicate(frame).collect())
+    assert got == [(1, 0), (1, 0), (2, 70)]
+
+
+# 5
+
+
+def brute_fingerprint(text):
+    w = SPACED.findall((text or "").translate(LOWER))
+    shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(values: dict[int, int], radius=4):
+    root = {k: k for k in values}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(values)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if bin(values[a] ^ values[b]).count("1") <= radius:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {k: find(k) for k in ids}
+
+
+def test_simhash_equals_brute_force(docs, rows, empty):
+    found = simhash.near_duplicates(docs)
+    assert found.count() == docs.count()
+    values = {i: brute_fingerprint(t) for i, t in rows}
+    groups = brute_components(values)
+    assert by_id(found, "fingerprint", "component_id") == {i: (f"{values[i]:016x}", groups[i]) for i in values}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_covering_tables_lose_no_pair(spark, bucket):
+    """Random and crowded fingerprints; small buckets force the tables of further levels."""
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    values = set(centres) | {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for c in centres for _ in range(12)} | {rng.getrandbits(64) for _ in range(60)}
+    values = {k: v for k, v in enumerate(sorted(values))}
+    signed = {k: v - (1 << 64) if v >> 63 else v for k, v in values.items()}
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed.values()], "value long"), bucket=bucket)
+    of = {v: k for k, v in signed.items()}
+    linked = [(of[r["a"]], of[r["b"]]) for r in edges.collect()]
+    root = {k: k for k in values}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in linked:
+        assert bin(values[a] ^ values[b]).count("1") <= 4
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    assert {k: find(k) for k in values} == brute_components(values)
+
+
+def test_components_of_chains_and_loops(spark):
+    edges = [(k + 1, k) for k in range(100, 160)] + [(1, 2), (2, 1), (3, 3), (5, 4), (None, 1)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 100 for k in range(100, 161)}, 1: 1, 2: 1, 4: 4, 5: 4}
+
+
+# 6
+
+
+def test_pieces_equal_the_library(docs, rows, empty):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    found = piece.encode(docs, PIECES, keep=["kind"], with_text=True)
+    assert found.count() == docs.count()
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, t in rows:
+        ids = lib.encode(t or "")
+        assert list(got[i]["ids"]) == ids and got[i]["n_tokens"] == len(ids) and got[i]["decoded"] == lib.decode(ids) and got[i]["kind"] == "kept"
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert piece.encode(empty, PIECES).count() == 0
+
+
+def test_single_and_batched_agendas_agree():
+    c = piece.Codec(PIECES)
+    rng = random.Random(3)
+    words = ["▁" * rng.randint(1, 3) + "".join(rng.choice("abcdethonäéß.\n1日🎉▁") for _ in range(rng.randint(0, 70))) for _ in range(400)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in c.merge_many(words)] == [c.merge(w) for w in words]
+
+
+# 7
+
+
+def test_token_files_round_trip(docs, rows, empty, tmp_path):
+    tok = Tokenizer.from_file(BYTES)
+    for bits in (False, True):
+        index = tokenfile.write_tokens(docs, BYTES, f"file://{tmp_path}/t{bits}", bits=bits, block=500)
+        out = tokenfile.read_tokens(index, with_ids=True).collect()
+        assert len(out) == docs.count()
+        order = sorted([(-1, passage(1, 60)), *rows, rows[9]], key=lambda r: r[0])
+        start = 0
+        for (i, t), r in zip(order, sorted(out, key=lambda r: r["start"]), strict=True):
+            ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+            assert (r["doc_id"] if r["doc_id"] is not None else -1) == i and list(r["ids"]) == ids and r["start"] == start
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+            start += len(ids)
+    assert tokenfile.read_tokens(tokenfile.write_tokens(empty, BYTES, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_planes():
+    for ids in ([], [0], [0, 0], [2**32 - 1, 7], list(range(1000))):
+        for bits in (False, True):
+            assert tokenfile.unpack(tokenfile.pack(np.array(ids, np.uint32), bits=bits)).tolist() == ids
+    with pytest.raises(ValueError):
+        tokenfile.unpack(b"none of it")
+
+
+# 8
+
+
+def test_url_rules_and_models(spark, sf_dir):
+    urls = [
+        "http://www.Example.COM/en/71?x", "http://a.com/en/7", "https://example.net/de/81", "https://x.net/de/8#f", "http://q.org/es/", "http://q.org/fr/", "no scheme/en/", None, "",
+        "http://com/en/", "http://xcom/en/", "://net/de/", "http://host?q=/en/", "http://A.org", "http://exämple.org/es/\nx",
+    ]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["ruled"]) for r in urlfilter.apply_rules(frame).collect()}
+    assert got[0] == ("www.example.com", "/en/71", "example.com/en/7", "allow") and got[1][2:] == ("com/en/", "block") and got[2][2:] == ("example.net/de/8", "block")
+    assert got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("org/es/", "block") and got[5] == ("q.org", "/fr/", None, None)
+    assert got[6] == got[7] == got[8] == ("", "", None, None) and got[9][2] == "com/en/" and got[10][2] is None and got[11][2] == "net/de/"
+    assert got[12][:2] == ("host", "") and got[13][:2] == ("a.org", "") and got[14][1:3] == ("/es/\nx", "org/es/")
+    out = urlfilter.judge(frame)
+    assert out.count() == len(urls) and {r["verdict"] for r in out.collect()} <= {"allow", "block"}
+    assert urlfilter.judge(frame.limit(0)).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(frame.filter("page_id in (5, 7)")).collect()} == {"allow"}
+    assert {r["verdict"] for r in urlfilter.judge(frame.filter("page_id in (1, 5)")).collect()} == {"block"}
+
+
+def test_url_models_tell_classes_apart(spark):
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    rows = [(k, f"http://a.com/en/{word('xyzw')}") for k in range(150)] + [(k, f"http://a.net/de/{word('abcd')}") for k in range(150, 300)]
+    rows += [(k, f"http://q.info/{word('xyzw')}") for k in range(300, 340)] + [(k, f"http://q.info/{word('abcd')}") for k in range(340, 380)]
+    out = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    wrong = sum(out[k] != ("block" if k < 340 else "allow") for k in range(300, 380))
+    assert wrong <= 4
+
+
+# 9
+
+
+def brute_top(vectors, every, k=5):
+    ok = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = set()
+    for q in (i for i in ok if i % every == 0):
+        best = sorted((-int(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
+        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize(("shard", "leaf"), [(50_000, 128), (100, 8)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, leaf):
+    monkeypatch.setattr(covertree.CoverTree.__init__, "__defaults__", (leaf,))  # forked workers see it; others use the default
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (400, 6)).astype(np.float32))]
+    vectors += [(400 + i, vectors[0][1]) for i in range(60)] + [(500, None), (501, []), (502, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (503, [float("nan")] * 6), (510, [1.0, 2.0]), (550, [2.0, 1.0]), (None, [0.0] * 6)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).repartition(3)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in covertree.top_k(frame, every=10, shard=shard).collect()}
+    assert got == brute_top(vectors, 10)
+    assert covertree.top_k(frame.limit(0)).count() == 0
+
+
+# 10
+
+
+def brute_hits(rows, items, window=10):
+    windows = {}
+    for i, t in items:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(i)
+    out = {}
+    for doc_id, text in rows:
+        w, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        out[doc_id] = (len(w), len(hit), sorted(str(x) for x in found if x is not None))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [500_000, 20])
+def test_decontamination_equals_brute_force(spark, docs, rows, empty, block_words):
+    items = [(0, passage(1, 30).upper()), (1, "Two words"), (2, passage(7, 12)), (3, None), (4, " "), (5, "a b c a b c a b c a b c"), (6, passage(7, 12)), (None, passage(8, 15)), (0, passage(2, 25))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.decontaminate(docs, bench, block_words=block_words, with_text=True)
+    assert found.count() == docs.count()
+    want = brute_hits(rows, items)
+    assert by_id(found, "n_words", "n_hit", "items") == {k: (a, b, c) for k, (a, b, c) in want.items()}
+    kept = by_id(found, "kept_text")
+    assert kept[5] == ("",) and kept[3] == ("one",) and all(not brute_hits([(0, kept[i][0])], items)[0][1] for i in (9, 17))
+    assert decontam.decontaminate(empty, bench).count() == 0
+    assert {r["n_hit"] for r in decontam.decontaminate(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_fm_index_counts_and_locates():
+    codes = np.random.default_rng(1).integers(0, 5, 3000)
+    index = decontam.FMIndex(codes)
+    for n in (1, 2, 3, 5):
+        phrases = np.random.default_rng(n).integers(1, 5, (30, n))
+        lo, hi = index.search(phrases)
+        for p, a, b in zip(phrases, lo, hi, strict=True):
+            want = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(codes, n) == p).all(axis=1)) if n <= len(codes) else []
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want.tolist()
+
+
+# The folder, and the pipeline
+
+
+def test_scratch_is_in_the_sessions_folder(spark):
+    assert shared.scratch(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").replace("file:///", "file:/"))
+    assert shared.scratch(spark, "x") != shared.scratch(spark, "x")
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path, docs, rows):
+    import corpus_pipeline as P
+
+    folder = tmp_path / "sf"
+    langs = {i: "en" for i, _ in rows}
+    frame = spark.createDataFrame([(i, t, langs[i], "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(folder / "documents.parquet"))
+    bench = [(0, passage(7, 12))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    stages = dict(P.STAGES)
+    kept = {i: t for i, t in rows if t and re.search(r"[^\W\d_]", t)}
+    one = stages["language"](spark, frame, str(folder))
+    assert one.columns == frame.columns and {r["doc_id"] for r in one.collect()} == set(kept)
+    groups = brute_components({i: brute_fingerprint(t) for i, t in kept.items()})
+    kept = {i: t for i, t in kept.items() if groups[i] == i}
+    two = stages["near_duplicates"](spark, one, str(folder))
+    assert two.columns == frame.columns and {r["doc_id"] for r in two.collect()} == set(kept)
+    hits = brute_hits(kept.items(), bench)
+    kept = {i: t for i, t in kept.items() if not hits[i][1]}
+    three = stages["decontaminate"](spark, two, str(folder))
+    assert three.columns == frame.columns and {r["doc_id"]: r["text"] for r in three.collect()} == kept
+    four = stages["personal_data"](spark, three, str(folder)).collect()
+    assert {r["doc_id"] for r in four} == set(kept) and all(r["n_chars"] == len(r["text"]) for r in four)
+    last = {r["doc_id"]: list(r["ids"]) for r in P.run(spark, str(folder)).collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert last == {r["doc_id"]: lib.encode(r["text"]) for r in four}
