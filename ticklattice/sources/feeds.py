@@ -113,13 +113,18 @@ def with_aliases(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, *, most_bad: int | None = None, **options: str) -> tuple[DataFrame, DataFrame]:
-    """Good and bad rows of CSV files (a file, folder or pattern; gzip by name); raises if there are more bad ones than allowed."""
-    full = f"{schema}, _corrupt_record string"
-    rows = spark.read.csv(path, schema=full, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options)
-    bad = rows.filter(c("_corrupt_record").isNotNull())
+    """Typed rows of CSV files (a file, folder or pattern; gzip by name), and those with a field that its type doesn't hold.
+
+    Bad rows come as (record: JSON, errors: names of the fields); more of them than ``most_bad`` raise.
+    """
+    fields = [x.strip().split(None, 1) for x in schema.split(",")]
+    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n, _ in fields), header=True, **options)
+    errors = F.array_compact(F.array(*[F.when(c(n).isNotNull() & c(n).try_cast(t).isNull(), F.lit(n)) for n, t in fields]))
+    rows = raw.withColumn("__errors", errors)
+    bad = rows.filter(F.size("__errors") > 0).select(F.to_json(F.struct(*[n for n, _ in fields])).alias("record"), c("__errors").alias("errors"))
     if most_bad is not None and (n := bad.limit(most_bad + 1).count()) > most_bad:
         raise ValueError(f"more than {most_bad} bad rows in {path} (at least {n})")
-    return rows.filter(c("_corrupt_record").isNull()).drop("_corrupt_record"), bad.select("_corrupt_record")
+    return rows.filter(F.size("__errors") == 0).select(*[c(n).cast(t).alias(n) for n, t in fields]), bad
 
 
 def flatten_arrays(payloads: DataFrame) -> DataFrame:
