@@ -145,5 +145,5 @@ def clean_ticks(rows: DataFrame) -> DataFrame:
     t = t.select("symbol", "ts", "trade_id", "size", F.col("price").isNull().alias("was_filled"), fill_centred_mean("price").alias("price"))
     capped = outliers_iqr(t, "price")
     return capped.select(
-        "symbol", "ts", "trade_id", "size", F.round("capped", 4).alias("price"), F.col("is_outlier").cast("int").alias("outliers_detected"), (F.col("is_outlier") | F.col("was_filled")).alias("data_cleaned")
+        "symbol", "ts", "trade_id", "size", F.col("capped").alias("price"), F.col("is_outlier").cast("int").alias("outliers_detected"), (F.col("is_outlier") | F.col("was_filled")).alias("data_cleaned")
     )

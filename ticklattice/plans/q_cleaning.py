@@ -101,7 +101,7 @@ r as (select symbol, ts, trade_id, round(case when price > 0 then price end, 4)
 f as (select symbol, ts, trade_id, size, price is null as was_filled, coalesce(price, avg(price) over ({O} rows between 10 preceding and 10 following)) as price from r),
 s as (select symbol, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.75) as q3 from f group by 1),
 j as (select f.*, q1 - (q3 - q1) * 1.5 as lo, q3 + (q3 - q1) * 1.5 as hi from f join s using (symbol))
-select symbol, ts, trade_id, size, round(least(greatest(price, lo), hi), 4) as price, cast(coalesce(price < lo or price > hi, false) as integer) as outliers_detected,
+select symbol, ts, trade_id, size, least(greatest(price, lo), hi) as price, cast(coalesce(price < lo or price > hi, false) as integer) as outliers_detected,
        coalesce(price < lo or price > hi, false) or was_filled as data_cleaned from j""")
 def clean(spark, d):
     return C.clean_ticks(X.dirty_trades(spark, d))
