@@ -26,6 +26,8 @@ from . import text as tx
 TOTAL_BYTES, LANGUAGE_BYTES = 256_000, 32_000
 #: Labelled documents taken of a language, about, before their text is cut to the bytes above.
 SAMPLE_DOCS = 60
+#: Values of lang that can be learned; more are an error.
+MOST_LANGUAGES = 1000
 #: Bytes that one block of a text holds; blocks advance through the automata side by side.
 BLOCK = 512
 
@@ -50,7 +52,9 @@ def train(labelled: DataFrame, *, total_bytes: int = TOTAL_BYTES, language_bytes
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.xxhash64("doc_id", F.length("text")).alias("h")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(5000).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     if not counts:
         return []
     each = min(language_bytes, total_bytes // len(counts))

@@ -245,20 +245,20 @@ def redrawn(found: DataFrame, *, key: str = KEY, rounds: int = 8) -> DataFrame:
 def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in place of the personal data in ``text``, and n_entities and kinds (found, sorted) added.
 
-    All other columns stay as they are.  A null text stays null, with 0 entities.  Equal entities get equal surrogates in
+    All other columns stay as they are (columns named n_entities or kinds are replaced).  A null text stays null, with 0 entities.  Equal entities get equal surrogates in
     all rows; distinct ones get distinct ones.  Marks of private use that the operator needs are dropped from texts.
     """
     again = shared.written(redrawn(entities(docs.select(F.col(text).alias("text"))), key=key), "redrawn")
     size = again.limit(SMALL + 1).count()
     found = pieces(marked(F.col(text)))
-    names = [c for c in docs.columns if c != text]
+    names = [c for c in docs.columns if c not in (text, "n_entities", "kinds")]
     rows = docs.withColumn("__pieces", found)
     if size == 0:
         attempt = lambda p: F.lit(0)
     elif size <= SMALL:
         listed = {f"{r['kind']}\x1f{r['canon']}": r["attempt"] for r in again.collect()}  # at most SMALL rows
-        rows = rows.withColumn("attempts", F.from_json(F.lit(json.dumps(listed)), "map<string,int>"))
-        attempt = lambda p: F.coalesce(F.try_element_at("attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
+        rows = rows.withColumn("__attempts", F.from_json(F.lit(json.dumps(listed)), "map<string,int>"))
+        attempt = lambda p: F.coalesce(F.try_element_at("__attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
     else:
         # Each row's redrawn entities come by a plain join and gather by a row key.
         rows = shared.written(rows.withColumn("__row", F.monotonically_increasing_id()), "marked")
@@ -266,9 +266,9 @@ def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame
             "__row", F.col("p.kind").alias("kind"), canonical(F.col("p.kind"), F.col("p.value")).alias("canon")
         ).distinct()
         own = own.join(again, ["kind", "canon"]).select("__row", F.concat("kind", F.lit("\x1f"), "canon").alias("k"), "attempt")
-        maps = own.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("attempts"))
+        maps = own.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__attempts"))
         rows = rows.join(maps, "__row", "left")
-        attempt = lambda p: F.coalesce(F.try_element_at("attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
+        attempt = lambda p: F.coalesce(F.try_element_at("__attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
     new = F.array_join(F.transform("__pieces", lambda p: F.when(p.kind.isNull(), p.value).otherwise(surrogate(p.kind, p.value, attempt(p), key))), "")
     only = F.filter("__pieces", lambda p: p.kind.isNotNull())
     out = rows.select(
