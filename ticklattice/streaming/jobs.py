@@ -24,7 +24,11 @@ BRONZE, SILVER, GOLD = "10 minutes", "15 minutes", "10 minutes"
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder for checkpoints and results, where all executors reach it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ticklattice-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ticklattice-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
