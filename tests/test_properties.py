@@ -182,3 +182,47 @@ def test_stream_tail_over_several_batches(spark, tmp_path):
 
 def test_annual_factor():
     assert math.isclose(I.ANNUAL**2, 252)
+
+
+def test_csv_stream_takes_each_file_once(spark, tmp_path):
+    src, schema = tmp_path / "in", "symbol string, price double"
+    src.mkdir()
+    (src / "a.csv").write_text("symbol,price\nA,1\nB,2\n")
+    take = lambda: jobs.append(jobs.csv_stream(spark, str(src), schema), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    take()
+    (src / "b.csv").write_text("symbol,price\nC,3\n")
+    take()
+    take()
+    assert sorted(r["symbol"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B", "C"]
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    import os
+    import time
+
+    src = tmp_path / "late"
+    at = lambda h: START + dt.timedelta(hours=h)
+    for k, rows in enumerate([[("A", at(0), 1), ("A", at(10), 2)], [("A", at(11), 5)], [("A", at(1), 3), ("A", at(20), 4)]]):
+        spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trade_id long").coalesce(1).write.mode("append").parquet(str(src))
+        new = max(src.glob("*.parquet"), key=os.path.getmtime)
+        os.utime(new, (1_700_000_000 + 100 * k, 1_700_000_000 + 100 * k))
+    progress = jobs.Progress()
+    spark.streams.addListener(progress)
+    stream = jobs.table_stream(spark, str(src), "symbol string, ts timestamp_ntz, trade_id long", files=1, late="1 hour")
+    counted = stream.groupBy("symbol", F.window("ts", "1 hour")).count().select("symbol", F.col("window.start").alias("s"), "count")
+    jobs.append(counted, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    for _ in range(50):
+        if sum(r[3] for r in progress.rows):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert sum(r[2] for r in progress.rows) == 5 and sum(r[3] for r in progress.rows) == 1
+    assert progress.table(spark).count() >= 3
+
+
+def test_dead_letters_and_upserts_by_batch(spark, tmp_path):
+    src = tmp_path / "src"
+    spark.createDataFrame([("A", START, 1.0), ("A", START, -1.0), ("B", START, 2.0)], "symbol string, ts timestamp_ntz, price double").coalesce(1).write.parquet(str(src))
+    stream = jobs.table_stream(spark, str(src), "symbol string, ts timestamp_ntz, price double")
+    jobs.each_batch(stream, jobs.keep_latest(str(tmp_path / "k"), ["symbol"], "price"), str(tmp_path / "c1"))
+    assert sorted((r["symbol"], r["price"]) for r in spark.read.parquet(str(tmp_path / "k" / "0")).collect()) == [("A", 1.0), ("B", 2.0)]

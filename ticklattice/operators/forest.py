@@ -124,3 +124,14 @@ def search(rows: DataFrame, spans: tuple[int, ...] = (20, 50, 100), widths: tupl
     g = z.crossJoin(F.broadcast(total)).select("y", F.least(F.floor((c("position") - 1) * 5 / c("n")), F.lit(4)).alias("fold"), F.explode(grid).alias("g"))  # one row
     f = g.groupBy("g.span", "g.width", "fold").agg(F.try_divide(F.count_if(c("y") & c("g.pred")) * 2, F.count_if("g.pred") + F.count_if("y")).alias("f1"))
     return f.groupBy("span", "width").agg(F.avg("f1").alias("mean_f1"), F.stddev_samp("f1").alias("sd_f1"))
+
+
+def stack(rows: DataFrame, scores: list[str], *, y: str = "y") -> DataFrame:
+    """Adds stacked_score: a logistic regression of y on detector scores, fitted on rows with split ``train``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    given = VectorAssembler(inputCols=scores, outputCol="__x").transform(rows.withColumn("__y", c(y).cast("double")))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c", maxIter=50).fit(given.filter("split = 'train'"))
+    return model.transform(given).withColumn("stacked_score", vector_to_array("__p")[1]).drop("__x", "__y", "__p", "__r", "__c")

@@ -122,3 +122,18 @@ def evaluate_alerts(rows: DataFrame, rules: DataFrame) -> DataFrame:
         .when(c("kind") == "volume", c("size") > c("mean_size") * c("threshold")).when(c("kind") == "z", c("z") > c("threshold"))
     )
     return r.join(met, c("rule_symbol").isNull() | (c("rule_symbol") == c("symbol"))).filter(fires).select("rule_id", "kind", "symbol", "ts", "trade_id", "price")
+
+
+def dividend_income(values: DataFrame, dividends: DataFrame) -> DataFrame:
+    """Income of the year and yield per user from ``dividends`` (symbol, per_share) on valued positions; none counts as 0."""
+    d = dividends.withColumnRenamed("symbol", "__s")
+    both = values.join(d, c("symbol") == c("__s"), "left").withColumn("income", c("shares") * F.coalesce("per_share", F.lit(0.0)))
+    one = both.groupBy("user").agg(F.sum("income").alias("income"), F.sum("market_value").alias("value"), F.count_if(c("income") > 0).alias("payers"))
+    return one.select("user", "income", "payers", (F.try_divide("income", "value") * 100).alias("yield_pct"))
+
+
+def alert_list(alerts: DataFrame, *, kinds: list[str] | None = None, symbol: str | None = None, limit: int = 20) -> DataFrame:
+    """The newest alerts of the kinds and symbol asked for."""
+    kept = alerts if kinds is None else alerts.filter(c("kind").isin(kinds))
+    kept = kept if symbol is None else kept.filter(c("symbol") == symbol)
+    return kept.orderBy(F.desc("ts"), "trade_id", "rule_id").limit(limit)

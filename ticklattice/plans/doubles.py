@@ -68,6 +68,8 @@ DOUBLES: dict[str, str] = {
     "a22_histogram": "mean std",
     "a12_metric_summary": "min max mean median std latest p95 p99",
     "ml9_backtest": "precision recall f1",
+    "pr6_dividend_income": "income yield_pct",
+    "pf15_alert_list": "price",
     "pr5_positions": "shares avg_cost",
     "pr1_j6_valued_positions": "shares avg_cost market_value cost_basis gain gain_pct weight",
     "a10_pr3_summary": "total_value total_cost largest_weight herfindahl gain gain_pct",

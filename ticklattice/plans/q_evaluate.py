@@ -367,3 +367,17 @@ def enrichment(spark, d):
 def difference(spark, d):
     t = X.trades(spark, d)
     return t.filter("price > 50").select("symbol", "size").subtract(t.filter("price < 10").select("symbol", "size"))
+
+
+@Q.add("pr6_dividend_income", f"""with {VALUED}, i as (select user_id, shares * case when symbol % 3 = 0 then 0 else p_retailprice * 0.02 end as income, market_value from va join part on p_partkey = symbol)
+select user_id as "user", sum(income) as income, count(*) filter (income > 0) as payers, sum(income) / nullif(sum(market_value), 0) * 100 as yield_pct from i group by 1""")
+def dividends(spark, d):
+    per_share = X.table(spark, d, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("symbol"), (F.col("p_retailprice") * 0.02).alias("per_share"))
+    return P.dividend_income(valued(spark, d), per_share)
+
+
+@Q.add("pf15_alert_list", f"""with {X.TRADES}, f as (select *, avg(size) over ({O} rows between 20 preceding and 1 preceding) as ms from trades),
+a as (select 2 as rule_id, 'below' as kind, symbol, ts, trade_id, price from f where price < 2 union all select 4, 'volume', symbol, ts, trade_id, price from f where size > ms * 1.9)
+select cast(rule_id as integer) as rule_id, kind, symbol, ts, trade_id, price from a order by ts desc, trade_id, rule_id limit 20""")
+def alert_list(spark, d):
+    return P.alert_list(alert_rows(spark, d), kinds=["below", "volume"])

@@ -72,3 +72,13 @@ def preparation(spark, d):
     capped = C.outliers_iqr(bars.withColumn("trade_id", F.lit(0)), "close").withColumn("close", c("capped")).select("symbol", "ts", "close", "volume")
     r = capped.select("*", *[v.alias(k) for k, v in R.returns().items()])
     return r.select("symbol", "ts", "close", "ret", "log_ret", R.realized_volatility("ret", 20).alias("vol_20"), R.z_score("close", 20).alias("z_20"))
+
+
+@Q.add("ad15_stacking")
+def stacking(spark, d):
+    """Detector scores of the trades, stacked; the label and the split come with the rows."""
+    from ticklattice.operators import anomaly as A
+
+    rows = A.detect(E.time_split(scored(spark, d).withColumn("size", c("trade_id") % 97)))
+    names = [f"anomaly_score_{m}" for m in A.METHODS]
+    return M.stack(rows, names).select("trade_id", "y", "split", "stacked_score")
