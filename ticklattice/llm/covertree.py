@@ -1,7 +1,8 @@
 """Exact top-k search by inner product: queries and data in cover trees, searched together.
 
 Every task builds cover trees over the vectors it holds (a node's children cover it at half its radius, and lie more than
-that apart).  Blocks of queries, in trees of their own, meet each data tree in a depth-first search over pairs of nodes: a
+that apart; where many dimensions leave children of a few vectors each, such neighbours share a leaf, with a covering
+radius of its own).  Blocks of queries, in trees of their own, meet each data tree in a depth-first search over pairs of nodes: a
 pair is dropped when its bound, from the centres' product and both covering radii, is below the worst k-th score of the
 query node.  Each task returns its k best per query; the best of those are the answer.
 """
@@ -21,7 +22,7 @@ from . import shared
 
 K, EVERY, SCALE = 5, 50, 256
 #: Vectors of a data tree, of a query block, and of a leaf.
-SHARD, QUERY_BLOCK, LEAF = 50_000, 5_000, 128
+SHARD, QUERY_BLOCK, LEAF = 50_000, 5_000, 512
 
 
 class Node:
@@ -36,72 +37,86 @@ class Node:
 
 
 class CoverTree:
-    """A cover tree of vectors (n, d); ``order`` gives each of its rows the place in the input."""
+    """A cover tree of vectors (n, d) with ids; rows of a leaf are in the order of ids."""
 
-    def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        self.vectors, self.ids = vectors, ids
         order: list[np.ndarray] = []
-        self.leaf = leaf
-        self.at = 0
+        self.leaf, self.at = leaf, 0
         self.root = self._build(np.arange(len(vectors)), vectors[0], order)
-        self.order = np.concatenate(order)
-        self.vectors = vectors[self.order]
+        own = np.concatenate(order)
+        self.vectors, self.ids = vectors[own], ids[own]
+
+    def _leaf(self, own: np.ndarray, centre: np.ndarray, order: list) -> Node:
+        gap = self.vectors[own] - centre
+        radius = float(np.sqrt(np.einsum("ij,ij->i", gap, gap).max()))
+        order.append(own[np.argsort(self.ids[own], kind="stable")])
+        self.at += len(own)
+        return Node(centre, radius, self.at - len(own), self.at, [])
 
     def _build(self, own: np.ndarray, centre: np.ndarray, order: list) -> Node:
         gap = self.vectors[own] - centre
         distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         radius = float(distance.max())
         if len(own) <= self.leaf or radius == 0:
-            order.append(own)
-            self.at += len(own)
-            return Node(centre, radius, self.at - len(own), self.at, [])
+            return self._leaf(own, centre, order)
         # Children: centres more than half the radius apart, each point with the first centre that covers it.
-        start, half, children = self.at, radius / 2, []
+        start, half, children, few = self.at, radius / 2, [], []
         left = own[np.argsort(distance, kind="stable")]
         while len(left):
             first = self.vectors[left[0]]
             gap = self.vectors[left] - first
             near = np.einsum("ij,ij->i", gap, gap) <= half * half
             near[0] = True
-            children.append(self._build(left[near], first, order))
+            if near.sum() * 4 < self.leaf:
+                few.append(left[near])
+                if len(few) * self.leaf > 16 * len(own):  # the rest is no denser: no more covers by single points
+                    few += [left[~near]]
+                    break
+            else:
+                children.append(self._build(left[near], first, order))
             left = left[~near]
+        rest = np.concatenate(few) if few else own[:0]
+        if len(rest):
+            # Small covers share leaves: ordered along the direction in which they spread most.
+            part = self.vectors[rest] - self.vectors[rest].mean(axis=0)
+            axis = part[np.einsum("ij,ij->i", part, part).argmax()]
+            rest = rest[np.argsort(part @ axis, kind="stable")]
+            for lo in range(0, len(rest), self.leaf):
+                block = rest[lo : lo + self.leaf]
+                children.append(self._leaf(block, self.vectors[block].mean(axis=0), order))
         return Node(centre, radius, start, self.at, children)
 
 
-def _search(queries: CoverTree, data: CoverTree, q_ids: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _search(queries: CoverTree, data: CoverTree, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best scores and ids of each query row (in the query tree's order); ids of -1 fill up."""
-    n = len(q_ids)
+    q_ids, d_ids, n = queries.ids, data.ids, len(queries.ids)
     best = np.full((n, k), -np.inf)
     found = np.full((n, k), np.iinfo(np.int64).max)
 
     def base(q: Node, r: Node) -> None:
-        score = queries.vectors[q.start : q.end] @ data.vectors[r.start : r.end].T
-        ids = d_ids[r.start : r.end]
+        # Equal vectors score alike: of a leaf of them the smallest ids, a query's own aside, are enough.
+        end = min(r.end, r.start + k + 1) if r.radius == 0 and len(np.unique(d_ids[r.start : r.start + k + 1])) > k else r.end
+        score = queries.vectors[q.start : q.end] @ data.vectors[r.start : end].T
+        ids = d_ids[r.start : end]
         score[q_ids[q.start : q.end, None] == ids[None, :]] = -np.inf
-        worst = best[q.start : q.end, -1]
-        rows = np.flatnonzero((score >= worst[:, None]).any(axis=1))
-        if not len(rows):
+        edge = best[q.start : q.end, -1]
+        if score.shape[1] > k:  # ties at the k-th score are settled by id, so all that reach it stay
+            edge = np.maximum(edge, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+        row, col = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+        if not len(row):
             return
-        rows_at = q.start + rows
-        s = score[rows]
-        if s.shape[1] > 4 * k:
-            # Ties at the k-th score are settled by id, so all that reach it stay.
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-            keep = s >= np.maximum(edge, best[rows_at, -1])[:, None]
-            width = int(keep.sum(axis=1).max())
-            if width < s.shape[1]:
-                place = np.argsort(~keep, axis=1, kind="stable")[:, :width]
-                s = np.where(np.take_along_axis(keep, place, 1), np.take_along_axis(s, place, 1), -np.inf)
-                ids_of = ids[place]
-            else:
-                ids_of = np.broadcast_to(ids, s.shape)
-        else:
-            ids_of = np.broadcast_to(ids, s.shape)
-        s = np.concatenate([best[rows_at], s], axis=1)
-        i = np.concatenate([found[rows_at], ids_of], axis=1)
-        i = np.where(s == -np.inf, np.iinfo(np.int64).max, i)
+        count = np.bincount(row)
+        rows = np.flatnonzero(count)
+        count = count[rows]
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + k
+        at = np.repeat(np.arange(len(rows)), count)
+        s = np.full((len(rows), k + int(count.max())), -np.inf)
+        i = np.full(s.shape, np.iinfo(np.int64).max)
+        s[:, :k], i[:, :k] = best[q.start + rows], found[q.start + rows]
+        s[at, place], i[at, place] = score[row, col], ids[col]
         order = np.lexsort((i, -s), axis=1)[:, :k]
-        best[rows_at], found[rows_at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        best[q.start + rows], found[q.start + rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
     def bound(q: Node, rs: list[Node]) -> np.ndarray:
         centres = np.array([r.centre for r in rs])
@@ -189,14 +204,14 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
             ids = np.concatenate([i for i, _ in held[size]])
             data = np.concatenate([v for _, v in held[size]])
             held[size] = []
-            tree = CoverTree(data)
+            tree = CoverTree(data, ids)
             for file in files:
                 block = np.load(io.BytesIO(shared.read_bytes(file)))
                 if block["vectors"].shape[1] != size:
                     continue
-                asked = CoverTree(block["vectors"])
-                q_ids = block["ids"][asked.order]
-                best, found = _search(asked, tree, q_ids, ids[tree.order], k)
+                asked = CoverTree(block["vectors"], block["ids"])
+                q_ids = asked.ids
+                best, found = _search(asked, tree, k)
                 ok = best > -np.inf
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(q_ids, k)[ok.ravel()]), pa.array(found[ok]), pa.array(best[ok].astype(np.int64))],
