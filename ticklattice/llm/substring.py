@@ -244,7 +244,7 @@ class FingerprintIndex:
         )
         self.runs.append(run)
         # Read by path: the result stands when the table's name is dropped.
-        return self.spark.read.parquet(self.paths[run]).filter("not is_new").select("doc_id", "place", "n")
+        return self.spark.read.schema(self.spark.table(run).schema).parquet(self.paths[run]).filter("not is_new").select("doc_id", "place", "n")
 
     def compact(self) -> None:
         """Merge the runs into one, two at a time: sorted buckets meet without a shuffle."""
