@@ -286,6 +286,15 @@ def test_components_of_chains_and_loops(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, 1: 1, 2: 1, 4: 4, 5: 4}
 
 
+def test_components_of_edges_that_come_one_way_at_a_time(spark):
+    """A source whose rows differ between runs must not leave an edge with one direction."""
+    from pyspark.sql.types import LongType
+
+    pick = F.udf(lambda k: __import__("random").randrange(1, k), LongType()).asNondeterministic()
+    edges = spark.range(2, 80).select(F.col("id").alias("a"), pick("id").alias("b"))
+    assert {r["component"] for r in components.components(edges).collect()} == {1}
+
+
 # 6
 
 

@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     plain = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct()
+    # Written before it is turned round: run twice, a source that picks among equal links would leave some one-way.
+    plain = shared.written(plain, "edges")
     both = shared.written(plain.union(plain.select("b", "a")).distinct(), "edges")
     labels = shared.written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as node", "least(a, m) as component"), "labels")
     while True:

@@ -172,7 +172,7 @@ def links(values: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> D
         large = shared.written(sizes.select("path"), "large")
         none = large.limit(1).count() == 0
         small = keyed if none else keyed.join(large, "path", "left_anti")
-        found.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a long, b long"))
+        found.append(small.repartition("path").sortWithinPartitions("path", "value").mapInArrow(compare, "a long, b long"))
         if none:
             break
         rows = shared.written(keyed.join(large, "path", "left_semi"), "split")
