@@ -23,7 +23,7 @@ from . import text as tx
 
 MARK = "▁"
 #: Chunks remembered in a worker's two generations, together about this many.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Place in the order of scores of a pair that forms no piece.
 NONE = np.int32(2**31 - 1)
 #: Chunks longer than this are encoded each time and not remembered.
