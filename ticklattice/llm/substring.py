@@ -6,8 +6,9 @@ batch's new windows become a run of their own; runs are compacted when there are
 ascending doc_id order, so what the runs hold is always of smaller documents.
 
 Before windows are hashed for the index, those that cannot repeat are left out: every window names its least inner shingle
-hash as anchor, equal windows have equal anchors, and an anchor that only one document has needs no entry.  The anchors
-that repeat are a Bloom filter of bounded size; a full filter would only let more windows through, never fewer.
+hash as anchor, equal windows have equal anchors, and an anchor that only one document has needs no entry.  Where all
+stretches of windows of an anchor are equal, wherever it occurs, one hash stands for the stretch.  The anchors that repeat,
+and those whose stretches differ, are Bloom filters of bounded size: a full one only lets more windows through one by one.
 """
 
 from __future__ import annotations
@@ -50,27 +51,37 @@ def _windows(column: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, ..
     return hashes, row, place, valid, least[valid]
 
 
+def _stretches(hashes: np.ndarray, row: np.ndarray, start: np.ndarray, least: np.ndarray, window: int, base: int) -> tuple[np.ndarray, ...]:
+    """Maximal stretches of consecutive windows of one anchor: index of the first, number of windows, hash of all words."""
+    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[start[1:]] != row[start[:-1]]) | (start[1:] != start[:-1] + 1)]))
+    size = np.diff(np.append(new, len(start)))
+    up, down = tx.powers(len(hashes) + 1, base)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    a = start[new]
+    return new, size, tx.mix((sums[a + size + window - 1] - sums[a]) * down[a] + size.astype(np.uint64))
+
+
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, least, most): the smallest and largest doc_id of each anchor, a row per pass of a task at most."""
+    """(anchor, least, most, low, high): the smallest and largest doc_id of each anchor, and hash of its stretches; a row per
+    pass of a task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in tx.passes(batch.column(1)):
-                _, row, _, start, least = _windows(batch.column(1).slice(lo, hi - lo), window, anchor)
+                hashes, row, _, start, least = _windows(batch.column(1).slice(lo, hi - lo), window, anchor)
                 if not len(start):
                     continue
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[start[1:]] != row[start[:-1]])])
-                value, doc = least[new], ids[lo + row[start[new]]]
-                order = np.lexsort((doc, value))
-                value, doc = value[order], doc[order]
+                new, _, stretch = _stretches(hashes, row, start, least, window, _B1)
+                value, doc = least[new], ids[lo + row[start[new]]].astype(np.int64)
+                order = np.argsort(value, kind="stable")
+                value, doc, stretch = value[order], doc[order], stretch[order].view(np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[cut].view(np.int64)), pa.array(doc[cut].astype(np.int64)), pa.array(np.maximum.reduceat(doc, cut).astype(np.int64))],
-                    names=["anchor", "least", "most"],
-                )
+                ends = [f.reduceat(x, cut) for x in (doc, stretch) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), *map(pa.array, ends)], names=["anchor", "least", "most", "low", "high"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, least long, most long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, least long, most long, low long, high long")
 
 
 def _places(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -79,16 +90,21 @@ def _places(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [block + ((anchor >> np.uint64(shift)) & np.uint64(511)).astype(np.int64) for shift in (0, 9, 18)]
 
 
-def _bitmap(docs: DataFrame, window: int, anchor: int) -> tuple[list[str], int]:
-    """Files with the filter of anchors that more than one document has, and its bits (a power of two)."""
-    spark = docs.sparkSession
+def _filters(docs: DataFrame, window: int, anchor: int) -> list[tuple[list[str], int]]:
+    """Files and bits of two filters: of anchors that more than one document has, and of those whose stretches differ."""
     repeated = (
-        _anchors(docs, window, anchor).groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        .filter("least < most").select("anchor")
+        _anchors(docs, window, anchor).groupBy("anchor")
+        .agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter("least < most").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     )
     repeated = shared.written(repeated, "anchors")
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * repeated.count()).bit_length()))
-    folder = shared.scratch(spark, "bitmap")
+    return [_bitmap(rows.select("anchor")) for rows in (repeated, repeated.filter("mixed"))]
+
+
+def _bitmap(anchors: DataFrame) -> tuple[list[str], int]:
+    """Files with the filter of the anchors, and its bits (a power of two)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * anchors.count()).bit_length()))
+    folder = shared.scratch(anchors.sparkSession, "bitmap")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -105,17 +121,26 @@ def _bitmap(docs: DataFrame, window: int, anchor: int) -> tuple[list[str], int]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
     # Each segment is one task's; a task gets a few segments of a bounded size, whatever the number of anchors.
-    dealt = repeated.repartition(SEGMENTS, F.shiftrightunsigned("anchor", 58))
+    dealt = anchors.repartition(SEGMENTS, F.shiftrightunsigned("anchor", 58))
     return [r["file"] for r in dealt.mapInArrow(write, "file string").collect()], bits
 
 
 _BITMAPS: dict[tuple, np.ndarray] = {}
 
 
+def _holds(values: np.ndarray, files: list[str], bits: int) -> np.ndarray:
+    """Whether a filter holds each anchor."""
+    bitmap, out = _load(files, bits), np.ones(len(values), bool)
+    for bit in _places(values, bits):
+        out &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+    return out
+
+
 def _load(files: list[str], bits: int) -> np.ndarray:
-    key = tuple(files)
+    key = (bits, *files)
     if key not in _BITMAPS:
-        _BITMAPS.clear()
+        while len(_BITMAPS) > 1:
+            _BITMAPS.pop(next(iter(_BITMAPS)))
         size = (1 << bits) // SEGMENTS // 8
         whole = np.zeros((1 << bits) // 8, np.uint8)
         for name in files:
@@ -126,55 +151,64 @@ def _load(files: list[str], bits: int) -> np.ndarray:
 
 
 #: A run of ``n`` consecutive windows of one anchor in one document: the place of the first (with the number of the row's copy
-#: in the upper half) and the hashes of all.  Runs without hashes are known to repeat already.
+#: in the upper half) and the hashes of all, or one hash of a stretch that never differs.  Runs without hashes are known to
+#: repeat already.
 SEEN = "anchor long, doc_id long, place long, n int, h1 array<long>, h2 array<int>"
 
 
-def _runs(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row per run of windows; the input is in the order of (doc, place)."""
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1])]))
+def _runs(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per run of single windows, and per stretch; the input is in the order of (doc, place)."""
+    single = n == 1
+    new = np.flatnonzero(np.concatenate([[True], ~single[1:] | ~single[:-1] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1])]))
     at = np.append(new, len(doc)).astype(np.int32)
     hashes = [pa.nulls(len(new), pa.list_(pa.int64())), pa.nulls(len(new), pa.list_(pa.int32()))]
     if h1 is not None:
         hashes = [pa.ListArray.from_arrays(pa.array(at), pa.array(h)) for h in (h1.view(np.int64), h2)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor[new].view(np.int64)), pa.array(doc[new]), pa.array(place[new]), pa.array(np.diff(at)), *hashes],
+        [pa.array(anchor[new].view(np.int64)), pa.array(doc[new]), pa.array(place[new]), pa.array(np.add.reduceat(n, new).astype(np.int32)), *hashes],
         names=["anchor", "doc_id", "place", "n", "h1", "h2"],
     )
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Windows of a task: those of each distinct one's first document, and runs that later documents of this task lose."""
-    anchor, h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    anchor, h1, h2, doc, place, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, h2, h1))
     new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
     own = np.empty(len(order), bool)
     own[order] = doc[order] == doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     order = np.lexsort((place, doc))
-    anchor, h1, h2, doc, place, own = (x[order] for x in (anchor, h1, h2, doc, place, own))
-    yield _runs(anchor[own], doc[own], place[own], h1[own], h2[own])
+    anchor, h1, h2, doc, place, n, own = (x[order] for x in (anchor, h1, h2, doc, place, n, own))
+    yield _runs(anchor[own], doc[own], place[own], n[own], h1[own], h2[own])
     if not own.all():
         lost = ~own
-        yield _runs(tx.mix(doc[lost].view(np.uint64)), doc[lost], place[lost])
+        yield _runs(tx.mix(doc[lost].view(np.uint64)), doc[lost], place[lost], n[lost])
 
 
-def _seen(docs: DataFrame, files: list[str], bits: int, window: int, anchor: int) -> DataFrame:
+def _seen(docs: DataFrame, filters: list[tuple[list[str], int]], window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, parts, held = _load(files, bits), [], 0
+        parts, held = [], 0
         for batch in batches:
             ids, copies = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in tx.passes(batch.column(2)):
                 hashes, row, place, start, least = _windows(batch.column(2).slice(lo, hi - lo), window, anchor)
-                known = np.ones(len(start), bool)
-                for bit in _places(least, bits):
-                    known &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                known = _holds(least, *filters[0])
                 start, least = start[known], least[known]
                 if not len(start):
                     continue
-                h1, h2 = tx.window_hashes(hashes, window, _B1)[start], tx.window_hashes(hashes, window, _B2)[start]
-                of = lo + row[start]
-                parts.append((least, h1, h2.astype(np.uint32).view(np.int32), ids[of].astype(np.int64), (copies[of].astype(np.int64) << 32) + place[start]))
-                held += len(start)
+                mixed = _holds(least, *filters[1])
+                found = []
+                if mixed.any():
+                    at = start[mixed]
+                    found.append((at, least[mixed], np.ones(len(at), np.int64), *(tx.window_hashes(hashes, window, b)[at] for b in (_B1, _B2))))
+                if not mixed.all():
+                    at, value = start[~mixed], least[~mixed]
+                    new, size, h1 = _stretches(hashes, row, at, value, window, _B1)
+                    found.append((at[new], value[new], size, h1, _stretches(hashes, row, at, value, window, _B2)[2]))
+                for at, value, size, h1, h2 in found:
+                    of = lo + row[at]
+                    parts.append((value, h1, h2.astype(np.uint32).view(np.int32), ids[of].astype(np.int64), (copies[of].astype(np.int64) << 32) + place[at], size))
+                    held += len(at)
                 if held >= HELD:
                     yield from _combined(parts)
                     parts, held = [], 0
@@ -216,9 +250,9 @@ class FingerprintIndex:
         if len(self.runs) >= self.fan_in:
             self.compact()
         dealt = seen.repartition(self.buckets, "anchor").select(
-            "anchor", "doc_id", "place", "n", F.posexplode_outer(F.arrays_zip("h1", "h2")).alias("k", "h")
+            "anchor", "doc_id", "place", "n", (F.size("h1") == F.col("n")).alias("single"), F.posexplode_outer(F.arrays_zip("h1", "h2")).alias("k", "h")
         ).select(
-            "anchor", "doc_id", (F.col("place") + F.coalesce("k", F.lit(0))).alias("place"), F.when(F.col("h").isNull(), F.col("n")).otherwise(1).alias("n"),
+            "anchor", "doc_id", (F.col("place") + F.coalesce("k", F.lit(0))).alias("place"), F.when(F.col("single"), 1).otherwise(F.col("n")).alias("n"),
             F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"),
         )
         history = F.lit(None).cast("long")
@@ -286,7 +320,7 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
     """
     spark = docs.sparkSession
     rows = _copies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    files, bits = _bitmap(rows.filter(F.col("doc_id").isNotNull()), window, anchor)
+    filters = _filters(rows.filter(F.col("doc_id").isNotNull()), window, anchor)
     index, lost = FingerprintIndex(spark, fan_in=fan_in), []
     edges = rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(x) for x in edges})
@@ -294,7 +328,7 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR,
         part = rows.filter(F.col("doc_id").isNotNull())
         part = part if low is None else part.filter(F.col("doc_id") > low)
         part = part if high is None else part.filter(F.col("doc_id") <= high)
-        lost.append(index.add(_seen(part, files, bits, window, anchor)))
+        lost.append(index.add(_seen(part, filters, window, anchor)))
     repeated = lost[0]
     for more in lost[1:]:
         repeated = repeated.union(more)
