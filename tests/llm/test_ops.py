@@ -375,6 +375,47 @@ def test_url_models_tell_classes_apart(spark):
     assert wrong <= 4
 
 
+def brute_ratios(urls, labelled, order=4, weight=2.0):
+    """Ratios by exact counts in dictionaries; ``labelled`` holds (url, allowed)."""
+
+    def steps(u):
+        s = [0] * order + [min(b, 127) + 2 for b in (u or "").encode()] + [1]
+        return [(tuple(s[at - order : at]), s[at]) for at in range(order, len(s))]
+
+    sums = {}
+    for u, allowed in labelled:
+        for context, symbol in steps(u):
+            for k in range(order + 1):
+                tail = context[order - k :]
+                for key in ((allowed, tail), (allowed, tail, symbol)):
+                    sums[key] = sums.get(key, 0) + 1
+
+    def ratio(u):
+        total = 0.0
+        for context, symbol in steps(u):
+            for allowed in (True, False):
+                p = 1 / 130
+                for k in range(order + 1):
+                    tail = context[order - k :]
+                    p = (sums.get((allowed, tail, symbol), 0) + weight * p) / (sums.get((allowed, tail), 0) + weight)
+                total += np.log(p) * (1 if allowed else -1)
+        return total / len(steps(u))
+
+    return [ratio(u) for u in urls]
+
+
+def test_url_counts_stay_exact_as_contexts_grow(spark):
+    """More contexts of four symbols (100,000 and more) than any table of fixed size had; one URL with bytes beyond ASCII."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    rows = [(k, f"http://a.{'com/en' if k % 2 else 'net/de'}/{word()}") for k in range(4000)]
+    rows += [(4000, "http://q.info/é" + word()), (4001, ""), (4002, "http://q.info/" + word()), (4003, None)]
+    out = {r["page_id"]: r["ratio"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    asked = [0, 1, 4000, 4001, 4002, 4003]
+    want = brute_ratios([dict(rows)[k] for k in asked], [(u, k % 2 == 0) for k, u in rows[:4000]])
+    assert len(out) == len(rows) and np.allclose([out[k] for k in asked], want, atol=1e-9)
+
+
 # 9
 
 
