@@ -295,6 +295,59 @@ def test_components_of_edges_that_come_one_way_at_a_time(spark):
     assert {r["component"] for r in components.components(edges).collect()} == {1}
 
 
+def near_copy_rows():
+    """Copies with one to eight words changed, a crowd around one text, rows that share an id, and copies without one."""
+    rng, out = random.Random(11), []
+
+    def changed(t, n):
+        words = t.split()
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"new{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    for seed in range(100, 140):
+        base = passage(seed, rng.randint(30, 200), 500)
+        out += [base, *(changed(base, n) for n in (1, 2, 3, 5, 8))]
+    crowd = passage(99, 120, 500)
+    out += [changed(crowd, rng.randint(1, 4)) for _ in range(60)] + ["a b", "A  b", "a b c", "", None]
+    rng.shuffle(out)
+    rows = list(enumerate(out))
+    return [*rows, (5, rows[5][1]), (None, rows[7][1]), (None, "only here " + passage(98, 20)), (None, "only here " + passage(98, 20))]
+
+
+def brute_near_copies(rows):
+    """Positions of the rows that stay: the least (doc_id, position) of each component of pairs at 0.8 or more."""
+
+    def grams(t):
+        w = SPACED.findall((t or "").translate(LOWER))
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if sets[x] == sets[y] or 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]) > 0:
+                root[find(x)] = find(y)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(find(k), []).append((i is None, i or 0, k))
+    return sorted((min(g)[1] if not min(g)[0] else None for g in groups.values()), key=str)
+
+
+def test_pipeline_keeps_one_of_each_group_of_near_copies(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rows = near_copy_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] for r in P.near_duplicates(spark, frame, sf_dir).collect()), key=str)
+    assert got == brute_near_copies(rows)
+
+
 # 6
 
 
