@@ -219,6 +219,43 @@ def test_rows_of_one_id_do_not_count_against_each_other(spark):
     assert got == [(1, 0), (1, 0), (2, 70)]
 
 
+def test_index_takes_later_batches_and_can_be_opened_again(spark, tmp_path):
+    """A window that one old document holds alone, and stretches that differ only later, are found without a look ahead."""
+    deliveries = [
+        [(1, passage(20, 300)), (2, passage(21, 90)), (3, passage(22, 70)), (4, passage(22, 70))],
+        [(5, passage(23, 30) + " " + passage(20, 300)[:500]), (6, passage(22, 70) + " tail " + passage(24, 60)), (7, "few words")],
+        [],
+        [(8, "head " + passage(21, 90) + " " + passage(24, 60)), (9, passage(23, 30) + " " + passage(20, 300)), (10, "a b " * 300), (11, "b a " * 90)],
+        [(12, "c a b " + "a b " * 60), (13, passage(24, 58)), (14, passage(22, 69))],
+    ]
+    folder, history, lost = f"file://{tmp_path}/index", None, None
+    for own in deliveries:
+        batch = substring.numbered(spark.createDataFrame(own, "doc_id long, text string"))
+        index = substring.FingerprintIndex(spark, folder)  # as a later session would
+        found = index.add(batch, history)
+        index.forget_names()
+        history, lost = (batch, found) if history is None else (history.union(batch), lost.union(found))
+    rows = [r for own in deliveries for r in own]
+    assert by_id(substring.cut(history, lost), "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+    with pytest.raises(ValueError, match="comes after"):
+        substring.FingerprintIndex(spark, folder).add(substring.numbered(spark.createDataFrame([(3, passage(1, 60))], "doc_id long, text string")))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_long_words_of_equal_parts_differ(spark):
+    """The two Thue-Morse words of 1024 letters collide under any polynomial modulo a power of two."""
+    one, other = thue_morse(1024), thue_morse(2048)[1024:]
+    text = passage(1, 30) + " {} " + passage(2, 29)
+    frame = spark.createDataFrame([(1, text.format(one)), (2, text.format(other))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.deduplicate(frame).collect()] == [0, 0]
+    item = spark.createDataFrame([("i", passage(1, 4) + f" {one} " + passage(2, 5))], "item_id string, text string")
+    near = spark.createDataFrame([(1, passage(1, 4) + f" {other} " + passage(2, 5))], "doc_id long, text string")
+    assert [r["n_hit"] for r in decontam.decontaminate(near, item).collect()] == [0]
+
+
 # 5
 
 

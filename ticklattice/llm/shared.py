@@ -6,9 +6,15 @@ written by Spark, other files through ``pyarrow.fs``, which opens local, HDFS an
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +69,60 @@ def read_bytes(uri: str) -> bytes:
     files, path = filesystem(uri)
     with files.open_input_stream(path, compression=None) as src:
         return src.read()
+
+
+#: What a Python worker keeps for the tasks that come after this one, oldest first, and when it was last asked for.
+_KEPT: dict[tuple, object] = {}
+#: Seconds after which an idle worker forgets it, and how often it looks.
+IDLE_S, LOOK_S = 4.0, 1.0
+_USE = {"busy": 0, "last": 0.0, "watched": False}
+_LOCK = threading.Lock()
+
+
+def kept(key: tuple, make: Callable[[], object], *, most: int = 1) -> object:
+    """The object of ``key``, made if this worker lacks it: at most ``most`` of one kind (``key[0]``), none of other kinds.
+
+    Workers serve stage after stage, so what an earlier operator left would stay in memory beside what the next one needs.
+    """
+    with _LOCK:
+        for other in [k for k in _KEPT if k[0] != key[0]]:
+            del _KEPT[other]
+        _USE["last"] = time.monotonic()
+        if key not in _KEPT:
+            while len(_KEPT) >= most:
+                del _KEPT[next(iter(_KEPT))]
+            _KEPT[key] = make()
+        if not _USE["watched"]:
+            _USE["watched"] = True
+            threading.Thread(target=_forget_when_idle, daemon=True).start()
+        return _KEPT[key]
+
+
+class working:  # noqa: N801
+    """Context of a task that uses what is kept; a worker outside of any forgets it soon and gives its memory back."""
+
+    def __enter__(self) -> None:
+        with _LOCK:
+            _USE["busy"] += 1
+
+    def __exit__(self, *_: object) -> None:
+        with _LOCK:
+            _USE["busy"] -= 1
+            _USE["last"] = time.monotonic()
+
+
+def _forget_when_idle() -> None:
+    while True:
+        time.sleep(LOOK_S)
+        with _LOCK:
+            if _USE["busy"] or time.monotonic() - _USE["last"] < IDLE_S:
+                continue
+            _KEPT.clear()
+            _USE["watched"] = False
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+        return

@@ -1,24 +1,30 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
-The index holds sorted, immutable runs of the windows seen so far (64-bit hash, second hash, first document), bucketed by
-hash.  A batch of new documents is merge-joined with each run, a match counts only if the second hash agrees too, and the
-batch's new windows become a run of their own; runs are compacted when there are ``fan_in`` of them.  Batches come in
-ascending doc_id order, so what the runs hold is always of smaller documents.
-
-Before windows are hashed for the index, those that cannot repeat are left out: every window names its least inner shingle
-hash as anchor, equal windows have equal anchors, and an anchor that only one document has needs no entry.  Where all
-stretches of windows of an anchor are equal, wherever it occurs, one hash stands for the stretch.  The anchors that repeat,
-and those whose stretches differ, are Bloom filters of bounded size: a full one only lets more windows through one by one.
+The index is a folder of sorted, immutable runs, bucketed by their key, and a manifest that names them.  A new batch of
+documents is merge-joined with every run of what came before it; its own fingerprints become a run; ``fan_in`` runs are
+compacted into one.  The folder can be opened again later, and only what it holds (and, for windows that repeat for the first
+time, the old texts) is asked when the next batch comes: nothing is known beforehand about batches to come.
+
+Two kinds of fingerprints keep the runs small.  Every window names the hash of one of its inner shingles, the least, as its
+anchor, so equal windows have equal anchors and neighbouring windows mostly share theirs (a stretch).  Anchor runs hold each
+anchor with its first and last document.  Window runs hold window hashes, but only of anchors that more than one document
+has: those of a new batch, and those of the first old document with an anchor that repeats now, hashed from its text.  A
+stretch gets one hash; where stretches of an anchor differ, each of its windows gets one too.
+
+A match needs two hashes: one of hashes of words, and a BLAKE2 digest of the words' own bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,188 +32,203 @@ from . import shared
 from . import text as tx
 
 WINDOW = 50
-ANCHOR = 10
+ANCHOR = 16
 BATCHES = 3
 FAN_IN = 2
-#: Bits of the anchors' filter: between these powers of two, 16 for each anchor.  An anchor sets three in a block of 512.
+#: Bits of a filter: between these powers of two, 16 for each member.  A member sets three in a block of 512.
 LEAST_BITS, MOST_BITS = 20, 28
-#: Windows that a task holds before it passes them on.
-HELD = 1_000_000
-_B1, _B2, _BA = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: Fingerprints that a task holds before it passes them on.
+HELD = 500_000
+_WINDOW, _ANCHOR, _STRETCH = 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0xA0761D6478BD642F
 SEGMENTS = 64
 
 
-def _windows(column: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Word hashes, their rows and places in the row, then each window's start and anchor."""
-    raw, at = tx.utf8(column)
-    first, end, row = tx.word_spans(raw, at, tx.SPACE)
-    hashes = tx.word_hashes(raw, first, end)
-    n = len(hashes)
-    place = np.arange(n) - np.searchsorted(row, row, "left") if n else np.zeros(0, np.int64)
-    if n < window:
-        return hashes, row, place, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = tx.sliding_min(tx.window_hashes(hashes, anchor, _BA), window - anchor + 1)
-    valid = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-    return hashes, row, place, valid, least[valid]
-
-
-def _stretches(hashes: np.ndarray, row: np.ndarray, start: np.ndarray, least: np.ndarray, window: int, base: int) -> tuple[np.ndarray, ...]:
-    """Maximal stretches of consecutive windows of one anchor: index of the first, number of windows, hash of all words."""
-    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[start[1:]] != row[start[:-1]]) | (start[1:] != start[:-1] + 1)]))
-    size = np.diff(np.append(new, len(start)))
-    up, down = tx.powers(len(hashes) + 1, base)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    a = start[new]
-    return new, size, tx.mix((sums[a + size + window - 1] - sums[a]) * down[a] + size.astype(np.uint64))
+class _Windows:
+    """Words, windows and stretches of windows of some texts."""
+
+    def __init__(self, column: pa.Array, window: int, anchor: int):
+        raw, at = tx.utf8(column)
+        self.first, self.end, self.row = tx.word_spans(raw, at, tx.SPACE)
+        self.raw, self.window = raw, window
+        hashes = tx.word_hashes(raw, self.first, self.end)
+        n = len(hashes)
+        self.place = np.arange(n) - np.searchsorted(self.row, self.row, "left") if n else np.zeros(0, np.int64)
+        self.start, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.new, self.size, self.stretch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if n < window:
+            return
+        least = tx.sliding_min(tx.window_hashes(hashes, anchor, _ANCHOR), window - anchor + 1)
+        self.start = np.flatnonzero(self.row[: n - window + 1] == self.row[window - 1 :])
+        # Least hashes crowd at the low end; scrambled ones are even again.
+        self.anchor = tx.mix(least[self.start])
+        self.hashes = tx.window_hashes(hashes, window, _WINDOW)
+        if not len(self.start):
+            return
+        # Maximal stretches of consecutive windows with one anchor, cut where they are longer than a window.
+        start, least = self.start, self.anchor
+        cut = np.concatenate([[True], (least[1:] != least[:-1]) | (self.row[start[1:]] != self.row[start[:-1]])])
+        new = np.flatnonzero(cut)
+        since = np.arange(len(start)) - new[np.cumsum(cut) - 1]
+        self.new = np.flatnonzero(since % window == 0)
+        self.size = np.diff(np.append(self.new, len(start)))
+        a, b = start[self.new], start[self.new + self.size - 1]
+        # The first and the last window cover all words of a stretch.
+        self.stretch = tx.mix(tx.mix(self.hashes[a] ^ np.uint64(_STRETCH)) + tx.mix(self.hashes[b]) * np.uint64(_STRETCH) + self.size.astype(np.uint64))
+
+    def digests(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64 bits of the BLAKE2 digest of the words (joined by one space) of ``size`` windows from each ``start``."""
+        span = self.end - self.first
+        at = np.zeros(len(span) + 1, np.int64)
+        np.cumsum(span + 1, out=at[1:])
+        joined = np.full(at[-1], 0x20, np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[at[1:] - 1] = False
+        joined[inside] = self.raw[~tx.SPACE[self.raw]]
+        data, low, high = memoryview(joined.tobytes()), at[start].tolist(), (at[start + size + self.window - 1] - 1).tolist()
+        blake = hashlib.blake2b
+        return np.frombuffer(b"".join([blake(data[a:b], digest_size=8).digest() for a, b in zip(low, high, strict=True)]), np.int64)
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, least, most, low, high): the smallest and largest doc_id of each anchor, and hash of its stretches; a row per
-    pass of a task at most."""
+    """(anchor, least, most, low, high): first and last document of each anchor, and smallest and largest hash of its
+    stretches.  Repeats within a pass, then within a task, meet before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in tx.passes(batch.column(1)):
-                hashes, row, _, start, least = _windows(batch.column(1).slice(lo, hi - lo), window, anchor)
-                if not len(start):
+                w = _Windows(batch.column(1).slice(lo, hi - lo), window, anchor)
+                if not len(w.new):
                     continue
-                new, _, stretch = _stretches(hashes, row, start, least, window, _B1)
-                value, doc = least[new], ids[lo + row[start[new]]].astype(np.int64)
+                value, doc = w.anchor[w.new], ids[lo + w.row[w.start[w.new]]].astype(np.int64)
                 order = np.argsort(value, kind="stable")
-                value, doc, stretch = value[order], doc[order], stretch[order].view(np.int64)
+                value, doc, stretch = value[order], doc[order], w.stretch[order].view(np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
                 ends = [f.reduceat(x, cut) for x in (doc, stretch) for f in (np.minimum, np.maximum)]
                 yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), *map(pa.array, ends)], names=["anchor", "least", "most", "low", "high"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, least long, most long, low long, high long")
-
-
-def _places(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The three bits of each anchor in the filter."""
-    block = (anchor >> np.uint64(64 - (bits - 9))).astype(np.int64) << 9
-    return [block + ((anchor >> np.uint64(shift)) & np.uint64(511)).astype(np.int64) for shift in (0, 9, 18)]
+    found = docs.select("doc_id", "text").mapInArrow(run, "anchor long, least long, most long, low long, high long")
+    return found.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _filters(docs: DataFrame, window: int, anchor: int) -> list[tuple[list[str], int]]:
-    """Files and bits of two filters: of anchors that more than one document has, and of those whose stretches differ."""
-    repeated = (
-        _anchors(docs, window, anchor).groupBy("anchor")
-        .agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .filter("least < most").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    )
-    repeated = shared.written(repeated, "anchors")
-    return [_bitmap(rows.select("anchor")) for rows in (repeated, repeated.filter("mixed"))]
-
+def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The three bits of each member (a hash) in a filter."""
+    block = (values >> np.uint64(64 - (bits - 9))).astype(np.int64) << 9
+    return [block + ((values >> np.uint64(shift)) & np.uint64(511)).astype(np.int64) for shift in (0, 9, 18)]
 
-def _bitmap(anchors: DataFrame) -> tuple[list[str], int]:
-    """Files with the filter of the anchors, and its bits (a power of two)."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * anchors.count()).bit_length()))
-    folder = shared.scratch(anchors.sparkSession, "bitmap")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = (1 << bits) // SEGMENTS
-        for batch in batches:
-            for bit in _places(batch.column(0).to_numpy().view(np.uint64), bits):
-                for segment in np.unique(bit // size).tolist():
-                    own = held.setdefault(segment, np.zeros(size, bool))
-                    own[bit[bit // size == segment] % size] = True
-        names = []
-        for segment, own in held.items():
-            names.append(f"{folder}/{segment:03d}-{uuid.uuid4().hex}")
-            shared.write_bytes(names[-1], np.packbits(own, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
-    # Each segment is one task's; a task gets a few segments of a bounded size, whatever the number of anchors.
-    dealt = anchors.repartition(SEGMENTS, F.shiftrightunsigned("anchor", 58))
-    return [r["file"] for r in dealt.mapInArrow(write, "file string").collect()], bits
+class Filter:
+    """A Bloom filter of bounded size in files of the shared folder.  A full one only lets more through."""
 
+    def __init__(self, members: DataFrame):
+        """``members``: one column of hashes."""
+        self.bits = bits = min(MOST_BITS, max(LEAST_BITS, (16 * members.count()).bit_length()))
+        self.folder = folder = shared.scratch(members.sparkSession, "filter")
 
-_BITMAPS: dict[tuple, np.ndarray] = {}
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            size = (1 << bits) // SEGMENTS
+            for batch in batches:
+                for bit in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                    for segment in np.unique(bit // size).tolist():
+                        own = held.setdefault(segment, np.zeros(size, bool))
+                        own[bit[bit // size == segment] % size] = True
+            names = []
+            for segment, own in held.items():
+                names.append(f"{folder}/{segment:03d}-{uuid.uuid4().hex}")
+                shared.write_bytes(names[-1], np.packbits(own, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
+        # Each segment is one task's; a task gets a few segments of a bounded size, whatever the number of members.
+        member = members.select(F.col(members.columns[0]).alias("m"))
+        dealt = member.repartition(SEGMENTS, F.shiftrightunsigned("m", 58))
+        self.files = sorted(r["file"] for r in dealt.mapInArrow(write, "file string").collect())
 
-def _holds(values: np.ndarray, files: list[str], bits: int) -> np.ndarray:
-    """Whether a filter holds each anchor."""
-    bitmap, out = _load(files, bits), np.ones(len(values), bool)
-    for bit in _places(values, bits):
-        out &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-    return out
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        bitmap, out = _load(tuple(self.files), self.bits), np.ones(len(values), bool)
+        for bit in _places(values, self.bits):
+            out &= ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+        return out
 
 
-def _load(files: list[str], bits: int) -> np.ndarray:
-    key = (bits, *files)
-    if key not in _BITMAPS:
-        while len(_BITMAPS) > 1:
-            _BITMAPS.pop(next(iter(_BITMAPS)))
+def _load(files: tuple[str, ...], bits: int) -> np.ndarray:
+    def make() -> np.ndarray:
         size = (1 << bits) // SEGMENTS // 8
         whole = np.zeros((1 << bits) // 8, np.uint8)
         for name in files:
             segment = int(name.rpartition("/")[2][:3])
-            whole[segment * size : (segment + 1) * size] = np.frombuffer(shared.read_bytes(name), np.uint8)
-        _BITMAPS[key] = whole
-    return _BITMAPS[key]
+            whole[segment * size : (segment + 1) * size] |= np.frombuffer(shared.read_bytes(name), np.uint8)
+        return whole
 
+    return shared.kept(("filter", bits, files), make, most=3)
 
-#: A run of ``n`` consecutive windows of one anchor in one document: the place of the first (with the number of the row's copy
-#: in the upper half) and the hashes of all, or one hash of a stretch that never differs.  Runs without hashes are known to
-#: repeat already.
-SEEN = "anchor long, doc_id long, place long, n int, h1 array<long>, h2 array<int>"
 
-
-def _runs(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row per run of single windows, and per stretch; the input is in the order of (doc, place)."""
-    single = n == 1
-    new = np.flatnonzero(np.concatenate([[True], ~single[1:] | ~single[:-1] | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (anchor[1:] != anchor[:-1])]))
-    at = np.append(new, len(doc)).astype(np.int32)
-    hashes = [pa.nulls(len(new), pa.list_(pa.int64())), pa.nulls(len(new), pa.list_(pa.int32()))]
-    if h1 is not None:
-        hashes = [pa.ListArray.from_arrays(pa.array(at), pa.array(h)) for h in (h1.view(np.int64), h2)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor[new].view(np.int64)), pa.array(doc[new]), pa.array(place[new]), pa.array(np.add.reduceat(n, new).astype(np.int32)), *hashes],
-        names=["anchor", "doc_id", "place", "n", "h1", "h2"],
-    )
+#: A fingerprint: two hashes of ``n`` consecutive windows of a document and the place of the first (with the number of the
+#: row's copy in the upper half).  ``known`` ones are lost to an earlier document of their task and need no comparison.
+PRINT = "h1 long, h2 long, doc_id long, place long, n int, known boolean"
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Windows of a task: those of each distinct one's first document, and runs that later documents of this task lose."""
-    anchor, h1, h2, doc, place, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Fingerprints of a task: those of each distinct one's first document, and runs that its later documents lose."""
+    h1, h2, doc, place, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, h2, h1))
     new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
     own = np.empty(len(order), bool)
     own[order] = doc[order] == doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    names = [x.split()[0] for x in PRINT.split(", ")]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(h1[own].view(np.int64)), pa.array(h2[own]), pa.array(doc[own]), pa.array(place[own]), pa.array(n[own].astype(np.int32)), pa.array(np.zeros(own.sum(), bool))],
+        names=names,
+    )
+    if own.all():
+        return
+    doc, place, n = doc[~own], place[~own], n[~own]
     order = np.lexsort((place, doc))
-    anchor, h1, h2, doc, place, n, own = (x[order] for x in (anchor, h1, h2, doc, place, n, own))
-    yield _runs(anchor[own], doc[own], place[own], n[own], h1[own], h2[own])
-    if not own.all():
-        lost = ~own
-        yield _runs(tx.mix(doc[lost].view(np.uint64)), doc[lost], place[lost], n[lost])
+    doc, place, n = doc[order], place[order], n[order]
+    # Windows that follow one another become one run.
+    far = np.maximum.accumulate(place + n + (np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 48))
+    near = place + (np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 48)
+    new = np.flatnonzero(np.concatenate([[True], near[1:] > far[:-1]]))
+    size = far[np.append(new[1:], len(far)) - 1] - near[new]
+    nothing = pa.nulls(len(new), pa.int64())
+    # Their first hash only spreads them over the tasks.
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(tx.mix(doc[new].view(np.uint64)).view(np.int64)), nothing, pa.array(doc[new]), pa.array(place[new]), pa.array(size.astype(np.int32)), pa.array(np.ones(len(new), bool))],
+        names=names,
+    )
+
 
+def _prints(docs: DataFrame, repeated: Filter, mixed: Filter, window: int, anchor: int, only: Filter | None = None) -> DataFrame:
+    """Fingerprints of ``docs`` (doc_id, copy, text) whose anchors are in ``repeated``; ``only`` is of documents."""
 
-def _seen(docs: DataFrame, filters: list[tuple[list[str], int]], window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with shared.working():
+            yield from judge(batches)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
+            if only is not None:
+                hashes = [xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), 42) for x in batch.column(0).to_pylist()]
+                batch = batch.filter(pa.array(only.holds(np.array(hashes, np.uint64))))
             ids, copies = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in tx.passes(batch.column(2)):
-                hashes, row, place, start, least = _windows(batch.column(2).slice(lo, hi - lo), window, anchor)
-                known = _holds(least, *filters[0])
-                start, least = start[known], least[known]
-                if not len(start):
+                w = _Windows(batch.column(2).slice(lo, hi - lo), window, anchor)
+                own = repeated.holds(w.anchor[w.new]) if len(w.new) else np.zeros(0, bool)
+                if not own.any():
                     continue
-                mixed = _holds(least, *filters[1])
-                found = []
-                if mixed.any():
-                    at = start[mixed]
-                    found.append((at, least[mixed], np.ones(len(at), np.int64), *(tx.window_hashes(hashes, window, b)[at] for b in (_B1, _B2))))
-                if not mixed.all():
-                    at, value = start[~mixed], least[~mixed]
-                    new, size, h1 = _stretches(hashes, row, at, value, window, _B1)
-                    found.append((at[new], value[new], size, h1, _stretches(hashes, row, at, value, window, _B2)[2]))
-                for at, value, size, h1, h2 in found:
-                    of = lo + row[at]
-                    parts.append((value, h1, h2.astype(np.uint32).view(np.int32), ids[of].astype(np.int64), (copies[of].astype(np.int64) << 32) + place[at], size))
+                new, size = w.new[own], w.size[own]
+                found = [(w.start[new], size, w.stretch[own])]
+                # Single windows stand beside their stretch, so what another batch held for one stretch is still met.
+                apart = mixed.holds(w.anchor[new])
+                if apart.any():
+                    new, size = new[apart], size[apart]
+                    at = np.repeat(new, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    found.append((w.start[at], np.ones(len(at), np.int64), w.hashes[w.start[at]]))
+                for at, n, h1 in found:
+                    of = lo + w.row[at]
+                    place = (copies[of].astype(np.int64) << 32) + w.place[at]
+                    parts.append((h1, w.digests(at, n), ids[of].astype(np.int64), place, n))
                     held += len(at)
                 if held >= HELD:
                     yield from _combined(parts)
@@ -215,126 +236,199 @@ def _seen(docs: DataFrame, filters: list[tuple[list[str], int]], window: int, an
         if parts:
             yield from _combined(parts)
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(run, SEEN)
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, PRINT)
 
 
 class FingerprintIndex:
-    """Runs of window hashes in the shared folder; documents must come in batches of ascending doc_ids."""
+    """The index in ``folder``: a new one, or the one that is there already.
 
-    def __init__(self, spark: SparkSession, *, fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.paths: dict[str, str] = {}
+    ``window``, ``anchor`` and the number of buckets are those it was begun with.  Documents come in batches whose doc_ids
+    are larger than all before.
+    """
+
+    COLUMNS = {"anchor": ("anchor", "least", "most", "low", "high"), "window": ("h1", "h2", "doc_id")}
 
-    def _write(self, rows: DataFrame, name: str) -> str:
-        """A run: rows already dealt by anchor, as a bucketed and sorted table whose files lie in the shared folder."""
-        path = shared.scratch(self.spark, name)
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, window: int = WINDOW, anchor: int = ANCHOR, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.folder = folder or shared.scratch(spark, "fingerprints")
+        self.names: dict[str, str] = {}
+        held = self._manifest()
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.state = held or {"number": 0, "window": window, "anchor": anchor, "buckets": buckets, "last": None, "anchors": [], "windows": []}
+        self.window, self.anchor, self.buckets = self.state["window"], self.state["anchor"], self.state["buckets"]
+
+    def _manifest(self) -> dict | None:
+        files, path = shared.filesystem(f"{self.folder}/manifest")
+        found = files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        names = sorted(x.base_name for x in found if x.base_name.endswith(".json"))
+        return json.loads(shared.read_bytes(f"{self.folder}/manifest/{names[-1]}")) if names else None
+
+    def _commit(self, **changes: object) -> None:
+        """A new manifest; the state before it stays readable until then."""
+        self.state = self.state | changes | {"number": self.state["number"] + 1}
+        shared.write_bytes(f"{self.folder}/manifest/{self.state['number']:08d}.json", json.dumps(self.state).encode())
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        """A run: a bucketed and sorted table whose files lie in the index's folder.  Rows come dealt by its key."""
+        path, key = f"{self.folder}/{kind}-{uuid.uuid4().hex}", self.COLUMNS[kind][0]
         table = "ticklattice_" + uuid.uuid4().hex
-        # Rows dealt by anchor alone meet on (anchor, hash) where they are.
-        option = "spark.sql.requireAllClusterKeysForCoPartition"
-        before = self.spark.conf.get(option)
-        self.spark.conf.set(option, "false")
-        try:
-            rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "h1").option("path", path).format("parquet").saveAsTable(table)
-        finally:
-            self.spark.conf.set(option, before)
-        self.paths[table] = path
-        return table
-
-    def add(self, seen: DataFrame) -> DataFrame:
-        """Judge a batch (rows as ``SEEN``) and index it; returns (doc_id, place, n): runs of its repeated windows.
-
-        Windows are dealt by their anchors, so that a run of them is one row in the shuffle; equal windows have equal ones.
-        """
-        if len(self.runs) >= self.fan_in:
-            self.compact()
-        dealt = seen.repartition(self.buckets, "anchor").select(
-            "anchor", "doc_id", "place", "n", (F.size("h1") == F.col("n")).alias("single"), F.posexplode_outer(F.arrays_zip("h1", "h2")).alias("k", "h")
-        ).select(
-            "anchor", "doc_id", (F.col("place") + F.coalesce("k", F.lit(0))).alias("place"), F.when(F.col("single"), 1).otherwise(F.col("n")).alias("n"),
-            F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"),
-        )
-        history = F.lit(None).cast("long")
-        for k, run in enumerate(self.runs):
-            old = self.spark.table(run).filter("is_new").select(*[F.col(c).alias(f"{c}_{k}") for c in ("anchor", "h1", "h2", "doc_id")])
-            # The merge joins on the first hash; the second one verifies.
-            same = (F.col("anchor") == F.col(f"anchor_{k}")) & (F.col("h1") == F.col(f"h1_{k}")) & (F.col("h2").bitwiseXOR(F.col(f"h2_{k}")) == 0)
-            dealt = dealt.join(old, same, "left")
-            history = F.least(history, F.col(f"doc_id_{k}"))
-        order = Window.partitionBy("anchor", "h1", "h2").orderBy("doc_id", "place")
-        known = F.col("h1").isNull()
-        judged = dealt.select(
-            "anchor", "doc_id", "place", "n", "h1", "h2",
-            (known | (F.col("doc_id") > F.least(history, F.first("doc_id").over(order)))).alias("lost"),
-            (~known & history.isNull() & (F.row_number().over(order) == 1)).alias("is_new"),
-        ).filter("lost or is_new")
-        new = F.col("is_new")
-        run = self._write(
-            judged.select(
-                "anchor", F.when(new, F.col("h1")).alias("h1"), F.when(new, F.col("h2")).alias("h2"), "doc_id",
-                F.when(~new, F.col("place")).alias("place"), F.when(~new, F.col("n")).alias("n"), "is_new",
-            ), "run",
-        )
-        self.runs.append(run)
-        # Read by path: the result stands when the table's name is dropped.
-        return self.spark.read.schema(self.spark.table(run).schema).parquet(self.paths[run]).filter("not is_new").select("doc_id", "place", "n")
-
-    def compact(self) -> None:
-        """Merge the runs into one, two at a time: sorted buckets meet without a shuffle."""
-        while len(self.runs) > 1:
-            names = ("anchor", "h1", "h2", "doc_id")
-            a, b = (
-                self.spark.table(run).filter("is_new").select(*[F.col(c).alias(f"{side}_{c}") for c in names])
-                for side, run in zip("ab", self.runs[:2], strict=True)
-            )
-            same = (F.col("a_anchor") == F.col("b_anchor")) & (F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2").bitwiseXOR(F.col("b_h2")) == 0)
-            both = a.join(b, same, "full")
-            rows = both.select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in names[:3]], F.least("a_doc_id", "b_doc_id").alias("doc_id"), F.lit(True).alias("is_new"))
-            self.runs = [self._write(rows, "compacted"), *self.runs[2:]]
+        out = rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).format("parquet")
+        (out.partitionBy("is_new") if "is_new" in rows.columns else out).saveAsTable(table)
+        self.spark.sql(f"drop table {table}")  # the files stay
+        return path
+
+    def _run(self, path: str, kind: str) -> DataFrame:
+        """A run as a bucketed table; one that this session doesn't know yet gets a name."""
+        if path not in self.names:
+            self.names[path] = table = "ticklattice_" + uuid.uuid4().hex
+            columns, key = ", ".join(f"{c} bigint" for c in self.COLUMNS[kind]), self.COLUMNS[kind][0]
+            self.spark.sql(f"create table {table} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{path}'")
+        return self.spark.table(self.names[path])
 
     def forget_names(self) -> None:
-        """Drop the tables' names; their files stay for the reads that are planned on them."""
-        for table in self.paths:
+        """Drop the tables' names; the files stay, also for reads that are planned on them."""
+        for table in self.names.values():
             self.spark.sql(f"drop table if exists {table}")
+        self.names = {}
 
+    def _hot(self, own: DataFrame) -> tuple[DataFrame, str]:
+        """Writes the batch's anchors as a run; returns those that repeat, within the batch or with what came before.
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """A column that tells rows of equal doc_id apart: 0 where there are none."""
+        fetch: the old document whose windows of the anchor are not in the index, but are needed now.
+        """
+        run = self._write(own, "anchor")
+        state = self._run(run, "anchor")
+        before = None
+        for k, old in enumerate(self.state["anchors"]):
+            old = self._run(old, "anchor").select(F.col("anchor").alias(f"a{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("least", "most", "low", "high")])
+            state = state.join(old, F.col("anchor") == F.col(f"a{k}"), "left")
+            one = {c: F.col(f"{c}{k}") for c in ("least", "most", "low", "high")}
+            before = one if before is None else {c: (F.least if c in ("least", "low") else F.greatest)(before[c], one[c]) for c in one}
+        own = {c: F.col(c) for c in ("least", "most", "low", "high")}
+        if before is None:
+            least, most, low, high, fetch = own["least"], own["most"], own["low"], own["high"], F.lit(None).cast("long")
+        else:
+            least, most = F.least(own["least"], before["least"]), F.greatest(own["most"], before["most"])
+            low, high = F.least(own["low"], before["low"]), F.greatest(own["high"], before["high"])
+            was_hot, was_mixed = before["least"] < before["most"], before["low"] < before["high"]
+            fetch = F.when(~was_hot | (~was_mixed & (low < high)), before["least"])
+        hot = state.filter(least < most).select("anchor", (low < high).alias("mixed"), fetch.alias("fetch"))
+        return shared.written(hot, "hot"), run
+
+    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Judge a batch (doc_id, copy, text; no null doc_id) and index it; returns (doc_id, place, n): runs of repeated windows.
+
+        ``history`` gives the texts of the documents added before, in the same columns.  Of those, only documents that hold
+        an anchor which now repeats for the first time are hashed again.  A run is ``n`` windows from a place (the number of
+        the first word; the copy number in the upper half).  An empty batch adds nothing; raises ValueError on doc_ids that
+        aren't larger than all before.
+        """
+        for kind in ("anchor", "window"):
+            if len(self.state[f"{kind}s"]) >= self.fan_in:
+                self._compact(kind)
+        hot, anchors = self._hot(_anchors(batch, self.window, self.anchor))
+        ids = self._run(anchors, "anchor").agg(F.min("least").alias("least"), F.max("most").alias("most")).first()
+        last = self.state["last"]
+        if ids["least"] is not None and last is not None and ids["least"] <= last:
+            raise ValueError(f"document {ids['least']} comes after document {last}")
+        repeated, mixed = Filter(hot.select("anchor")), Filter(hot.filter("mixed").select("anchor"))
+        prints = _prints(batch, repeated, mixed, self.window, self.anchor)
+        fetch = hot.filter("fetch is not null")
+        if self.state["anchors"] and fetch.limit(1).count():
+            if history is None:
+                raise ValueError("windows of earlier documents repeat for the first time; their texts are needed")
+            owners = Filter(fetch.select(F.xxhash64("fetch")))
+            prints = prints.union(_prints(history, Filter(fetch.select("anchor")), mixed, self.window, self.anchor, owners))
+        dealt = prints.repartition(self.buckets, "h1")
+        before = F.lit(None).cast("long")
+        for k, run in enumerate(self.state["windows"]):
+            old = self._run(run, "window").select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "doc_id")])
+            # The merge joins on the first hash; the digest verifies.
+            same = (F.col("h1") == F.col(f"h1_{k}")) & (F.col("h2").bitwiseXOR(F.col(f"h2_{k}")) == 0)
+            dealt = dealt.join(old, same, "left")
+            before = F.least(before, F.col(f"doc_id_{k}"))  # nulls count for nothing
+        order = Window.partitionBy("h1", "h2").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = F.least(before, F.first("doc_id").over(order))
+        known, number = F.col("known"), F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "place"))
+        ours = F.lit(True) if last is None else F.col("doc_id") > last
+        judged = dealt.select("h1", "h2", "doc_id", "place", "n", (ours & (known | (F.col("doc_id") > first))).alias("lost"),
+                              (~known & before.isNull() & (number == 1)).alias("is_new")).filter("lost or is_new")
+        new = F.col("is_new")
+        rows = judged.select(F.when(new, F.col("h1")).alias("h1"), F.when(new, F.col("h2")).alias("h2"), "doc_id",
+                             F.when(~new, F.col("place")).alias("place"), F.when(~new, F.col("n")).alias("n"), "is_new")
+        run = self._write(rows, "window")
+        self._commit(
+            anchors=[*self.state["anchors"], anchors], windows=[*self.state["windows"], f"{run}/is_new=true"],
+            last=last if ids["most"] is None else ids["most"],
+        )
+        self._mkdir(f"{run}/is_new=true")
+        self._mkdir(f"{run}/is_new=false")
+        return self.spark.read.schema("doc_id long, place long, n int").parquet(f"{run}/is_new=false")
+
+    @staticmethod
+    def _mkdir(uri: str) -> None:
+        files, path = shared.filesystem(uri)
+        files.create_dir(path, recursive=True)
+
+    def _compact(self, kind: str) -> None:
+        """Merge the runs of a kind into one, two at a time (sorted buckets meet without a shuffle), and delete them."""
+        names = self.COLUMNS[kind]
+        while len(self.state[f"{kind}s"]) > 1:
+            runs = self.state[f"{kind}s"]
+            a, b = (self._run(run, kind).select(*[F.col(c).alias(f"{side}_{c}") for c in names]) for side, run in zip("ab", runs[:2], strict=True))
+            same = F.col(f"a_{names[0]}") == F.col(f"b_{names[0]}")
+            if kind == "window":
+                same &= F.col("a_h2").bitwiseXOR(F.col("b_h2")) == 0
+                ends = {"h1": F.coalesce, "h2": F.coalesce, "doc_id": F.least}
+            else:
+                ends = {"anchor": F.coalesce, "least": F.least, "low": F.least, "most": F.greatest, "high": F.greatest}
+            both = a.join(b, same, "full").select(*[f(f"a_{c}", f"b_{c}").alias(c) for c, f in ends.items()])
+            merged = self._write(both.select(*names), kind)
+            self._commit(**{f"{kind}s": [merged, *runs[2:]]})
+            for old in runs[:2]:
+                shared.remove(self.spark, old)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, text): the copy number tells rows of equal doc_id apart; it is 0 where there are none."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     if not repeated:
-        return docs.withColumn("copy", F.lit(0))
+        return docs.select("doc_id", F.lit(0).alias("copy"), "text")
     order = Window.partitionBy("doc_id", F.expr("if(doc_id is null, xxhash64(text), 0)")).orderBy(F.xxhash64("text"))
-    numbered = docs.withColumn("copy", F.row_number().over(order) - 1)
-    return shared.written(numbered, "numbered")
+    return shared.written(docs.select("doc_id", (F.row_number().over(order) - 1).alias("copy"), "text"), "numbered")
 
 
 def deduplicate(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES,
                 fan_in: int = FAN_IN, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text), added to an index in ``batches``.
 
     Words are runs of characters other than ASCII white space.  A word is removed if a window of ``window`` words covers it
     whose words also start in a row with a smaller doc_id.  Rows with a null doc_id lose nothing and cost others nothing;
-    rows with equal doc_id don't count against each other; null texts have no words.  kept_sha256 is of the kept words
-    joined by one space; ``with_text`` adds them as kept_text.
+    rows with equal doc_id don't count against each other; null texts have no words, and those of fewer words than a window
+    (empty ones too) lose nothing; long texts are taken whole.  kept_sha256 is of the kept words joined by one space;
+    ``with_text`` adds them as kept_text.  An empty table gives an empty one; further columns of ``docs`` are left out.
     """
-    spark = docs.sparkSession
-    rows = _copies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    filters = _filters(rows.filter(F.col("doc_id").isNotNull()), window, anchor)
-    index, lost = FingerprintIndex(spark, fan_in=fan_in), []
+    rows = numbered(docs)
+    index, lost = FingerprintIndex(docs.sparkSession, window=window, anchor=anchor, fan_in=fan_in), []
     edges = rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(x) for x in edges})
+    known = rows.filter(F.col("doc_id").isNotNull())
     for low, high in zip([None, *edges], [*edges, None], strict=True):
-        part = rows.filter(F.col("doc_id").isNotNull())
-        part = part if low is None else part.filter(F.col("doc_id") > low)
+        part = known if low is None else known.filter(F.col("doc_id") > low)
         part = part if high is None else part.filter(F.col("doc_id") <= high)
-        lost.append(index.add(_seen(part, filters, window, anchor)))
+        lost.append(index.add(part, None if low is None else known.filter(F.col("doc_id") <= low)))
     repeated = lost[0]
     for more in lost[1:]:
         repeated = repeated.union(more)
+    index.forget_names()
+    return cut(rows, repeated, window=window, with_text=with_text)
+
+
+def cut(rows: DataFrame, repeated: DataFrame, *, window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """``rows`` (doc_id, copy, text; see ``numbered``) without the words of ``repeated`` windows, as ``deduplicate`` returns them."""
     run = F.shiftleft(F.col("place").bitwiseAND(0xFFFFFFFF), 32) + F.col("n")
     starts = repeated.groupBy(F.col("doc_id").alias("of_id"), F.shiftright("place", 32).cast("int").alias("of_copy")).agg(F.collect_list(run).alias("runs"))
-    index.forget_names()
     joined = rows.join(starts, (rows.doc_id == starts.of_id) & (rows.copy == starts.of_copy), "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 

@@ -1,16 +1,16 @@
 """Words and rolling hashes of whole Arrow batches, computed on UTF-8 bytes with numpy.
 
-All separators are ASCII, so splitting bytes splits characters.  Hashes are polynomials modulo 2**64 over an odd base,
-whose powers can be inverted: a prefix sum then gives the hash of any span.
+All separators are ASCII, so splitting bytes splits characters.  Words and windows are hashed through a scrambling of
+64-bit values that is one-to-one and not linear, so no arrangement of equal parts cancels out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
@@ -51,19 +51,6 @@ def passes(array: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-@lru_cache(maxsize=8)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64, at least ``n`` of each."""
-    size = 1 << max(16, (n - 1).bit_length())
-    return _powers(size, base)[:n], _powers(size, pow(base, -1, 1 << 64))[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,9 +58,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
 def word_spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and row of each maximal run of bytes that are not separators; no word crosses a row."""
     inside = np.empty(len(raw) + 2, bool)
@@ -89,23 +73,48 @@ def word_spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[
     return first, end, np.searchsorted(at, first, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(len(raw) + 1, _BASE)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first])
-
-
-def window_hashes(hashes: np.ndarray, length: int, base: int) -> np.ndarray:
-    """A hash of each ``length`` consecutive values, by its first position."""
-    n = len(hashes)
-    if n < length:
+#: Words of more bytes than this are hashed one by one with XXH64.
+LONG_WORD = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; hashes of different seeds are independent.
+
+    Eight bytes at a time go through a one-to-one scrambling, so words of one length up to 8 never collide.
+    """
+    size = end - first
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    # The length opens the chain; then eight bytes at a time, for fewer and fewer words.
+    out = mix((eight[first] & _MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(_BASE)) + np.uint64((seed * _BASE) % (1 << 64)))
+    at, own = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(own):
+        out[own] = mix((out[own] + np.uint64(_BASE)) ^ (eight[first[own] + at] & _MASK[np.minimum(size[own] - at, 8)]))
+        at += 8
+        own = own[size[own] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[first[k] : end[k]].tobytes(), seed)
+    return out
+
+
+def window_hashes(hashes: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A hash of each ``length`` consecutive values, by its first position: a tree of scrambled pairs over powers of two."""
+    n = len(hashes) - length + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(n + 1, base)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mix((sums[length:] - sums[:-length]) * down[: n - length + 1])
+    odd = np.uint64(seed | 1)
+    level, width, at, out = mix(hashes ^ np.uint64(seed)), 1, 0, None
+    while True:
+        if length & width:
+            part = level[at : at + n]
+            out = part if out is None else mix(out * odd + part)
+            at += width
+        if 2 * width > length:
+            return mix(out + np.uint64(length))
+        level = mix(level[:-width] * odd + level[width:])
+        width *= 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
