@@ -426,6 +426,24 @@ def test_token_files_round_trip(docs, rows, empty, tmp_path):
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, BYTES, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_chunks_of_odd_texts_equal_the_libraries():
+    """Remembered chunks against whole texts: white space of all kinds, marks, added tokens, chunks over the longest."""
+    import pyarrow as pa
+
+    rng = random.Random(0)
+    parts = [" ", "  ", "\n", "\t", "a", "ab", "é", "▁", " ▁ ", "▁▁", "\u3000", "\u00a0", "\u2003", "\x1c", "\u0085", "'s", "<s>", "<|endoftext|>", "12", "日本", "!", " x", "🎉", "—"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["x" * 200 + " " + "y z " * 50 + "q", "x" * 200]
+    column = pa.array([*texts, None])
+    pieces, tokens = piece.Codec(PIECES), tokenfile.ByteEncoder(BYTES)
+    for encoder, want in ((pieces, sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(texts)), (tokens, [e.ids for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)])):
+        for _ in range(2):  # learned, then remembered
+            ids, at = encoder.encode(column)
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [*want, []]
+        encoder.memory.most = 10  # begins anew
+        ids, at = encoder.encode(column)
+        assert ids.tolist() == [k for x in want for k in x]
+
+
 def test_planes():
     for ids in ([], [0], [0, 0], [2**32 - 1, 7], list(range(1000))):
         for bits in (False, True):

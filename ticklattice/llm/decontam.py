@@ -129,17 +129,21 @@ class FMIndex:
 
 
 class Block:
-    """Windows of a block of benchmark items: distinct rows of word codes, by length, and the items of each."""
+    """Windows of a block of benchmark items: distinct rows of word codes, by length, and the items of each.
+
+    A word is known by two independent hashes of its bytes (``hashes`` has two rows), 128 bits in all.
+    """
 
     def __init__(self, ids: list, hashes: list[np.ndarray], window: int):
-        words = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        self.words = words  # the code of words[k] is k + 1
+        both = np.concatenate(hashes, axis=1) if hashes else np.zeros((2, 0), np.uint64)
+        words, at = np.unique(both[0], return_index=True)
+        self.words, self.checks = words, both[1][at]  # the code of words[k] is k + 1
         self.sets: list[tuple[np.ndarray, list[list]]] = []
         by_length: dict[int, list[tuple[np.ndarray, object]]] = {}
         for item, h in zip(ids, hashes, strict=True):
-            if not len(h):
+            if not h.shape[1]:
                 continue
-            code = np.searchsorted(words, h) + 1
+            code = np.searchsorted(words, h[0]) + 1
             width = min(window, len(code))
             rows = np.lib.stride_tricks.sliding_window_view(code, width)
             by_length.setdefault(width, []).append((rows, item))
@@ -156,17 +160,18 @@ class Block:
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """Codes of words, 0 for those that no window holds."""
         if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.words, hashes)
+            return np.zeros(hashes.shape[1], np.int64)
+        at = np.searchsorted(self.words, hashes[0])
         at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at + 1, 0)
+        return np.where((self.words[at] == hashes[0]) & (self.checks[at] == hashes[1]), at + 1, 0)
 
 
 def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of each word, its row, first byte and end."""
     raw, at = tx.utf8(array)
     raw = tx.LOWER[raw]
     first, end, row = tx.word_spans(raw, at, tx.NOT_ALNUM)
-    return tx.word_hashes(raw, first, end), row, first, end
+    return np.stack([tx.word_hashes(raw, first, end, seed) for seed in (0, 1)]), row, first, end
 
 
 def write_blocks(benchmark: DataFrame, *, block_words: int = BLOCK_WORDS) -> list[str]:
@@ -187,7 +192,7 @@ def write_blocks(benchmark: DataFrame, *, block_words: int = BLOCK_WORDS) -> lis
             sizes.append(size)
         if ids:
             out = io.BytesIO()
-            np.savez(out, hashes=np.concatenate(hashes), sizes=np.concatenate(sizes), known=np.array([i is not None for i in ids]),
+            np.savez(out, hashes=np.concatenate(hashes, axis=1), sizes=np.concatenate(sizes), known=np.array([i is not None for i in ids]),
                      ids=np.array(["" if i is None else str(i) for i in ids]))
             name = f"{folder}/{uuid.uuid4().hex}.npz"
             shared.write_bytes(name, out.getvalue())
@@ -197,19 +202,15 @@ def write_blocks(benchmark: DataFrame, *, block_words: int = BLOCK_WORDS) -> lis
     return sorted(r["file"] for r in dealt.mapInArrow(write, "file string").collect())
 
 
-_BLOCKS: dict[tuple, Block] = {}
-
-
 def _block(file: str, window: int) -> Block:
-    if (file, window) not in _BLOCKS:
-        while len(_BLOCKS) > 1:
-            _BLOCKS.pop(next(iter(_BLOCKS)))
+    def make() -> Block:
         held = np.load(io.BytesIO(shared.read_bytes(file)))
         at = np.concatenate([[0], np.cumsum(held["sizes"])])
-        hashes = [held["hashes"][at[k] : at[k + 1]] for k in range(len(at) - 1)]
+        hashes = [held["hashes"][:, at[k] : at[k + 1]] for k in range(len(at) - 1)]
         ids = [i if k else None for i, k in zip(held["ids"].tolist(), held["known"].tolist(), strict=True)]
-        _BLOCKS[file, window] = Block(ids, hashes, window)
-    return _BLOCKS[file, window]
+        return Block(ids, hashes, window)
+
+    return shared.kept(("benchmark", file, window), make, most=2)
 
 
 def _hits(hashes: np.ndarray, row: np.ndarray, block: Block, hit: np.ndarray, items: dict[int, set]) -> None:
@@ -271,22 +272,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*carried, "n_words", "n_hit", "items", "contaminated", *["kept_text"] * with_text]
-        for batch in batches:
-            whole = tx.column(batch, "text")
-            for lo, hi in tx.passes(whole):
-                column = whole.slice(lo, hi - lo)
-                hashes, row, first, end = _words(column)
-                hit, items = np.zeros(len(hashes), bool), {}
-                for file in blocks:
-                    _hits(hashes, row, _block(file, window), hit, items)
-                n_words = np.bincount(row, minlength=hi - lo)
-                n_hit = np.bincount(row[hit], minlength=hi - lo)
-                listed = [sorted(x for x in items.get(k, ()) if x is not None) for k in range(hi - lo)]
-                cols = [tx.column(batch, c).slice(lo, hi - lo) for c in carried]
-                cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(n_hit > 0)]
-                if with_text:
-                    cols.append(_kept(column, row, first, end, hit))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        with shared.working():
+            for batch in batches:
+                whole = tx.column(batch, "text")
+                for lo, hi in tx.passes(whole):
+                    column = whole.slice(lo, hi - lo)
+                    hashes, row, first, end = _words(column)
+                    hit, items = np.zeros(hashes.shape[1], bool), {}
+                    for file in blocks:
+                        _hits(hashes, row, _block(file, window), hit, items)
+                    n_words = np.bincount(row, minlength=hi - lo)
+                    n_hit = np.bincount(row[hit], minlength=hi - lo)
+                    listed = [sorted(x for x in items.get(k, ()) if x is not None) for k in range(hi - lo)]
+                    cols = [tx.column(batch, c).slice(lo, hi - lo) for c in carried]
+                    cols += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(n_hit > 0)]
+                    if with_text:
+                        cols.append(_kept(column, row, first, end, hit))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return source.mapInArrow(run, schema)
 

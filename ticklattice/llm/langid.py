@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as tx
 
 #: Training text: at most this many bytes of all languages together, and of one language (a bounded labelled sample).
@@ -32,7 +34,7 @@ MOST_LANGUAGES = 1000
 BLOCK = 512
 
 SCHEMA = "doc_id long, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes as parsed: ASCII letters keep their (lower) case, other ASCII is one separator, bytes from 0x80 stay.
 _FOLD = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -158,9 +160,6 @@ class Model:
         return out
 
 
-_MODELS: dict = {}
-
-
 def identify(docs: DataFrame, training: list[tuple[str, bytes]], *, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with lang_pred and score, one row per row; ``keep`` names further columns to carry.
 
@@ -178,29 +177,27 @@ def identify(docs: DataFrame, training: list[tuple[str, bytes]], *, keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         training = given.value
         key = tuple((lang, hash(data)) for lang, data in training)
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(training) if training else None
-        model = _MODELS[key]
+        model = shared.kept(("languages", key), lambda: Model(training)) if training else None
         names = [f.name for f in kept] + ["lang_pred", "score"]
-        for batch in batches:
-            column = tx.column(batch, "text")
-            pred, score = [], []
-            for lo, hi in tx.passes(column):
-                texts = column.slice(lo, hi - lo).to_pylist()
-                ok = [t is not None and bool(_LETTER.search(t)) and model is not None for t in texts]
-                if not any(ok):
-                    pred += ["und"] * len(texts)
-                    score += [0.0] * len(texts)
-                    continue
-                cost = model.phrases([_fold(t) if o else b"" for t, o in zip(texts, ok, strict=True)]) * model.weight[:, None]
-                best = cost.argmin(axis=0)
-                inverse = 1 / np.maximum(cost, 1e-9)
-                share = inverse[best, np.arange(len(texts))] / inverse.sum(axis=0)
-                pred += [model.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)]
-                score += [float(x) if o else 0.0 for x, o in zip(share, ok, strict=True)]
-            columns = [tx.column(batch, f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
+        with shared.working():
+            for batch in batches:
+                column = tx.column(batch, "text")
+                pred, score = [], []
+                for lo, hi in tx.passes(column):
+                    texts = column.slice(lo, hi - lo).to_pylist()
+                    ok = [t is not None and bool(_LETTER.search(t)) and model is not None for t in texts]
+                    if not any(ok):
+                        pred += ["und"] * len(texts)
+                        score += [0.0] * len(texts)
+                        continue
+                    cost = model.phrases([_fold(t) if o else b"" for t, o in zip(texts, ok, strict=True)]) * model.weight[:, None]
+                    best = cost.argmin(axis=0)
+                    inverse = 1 / np.maximum(cost, 1e-9)
+                    share = inverse[best, np.arange(len(texts))] / inverse.sum(axis=0)
+                    pred += [model.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)]
+                    score += [float(x) if o else 0.0 for x, o in zip(share, ok, strict=True)]
+                columns = [tx.column(batch, f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return source.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 Each chunk of text keeps an agenda of its adjacent symbol pairs, ordered by the score of the piece they would form (the
 leftmost first among equals); the best pair merges, its new neighbours join the agenda, and stale entries are skipped.
+Long chunks have a heap for an agenda (``merge``); short ones, nearly all, go many at once, each with a row of a matrix for
+its agenda, from which every round takes the best (``merge_many``).
 Pieces of such vocabularies hold the space mark only at their start, so a text falls into chunks (a run of space marks and
 what follows it) that never merge with one another.  Chunks repeat, so each task keeps the ids of recent ones; every new
 chunk of an Arrow batch is checked against the sentencepiece library before its ids are used.
@@ -12,22 +14,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from . import shared
 from . import text as tx
+from .chunkmemory import LONGEST, ChunkMemory
 
 MARK = "▁"
-#: Chunks remembered in a worker's two generations, together about this many.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, about; then it begins anew.
+REMEMBERED = 1_000_000
 #: Place in the order of scores of a pair that forms no piece.
 NONE = np.int32(2**31 - 1)
-#: Chunks longer than this are encoded each time and not remembered.
-LONGEST = 64
 
 
 class Codec:
@@ -49,9 +53,10 @@ class Codec:
         #: Chunks hold only where no piece has the mark after another character.
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.id)
         #: Texts are taken as they are where the model's normaliser changes nothing but the space mark.
-        self.plain = lib.encode(" a  b ", out_type=str) == lib.encode(" a  b ", out_type=str) and lib.decode(lib.encode("  ﬁ x  ")) == "  ﬁ x  "
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.plain = all(lib.decode(lib.encode(x)) == x for x in ("  ﬁ x  ", " a  b ", "a\tb\n", "Ⅷ e\u0301"))
+        self.memory = ChunkMemory(REMEMBERED)
+        digits = [f"{k},".encode() for k in range(lib.get_piece_size())]
+        self.numerals = np.array(digits).view(np.uint8).reshape(len(digits), -1)
         self._pairs()
 
     def _pairs(self) -> None:
@@ -207,67 +212,54 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """The text with its space marks, cut before each run of marks; equals the whole when joined."""
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        if not self.chunked:
-            return [marked]
-        words = marked.split(MARK)
-        if "" not in words[1:]:
-            return [MARK + w for w in words[1:]]
-        out, run = [], ""
-        for w in words[1:]:
-            run += MARK
-            if w:
-                out.append(run + w)
-                run = ""
-        if run:
-            out.append(run)
-        return out
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not seen lately: by the agenda, then checked against the library, all of them."""
-        fresh = list(chunks)
-        made = self.merge_many(fresh)
+    def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of chunks not seen lately: by the agenda, then checked against the library, all of them."""
+        texts = [c.decode() for c in chunks]
+        made = self.merge_many([t.replace(" ", MARK) for t in texts])
+        count = np.array([len(x) // 4 for x in made], np.int64)
+        ours = np.frombuffer(b"".join(made), np.int32)
         # The library adds one mark in front itself; a chunk always starts with one.
-        theirs = self.library.encode([c[1:].replace(MARK, " ") for c in fresh], num_threads=1)
-        at = np.zeros(len(fresh) + 1, np.int64)
-        np.cumsum([4 * len(x) for x in theirs], out=at[1:])
-        check, at = np.array([k for x in theirs for k in x], np.int32).tobytes(), at.tolist()
-        for k, ours in enumerate(made):
-            # The library has no ids for an empty text, so a single mark has nothing to be held against.
-            if ours != check[at[k] : at[k + 1]] and fresh[k] != MARK:
-                raise ValueError(f"the agenda and the library differ on {fresh[k]!r}")
-        return dict(zip(fresh, made, strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words, edge = [], [0]
-        for t in texts:
-            words += self.chunks(t)
-            edge.append(len(words))
-        found = list(map(self.new.get, words))
-        missing = {c for c, ids in zip(words, found, strict=True) if ids is None}
-        if missing:
-            made = {c: self.old[c] for c in missing if c in self.old}
-            made |= self.learn({c for c in missing if c not in made})
-            self.new.update((c, ids) for c, ids in made.items() if len(c) <= LONGEST)
-            found = [made[c] if ids is None else ids for c, ids in zip(words, found, strict=True)]
-        if len(self.new) > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-        return [np.frombuffer(b"".join(found[lo:hi]), np.int32) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
-
+        theirs = self.library.encode([t[1:] for t in texts], num_threads=1)
+        # It has no ids for an empty text, so a single mark has nothing to be held against.
+        check = np.array([len(x) for x in theirs], np.int64)
+        held = np.array([t != " " for t in texts])
+        same = np.array_equal(check[held], count[held])
+        if not same or not np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int32, int(check.sum())), ours[np.repeat(held, count)]):
+            raise ValueError("the agenda and the library differ on a chunk")
+        return ours, count
 
-_CODECS: dict[str, Codec] = {}
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column (null: none), one after another, and each row's place among them, the end included."""
+        if pc.any(pc.match_substring(column, MARK)).as_py():
+            column = pc.replace_substring(column, MARK, " ")  # the mark and a space are one symbol
+        raw, at = tx.utf8(column)
+        # The mark in front of every text that isn't empty.
+        full = at[1:] > at[:-1]
+        raw = np.insert(raw, at[:-1][full], 0x20)
+        at = at + np.concatenate([[0], np.cumsum(full)])
+        begins = np.zeros(len(raw), bool)
+        if self.chunked:
+            space = raw == 0x20
+            begins[1:] = space[1:] & ~space[:-1]
+        begins[at[:-1][full]] = True
+        first = np.flatnonzero(begins)
+        ids, count = self.memory.encode(raw, first, np.append(first[1:], len(raw))[: len(first)], self.learn)
+        total = np.concatenate([[0], np.cumsum(count)])
+        return ids, total[np.searchsorted(first, at)]
 
 
 def codec(model_file: str) -> Codec:
     """One codec per worker and file."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = Codec(model_file)
-    return _CODECS[model_file]
+    return shared.kept(("pieces", model_file), lambda: Codec(model_file))
+
+
+def decimal_sha256(ids: np.ndarray, at: np.ndarray, numerals: np.ndarray) -> list[str]:
+    """SHA-256 of each row's decimal ids joined by commas; ``numerals`` has each id's digits and a comma, then zeros."""
+    wide = numerals[ids]
+    used = wide != 0
+    data = wide[used].tobytes()
+    edge = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[at].tolist()
+    return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def encode(docs: DataFrame, model_file: str, *, keep: list[str] | None = None, with_ids: bool = True,
@@ -284,35 +276,28 @@ def encode(docs: DataFrame, model_file: str, *, keep: list[str] | None = None, w
     fields = [source.schema[c] for c in carried]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
-    numerals = None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        nonlocal numerals
-        c = codec(model_file if os.path.exists(model_file) else SparkFiles.get(os.path.basename(model_file)))
-        if not c.plain:
-            raise ValueError("this operator is for models whose normaliser leaves texts as they are")
-        numerals = [str(k) for k in range(c.library.get_piece_size())]
-        names = [*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
-        for batch in batches:
-            column = tx.column(batch, "text")
-            for lo, hi in tx.passes(column):
-                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
-                ids = c.encode(texts)
-                lists = [x.tolist() for x in ids]
-                decoded = c.library.decode(lists, num_threads=1)
-                one = numerals.__getitem__
-                cols = [tx.column(batch, k).slice(lo, hi - lo) for k in carried]
-                cols.append(pa.array([len(x) for x in lists], pa.int64()))
-                cols.append(pa.array([hashlib.sha256(",".join(map(one, x)).encode()).hexdigest() for x in lists], pa.string()))
-                cols.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()))
-                if with_ids:
-                    at = np.zeros(len(ids) + 1, np.int32)
-                    np.cumsum([len(x) for x in ids], out=at[1:])
-                    cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids))))
-                if with_text:
-                    cols.append(pa.array(decoded, pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        with shared.working():
+            c = codec(model_file if os.path.exists(model_file) else SparkFiles.get(os.path.basename(model_file)))
+            if not c.plain:
+                raise ValueError("this operator is for models whose normaliser leaves texts as they are")
+            names = [*carried, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+            for batch in batches:
+                column = tx.column(batch, "text")
+                for lo, hi in tx.passes(column):
+                    ids, at = c.encode(column.slice(lo, hi - lo))
+                    edge = at.tolist()
+                    decoded = c.library.decode([ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)], num_threads=1)
+                    cols = [tx.column(batch, k).slice(lo, hi - lo) for k in carried]
+                    cols.append(pa.array(np.diff(at), pa.int64()))
+                    cols.append(pa.array(decimal_sha256(ids, at, c.numerals), pa.string()))
+                    cols.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()))
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+                    if with_text:
+                        cols.append(pa.array(decoded, pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return source.mapInArrow(run, schema)

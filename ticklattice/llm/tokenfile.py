@@ -12,14 +12,15 @@ or byte are left out.  Integers are little-endian.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 
 from . import shared
 from . import text as tx
+from .chunkmemory import LONGEST, ChunkMemory
 
 MAGIC = b"TLP1"
 #: Ids of a block.
 BLOCK = 1 << 16
-#: Chunks remembered in a worker's two generations, about; longer ones are encoded each time.
-REMEMBERED, LONGEST = 1_400_000, 64
+#: Chunks that a worker remembers, about; then it begins anew.
+REMEMBERED = 1_300_000
 
 
 def pack(ids: np.ndarray, *, bits: bool = False, level: int = 3) -> bytes:
@@ -71,6 +73,19 @@ def unpack(chunk: bytes) -> np.ndarray:
     return out
 
 
+#: ASCII white space, the rarer separators included.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def _white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the bytes a, b, c (UTF-8) begin with a white-space character."""
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    quad = (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    wide = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return _WHITE[a] | two | quad | wide
+
+
 class ByteEncoder:
     """Whole texts to ids with the tokenizers library, remembering the ids of chunks that repeat.
 
@@ -84,80 +99,78 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s \s", "  ", r" \Z", r"\A\Z", *map(re.escape, added)]))
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         spec = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else b""
         spec = spec if isinstance(spec, bytes) else str(spec).encode()
         self.chunked = b"ByteLevel" in spec and b'"add_prefix_space":false' in spec and self.library.normalizer is None
         #: Ids whose piece begins with the byte-level sign of a space.
         size = self.library.get_vocab_size()
         self.spaced = np.array([(self.library.id_to_token(k) or "")[:1] == "\u0120" for k in range(size)])
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with their only space: many in one call, cut where a piece begins with a space."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(at) != len(part):  # a chunk that this cut doesn't fit; each one apart
-                out += self._library(part)
-                continue
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
+        self.memory = ChunkMemory(REMEMBERED)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of new chunks.  Those that begin with their only space go many in one call, cut where a piece
+        begins with a space; white space at a chunk's end would meet the next one's space, so those go apart."""
+        texts = [c.decode() for c in chunks]
+        inner = [k for k, t in enumerate(texts) if t.rfind(" ") == 0 and not t[-1].isspace() and not t[1].isspace() and len(t) <= LONGEST]
+        order, ids, count = [], [], []
+        for lo in range(0, len(inner), 2000):
+            part = inner[lo : lo + 2000]
+            found = np.array(self._library(["".join([texts[k] for k in part])])[0], np.int32)
+            at = np.flatnonzero(self.spaced[found])
+            if len(at) == len(part):
+                order += part
+                ids.append(found)
+                count.append(np.diff(np.append(at, len(found))))
+        together = set(order)  # without those of a part that the cut doesn't fit
+        apart = [k for k in range(len(texts)) if k not in together]
+        found = self._library([texts[k] for k in apart])
+        ids += [np.array(x, np.int32) for x in found]
+        count.append(np.array([len(x) for x in found], np.int64))
+        count, ids = np.concatenate(count), np.concatenate([np.zeros(0, np.int32), *ids])
+        start = np.cumsum(count) - count
+        back = np.argsort(np.array(order + apart, np.int64), kind="stable")
+        count = count[back]
+        total = np.cumsum(count)
+        return ids[np.repeat(start[back] - (total - count), count) + np.arange(len(ids))], count
+
+    def _whole(self, column: pa.Array, raw: np.ndarray, at: np.ndarray, space: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Rows whose chunks can't be told by their spaces."""
+        if not self.chunked:
+            return np.ones(len(column), bool)
+        out = np.zeros(len(column), bool)
+        edged = np.zeros(len(raw) + 6, np.uint8)
+        edged[3:-3] = raw
+        s = space + 3
+        after = _white(edged[s + 1], edged[s + 2], edged[s + 3]) | (space + 1 == at[row + 1])
+        before = (space > at[row]) & (
+            _WHITE[edged[s - 1]] | (_white(edged[s - 2], edged[s - 1], edged[s]) & (edged[s - 2] == 0xC2)) | (_white(edged[s - 3], edged[s - 2], edged[s - 1]) & (edged[s - 3] >= 0xE1))
+        )
+        out[row[after | before]] = True
+        for token in self.added:
+            out |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
         return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if not self.chunked or self.whole.search(t)]
-        for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        rest = [k for k in range(len(texts)) if out[k] is None]
-        # Keys of chunks with their space lack it; the first chunk of a text has a key that no other can have.
-        words, edge = [], [0]
-        for k in rest:
-            cut = texts[k].split(" ")
-            cut[0] = " " + cut[0]
-            words += cut
-            edge.append(len(words))
-        found = list(map(self.new.get, words))
-        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-        if missing:
-            made = self._learn(missing)
-            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        for k, lo, hi in zip(rest, edge[:-1], edge[1:], strict=True):
-            out[k] = b"".join(found[lo:hi])
-        if len(self.new) > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-        return out
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the younger generation lacks; all but very long ones are remembered in it."""
-        made = {w: self.old[w] for w in missing if w in self.old}
-        fresh = [w for w in missing if w not in made]
-        first = [w for w in fresh if w[:1] == " "]
-        made |= zip(first, self._library([w[1:] for w in first]), strict=True)
-        # White space at a chunk's end would meet the next chunk's space; those go apart.
-        apart = [w for w in fresh if w[:1] != " " and (w[-1:].isspace() or w[:1].isspace())]
-        made |= zip(apart, self._library([" " + w for w in apart]), strict=True)
-        inner = [w for w in fresh if w not in made]
-        made |= zip(inner, self._words([" " + w for w in inner]), strict=True)
-        self.new.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        return made
-
-
-_ENCODERS: dict[str, ByteEncoder] = {}
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column (null: none), one after another, and each row's place among them, the end included."""
+        raw, at = tx.utf8(column)
+        space = np.flatnonzero(raw == 0x20)
+        row = np.searchsorted(at, space, "right") - 1
+        whole = self._whole(column, raw, at, space, row)
+        begins = np.zeros(len(raw), bool)
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        begins[space[~whole[row]]] = True
+        first = np.flatnonzero(begins)
+        ids, count = self.memory.encode(raw, first, np.append(first[1:], len(raw))[: len(first)], self._learn)
+        total = np.concatenate([[0], np.cumsum(count)])
+        return ids, total[np.searchsorted(first, at)]
 
 
 def encoder(file: str) -> ByteEncoder:
-    if file not in _ENCODERS:
-        _ENCODERS[file] = ByteEncoder(file)
-    return _ENCODERS[file]
+    return shared.kept(("tokens", file), lambda: ByteEncoder(file))
 
 
 ROW = "file string, part int, kind string, doc_id long, number long, start long, n long, offset long, length long"
@@ -185,39 +198,47 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, *, end_id: i
         name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin"
         files, path = shared.filesystem(name)
         files.create_dir(path.rpartition("/")[0], recursive=True)
-        end = np.array([end_id], np.uint32).tobytes()
-        held, done, offset, number, written_ids = b"", 0, 0, 0, 0
+        held, done, offset, number, written_ids = np.zeros(0, np.int32), 0, 0, 0, 0
         out = None
+        schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("kind", pa.string()), *[(c, pa.int64()) for c in names[3:]]])
+
+        def rows_of(kind: str, size: int, **columns: object) -> pa.RecordBatch:
+            fixed = {"file": name, "part": part, "kind": kind}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([fixed[f.name]] * size, f.type) if f.name in fixed else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema],
+                schema=schema,
+            )
 
-        def chunk(data: bytes) -> dict:
+        def chunks(data: np.ndarray) -> pa.RecordBatch:
             nonlocal out, done, offset
             if out is None:
                 out = files.open_output_stream(path, compression=None)
-            packed = pack(np.frombuffer(data, np.uint32), bits=bits, level=level)
-            out.write(packed)
-            row = {"file": name, "part": part, "kind": "chunk", "start": done, "n": len(data) // 4, "offset": offset, "length": len(packed)}
-            done, offset = done + len(data) // 4, offset + len(packed)
-            return row
-
-        schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("kind", pa.string()), *[(c, pa.int64()) for c in names[3:]]])
-        for batch in batches:
-            column, ids = tx.column(batch, "text"), tx.column(batch, "doc_id").to_pylist()
-            for lo, hi in tx.passes(column):
-                rows, pieces = [], [held]
-                for doc_id, data in zip(ids[lo:hi], enc.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()]), strict=True):
-                    n = len(data) // 4 + 1
-                    rows.append({"file": name, "part": part, "kind": "doc", "doc_id": doc_id, "number": number, "start": written_ids, "n": n})
-                    number, written_ids = number + 1, written_ids + n
-                    pieces += [data, end]
-                held = b"".join(pieces)
-                full = len(held) // (4 * block) * 4 * block
-                rows += [chunk(held[k : k + 4 * block]) for k in range(0, full, 4 * block)]
-                held = held[full:]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-        if held:
-            yield pa.RecordBatch.from_pylist([chunk(held)], schema=schema)
-        if out is not None:
-            out.close()
+            start, count, place, length = [], [], [], []
+            for k in range(0, len(data), block):
+                packed = pack(data[k : k + block], bits=bits, level=level)
+                out.write(packed)
+                for x, v in ((start, done), (count, len(data[k : k + block])), (place, offset), (length, len(packed))):
+                    x.append(v)
+                done, offset = done + count[-1], offset + len(packed)
+            return rows_of("chunk", len(start), start=start, n=count, offset=place, length=length)
+
+        with shared.working():
+            for batch in batches:
+                column, doc_ids = tx.column(batch, "text"), tx.column(batch, "doc_id")
+                for lo, hi in tx.passes(column):
+                    ids, at = enc.encode(column.slice(lo, hi - lo))
+                    n = np.diff(at) + 1
+                    yield rows_of("doc", hi - lo, doc_id=doc_ids.slice(lo, hi - lo), number=number + np.arange(hi - lo), start=written_ids + np.cumsum(n) - n, n=n)
+                    number, written_ids = number + hi - lo, written_ids + int(n.sum())
+                    held = np.concatenate([held, np.insert(ids, at[1:], end_id)])
+                    full = len(held) // block * block
+                    if full:
+                        yield chunks(held[:full])
+                        held = held[full:]
+            if len(held):
+                yield chunks(held)
+            if out is not None:
+                out.close()
 
     path = f"{folder}/index"
     ordered.mapInArrow(write, ROW).write.parquet(path)
@@ -237,23 +258,17 @@ def read_tokens(index: DataFrame, *, with_ids: bool = False) -> DataFrame:
         sums.append((r["part"], before))
         before += r["n"]
     base = spark.createDataFrame(sums, "part int, base long")
-    # One row per range of chunks: documents look for their chunks in their own file only.
-    per_file = index.filter("kind = 'chunk'").groupBy("file", "part").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n", "offset", "length"))).alias("chunks")
-    )
+    # In a file's order, a document comes after the chunks that it lies in: by its last id, chunks by their first.
     rows = (
-        index.filter("kind = 'doc'")
-        .select("file", "doc_id", "number", "start", "n")
-        .join(per_file, "file")
+        index.withColumn("at", F.when(F.col("kind") == "doc", F.col("start") + F.col("n") - 1).otherwise(F.col("start")))
         .join(F.broadcast(base), "part")
-        .select("file", "number", "doc_id", "start", "n", "base", F.expr(
-            "filter(chunks, c -> c.start < start + n and c.start + c.n > start)").alias("chunks"))
-        .repartition("file").sortWithinPartitions("file", "number")
+        .select("file", "at", "kind", "doc_id", "start", "n", "offset", "length", "base")
+        .repartition("file").sortWithinPartitions("file", "at", "kind")
     )
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, source, kept = None, None, {}
+        opened, source, near, unpacked = None, None, deque(), {}
         for batch in batches:
             got = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)}
             for r in batch.to_pylist():
@@ -261,15 +276,18 @@ def read_tokens(index: DataFrame, *, with_ids: bool = False) -> DataFrame:
                     if source is not None:
                         source.close()
                     files, path = shared.filesystem(r["file"])
-                    opened, source, kept = r["file"], files.open_input_file(path), {}
+                    opened, source, near, unpacked = r["file"], files.open_input_file(path), deque(), {}
+                if r["kind"] == "chunk":
+                    near.append(r)
+                    continue
+                while near and near[0]["start"] + near[0]["n"] <= r["start"]:
+                    unpacked.pop(near.popleft()["offset"], None)
                 parts = []
-                for c in r["chunks"]:
-                    if c["offset"] not in kept:
-                        if len(kept) > 2:
-                            kept.pop(next(iter(kept)))
-                        kept[c["offset"]] = unpack(source.read_at(c["length"], c["offset"]))
+                for c in near:
+                    if c["offset"] not in unpacked:
+                        unpacked[c["offset"]] = unpack(source.read_at(c["length"], c["offset"]))
                     lo = max(0, r["start"] - c["start"])
-                    parts.append(kept[c["offset"]][lo : r["start"] + r["n"] - c["start"]])
+                    parts.append(unpacked[c["offset"]][lo : r["start"] + r["n"] - c["start"]])
                 ids = np.concatenate(parts)
                 if len(ids) != r["n"]:
                     raise ValueError(f"{r['file']} lacks ids of document {r['doc_id']}")
