@@ -11,20 +11,23 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-KEY = "ticklattice"
+#: Where the session's configuration has the secret key of the surrogates.
+KEY_CONF = "spark.ticklattice.surrogateKey"
 #: Rows of redrawn entities up to which their table is broadcast; beyond, the join is left to Spark.
 SMALL = 10_000
-OPEN, SPLIT, CLOSE = "", "", ""
+#: Characters of private use that mark entities, and the one that escapes all four where a text has them.
+OPEN, SPLIT, CLOSE, ESCAPE = "\ue000", "\ue001", "\ue002", "\ue003"
 
 # Titles by script and gender, and syllables of surrogate names.
 TITLES = {
     ("latin", "m"): ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor"),
     ("latin", "f"): ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita"),
+    ("latin", "n"): ("Dr", "Prof"),
     ("cyrillic", "m"): ("Господин", "господин"),
     ("cyrillic", "f"): ("Госпожа", "госпожа"),
     ("greek", "m"): ("Κύριος", "κύριος"),
@@ -33,6 +36,7 @@ TITLES = {
 FIRST = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oskar", "Paul"),
     ("latin", "f"): ("Alma", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Irma", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"),
+    ("latin", "n"): ("Alex", "Ariel", "Bo", "Charlie", "Dominique", "Eden", "Francis", "Gray", "Jo", "Kim", "Lou", "Noa", "Quinn", "Robin", "Sascha", "Toni"),
     ("cyrillic", "m"): ("Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"),
     ("cyrillic", "f"): ("Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса"),
     ("greek", "m"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Ιάσονας", "Κώστας", "Λεωνίδας", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Τάσος", "Φώτης", "Χρήστος"),
@@ -44,61 +48,82 @@ SYLLABLES = {
     "greek": ("βα", "γε", "δο", "ζα", "θε", "κα", "λο", "με", "να", "ξο", "πα", "ρε", "σο", "τα", "φε", "χα"),
 }
 
+# One part of a name: a capital, then letters; capitals and apostrophes may stand inside (O'Brien, McDonald).
 _NAMES = {
-    "latin": r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}){0,2}",
-    "cyrillic": r"[А-ЯЁ][а-яё]{1,30}(?: [А-ЯЁ][а-яё]{1,30}){0,2}",
-    "greek": r"[Α-ΫΆ-Ώ][ά-ώ]{1,30}(?: [Α-ΫΆ-Ώ][ά-ώ]{1,30}){0,2}",
+    "latin": r"[A-ZÀ-ÖØ-Þ](?:['’]?[A-Za-zÀ-ÖØ-öø-ÿ]){1,30}",
+    "cyrillic": r"[А-ЯЁ][А-Яа-яЁё]{1,30}",
+    "greek": r"[Α-ΫΆ-Ώ][Α-ΫΆ-Ώά-ώ]{1,30}",
 }
+# Country calling codes by their length.
+_CALLING = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 #: Kinds and what marks them, asked in this order; later kinds don't look into what earlier ones marked.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<![0-9A-Za-z])(?i:password|passwd|token|secret|api_?key)(?: ?[=:] ?)[\"']?(?=[A-Za-z_./+-]{0,127}[0-9])[0-9A-Za-z_./+-]{12,128}[\"']?"),
+    ("secret", r"(?<![0-9A-Za-z])(?i:password|passwd|token|secret|api_?key)(?: ?[=:] ?)[\"']?(?=[A-Za-z_./+-]{0,127}[0-9])[0-9A-Za-z_./+-]{12,}+[\"']?"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", r"(?<![0-9.+-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9.-]?[0-9])"),
+    ("card", r"(?<![0-9.+-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9.-]?[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])"),
-    *(
-        (f"name_{script}_{gender}", rf"(?<![\p{{L}}])(?:{'|'.join(titles)})\.? {_NAMES[script]}")
-        for (script, gender), titles in TITLES.items()
-    ),
 )
-KINDS = tuple(dict.fromkeys(k for k, _ in PATTERNS))
-# What a text must hold for any pattern to fit: every kind but the names needs a digit or an @ sign.
-_SIGN = r"[0-9@]"
-_TITLE = (
-    r"(?=[MSHFГгΚκ])(?:M(?:rs?|s|iss|ister|adame?|onsieur|me|lle)|S(?:ir|eñor(?:a|ita)?)|Herr|Frau|[Гг]оспо(?:дин|жа)|[Κκ](?:ύριος|υρία))\.? "
-)
+KINDS = (*dict.fromkeys(k for k, _ in PATTERNS), *(f"name_{script}" for script in _NAMES))
+# What a text must hold for any pattern to fit: every kind but the names and one key needs a digit or an @ sign.
+_SIGN = r"[0-9@]|A(?:KIA|SIA)"
+_TITLES = [t for titles in TITLES.values() for t in titles]
+_TITLE = f"(?=[{''.join(sorted({t[0] for t in _TITLES}))}])(?:{'|'.join(_TITLES)})" + r"\.? "
+
+
+def _escaped(text: Column) -> Column:
+    """The text with the marks' own characters written as pairs."""
+    for k, mark in enumerate((ESCAPE, OPEN, SPLIT, CLOSE)):
+        text = F.replace(text, F.lit(mark), F.lit(ESCAPE + "3012"[k]))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for k, mark in enumerate((OPEN, SPLIT, CLOSE, ESCAPE)):
+        text = F.replace(text, F.lit(ESCAPE + str(k)), F.lit(mark))
+    return text
+
+
+def _strange(text: Column) -> Column:
+    return text.rlike(f"[{OPEN}-{ESCAPE}]")
 
 
 def marked(text: Column) -> Column:
-    """The text with each entity as OPEN kind SPLIT entity CLOSE; such marks in the text itself are dropped before."""
-    plain = F.translate(text, OPEN + SPLIT + CLOSE, "")
-    outside = f"(?![^{OPEN}]*{CLOSE})"  # not in what is marked already: no CLOSE comes before the next OPEN
-    signed = named = plain
+    """The text with each entity as OPEN kind SPLIT entity CLOSE; such marks in the text itself are escaped before.
+
+    A name is marked by its parts after the title: given names with what follows them, then the family name.
+    """
+    plain = F.when(_strange(text), _escaped(text)).otherwise(text)
+    # Not in what is marked already: no CLOSE comes soon, before an OPEN.  Only secrets can be longer, in letters of their own.
+    outside = f"(?![^{OPEN}{CLOSE}]{{0,700}}+{CLOSE})(?![0-9A-Za-z_./+-]*+[\"']?{CLOSE})"
+    signed = plain
 
     def mark(source: Column, kind: str, pattern: str) -> Column:
         return F.regexp_replace(source, f"({pattern}){outside}", f"{OPEN}{kind}{SPLIT}$1{CLOSE}")
 
     for kind, pattern in PATTERNS:
         if kind == "email":
-            signed = F.when(F.instr(signed, "@") > 0, mark(signed, kind, pattern)).otherwise(signed)
-        elif not kind.startswith("name"):
+            signed = F.when(F.instr(signed, "@") > 0, F.regexp_replace(signed, f"({pattern})", f"{OPEN}{kind}{SPLIT}$1{CLOSE}")).otherwise(signed)
+        else:
             signed = mark(signed, kind, pattern)
     signed = F.when(text.rlike(_SIGN), signed).otherwise(plain)
     named = signed
-    for kind, pattern in PATTERNS:
-        if kind.startswith("name"):
-            named = mark(named, kind, pattern)
+    for (script, gender), titles in TITLES.items():
+        part, given = _NAMES[script], f"{OPEN}given_{script}_{gender}{SPLIT}"
+        pattern = rf"(?<![\p{{L}}])((?:{'|'.join(titles)})\.? )((?:{part}[ -])?)((?:{part}[ -])?)({part})(?![\p{{L}}]){outside}"
+        named = F.regexp_replace(named, pattern, f"$1{given}$2{CLOSE}{given}$3{CLOSE}{OPEN}name_{script}{SPLIT}$4{CLOSE}")
     return F.when(text.rlike(_TITLE), named).otherwise(signed)
 
 
 def pieces(mark: Column) -> Column:
     """Array of (kind, value): stretches of text (kind null) and entities, in order."""
-    parts = F.split(mark, f"[{OPEN}{CLOSE}]")
+    parts = F.filter(F.split(mark, f"[{OPEN}{CLOSE}]"), lambda p: ~p.endswith(SPLIT) & (p != ""))
     return F.transform(
         parts,
         lambda p: F.struct(
@@ -111,14 +136,14 @@ def pieces(mark: Column) -> Column:
 def canonical(kind: Column, value: Column) -> Column:
     """What two mentions of the same entity share: digits of numbers, letters of an address in lower case, a bare name."""
     digits = F.regexp_replace(value, r"[^0-9]", "")
-    name = F.lower(F.regexp_replace(value, r"^\S+ ", ""))
+    name = F.lower(F.regexp_replace(value, "[ -]$", ""))
     secret = F.regexp_replace(value, r"^.*[=: \"']([0-9A-Za-z_./+-]{12,})[\"']?$", "$1")
     return (
         F.when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "email", F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "secret", secret)
-        .when(kind.startswith("name"), name)
+        .when(kind.startswith("name") | kind.startswith("given"), name)
         .otherwise(value)
     )
 
@@ -132,7 +157,7 @@ def _pair(digest: Column, k: Column) -> Column:
     return _nibble(digest, k * 2) * 16 + _nibble(digest, k * 2 + 1)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of one entity, in the format of this mention."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical(kind, value), attempt.cast("string")), 256)
     # Each letter or digit is replaced by one of its kind, drawn by its place among the letters and digits.
@@ -155,7 +180,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
     def numbered(keep_first: int, plus: bool) -> Column:
         """Digits drawn by their place among the digits; a country code and ``keep_first`` digits stay."""
-        head = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0) if plus else F.lit("")
+        head = F.regexp_extract(value, rf"^\+{_CALLING}", 0) if plus else F.lit("")
         rest = value.substr(F.length(head) + 1, F.length(value))
 
         def one(c: Column, i: Column) -> Column:
@@ -185,23 +210,34 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     hexed = F.array_join(F.transform(F.split(body_of, ""), lambda c, i: F.lower(F.hex(_nibble(digest, i) % 16)).substr(F.lit(-1), F.lit(1))), "")
     secret = F.when(F.length(quote) > 0, F.concat(quote, hexed, tail)).otherwise(redraw(value, 4))
 
+    # An IBAN keeps its country and gets the check digits that its account number asks for.
+    account = redraw(value, 4)
+    moved = F.concat(F.regexp_replace(account.substr(F.lit(5), F.length(account)), " ", ""), F.substring(value, 1, 2), F.lit("00"))
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).when(
+        c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+    iban = F.concat(F.substring(value, 1, 2), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account.substr(F.lit(5), F.length(account)))
+
     out = (
         F.when(kind == "email", mail)
         .when(kind == "card", card)
         .when(kind == "ssn", numbered(0, False))
         .when(kind == "phone", numbered(0, True))
         .when(kind == "ip", octets)
-        .when(kind == "iban", redraw(value, 2))
+        .when(kind == "iban", iban)
         .when(kind == "secret", secret)
     )
+
+    def syllables(script: str, start: int, count: Column) -> Column:
+        part = F.array(*map(F.lit, SYLLABLES[script]))
+        return F.array_join(F.transform(F.sequence(F.lit(start), start + count - 1), lambda k: F.element_at(part, _nibble(digest, k) + 1)), "")
+
+    # Names that collide are drawn again a syllable longer, so there are always enough of them.
+    for script in SYLLABLES:
+        out = out.when(kind == f"name_{script}", F.initcap(syllables(script, 0, attempt + 4)))
     for (script, gender), firsts in FIRST.items():
         first = F.element_at(F.array(*map(F.lit, firsts)), _nibble(digest, F.lit(0)) + 1)
-        part = F.array(*map(F.lit, SYLLABLES[script]))
-        last = F.initcap(F.concat(*[F.element_at(part, _nibble(digest, F.lit(k)) + 1) for k in range(1, 6)]))
-        # As many names as the mention has: one stands for the surname.
-        many = F.size(F.split(value, "[ -]")) > 2
-        title = F.substring_index(value, " ", 1)
-        out = out.when(kind == f"name_{script}_{gender}", F.concat_ws(" ", title, F.when(many, first), last))
+        longer = F.when(attempt > 0, syllables(script, 1, F.greatest(attempt, F.lit(1)))).otherwise("")
+        out = out.when(kind == f"given_{script}_{gender}", F.concat(first, longer, F.regexp_extract(value, "[ -]$", 0)))
     return out
 
 
@@ -210,21 +246,29 @@ def _doubled(x: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(kind, canon, value): the distinct entities of ``docs`` (text), with one way each is written."""
+    """(kind, canon, value): the distinct entities of ``docs`` (text), with one way each is written.
+
+    Null and empty texts have none; repeats, in one text or many, are one row; of several spellings the least is taken.
+    """
     found = docs.select(F.explode(F.filter(pieces(marked(F.col("text"))), lambda p: p.kind.isNotNull())).alias("p"))
     canon = canonical(F.col("p.kind"), F.col("p.value"))
     return found.groupBy(F.col("p.kind").alias("kind"), canon.alias("canon")).agg(F.min("p.value").alias("value"))
 
 
-def redrawn(found: DataFrame, *, key: str = KEY, rounds: int = 8) -> DataFrame:
-    """(kind, canon, attempt) of entities whose first surrogate is that of another, or is itself an entity.
+def redrawn(found: DataFrame, *, key: str, rounds: int = 12) -> DataFrame:
+    """(kind, canon, attempt) of entities (kind, canon, value) whose first surrogate is that of another, or is itself an entity.
 
-    Of those that draw the same the first in order keeps it; the rest draw again until no two agree.
+    Of those that draw the same the first in order keeps it; the rest draw again until no two agree.  An empty table gives
+    an empty one; values of any length are drawn whole; the table's rows are distinct in (kind, canon), none is null.
     """
+    spark = found.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     now = shared.written(found.withColumn("attempt", F.lit(0)), "entities")
     real = now.select("kind", F.col("canon").alias("taken"))
     for _ in range(rounds):
-        drawn = now.withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        # A small table is one file, but drawing takes time: spread its rows.
+        spread = now.repartition(tasks, "kind", "canon")
+        drawn = spread.withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         drawn = shared.written(drawn.select("kind", "canon", "drawn"), "drawn")
         keepers = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("keeper"), F.count(F.lit(1)).alias("n"))
         shared_by = keepers.filter("n > 1").select("kind", "drawn", "keeper")
@@ -242,12 +286,23 @@ def redrawn(found: DataFrame, *, key: str = KEY, rounds: int = 8) -> DataFrame:
     return now.filter("attempt > 0").select("kind", "canon", "attempt")
 
 
-def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret key that the session's configuration names; whoever knows it can link surrogates to what they replace."""
+    key = spark.conf.get(KEY_CONF, "")
+    if not key:
+        raise ValueError(f"set {KEY_CONF} to a secret key, or give one")
+    return key
+
+
+def replace(docs: DataFrame, *, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in place of the personal data in ``text``, and n_entities and kinds (found, sorted) added.
 
-    All other columns stay as they are (columns named n_entities or kinds are replaced).  A null text stays null, with 0 entities.  Equal entities get equal surrogates in
-    all rows; distinct ones get distinct ones.  Marks of private use that the operator needs are dropped from texts.
+    The key is the session's (see ``session_key``) unless given.  All other columns stay as they are (columns named
+    n_entities or kinds are replaced).  A null text stays null and an empty one empty, with 0 entities; texts of any length
+    are searched whole, in time that grows with them; an empty table gives an empty one.  Equal entities get equal
+    surrogates in all rows, a family name also with another title or given name; distinct ones get distinct ones.
     """
+    key = key or session_key(docs.sparkSession)
     again = shared.written(redrawn(entities(docs.select(F.col(text).alias("text"))), key=key), "redrawn")
     size = again.limit(SMALL + 1).count()
     found = pieces(marked(F.col(text)))
@@ -270,7 +325,8 @@ def replace(docs: DataFrame, *, key: str = KEY, text: str = "text") -> DataFrame
         rows = rows.join(maps, "__row", "left")
         attempt = lambda p: F.coalesce(F.try_element_at("__attempts", F.concat(p.kind, F.lit("\x1f"), canonical(p.kind, p.value))), F.lit(0))
     new = F.array_join(F.transform("__pieces", lambda p: F.when(p.kind.isNull(), p.value).otherwise(surrogate(p.kind, p.value, attempt(p), key))), "")
-    only = F.filter("__pieces", lambda p: p.kind.isNotNull())
+    new = F.when(_strange(F.col(text)), _unescaped(new)).otherwise(new)
+    only = F.filter("__pieces", lambda p: p.kind.isNotNull() & ~p.kind.startswith("given"))  # a name counts once
     out = rows.select(
         *[F.col(f"`{c}`") for c in names],
         new.alias(text),
