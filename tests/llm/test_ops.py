@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ticklattice.llm import components, covertree, decontam, langid, pii, piece, queries, shared, simhash, substring, tokenfile, urlfilter, warc
+from ticklattice.llm import components, covertree, decontam, langid, nearcopies, pii, piece, queries, shared, simhash, substring, tokenfile, urlfilter, warc
 from ticklattice.llm import text as tx
 
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
@@ -437,15 +437,41 @@ def brute_near_copies(rows):
     return sorted((min(g)[1] if not min(g)[0] else None for g in groups.values()), key=str)
 
 
-def test_pipeline_keeps_one_of_each_group_of_near_copies(spark, sf_dir):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_pipeline_keeps_one_of_each_group_of_near_copies(spark, sf_dir, monkeypatch, crowded):
     import corpus_pipeline as P
 
+    if crowded:  # every bucket compares whole sets within itself
+        monkeypatch.setattr(nearcopies, "CROWDED", -1)
+
     rows = near_copy_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"] for r in P.near_duplicates(spark, frame, sf_dir).collect()), key=str)
     assert got == brute_near_copies(rows)
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Columns named as the operators' own, rows with null and repeated ids, and an empty table."""
+    import corpus_pipeline as P
+
+    names = ("score", "lang_pred", "n_hit", "n_words", "items", "contaminated", "n_entities", "kinds", "row", "key", "b.c", "__row")
+    texts = [(1, passage(30, 40)), (5, passage(30, 40)), (5, passage(31, 40)), (None, passage(32, 40)), (None, passage(32, 40)), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "en") for r in texts], "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: F.lit("mine") for c in names}).withColumn("n_chars", F.length("text"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        assert all(r[c] == "mine" for r in got for c in names)
+        kept = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+        if name == "near_duplicates":
+            assert kept == sorted([(1, passage(30, 40)), (5, passage(31, 40)), (None, passage(32, 40)), (7, None)], key=str)
+        else:
+            assert kept == sorted([r for r in texts if name != "language" or r[1]], key=str)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert P.STAGES[-1][1](spark, docs, sf_dir).count() == len(texts)
+
+
 # 6
 
 
