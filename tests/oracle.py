@@ -24,7 +24,7 @@ def plain(x):
     if isinstance(x, decimal.Decimal):
         x = float(x)
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else round(x, 6) + 0.0
     if isinstance(x, int):
         return float(x)
     if isinstance(x, (list, tuple)):
@@ -40,7 +40,7 @@ def rows(columns: list[str], data: list[tuple]) -> list[tuple]:
 
 
 def same(a: tuple, b: tuple) -> bool:
-    return all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-7, abs_tol=2e-5) for x, y in zip(a, b, strict=True))
+    return all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-9) for x, y in zip(a, b, strict=True))
 
 
 def check(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:

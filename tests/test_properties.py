@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.functions import rolling as R
 from ticklattice.functions import scan
@@ -29,6 +30,35 @@ def column(df, name):
     return [r[name] for r in df.orderBy("symbol", "ts").select(name).collect()]
 
 
+@pytest.mark.parametrize("block", [70, 128, 1000])
+def test_framed_windows_equal_those_over_whole_series(spark, block):
+    """Blocks shorter than, as long as, and longer than the series; two symbols; nothing lost at the seams."""
+    values = np.random.default_rng(4).normal(100, 5, 400)
+    bars = series(spark, values).union(series(spark, values[::-1], "B", step=50_000)).union(series(spark, values[:3], None))
+    made = {"mean": I.sma(n=50), "ahead": F.lead("close", 9).over(I.order()), "rsi": I.rsi()}
+    want = bars.select("symbol", "ts", *[v.alias(k) for k, v in made.items()]).orderBy("symbol", "ts").collect()
+    got = frames.framed(bars, lambda b: b.select("symbol", "ts", *[v.alias(k) for k, v in made.items()]), before=64, after=9, block=block)
+    assert got.columns == ["symbol", "ts", *made] and got.orderBy("symbol", "ts").collect() == want
+    with pytest.raises(ValueError):
+        frames.framed(bars, lambda b: b, before=64, block=10)
+
+
+def test_decayed_sums_of_uneven_parts_equal_the_recurrence(spark):
+    """Parts of one row and of many, spans short and long."""
+    rng = np.random.default_rng(5)
+    step = np.concatenate([np.full(300, 600), rng.integers(1, 2_000_000, 200), np.full(600, 1800)])
+    rows = [("A", START + dt.timedelta(seconds=int(s)), float(v), k) for k, (s, v) in enumerate(zip(np.cumsum(step), rng.normal(0, 1, len(step)), strict=True))]
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double, id long")
+    decays = {"short": 0.5, "mid": 0.9, "long": 0.999}
+    got = scan.decayed_sums(frame, {k: (F.col("x"), d) for k, d in decays.items()}, tie="id").orderBy("id").collect()
+    for name, d in decays.items():
+        y, want = 0.0, []
+        for r in rows:
+            y = d * y + r[2]
+            want.append(y)
+        assert np.allclose([r[name] for r in got], want, rtol=1e-9, atol=1e-12)
+
+
 @pytest.mark.parametrize("adjust", [True, False])
 def test_ema_of_a_long_series_equals_pandas(spark, adjust):
     values = np.random.default_rng(1).normal(100, 5, 700)

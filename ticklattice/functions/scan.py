@@ -7,12 +7,16 @@ per part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "7 days"
 #: Rows after which powers of the decay start anew, to stay within what doubles hold.
 CHUNK = 128
+#: Weight below which what is past no longer shows in a double.
+FADED = 1e-24
 
 
 def _parts(df: DataFrame, keys: list[str], ts: str, part: str) -> DataFrame:
@@ -35,8 +39,8 @@ def running_sums(df: DataFrame, sums: dict[str, Column], *, key: str = "symbol",
 def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, part: str = PART) -> DataFrame:
     """Adds y[t] = decay * y[t-1] + x[t] per key in the order of (ts, tie), for each name: (x, decay); also ``__n``, the place.
 
-    Null x count as 0.  Exact for any series length: within a chunk y is a weighted window sum, and chunks are linked by
-    the recurrence over their totals.
+    Null x count as 0.  Holds for any series length: within a chunk y is a weighted window sum, and a chunk takes over what
+    the totals of those before it leave, each by its distance.
     """
     order = [ts, *([tie] if tie else [])]
     rows = _parts(df, [key], ts, part).select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"__{n}") for n, (x, _) in sums.items()])
@@ -48,23 +52,17 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: s
         F.count(F.lit(1)).alias("__size"),
         *[F.sum(F.col(f"__{n}") * F.pow(F.lit(d), F.lit(-1.0) * F.col("__j"))).alias(f"__s_{n}") for n, (_, d) in sums.items()],
     )
-    chunks = ends.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__p", "__k", "__size", *[f"__s_{n}" for n in sums]))).alias("__all"))
-
-    def step(acc: Column, c: Column) -> Column:
-        # What each series has at the end of a chunk, kept beside what it had before it.
-        fields = [F.concat(acc["list"], F.array(F.struct(c["__p"].alias("__p"), c["__k"].alias("__k"), acc["n"].alias("n"), *[acc[f"y_{n}"].alias(f"y_{n}") for n in sums]))).alias("list")]
-        fields += [(acc["n"] + c["__size"]).alias("n")]
-        fields += [
-            (acc[f"y_{n}"] * F.pow(F.lit(d), c["__size"]) + c[f"__s_{n}"] * F.pow(F.lit(d), c["__size"] - 1)).alias(f"y_{n}") for n, (_, d) in sums.items()
-        ]
-        return F.struct(*fields)
-
-    kind = df.select(F.window(F.col(ts), part).start.alias("p")).schema["p"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<__p:{kind},__k:int,n:bigint,{','.join(f'y_{n}:double' for n in sums)}>>")
-    start = F.struct(empty.alias("list"), F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(f"y_{n}") for n in sums])
-    carried = chunks.select("__key", F.explode(F.aggregate("__all", start, step).getField("list")).alias("c")).select(
-        "__key", F.col("c.__p").alias("__p"), F.col("c.__k").alias("__k"), F.col("c.n").alias("__before"), *[F.col(f"c.y_{n}").alias(f"__c_{n}") for n in sums]
-    )
+    series = Window.partitionBy("__key").orderBy("__p", "__k")
+    ends = ends.withColumn("__before", F.coalesce(F.sum("__size").over(series.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def carry(name: str, d: float) -> Column:
+        """What the chunks before leave; those so far back that doubles no longer hold their weight are left out."""
+        reach = math.ceil(math.log(FADED) / math.log(d)) + CHUNK
+        near = F.collect_list(F.struct((F.col("__before") + F.col("__size")).alias("end"), F.col("__size").alias("size"), F.col(f"__s_{name}").alias("s")))
+        near = near.over(Window.partitionBy("__key").orderBy("__before").rangeBetween(-reach, -1))
+        return F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["s"] * F.pow(F.lit(d), F.col("__before") - c["end"] + c["size"] - 1))
+
+    carried = ends.select("__key", "__p", "__k", "__before", *[carry(n, d).alias(f"__c_{n}") for n, (_, d) in sums.items()])
     joined = local.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")) & (F.col("__chunk") == F.col("__k")))
     return joined.select(
         *df.columns,

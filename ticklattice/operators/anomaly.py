@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
+
 c = F.col
 
 
@@ -20,6 +22,10 @@ def _no(x: Column) -> Column:
 
 def detect(trades: DataFrame) -> DataFrame:
     """All tick detectors in one select: z-score, IQR, price spike, volume, and streak of moves; a flag and a score each."""
+    return frames.framed(trades, _detect, tie="trade_id")
+
+
+def _detect(trades: DataFrame) -> DataFrame:
     w100, w50, w10 = _order().rowsBetween(-100, 0), _order().rowsBetween(-50, 0), _order().rowsBetween(-10, 0)
     z = F.try_divide(c("price") - F.avg("price").over(w100), F.stddev_samp("price").over(w100))
     q1, q3 = F.percentile("price", F.lit(0.25)).over(w100), F.percentile("price", F.lit(0.75)).over(w100)
@@ -31,7 +37,6 @@ def detect(trades: DataFrame) -> DataFrame:
     )
     low, high = c("__q1") - (c("__q3") - c("__q1")) * 1.5, c("__q3") + (c("__q3") - c("__q1")) * 1.5
     beyond = F.greatest(low - c("price"), c("price") - high, F.lit(0.0))
-    same = F.sum(F.when(c("__sign") == F.lag("__sign").over(_order()), 1).otherwise(0))
     step = step.withColumn("__prior_sign", F.lag("__sign").over(_order()))
     same = F.sum(F.when((c("__sign") == c("__prior_sign")) & (c("__sign") != 0), 1).otherwise(0)).over(w10)
     flags = {
@@ -62,7 +67,8 @@ def classify(rows: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
 def outlier_3sigma(trades: DataFrame, n: int = 50) -> DataFrame:
     w = _order().rowsBetween(-(n - 1), 0)
     mean, sd = F.avg("price").over(w), F.stddev_samp("price").over(w)
-    return trades.select("*", _no(F.abs(c("price") - mean) > sd * 3).alias("is_outlier"))
+    far = _no(F.abs(c("price") - mean) > sd * 3).alias("is_outlier")
+    return frames.framed(trades, lambda rows: rows.select("*", far), tie="trade_id", before=n)
 
 
 def correlation_breaks(rows: DataFrame, n: int = 20) -> DataFrame:

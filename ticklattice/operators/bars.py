@@ -93,11 +93,15 @@ def trade_metrics(trades: DataFrame, duration: str, *, exact: bool = True) -> Da
 
 
 def market_statistics(records: DataFrame, duration: str, *, exact: bool = True) -> DataFrame:
-    """Counts by topic, active symbols, quality and latency per window of ``records`` (ts, symbol, topic, quality, latency_s)."""
+    """Counts by topic, active symbols, quality and latency per window of ``records`` (ts, symbol, topic, quality, latency_s).
+
+    Quality and latency are averaged in millionths: integers, whose sums don't depend on the order of the rows.
+    """
     distinct = F.count_distinct if exact else F.approx_count_distinct
+    mean = lambda x: F.sum(F.round(F.col(x) * 1e6).cast("long")) / (F.count(x) * F.lit(1e6))
     out = records.groupBy(F.window("ts", duration).alias("w")).agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("topic") == "quotes").alias("quotes"), F.count_if(F.col("topic") == "trades").alias("trades"),
-        distinct("symbol").alias("active_symbols"), F.avg("quality").alias("avg_quality"), F.count_if(F.col("quality") >= 0.8).alias("high_quality"),
-        F.avg("latency_s").alias("avg_latency_s"),
+        distinct("symbol").alias("active_symbols"), mean("quality").alias("avg_quality"), F.count_if(F.col("quality") >= 0.8).alias("high_quality"),
+        mean("latency_s").alias("avg_latency_s"),
     )
     return out.withColumn("high_quality_pct", _share(F.col("high_quality"), F.col("records"))).withColumn("window_start", F.col("w.start")).drop("w")

@@ -77,10 +77,13 @@ RECORDS = f"""{X.TRADES}, {X.QUOTES}, records as (
         select symbol, ts, 'trades' as topic, trade_id as id from trades union all select symbol, ts, 'quotes', quote_id from quotes))"""
 
 
+_MEAN = "cast(sum(cast(round({0} * 1e6) as bigint)) as double) / (count({0}) * 1e6)"
+
+
 @Q.add("a5_market_statistics", f"""with {RECORDS}
 select time_bucket(interval '1 day', ts) as window_start, count(*) as records, count(*) filter (topic = 'quotes') as quotes,
-       count(*) filter (topic = 'trades') as trades, count(distinct symbol) as active_symbols, avg(quality) as avg_quality,
-       count(*) filter (quality >= 0.8) as high_quality, avg(latency_s) as avg_latency_s, count(*) filter (quality >= 0.8) * 100.0 / count(*) as high_quality_pct
+       count(*) filter (topic = 'trades') as trades, count(distinct symbol) as active_symbols, {_MEAN.format("quality")} as avg_quality,
+       count(*) filter (quality >= 0.8) as high_quality, {_MEAN.format("latency_s")} as avg_latency_s, count(*) filter (quality >= 0.8) * 100.0 / count(*) as high_quality_pct
 from records group by 1""")
 def a5(spark, d):
     return B.market_statistics(records(spark, d), "1 day")

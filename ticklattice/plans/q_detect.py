@@ -8,6 +8,7 @@ from ticklattice.operators import anomaly as A
 from ticklattice.operators import asof as J
 from ticklattice.operators import drift as D
 from ticklattice.operators import validation as V
+from ticklattice.functions import frames
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.plans import Queries
 from ticklattice.plans.q_indicators import W, _full, _w
@@ -54,7 +55,7 @@ def sigma(spark, d):
 z as (select *, (market_corr - avg(market_corr) over f) / nullif(stddev_samp(market_corr) over f, 0) as corr_z from k window f as ({W} rows between 100 preceding and 1 preceding))
 select *, coalesce(abs(corr_z) > 3, false) as is_corr_break from z""")
 def correlation_breaks(spark, d):
-    return A.correlation_breaks(with_market(_returns(spark, d))).select("symbol", "ts", "market_corr", "corr_z", "is_corr_break")
+    return frames.framed(with_market(_returns(spark, d)), A.correlation_breaks).select("symbol", "ts", "market_corr", "corr_z", "is_corr_break")
 
 
 FEATURES = [f"f{k}" for k in range(4)]
@@ -81,7 +82,7 @@ def matrix_scores(spark, d):
 b as (select *, list_sort(near)[cast(floor((len(near) + 1) / 2) as integer)] as med from a), e as (select *, list_sort(list_transform(near, lambda v: abs(v - med)))[cast(floor((len(near) + 1) / 2) as integer)] as mad from b)
 select symbol, ts, coalesce(ok and abs(close - m) > s * 3, false) as is_ma, coalesce(ok and (close > m + 2 * s or close < m - 2 * s), false) as is_bollinger, coalesce(abs(close - med) > mad * 1.4826 * 3, false) as is_hampel from e""")
 def series(spark, d):
-    return A.series_detectors(X.bars(spark, d))
+    return frames.framed(X.bars(spark, d), A.series_detectors)
 
 
 @Q.add("ad11_seasonal_residuals", f"""with {X.bars_sql()}, a as (select symbol, ts, close, avg(close) over ({W} rows between 12 preceding and 12 following) as trend, (row_number() over ({W}) - 1) % 24 as place from bars),

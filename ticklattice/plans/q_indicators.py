@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.plans import Queries
 from ticklattice.sources import fixtures as X
@@ -22,7 +23,7 @@ def _full(x: str, n: int, value: str) -> str:
 
 
 def _select(spark, d, **columns):
-    return X.bars(spark, d).select("symbol", "ts", *[v.alias(k) for k, v in columns.items()])
+    return frames.columns(X.bars(spark, d), "symbol", "ts", **columns)
 
 
 def _sql(body: str, ctes: str = "") -> str:
@@ -112,8 +113,8 @@ _K = _full("close", 14, f"(close - {_LO}) / nullif({_HI} - {_LO}, 0) * 100")
 
 @Q.add("ti7_stochastic", f"with {BARS}, x as (select symbol, ts, {_K} as stoch_k from bars) select symbol, ts, stoch_k, {_full('stoch_k', 3, f'avg(stoch_k) over {_w(3)}')} as stoch_d from x")
 def ti7(spark, d):
-    k = _select(spark, d, stoch_k=I.stochastic_k())
-    return k.select("*", I.full("stoch_k", 3, F.avg("stoch_k").over(I.rows(3))).alias("stoch_d"))
+    smoothed = I.full("stoch_k", 3, F.avg("stoch_k").over(I.rows(3))).alias("stoch_d")
+    return frames.framed(X.bars(spark, d), lambda bars: bars.select("symbol", "ts", I.stochastic_k().alias("stoch_k")).select("*", smoothed))
 
 
 _TR = "greatest(high - low, abs(high - pc), abs(low - pc))"
@@ -122,8 +123,8 @@ _TRX = _DELTA + f", y as (select *, {_TR} as tr from x)"
 
 @Q.add("ti8_atr", f"with {BARS}{_TRX} select symbol, ts, tr, {_full('tr', 14, f'avg(tr) over {_w(14)}')} as atr_14 from y")
 def ti8(spark, d):
-    t = _select(spark, d, tr=I.true_range())
-    return t.select("*", I.full("tr", 14, F.avg("tr").over(I.rows(14))).alias("atr_14"))
+    mean = I.full("tr", 14, F.avg("tr").over(I.rows(14))).alias("atr_14")
+    return frames.framed(X.bars(spark, d), lambda bars: bars.select("symbol", "ts", I.true_range().alias("tr")).select("*", mean))
 
 
 def _di(x: str) -> str:
@@ -137,14 +138,14 @@ v as (select symbol, ts, {_di("up")} as plus_di, {_di("down")} as minus_di from
 w as (select *, abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) * 100 as dx from v)
 select symbol, ts, plus_di, minus_di, {_full("dx", 14, f"avg(dx) over {_w(14)}")} as adx from w""")
 def ti9(spark, d):
-    return I.with_adx(X.bars(spark, d)).select("symbol", "ts", "plus_di", "minus_di", "adx")
+    return frames.framed(X.bars(spark, d), I.with_adx).select("symbol", "ts", "plus_di", "minus_di", "adx")
 
 
 @Q.add("ti10_cci", f"""with {BARS}, x as (select *, (high + low + close) / 3 as tp from bars),
 y as (select *, array_agg(tp) over {_w(20)} as a, avg(tp) over {_w(20)} as m from x)
 select symbol, ts, case when len(a) >= 20 then (tp - m) / nullif(list_sum(list_transform(a, lambda v: abs(v - m))) / 20 * 0.015, 0) end as cci_20 from y""")
 def ti10(spark, d):
-    return X.bars(spark, d).withColumn("tp", I.typical()).select("symbol", "ts", I.cci_of("tp").alias("cci_20"))
+    return frames.columns(X.bars(spark, d).withColumn("tp", I.typical()), "symbol", "ts", cci_20=I.cci_of("tp"))
 
 
 @Q.add("ti11_williams_r", _sql(_full("close", 14, f"({_HI} - close) / nullif({_HI} - {_LO}, 0) * -100") + " as williams_r"))
@@ -182,7 +183,7 @@ def _mid(n: int) -> str:
 @Q.add("ti15_ichimoku", f"""with {BARS}, x as (select *, {_mid(9)} as conversion, {_mid(26)} as base, {_mid(52)} as b, lead(close, 26) over ({W}) as lagging from bars)
 select symbol, ts, conversion, base, lagging, lag((conversion + base) / 2, 26) over ({W}) as span_a, lag(b, 26) over ({W}) as span_b from x""")
 def ti15(spark, d):
-    return I.with_ichimoku(X.bars(spark, d)).select("symbol", "ts", "conversion", "base", "lagging", "span_a", "span_b")
+    return frames.framed(X.bars(spark, d), I.with_ichimoku).select("symbol", "ts", "conversion", "base", "lagging", "span_a", "span_b")
 
 
 @Q.add("ti16_vortex", f"""with {BARS}{_TRX}
@@ -257,4 +258,4 @@ def latest_signals(spark, d):
 
 @Q.add("ti27_all_indicators")
 def ti27(spark, d):
-    return I.all_indicators(X.bars(spark, d))
+    return frames.framed(X.bars(spark, d), I.all_indicators)

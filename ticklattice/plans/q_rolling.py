@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.functions import rolling as R
 from ticklattice.plans import Queries
@@ -16,11 +17,11 @@ RET = f", x as (select *, close / nullif({LAG}, 0) - 1 as ret, ln(close / nullif
 
 
 def _bars(spark, d, **columns):
-    return X.bars(spark, d).select("symbol", "ts", *[v.alias(k) for k, v in columns.items()])
+    return frames.columns(X.bars(spark, d), "symbol", "ts", **columns)
 
 
 def _returns(spark, d):
-    return X.bars(spark, d).select("symbol", "ts", "open", "high", "low", "close", "volume", *[v.alias(k) for k, v in R.returns().items()])
+    return frames.columns(X.bars(spark, d), "symbol", "ts", "open", "high", "low", "close", "volume", **R.returns())
 
 
 def _stat(s: str, x: str, w: str) -> str:
@@ -74,13 +75,14 @@ def with_market(returns):
 @Q.add("rs6_j7_beta", f"""with {BARS}{MARKET} select symbol, ts, market, {_full("ret", 20, f"covar_samp(ret, market) over {_w(20)} / nullif(var_samp(market) over {_w(20)}, 0)")} as beta_20,
 {_full("ret", 20, f"covar_samp(ret, market) over {_w(20)} / nullif(var_samp(market) over {_w(20)}, 0) * 20.0 / 19.0").replace("20.0 / 19.0", f"(count(market) over {_w(20)}) / nullif(count(market) over {_w(20)} - 1, 0)")} as beta_mixed from j""")
 def rs6(spark, d):
-    return with_market(_returns(spark, d)).select("symbol", "ts", "market", R.beta("ret", "market", 20).alias("beta_20"), R.beta("ret", "market", 20, "mixed").alias("beta_mixed"))
+    beta = {"beta_20": R.beta("ret", "market", 20), "beta_mixed": R.beta("ret", "market", 20, "mixed")}
+    return frames.columns(with_market(_returns(spark, d)), "symbol", "ts", "market", **beta)
 
 
 @Q.add("rs7_rs10_volatility", f"""with {BARS}{RET}, y as (select *, ln(high / nullif(low, 0)) ** 2 as p from x)
 select symbol, ts, {_full("ret", 20, f"stddev_samp(ret) over {_w(20)} * sqrt(252)")} as vol_20, {_full("p", 20, f"sqrt(avg(p) over {_w(20)} / (4 * ln(2)) * 252)")} as parkinson_20 from y""")
 def rs7(spark, d):
-    return _returns(spark, d).select("symbol", "ts", R.realized_volatility("ret", 20).alias("vol_20"), R.parkinson(20).alias("parkinson_20"))
+    return frames.columns(_returns(spark, d), "symbol", "ts", vol_20=R.realized_volatility("ret", 20), parkinson_20=R.parkinson(20))
 
 
 @Q.add("rs8_garch")
@@ -91,8 +93,11 @@ def rs8(spark, d):
 @Q.add("rs9_vol_of_vol", f"""with {BARS}{RET}, y as (select symbol, ts, {_full("ret", 20, f"stddev_samp(ret) over {_w(20)} * sqrt(252)")} as vol from x)
 select symbol, ts, {_full("vol", 20, f"stddev_samp(vol) over {_w(20)}")} as vol_of_vol from y""")
 def rs9(spark, d):
-    v = _returns(spark, d).select("symbol", "ts", R.realized_volatility("ret", 20).alias("vol"))
-    return v.select("symbol", "ts", I.full("vol", 20, F.stddev_samp("vol").over(I.rows(20))).alias("vol_of_vol"))
+    def twice(returns):
+        vol = returns.select("symbol", "ts", R.realized_volatility("ret", 20).alias("vol"))
+        return vol.select("symbol", "ts", I.full("vol", 20, F.stddev_samp("vol").over(I.rows(20))).alias("vol_of_vol"))
+
+    return frames.framed(_returns(spark, d), twice)
 
 
 @Q.add("rs11_momentum_family", f"with {BARS} select symbol, ts, " + ", ".join(
@@ -134,12 +139,12 @@ _LAGS = ", x as (select *, " + ", ".join(f"lag(close, {k}) over ({W}) as l{k}" f
 
 @Q.add("rs15_autocorrelation", f"with {BARS}{_LAGS} select symbol, ts, {_acf(1)} as acf_1, {_acf(5)} as acf_5 from x")
 def rs15(spark, d):
-    return R.with_autocorrelations(X.bars(spark, d), "close").select("symbol", "ts", "acf_1", "acf_5")
+    return frames.framed(X.bars(spark, d), lambda bars: R.with_autocorrelations(bars, "close")).select("symbol", "ts", "acf_1", "acf_5")
 
 
 @Q.add("rs16_ljung_box", f"with {BARS}{_LAGS} select symbol, ts, (" + " + ".join(f"({_acf(k)}) ** 2 / {50 - k}" for k in range(1, 6)) + ") * 50 * 52 as ljung_box from x")
 def rs16(spark, d):
-    return R.with_ljung_box(X.bars(spark, d), "close").select("symbol", "ts", "ljung_box")
+    return frames.framed(X.bars(spark, d), lambda bars: R.with_ljung_box(bars, "close")).select("symbol", "ts", "ljung_box")
 
 
 @Q.add("rs17_lag_features", f"with {BARS} select symbol, ts, " + ", ".join(
@@ -155,7 +160,7 @@ def rs18(spark, d):
 
 @Q.add("rs19_feature_set")
 def rs19(spark, d):
-    return R.feature_set(X.bars(spark, d))
+    return frames.framed(X.bars(spark, d), R.feature_set)
 
 
 @Q.add("rs21_streaks", f"""with {BARS}, x as (select symbol, ts, sign(close - {LAG}) as s, row_number() over ({W}) as r from bars),
