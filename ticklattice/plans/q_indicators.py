@@ -201,7 +201,20 @@ def ti17(spark, d):
     return I.with_keltner(X.bars(spark, d)).select("symbol", "ts", "kc_middle", "kc_upper", "kc_lower")
 
 
-@Q.add("ti18_psar")
+@Q.add("ti18_psar", f"""with recursive {BARS},
+n as (select symbol, ts, high, low, row_number() over ({W}) as r, lag(low) over ({W}) as l1, coalesce(lag(low, 2) over ({W}), lag(low) over ({W})) as l2,
+      lag(high) over ({W}) as h1, coalesce(lag(high, 2) over ({W}), lag(high) over ({W})) as h2 from bars),
+p as (
+  select symbol, ts, r, true as rising, cast(0.02 as double) as speed, low as sar, high as extreme from n where r = 1
+  union all
+  select symbol, ts, r, case when rising then low >= up else high > down end,
+         case when flips then 0.02 when further then least(cast(0.2 as double), speed + cast(0.02 as double)) else speed end,
+         case when flips then extreme when rising then up else down end,
+         case when (flips or further) and rising <> flips then high when flips or further then low else extreme end
+  from (select *, case when rising then low < up else high > down end as flips, case when rising then high > extreme else low < extreme end as further
+        from (select n.symbol, n.ts, n.r, n.high, n.low, p.rising, p.speed, p.extreme, least(p.sar + p.speed * (p.extreme - p.sar), n.l1, n.l2) as up,
+                     greatest(p.sar + p.speed * (p.extreme - p.sar), n.h1, n.h2) as down from p join n on n.symbol = p.symbol and n.r = p.r + 1)))
+select symbol, ts, sar as psar from p""")
 def ti18(spark, d):
     return I.psar(X.bars(spark, d))
 
@@ -256,6 +269,15 @@ def latest_signals(spark, d):
     return I.signals(X.bars(spark, d, "1 day"))
 
 
-@Q.add("ti27_all_indicators")
+def _joined(*names: str) -> str:
+    """Joins of the SQL of other queries to the bars."""
+    return " ".join(f"join ({Q.sql[n]}) q{k} using (symbol, ts)" for k, n in enumerate(names))
+
+
+@Q.add("ti27_all_indicators", f"""with {BARS} select symbol, ts, b.open, b.high, b.low, b.close, b.volume, b.vwap, b.trade_count, sma_5, sma_10, sma_20, sma_50, rsi_ml as rsi_14,
+  bb_upper, bb_middle, bb_lower, bb_width, bb_position, stoch_k, tr, (b.high + b.low + b.close) / 3 as tp, williams_r, momentum_10, roc_10, cmf_20, volume_ratio, vi_plus, vi_minus,
+  position_in_range, body, upper_shadow, lower_shadow, "pivot", r1, s1, stoch_d, atr_14, cci_20
+from bars b """ + _joined("ti1_sma", "ti4_rsi", "ti6_bollinger", "ti7_stochastic", "ti8_atr", "ti11_williams_r", "ti12_momentum_roc", "ti22_cmf", "ti19_volume_ratio", "ti16_vortex",
+                          "ti23_ti24_pivots_candles", "ti10_cci"))
 def ti27(spark, d):
     return frames.framed(X.bars(spark, d), I.all_indicators)

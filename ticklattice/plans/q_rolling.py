@@ -85,7 +85,10 @@ def rs7(spark, d):
     return frames.columns(_returns(spark, d), "symbol", "ts", vol_20=R.realized_volatility("ret", 20), parkinson_20=R.parkinson(20))
 
 
-@Q.add("rs8_garch")
+@Q.add("rs8_garch", f"""with {BARS}{RET}, v as (select *, var_samp(ret) over (partition by symbol) as var, lag(ret) over ({W}) as prior, row_number() over ({W}) as r from x),
+t as (select symbol, ts, case when r = 1 then var else {1 - 0.1 - 0.85!r} * var + 0.1 * coalesce(prior ** 2, 0) end as term from v),
+a as (select symbol, ts, array_agg(cast(term as double)) over ({W} rows unbounded preceding) as terms from t)
+select symbol, ts, sqrt(list_reduce(terms, lambda acc, v: acc * cast(0.85 as double) + v)) as garch_vol from a""")
 def rs8(spark, d):
     return R.with_garch(_returns(spark, d), "ret").select("symbol", "ts", "garch_vol")
 
@@ -158,7 +161,13 @@ def rs18(spark, d):
     return R.with_cumulative_return(_returns(spark, d)).select("symbol", "ts", "ret", "log_ret", "cum_ret")
 
 
-@Q.add("rs19_feature_set")
+_R19 = ", ".join(f"case when count(ret) over {_w(20)} >= 5 then {_stat(k, 'ret', _w(20))} end as ret_{k}_20" for k in ("mean", "std", "skew", "kurt", "q25", "q75"))
+
+
+@Q.add("rs19_feature_set", f"""with {BARS}{RET}, r as (select *, {_R19} from x)
+select symbol, ts, r.open, r.high, r.low, r.close, r.volume, r.vwap, r.trade_count, r.ret, r.log_ret, ret_mean_20, ret_std_20, ret_skew_20, ret_kurt_20, ret_q25_20, ret_q75_20,
+  z_20, rank_20, vol_20, parkinson_20, ma_gap_20, diff_5, pct_5, log_5, diff_10, pct_10, log_10 from r """ + " ".join(
+    f"join ({Q.sql[n]}) q{k} using (symbol, ts)" for k, n in enumerate(("rs2_z_score", "rs3_percentile_rank", "rs7_rs10_volatility", "rs12_mean_reversion", "rs11_momentum_family"))))
 def rs19(spark, d):
     return frames.framed(X.bars(spark, d), R.feature_set)
 
