@@ -29,6 +29,8 @@ RECORD = (
 LEAST_REVISIT = 100
 #: Ranges closer than GAP are read at once, up to RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+#: Bytes of an archive that one task reads in a row.
+TASK_BYTES = 4 << 20
 
 
 def _header(value: str) -> str:
@@ -147,9 +149,12 @@ def _parse(record: bytes) -> dict:
 
 def read_archives(index: DataFrame, *, with_payload: bool = True, gap: int = GAP, most: int = RANGE) -> DataFrame:
     """Records of the given index rows (any selection of them), read by coalesced ranges and checked by digest."""
-    # Places in one file lie together and in order, and one large file is dealt to several tasks.
+    # Dealt by bytes of the archives, for the index itself is small: neighbours in a file lie together and in order, and a
+    # large file goes to several tasks.  The number of tasks follows from the bytes asked for.
     places = index.select("file", "offset", "length")
-    places = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    asked = places.agg(F.sum("length").alias("n")).first()["n"] or 0
+    slot = F.floor(F.col("offset") / TASK_BYTES)
+    places = places.repartition(1 + 2 * asked // TASK_BYTES, F.col("file"), slot).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
