@@ -256,3 +256,33 @@ def test_dead_letters_and_upserts_by_batch(spark, tmp_path):
     stream = jobs.table_stream(spark, str(src), "symbol string, ts timestamp_ntz, price double")
     jobs.each_batch(stream, jobs.keep_latest(str(tmp_path / "k"), ["symbol"], "price"), str(tmp_path / "c1"))
     assert sorted((r["symbol"], r["price"]) for r in spark.read.parquet(str(tmp_path / "k" / "0")).collect()) == [("A", 1.0), ("B", 2.0)]
+
+
+def test_quantiles_are_exact_for_skewed_repeated_and_missing_values(spark):
+    import numpy as np
+
+    from ticklattice.functions import quantiles
+
+    random = np.random.default_rng(5)
+    columns = {"skewed": np.exp(random.normal(0, 6, 3000)), "ties": random.integers(0, 3, 3000).astype(float), "one": np.full(3000, 2.5), "none": np.full(3000, np.nan)}
+    columns["skewed"][::7] = np.nan
+    rows = [tuple(None if np.isnan(v) and k % 14 else float(v) for v in row) for k, row in enumerate(zip(*columns.values(), strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns))
+    probs = [0.0, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = quantiles.quantiles(df, {n: n for n in columns}, probs, parts=8)
+    assert got.pop("none") == [None] * len(probs)
+    for n, values in got.items():
+        assert np.allclose(values, np.nanquantile(columns[n], probs), rtol=1e-12)
+    assert quantiles.quantiles(df.limit(0), {"x": "one"}, probs) == {"x": [None] * len(probs)}
+
+
+def test_parameters_of_a_matrix_see_every_feature_and_survive_constants(spark):
+    from ticklattice.operators import anomaly
+
+    rows = [(k, float(k % 5), 1.0, 100.0 if k == 7 else float(k % 3)) for k in range(40)]
+    m = spark.createDataFrame(rows, "k long, a double, b double, last double")
+    names = ["a", "b", "last"]
+    top = anomaly.score_params(m, anomaly.fit_params(m, names), names).orderBy(F.desc("z_score")).first()
+    assert top["k"] == 7 and top["z_score"] > 5 and top["iqr_score"] > 10
+    pairs = {(r["a"], r["b"]): r["corr"] for r in evaluate.correlations(m, names).collect()}
+    assert len(pairs) == 3 and pairs["a", "b"] is None and abs(pairs["a", "last"]) < 1

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames
+from ticklattice.functions import frames, quantiles
 
 c = F.col
 
@@ -79,23 +79,26 @@ def correlation_breaks(rows: DataFrame, n: int = 20) -> DataFrame:
     return one.withColumn("corr_z", z).withColumn("is_corr_break", _no(F.abs("corr_z") > 3))
 
 
-def fit_params(matrix: DataFrame, features: list[str]) -> DataFrame:
-    """One row of population mean and deviation, median, quartiles and median absolute deviation of each feature."""
-    first = matrix.agg(*[
-        a.alias(f"{f}__{n}") for f in features
-        for n, a in (("mean", F.avg(f)), ("std", F.stddev_pop(f)), ("med", F.percentile(f, F.lit(0.5))), ("q1", F.percentile(f, F.lit(0.25))), ("q3", F.percentile(f, F.lit(0.75))))
-    ])
-    mads = matrix.crossJoin(F.broadcast(first)).agg(*[F.percentile(F.abs(c(f) - c(f"{f}__med")), F.lit(0.5)).alias(f"{f}__mad") for f in features])
-    return first.crossJoin(mads)  # one row each
+def fit_params(matrix: DataFrame, features: list[str]) -> dict[str, dict[str, float | None]]:
+    """Population mean and deviation, median, quartiles and median absolute deviation of each feature."""
+    one = matrix.agg(*[a.alias(f"{f}__{n}") for f in features for n, a in (("mean", F.avg(f)), ("std", F.stddev_pop(f)))]).first()
+    fit = {f: {"mean": one[f"{f}__mean"], "std": one[f"{f}__std"]} for f in features}
+    for f, (q1, med, q3) in quantiles.quantiles(matrix, {f: f for f in features}, [0.25, 0.5, 0.75]).items():
+        fit[f] |= {"q1": q1, "med": med, "q3": q3}
+    far = {f: F.abs(c(f) - F.lit(fit[f]["med"]).cast("double")) for f in features}
+    for f, (mad,) in quantiles.quantiles(matrix, far, [0.5]).items():
+        fit[f]["mad"] = mad
+    return fit
 
 
-def score_params(matrix: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
+def score_params(matrix: DataFrame, params: dict[str, dict[str, float | None]], features: list[str]) -> DataFrame:
     """Row scores by z, modified z and IQR distance: the greatest over the features."""
-    one = matrix.crossJoin(F.broadcast(params))  # one row
-    z = F.greatest(*[F.abs(F.try_divide(c(f) - c(f"{f}__mean"), c(f"{f}__std"))) for f in features])
-    m = F.greatest(*[F.abs(F.try_divide((c(f) - c(f"{f}__med")) * 0.6745, c(f"{f}__mad"))) for f in features])
-    iqr = F.greatest(*[F.try_divide(F.greatest(c(f"{f}__q1") - c(f), c(f) - c(f"{f}__q3"), F.lit(0.0)), c(f"{f}__q3") - c(f"{f}__q1")) for f in features])
-    return one.select(*matrix.columns, z.alias("z_score"), m.alias("modified_z"), iqr.alias("iqr_score"))
+    p = {(f, n): F.lit(x).cast("double") for f in features for n, x in params[f].items()}
+    z = [F.abs(F.try_divide(c(f) - p[f, "mean"], p[f, "std"])) for f in features]
+    m = [F.abs(F.try_divide((c(f) - p[f, "med"]) * 0.6745, p[f, "mad"])) for f in features]
+    iqr = [F.try_divide(F.greatest(p[f, "q1"] - c(f), c(f) - p[f, "q3"], F.lit(0.0)), p[f, "q3"] - p[f, "q1"]) for f in features]
+    most = lambda scores: F.array_max(F.array(*scores))
+    return matrix.select("*", most(z).alias("z_score"), most(m).alias("modified_z"), most(iqr).alias("iqr_score"))
 
 
 def series_detectors(bars: DataFrame, n: int = 20) -> DataFrame:

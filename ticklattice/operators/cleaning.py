@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import quantiles
+
 
 def clean_symbol(x: Column) -> Column:
     """Upper case without an exchange suffix such as ``.US``, anything but letters and digits dropped."""
@@ -110,18 +112,15 @@ def outliers_z(rows: DataFrame, x: str, width: float = 3.0) -> DataFrame:
 
 def outliers_global(rows: DataFrame, x: str) -> DataFrame:
     """Flags over the whole table: IQR 1.5, z 3 and modified z 3.5 (median and median absolute deviation)."""
-    first = rows.agg(
-        F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, F.lit(0.5)).alias("med")
-    )
-    one = rows.crossJoin(F.broadcast(first))  # one row
-    mad = one.agg(F.percentile(F.abs(F.col(x) - F.col("med")), F.lit(0.5)).alias("mad"))
-    both = one.crossJoin(F.broadcast(mad))
-    iqr = F.col("q3") - F.col("q1")
+    one = rows.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).first()
+    number = lambda v: F.lit(v).cast("double")
+    q1, med, q3 = (number(v) for v in quantiles.quantiles(rows, {x: x}, [0.25, 0.5, 0.75])[x])
+    mad = number(quantiles.quantiles(rows, {x: F.abs(F.col(x) - med)}, [0.5])[x][0])
     no = lambda v: F.coalesce(v, F.lit(False))
-    return both.select(
-        *rows.columns, no((F.col(x) < F.col("q1") - iqr * 1.5) | (F.col(x) > F.col("q3") + iqr * 1.5)).alias("is_iqr"),
-        no(F.abs(F.try_divide(F.col(x) - F.col("mean"), F.col("std"))) > 3).alias("is_z"),
-        no(F.abs(F.try_divide((F.col(x) - F.col("med")) * 0.6745, F.col("mad"))) > 3.5).alias("is_modified_z"),
+    return rows.select(
+        "*", no((F.col(x) < q1 - (q3 - q1) * 1.5) | (F.col(x) > q3 + (q3 - q1) * 1.5)).alias("is_iqr"),
+        no(F.abs(F.try_divide(F.col(x) - number(one["mean"]), number(one["std"]))) > 3).alias("is_z"),
+        no(F.abs(F.try_divide((F.col(x) - med) * 0.6745, mad)) > 3.5).alias("is_modified_z"),
     )
 
 

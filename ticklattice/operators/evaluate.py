@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import quantiles
+
 c = F.col
 
 
@@ -142,18 +144,26 @@ def time_folds(positioned: DataFrame, folds: int = 5) -> DataFrame:
 
 def scale(matrix: DataFrame, features: list[str]) -> DataFrame:
     """Standard (population deviation), min-max and robust scaling of each feature."""
-    one = matrix.agg(*[
-        a.alias(f"{f}__{n}") for f in features for n, a in (
-            ("m", F.avg(f)), ("s", F.stddev_pop(f)), ("lo", F.min(f)), ("hi", F.max(f)), ("med", F.percentile(f, F.lit(0.5))), ("q1", F.percentile(f, F.lit(0.25))), ("q3", F.percentile(f, F.lit(0.75))))
-    ])
-    both = matrix.crossJoin(F.broadcast(one))  # one row
+    one = matrix.agg(*[a.alias(f"{f}__{n}") for f in features for n, a in (("m", F.avg(f)), ("s", F.stddev_pop(f)), ("lo", F.min(f)), ("hi", F.max(f)))]).first()
+    q = quantiles.quantiles(matrix, {f: f for f in features}, [0.25, 0.5, 0.75])
     out = []
     for f in features:
+        m, s, lo, hi, q1, med, q3 = (F.lit(x).cast("double") for x in (*(one[f"{f}__{n}"] for n in ("m", "s", "lo", "hi")), *q[f]))
         out += [
-            F.try_divide(c(f) - c(f"{f}__m"), c(f"{f}__s")).alias(f"{f}_standard"), F.try_divide(c(f) - c(f"{f}__lo"), c(f"{f}__hi") - c(f"{f}__lo")).alias(f"{f}_minmax"),
-            F.try_divide(c(f) - c(f"{f}__med"), c(f"{f}__q3") - c(f"{f}__q1")).alias(f"{f}_robust"),
+            F.try_divide(c(f) - m, s).alias(f"{f}_standard"), F.try_divide(c(f) - lo, hi - lo).alias(f"{f}_minmax"), F.try_divide(c(f) - med, q3 - q1).alias(f"{f}_robust"),
         ]
-    return both.select(*matrix.columns, *out)
+    return matrix.select("*", *out)
+
+
+def correlations(matrix: DataFrame, features: list[str]) -> DataFrame:
+    """(a, b, corr) of each pair of features, from one pass over the rows that have all of them; null where one is constant."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
+    held = matrix.select(F.array(*[c(f).cast("double") for f in features]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    table = Correlation.corr(held.select(array_to_vector("v").alias("v")), "v").first()[0].toArray()  # features by features
+    pairs = [(features[i], features[j], float(table[i, j])) for i in range(len(features)) for j in range(i + 1, len(features))]
+    return matrix.sparkSession.createDataFrame(pairs, "a string, b string, corr double").select("a", "b", F.nanvl("corr", F.lit(None).cast("double")).alias("corr"))
 
 
 def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 7) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import quantiles
+
 c = F.col
 TREES, SAMPLE = 50, 256
 NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -89,11 +91,12 @@ def score(matrix: DataFrame, nodes: DataFrame, features: list[str], *, sample: i
 
 def contamination(matrix: DataFrame, features: list[str]) -> DataFrame:
     """Median over the features of the share of IQR outliers, between 0.01 and 0.5."""
-    q = matrix.agg(*[F.percentile(f, F.lit(p)).alias(f"{f}__{n}") for f in features for n, p in (("a", 0.25), ("b", 0.75))])
-    both = matrix.crossJoin(F.broadcast(q))  # one row
-    out = lambda f: (c(f) < c(f"{f}__a") - (c(f"{f}__b") - c(f"{f}__a")) * 1.5) | (c(f) > c(f"{f}__b") + (c(f"{f}__b") - c(f"{f}__a")) * 1.5)
-    rates = both.agg(*[F.avg(F.coalesce(out(f), F.lit(False)).cast("double")).alias(f) for f in features]).unpivot([], features, "f", "rate")
-    return rates.agg(F.least(F.greatest(F.percentile("rate", F.lit(0.5)), F.lit(0.01)), F.lit(0.5)).alias("contamination"))
+    q = quantiles.quantiles(matrix, {f: f for f in features}, [0.25, 0.75])
+    low = {f: F.lit(None if a is None else a - (b - a) * 1.5).cast("double") for f, (a, b) in q.items()}
+    high = {f: F.lit(None if a is None else b + (b - a) * 1.5).cast("double") for f, (a, b) in q.items()}
+    rates = matrix.agg(*[F.avg(F.coalesce((c(f) < low[f]) | (c(f) > high[f]), F.lit(False)).cast("double")).alias(f) for f in features])
+    rates = rates.unpivot([], features, "f", "rate")
+    return rates.agg(F.least(F.greatest(F.percentile("rate", F.lit(0.5)), F.lit(0.01)), F.lit(0.5)).alias("contamination"))  # one row a feature
 
 
 def sequence_errors(bars: DataFrame, *, n: int = 30, parts: int = 3) -> DataFrame:
@@ -111,8 +114,8 @@ def sequence_errors(bars: DataFrame, *, n: int = 30, parts: int = 3) -> DataFram
     e = model.transform(seq).withColumn("zz", vector_to_array("z")).withColumn("vv", vector_to_array("v"))
     error = F.aggregate(F.zip_with("vv", back, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) / n
     e = e.select("symbol", "ts", error.alias("error"))
-    edge = e.agg(F.percentile("error", F.lit(0.95)).alias("edge"))
-    return e.crossJoin(F.broadcast(edge)).select("symbol", "ts", "error", (c("error") > c("edge")).alias("is_anomaly"))  # one row
+    edge = quantiles.quantiles(e, {"error": "error"}, [0.95])["error"][0]
+    return e.select("symbol", "ts", "error", (c("error") > F.lit(edge).cast("double")).alias("is_anomaly"))
 
 
 def search(rows: DataFrame, spans: tuple[int, ...] = (20, 50, 100), widths: tuple[float, ...] = (2.0, 2.5, 3.0)) -> DataFrame:

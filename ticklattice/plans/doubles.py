@@ -62,7 +62,7 @@ DOUBLES: dict[str, str] = {
     "ml8_mcnemar": "chi_square",
     "ml8_mann_whitney": "u z",
     "ml8_paired_t": "mean_difference t",
-    "ml2_scaling": "f0_standard f0_minmax f0_robust",
+    "ml2_scaling": "standard minmax robust",
     "a20_correlation_matrix": "corr",
     "a21_variance": "variance",
     "a22_histogram": "mean std",

@@ -58,14 +58,17 @@ def correlation_breaks(spark, d):
     return frames.framed(with_market(_returns(spark, d)), A.correlation_breaks).select("symbol", "ts", "market_corr", "corr_z", "is_corr_break")
 
 
-FEATURES = [f"f{k}" for k in range(4)]
+#: Components of the given embeddings, all of them.
+DIMENSIONS = 64
+FEATURES = [f"f{k}" for k in range(DIMENSIONS)]
 
 
 def matrix(spark, d):
-    return X.table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(4)])
+    return X.table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(DIMENSIONS)])
 
 
-MATRIX = "matrix as (select vec_id, label, " + ", ".join(f"cast(embedding[{k + 1}] as double) as f{k}" for k in range(4)) + " from embeddings)"
+MATRIX = "matrix as (select vec_id, label, " + ", ".join(f"cast(embedding[{k + 1}] as double) as f{k}" for k in range(DIMENSIONS)) + " from embeddings)"
+LONG = f"long as (select vec_id, cast(i as integer) as k, cast(embedding[i + 1] as double) as x from embeddings, range({DIMENSIONS}) r(i))"
 _P = ", ".join(f"avg({f}) as {f}_m, stddev_pop({f}) as {f}_s, quantile_cont({f}, 0.5) as {f}_med, quantile_cont({f}, 0.25) as {f}_q1, quantile_cont({f}, 0.75) as {f}_q3" for f in FEATURES)
 
 

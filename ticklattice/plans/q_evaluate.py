@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ticklattice.operators import evaluate as E
 from ticklattice.operators import portfolio as P
 from ticklattice.plans import Queries
-from ticklattice.plans.q_detect import MATRIX, matrix
+from ticklattice.plans.q_detect import FEATURES, LONG, matrix
 from ticklattice.plans.q_rolling import MARKET, RET, _returns, with_market
 from ticklattice.sources import fixtures as X
 
@@ -122,24 +122,24 @@ def time_folds(spark, d):
     return E.time_folds(rows).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_row"), F.max("position").alias("last_row"))
 
 
-@Q.add("ml2_scaling", f"""with {MATRIX}, s as (select avg(f0) as m, stddev_pop(f0) as sd, min(f0) as lo, max(f0) as hi, quantile_cont(f0, 0.5) as med, quantile_cont(f0, 0.25) as q1, quantile_cont(f0, 0.75) as q3 from matrix)
-select vec_id, (f0 - m) / nullif(sd, 0) as f0_standard, (f0 - lo) / nullif(hi - lo, 0) as f0_minmax, (f0 - med) / nullif(q3 - q1, 0) as f0_robust from matrix, s""")
+@Q.add("ml2_scaling", f"""with {LONG}, s as (select k, avg(x) as m, stddev_pop(x) as sd, min(x) as lo, max(x) as hi, quantile_cont(x, 0.5) as med, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3 from long group by 1)
+select vec_id, 'f' || k as feature, (x - m) / nullif(sd, 0) as standard, (x - lo) / nullif(hi - lo, 0) as minmax, (x - med) / nullif(q3 - q1, 0) as robust from long join s using (k)""")
 def scaling(spark, d):
-    return E.scale(matrix(spark, d).select("vec_id", "f0"), ["f0"]).drop("f0")
+    kinds = ("standard", "minmax", "robust")
+    wide = E.scale(matrix(spark, d), FEATURES)
+    scaled = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{f}_{k}").alias(k) for k in kinds]) for f in FEATURES])
+    return wide.select("vec_id", F.explode(scaled).alias("s")).select("vec_id", "s.*")
 
 
-@Q.add("a20_correlation_matrix", f"with {MATRIX} " + " union all ".join(f"select 'f{i}' as a, 'f{j}' as b, corr(f{i}, f{j}) as corr from matrix" for i in range(4) for j in range(i + 1, 4)))
+@Q.add("a20_correlation_matrix", f"with {LONG} select 'f' || p.k as a, 'f' || q.k as b, corr(p.x, q.x) as corr from long p join long q on p.vec_id = q.vec_id and p.k < q.k group by p.k, q.k")
 def correlation_matrix(spark, d):
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    one = matrix(spark, d).agg(*[F.corr(f"f{i}", f"f{j}").alias(f"f{i}_f{j}") for i, j in pairs])
-    long = one.unpivot([], [f"f{i}_f{j}" for i, j in pairs], "pair", "corr")
-    return long.select(F.split("pair", "_")[0].alias("a"), F.split("pair", "_")[1].alias("b"), "corr")
+    return E.correlations(matrix(spark, d), FEATURES)
 
 
-@Q.add("a21_variance", f"with {MATRIX} " + " union all ".join(f"select 'f{i}' as feature, var_samp(f{i}) as variance, var_samp(f{i}) < 0.01 as low_variance from matrix" for i in range(4)))
+@Q.add("a21_variance", f"with {LONG} select 'f' || k as feature, var_samp(x) as variance, var_samp(x) < 0.01 as low_variance from long group by k")
 def variance(spark, d):
-    one = matrix(spark, d).agg(*[F.var_samp(f"f{i}").alias(f"f{i}") for i in range(4)])
-    return one.unpivot([], [f"f{i}" for i in range(4)], "feature", "variance").withColumn("low_variance", F.col("variance") < 0.01)
+    one = matrix(spark, d).agg(*[F.var_samp(f).alias(f) for f in FEATURES])
+    return one.unpivot([], FEATURES, "feature", "variance").withColumn("low_variance", F.col("variance") < 0.01)
 
 
 @Q.add("a22_histogram", f"""with {X.TRADES}, e as (select min(price) as lo, max(price) as hi from trades)

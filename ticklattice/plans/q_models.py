@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticklattice.functions import quantiles
 from ticklattice.operators import evaluate as E
 from ticklattice.operators import forest as M
 from ticklattice.plans import Queries
@@ -40,8 +41,8 @@ def sequence_errors(spark, d):
 def batch_scoring(spark, d):
     """The forest's rows above the 99th percentile of scores: alerts of a batch."""
     m = isolation_forest(spark, d)
-    edge = m.agg(F.percentile("iforest_score", F.lit(0.99)).alias("edge"))
-    return m.join(F.broadcast(edge), c("iforest_score") > c("edge")).select("vec_id", "iforest_score")
+    edge = quantiles.quantiles(m, {"s": "iforest_score"}, [0.99])["s"][0]
+    return m.filter(c("iforest_score") > F.lit(edge).cast("double"))
 
 
 @Q.add("ml10_search")
