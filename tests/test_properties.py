@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames
+from ticklattice.functions import frames, quantiles
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.functions import rolling as R
 from ticklattice.functions import scan
-from ticklattice.operators import asof, bars, cleaning, drift, evaluate, forest, portfolio, validation
+from ticklattice.operators import anomaly, asof, bars, cleaning, drift, evaluate, forest, portfolio, validation
 from ticklattice.sources import feeds, fixtures, sinks
 from ticklattice.streaming import jobs
 
@@ -259,12 +260,8 @@ def test_dead_letters_and_upserts_by_batch(spark, tmp_path):
 
 
 def test_quantiles_are_exact_for_skewed_repeated_and_missing_values(spark):
-    import numpy as np
-
-    from ticklattice.functions import quantiles
-
-    random = np.random.default_rng(5)
-    columns = {"skewed": np.exp(random.normal(0, 6, 3000)), "ties": random.integers(0, 3, 3000).astype(float), "one": np.full(3000, 2.5), "none": np.full(3000, np.nan)}
+    generator = np.random.default_rng(5)
+    columns = {"skewed": np.exp(generator.normal(0, 6, 3000)), "ties": generator.integers(0, 3, 3000).astype(float), "one": np.full(3000, 2.5), "none": np.full(3000, np.nan)}
     columns["skewed"][::7] = np.nan
     rows = [tuple(None if np.isnan(v) and k % 14 else float(v) for v in row) for k, row in enumerate(zip(*columns.values(), strict=True))]
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns))
@@ -277,8 +274,6 @@ def test_quantiles_are_exact_for_skewed_repeated_and_missing_values(spark):
 
 
 def test_parameters_of_a_matrix_see_every_feature_and_survive_constants(spark):
-    from ticklattice.operators import anomaly
-
     rows = [(k, float(k % 5), 1.0, 100.0 if k == 7 else float(k % 3)) for k in range(40)]
     m = spark.createDataFrame(rows, "k long, a double, b double, last double")
     names = ["a", "b", "last"]
@@ -286,3 +281,25 @@ def test_parameters_of_a_matrix_see_every_feature_and_survive_constants(spark):
     assert top["k"] == 7 and top["z_score"] > 5 and top["iqr_score"] > 10
     pairs = {(r["a"], r["b"]): r["corr"] for r in evaluate.correlations(m, names).collect()}
     assert len(pairs) == 3 and pairs["a", "b"] is None and abs(pairs["a", "last"]) < 1
+
+
+def test_indicator_state_is_carried_across_batches(spark, tmp_path):
+    draw = random.Random(3)
+    schema = "symbol string, ts timestamp, trade_id long, price double, size long"
+    rows = [(draw.choice("AB"), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=draw.randint(0, 40) + 41 * (k // 60)), k, float(draw.randint(1, 9)), draw.randint(1, 50)) for k in range(180)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    run, cuts = jobs.indicator_state(str(tmp_path / "state")), [0, 61, 61, 130, 180]  # one batch is empty
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        batch = spark.createDataFrame(rows[lo:hi], schema)
+        run(batch, k)
+    run(batch, k)  # a batch that runs again changes nothing
+    state, want = {}, {}
+    for symbol, _, trade_id, price, size in rows:
+        ema, obv, last = state.get(symbol, (price, 0.0, price))
+        if symbol in state:
+            ema, obv = ema * 11 / 13 + price * 2 / 13, obv + size * ((price > last) - (price < last))
+        state[symbol] = (ema, obv, price)
+        want[trade_id] = (ema, obv)
+    got = {r["trade_id"]: (r["ema"], r["obv"]) for r in spark.read.parquet(str(tmp_path / "state" / "out")).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)

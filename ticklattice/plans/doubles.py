@@ -144,7 +144,7 @@ DOUBLES: dict[str, str] = {
     "rs17_lag_features": "lag_1 diff_1 pct_1 lag_2 diff_2 pct_2 lag_3 diff_3 pct_3",
     "rs18_returns": "ret log_ret cum_ret",
     "st1_st2_stream_bars": "open high low close",
-    "st6_keyed_state": "obv",
+    "st6_keyed_state": "ema obv",
     "st7_row_frames_on_stream": "sma_20",
     "st13_latest_trade": "price",
     "ti18_psar": "psar",

@@ -43,11 +43,14 @@ def stream_dedupe(spark, d):
     return J.drained(J.deduplicated(s, ["slot"]), "dedupe").select("slot")
 
 
-@Q.add("st6_keyed_state", f"""with {X.TRADES}, a as (select symbol, ts, trade_id, array_agg(price) over ({W}, trade_id rows unbounded preceding) as p, price - lag(price) over ({W}, trade_id) as dl, size from trades)
-select symbol, ts, trade_id, sum(case when dl > 0 then size when dl < 0 then -size else 0 end) over ({W}, trade_id rows unbounded preceding)::double as obv from a""")
+# The average over the last 401 prices: what is older has a weight below 1e-28.
+@Q.add("st6_keyed_state", f"""with {X.TRADES}, a as (select symbol, ts, trade_id, array_agg(price) over ({W}, trade_id rows between 400 preceding and current row) as p, price - lag(price) over ({W}, trade_id) as dl, size from trades)
+select symbol, ts, trade_id, list_reduce(p, lambda acc, v: acc * {11 / 13!r} + v * {2 / 13!r}) as ema,
+  sum(case when dl > 0 then size when dl < 0 then -size else 0 end) over ({W}, trade_id rows unbounded preceding)::double as obv from a""")
 def keyed_state(spark, d):
-    out = J.drained(J.indicator_state(trade_stream(spark, d)), "state")
-    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "trade_id", "obv")
+    folder = J.workspace(spark, "state")
+    J.each_batch(trade_stream(spark, d), J.indicator_state(folder), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "trade_id", "ema", "obv")
 
 
 @Q.add("st7_row_frames_on_stream", f"with {X.TRADES} select symbol, ts, trade_id, avg(price) over ({W}, trade_id rows between 19 preceding and current row) as sma_20 from trades")

@@ -8,12 +8,14 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ticklattice.functions import frames, scan
 from ticklattice.operators import bars as B
 
 c = F.col
@@ -86,35 +88,53 @@ def latest(trades: DataFrame) -> DataFrame:
     return trades.groupBy("symbol").agg(F.max_by(F.struct("ts", "price", "size"), F.struct("ts", "trade_id")).alias("t")).select("symbol", "t.*")
 
 
-STATE = "ema double, obv double, last double, ts double, seen long"
-STATE_ROWS = "symbol string, ts timestamp, trade_id long, ema double, obv double"
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def indicator_state(trades: DataFrame, span: int = 12) -> DataFrame:
-    """EMA and OBV of every trade, kept per symbol across micro-batches; rows older than the state are left out.
+def indicator_state(folder: str, span: int = 12) -> Callable:
+    """A ``foreachBatch`` function: EMA and OBV of every trade at ``folder``/out, carried per symbol across micro-batches.
 
-    A batch's rows of a symbol are put in order before they are folded in.
+    A batch is put in order and computed by parts of time; what is kept between batches is one row a symbol (at
+    ``folder``/carry/<batch>), which goes before the batch's own rows.  Rows older than the state are left out.
     """
-    alpha = 2 / (span + 1)
+    decay = 1 - 2 / (span + 1)
+    kept = ["symbol", "ts", "trade_id", "price", "ema", "obv"]
 
-    def fold(key: tuple, frames: Iterator, state) -> Iterator:
-        import pandas as pd
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("symbol", "ts", "trade_id", c("price").cast("double").alias("price"), c("size").cast("double").alias("size"))
+        rows = new.withColumns({"ema": F.lit(None).cast("double"), "obv": F.lit(None).cast("double"), "__tie": c("trade_id"), "__seed": F.lit(False)})
+        before, old = f"{folder}/carry/{batch_id - 1}", None
+        if batch_id and _exists(spark, before):
+            old = spark.read.parquet(before)
+            newest = old.select("symbol", c("ts").alias("__newest"))
+            rows = rows.join(newest, "symbol", "left").filter("__newest is null or ts >= __newest").drop("__newest")
+            seeds = old.select("symbol", "ts", "trade_id", "price", F.lit(0.0).alias("size"), "ema", "obv", F.lit(-(1 << 63)).alias("__tie"), F.lit(True).alias("__seed"))
+            rows = rows.unionByName(seeds)
+        prior = F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "__tie"))
+        rows = frames.framed(rows, lambda r: r.withColumn("__prior", prior), tie="__tie", before=1, after=0)
+        seed, first = c("__seed"), c("__prior").isNull()
+        signed = F.when(seed, c("obv")).when(first, 0.0).otherwise(F.signum(c("price") - c("__prior")) * c("size"))
+        value = F.when(seed, c("ema")).when(first, c("price")).otherwise(c("price") * (1 - decay))
+        rows = rows.select("symbol", "ts", "trade_id", "price", "__tie", "__seed", value.alias("__value"), signed.alias("__signed"))
+        rows = scan.decayed_sums(rows, {"ema": (c("__value"), decay)}, tie="__tie").drop("__n")
+        rows = scan.running_sums(rows, {"obv": c("__signed")}, tie="__tie").filter(~seed)
+        out = rows.select(*kept)
+        _write_batch(out, batch_id, f"{folder}/out")
+        done = spark.read.schema(StructType([*out.schema.fields, StructField("_batch_id", IntegerType())])).parquet(f"{folder}/out").filter(c("_batch_id") == batch_id).select(*kept, F.lit(1).alias("__new"))
+        if old is not None:
+            done = done.unionByName(old.select(*kept, F.lit(0).alias("__new")))
+        last = done.groupBy("symbol").agg(F.max_by(F.struct(*kept[1:]), F.struct("ts", "__new", "trade_id")).alias("l"))
+        last.select("symbol", "l.*").write.mode("overwrite").parquet(f"{folder}/carry/{batch_id}")
 
-        pdf = pd.concat(list(frames)).sort_values(["ts", "trade_id"], kind="stable")
-        ema, obv, last, newest, seen = state.get if state.exists else (0.0, 0.0, 0.0, float("-inf"), 0)
-        out = []
-        for ts, trade_id, price, size in zip(pdf["ts"], pdf["trade_id"], pdf["price"], pdf["size"], strict=True):
-            at = ts.timestamp()
-            if at < newest:
-                continue
-            ema = price if not seen else ema * (1 - alpha) + price * alpha
-            obv += 0.0 if not seen or price == last else (size if price > last else -size)
-            last, newest, seen = price, at, seen + 1
-            out.append((key[0], ts, trade_id, ema, obv))
-        state.update((ema, obv, last, newest, seen))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "trade_id", "ema", "obv"])
+    return run
 
-    return trades.groupBy("symbol").applyInPandasWithState(fold, STATE_ROWS, STATE, "append", "NoTimeout")
+
+def _write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Rows of a micro-batch under its number; a batch that runs again replaces what it wrote."""
+    rows.withColumn("_batch_id", F.lit(batch_id)).write.partitionBy("_batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def with_tail(process: Callable[[DataFrame], DataFrame], path: str, *, rows: int, key: str = "symbol", order: tuple[str, ...] = ("ts", "trade_id"), inputs: list[str]) -> Callable:
@@ -122,19 +142,15 @@ def with_tail(process: Callable[[DataFrame], DataFrame], path: str, *, rows: int
 
     Output rows keep the inputs, so the tail comes from what was written; only the batch's own rows are written.
     """
-    from pyspark.sql import Window
-
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select(*inputs).withColumn("__new", F.lit(True))
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if batch_id and jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        if batch_id and _exists(spark, path):
             old = spark.read.parquet(path).filter(c("_batch_id") < batch_id).select(*inputs)
             w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
             tail = old.withColumn("__n", F.row_number().over(w)).filter(c("__n") <= rows).drop("__n").withColumn("__new", F.lit(False))
             new = new.unionByName(tail)
-        out = process(new).filter("__new").drop("__new").withColumn("_batch_id", F.lit(batch_id))
-        out.write.mode("append").partitionBy("_batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        _write_batch(process(new).filter("__new").drop("__new"), batch_id, path)
 
     return run
 
@@ -146,9 +162,8 @@ def keep_latest(path: str, keys: list[str], latest_by: str) -> Callable:
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/{batch_id - 1}"
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(before)
         both = batch
-        if batch_id and jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        if batch_id and _exists(spark, before):
             both = batch.unionByName(spark.read.parquet(before))
         newest(both, keys, [latest_by]).write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
@@ -163,7 +178,7 @@ def with_dead_letters(ok, main: str, dead: str) -> Callable:
         batch = batch.persist()
         good, bad = split_dead_letters(batch, ok)
         for rows, path in ((good, main), (bad, dead)):
-            rows.withColumn("_batch_id", F.lit(batch_id)).write.partitionBy("_batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+            _write_batch(rows, batch_id, path)
         batch.unpersist()
 
     return run
