@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 c = F.col
 #: Ranges into which the values of each column are dealt.
 PARTS = 64
 
 
+def dealt(counts: DataFrame, value: str, *, key: str | None = None, parts: int = PARTS) -> DataFrame:
+    """Adds part: the range of ``value``, of about equal numbers of rows (per ``key``), in rising order.
+
+    The edges come to the driver first (``parts`` numbers a key), so whatever reads the rows again finds the same ranges.
+    """
+    at = F.percentile_approx(c(value).cast("double"), [i / parts for i in range(1, parts)], 20 * parts).alias("__edges")
+    given = counts.groupBy(*([key] if key else [])).agg(at).filter("__edges is not null").collect()
+    place = F.size(F.filter("__edges", lambda x: x < c(value))).alias("part")
+    if key is None:
+        edges = F.array(*[F.lit(e) for e in (given[0][0] if given else [])]).cast("array<double>")
+        return counts.withColumn("__edges", edges).select(*counts.columns, place)
+    limits = counts.sparkSession.createDataFrame(given, StructType([counts.schema[key], StructField("__edges", ArrayType(DoubleType()))]))
+    return counts.join(F.broadcast(limits), key).select(*counts.columns, place)
+
+
 def quantiles(rows: DataFrame, columns: dict[str, Column | str], probs: list[float], *, parts: int = PARTS) -> dict[str, list[float | None]]:
     """Quantiles (linear between neighbours) of each named column, as numbers: columns times ``probs`` of them.
 
@@ -22,19 +38,13 @@ def quantiles(rows: DataFrame, columns: dict[str, Column | str], probs: list[flo
     values = rows.select(F.explode(pairs).alias("p")).select("p.k", "p.v").filter("v is not null and not isnan(v)")
     # Read three times; what a lost executor held is counted again.
     counts = values.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.DISK_ONLY)
-    at = F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts)
-    edges = {r["k"]: r["e"] for r in counts.groupBy("k").agg(at.alias("e")).collect()}  # parts numbers a column
     found: dict[str, list[float | None]] = {n: [None] * len(probs) for n in columns}
-    if not edges:
-        counts.unpersist()
-        return found
-    limits = rows.sparkSession.createDataFrame(list(edges.items()), "k string, e array<double>")
-    dealt = counts.join(F.broadcast(limits), "k").select("k", "v", "n", F.size(F.filter("e", lambda x: x < c("v"))).alias("part"))
-    sums = dealt.groupBy("k", "part").agg(F.sum("n").alias("s"))
+    placed = dealt(counts, "v", key="k", parts=parts)
+    sums = placed.groupBy("k", "part").agg(F.sum("n").alias("s"))
     below = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # parts rows
     sums = sums.select("k", "part", F.coalesce(F.sum("s").over(below), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy("k")).alias("total"))
     upto = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.join(F.broadcast(sums), ["k", "part"]).select("k", "v", "n", "total", (c("base") + F.sum("n").over(upto)).alias("last"))
+    ranked = placed.join(F.broadcast(sums), ["k", "part"]).select("k", "v", "n", "total", (c("base") + F.sum("n").over(upto)).alias("last"))
 
     def value(rank: Column) -> Column:
         return F.max(F.when((c("last") - c("n") <= rank) & (rank < c("last")), c("v")))

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import quantiles
+
 c = F.col
 FLOOR = 1e-6
-#: Equal-width ranges that a feature's values are dealt to for prefix sums.
-RANGES = 64
 
 
 def _counts(long: DataFrame) -> DataFrame:
@@ -21,14 +21,12 @@ def _counts(long: DataFrame) -> DataFrame:
 
 def distances(long: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov statistic and asymptotic p, and the Wasserstein distance over the baseline's range."""
-    counts = _counts(long)
+    counts = quantiles.dealt(_counts(long), "value", key="feature_id")
     totals = counts.groupBy(c("feature_id").alias("f")).agg(
-        F.sum("old").alias("n_old"), F.sum("new").alias("n_new"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.sum("old").alias("n_old"), F.sum("new").alias("n_new"),
         F.min(F.when(c("old") > 0, c("value"))).alias("old_lo"), F.max(F.when(c("old") > 0, c("value"))).alias("old_hi"),
     )
     rows = counts.join(totals, c("feature_id") == c("f")).drop("f")
-    part = F.least(F.floor(F.coalesce(F.try_divide(c("value") - c("lo"), c("hi") - c("lo")), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)).cast("int")
-    rows = rows.withColumn("part", part)
     sums = rows.groupBy(c("feature_id").alias("f"), c("part").alias("p")).agg(F.sum("old").alias("po"), F.sum("new").alias("pn"), F.min("value").alias("first"))
     before = Window.partitionBy("f").orderBy("p")
     sums = sums.select(

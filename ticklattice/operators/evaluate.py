@@ -29,12 +29,10 @@ def confusion(rows: DataFrame, *keys: str, y: str = "y", pred: str = "pred") ->
 def by_score(rows: DataFrame, *, y: str = "y", score: str = "score") -> DataFrame:
     """(score, pos, neg, tp, fp): rows at each distinct score, and those at or above it.
 
-    Scores are dealt to equal ranges; sums within a range add to those of the ranges above, so no task sorts all scores.
+    Scores are dealt to ranges of about equal numbers of them; sums within a range add to those of the ranges above, so no task sorts all scores.
     """
     g = rows.filter(c(score).isNotNull()).groupBy(c(score).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~c(y)).alias("neg"))
-    edges = rows.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    part = F.least(F.floor(F.coalesce(F.try_divide(c("score") - c("lo"), c("hi") - c("lo")), F.lit(0.0)) * 64), F.lit(63)).cast("int")
-    g = g.crossJoin(F.broadcast(edges)).withColumn("part", part).drop("lo", "hi")  # one row
+    g = quantiles.dealt(g, "score")
     sums = g.groupBy(c("part").alias("p")).agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
     sums = sums.select("p", F.coalesce(F.sum("a").over(above), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(above), F.lit(0)).alias("b"))

@@ -184,8 +184,13 @@ def with_dead_letters(ok, main: str, dead: str) -> Callable:
     return run
 
 
-def each_batch(stream: DataFrame, run: Callable, checkpoint: str) -> None:
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def replace(path: str) -> Callable:
+    """A ``foreachBatch`` function for complete output: each batch's table takes the place of the one before."""
+    return lambda batch, _: batch.write.mode("overwrite").parquet(path)
+
+
+def each_batch(stream: DataFrame, run: Callable, checkpoint: str, mode: str = "append") -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 class Progress(StreamingQueryListener):
