@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, urlfilter, warc
+from . import anchors, covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,43 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = anchors.compress(_read(spark, sf_dir, "embeddings"))
+    coded = anchors.with_label_error(shared.written(coded, "codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(anchors.digest(books)).alias("codebooks_sha256"))
+
+
+def _assigned(k: int) -> str:
+    near = "list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - b.q[i]) * (p.q[i] - b.q[i])))"
+    return f"a{k} as (select rid, part, min(cast({near} as bigint) * 64 + entry) as near from p join b{k} b using (part) group by all)"
+
+
+def _moved(k: int) -> str:
+    return f"""
+b{k + 1} as (select part, entry, coalesce(m.q, b.q) as q from b{k} b left join (
+    select part, entry, list(x order by i) as q from (
+        select p.part, near % 64 as entry, i, cast(floor(sum(p.q[i]) / count(*)) as bigint) as x
+        from p join a{k} using (rid, part), lateral (select unnest(range(1, len(p.q) + 1)) as i) group by all)
+    group by all) m using (part, entry))"""
+
+
+OP11_SQL = f"""
+with v as (
+    select vec_id, label, row_number() over (order by vec_id nulls last) as rid,
+           list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+p as (select rid, part, e[part * (len(e) // 16) + 1 : (part + 1) * (len(e) // 16)] as q from v, range(16) as t(part)),
+b0 as (select part, rid - 1 as entry, q from p where rid <= 64),
+{_assigned(0)}, {_moved(0)},
+{_assigned(1)}, {_moved(1)},
+{_assigned(2)},
+c as (select rid, string_agg(printf('%02x', near % 64), '' order by part) as code, cast(sum(near // 64) as bigint) as error from a2 group by rid),
+h as (select sha256(string_agg(array_to_string(q, ','), ',' order by part, entry)) as codebooks_sha256 from b2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from c join v using (rid), h
+"""
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -110,8 +147,9 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_top_k": op9_top_k,
         "op10_decontamination": op10_decontamination,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL, "op11_vector_codes": OP11_SQL}
