@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, urlfilter, warc
+from . import anchors, covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, trie, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,42 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+    lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+OP13_SQL = f"""
+with t as (
+    select conv_id, strlen(text) as bytes, sha, row_number() over (partition by conv_id order by turn nulls first, sha) as place
+    from (select conv_id, turn, coalesce(text, '') as text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as sha
+          from conversations where conv_id is not null)
+),
+n as (select conv_id, count(*) as n from t group by 1),
+k as (select n.conv_id, n.conv_id - n.conv_id % 5 as base, h, least(h, coalesce(b.n, 0)) as taken
+      from (select *, {_CRC} % 9 as h from n) n left join n b on b.conv_id = n.conv_id - n.conv_id % 5),
+r as (select k.conv_id, t.place, t.sha, t.bytes from k join t on t.conv_id = k.base and t.place <= k.h
+      union all
+      select k.conv_id, t.place - k.h + k.taken, t.sha, t.bytes from k join t on t.conv_id = k.conv_id and t.place > k.h),
+q as (select conv_id, coalesce(list(sha order by place) filter (sha is not null), []) as seq, list(bytes order by place) as sizes
+      from k left join r using (conv_id) group by 1),
+p as (select conv_id, d, seq, array_to_string(seq[1:d], ',') as node, case when d > 0 then sizes[d] else 0 end as bytes
+      from q, lateral (select unnest(range(0, len(seq) + 1)) as d)),
+v as (select node, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes, arg_min(seq, conv_id) as seq,
+             string_agg(case when len(seq) = d then cast(conv_id as varchar) end, ',' order by conv_id) as ends from p group by 1, 2),
+u as (select node, d, conv_id, n_convs, ends, (n_convs - 1) * bytes as own, case when d > 0 then array_to_string(seq[1:d - 1], ',') end as parent, seq from v),
+kids as (select parent as node, count(*) as n from u where parent is not null group by 1),
+w as (select array_to_string(u.seq[1:e], ',') as node, e, sum(own) as saved, count(*) filter (kids.n is null) as leaves
+      from u left join kids using (node), lateral (select unnest(range(0, d + 1)) as e) group by 1, 2)
+select u.conv_id, u.d as depth, f.conv_id as parent_conv_id, u.n_convs, coalesce(kids.n, 0) as n_children, w.leaves as n_leaves,
+       cast(w.saved as bigint) as saved_tokens, sha256(coalesce(u.ends, '')) as ends_sha256
+from u join w on w.node = u.node and w.e = u.d left join kids on kids.node = u.node left join u f on f.node = u.parent and f.d = u.d - 1
+"""
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -148,8 +184,9 @@ def queries() -> dict:
         "op9_top_k": op9_top_k,
         "op10_decontamination": op10_decontamination,
         "op11_vector_codes": op11_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL, "op11_vector_codes": OP11_SQL}
+    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL, "op11_vector_codes": OP11_SQL, "op13_prefix_trie": OP13_SQL}
