@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, covertree, decontam, langid, pii, piece, shared, simhash, substring, tokenfile, trie, urlfilter, warc
+from . import anchors, covertree, decontam, langid, pii, piece, rtree, shared, simhash, substring, tokenfile, trie, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,29 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
 """
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with recursive w as (
+    select row_number() over () as rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+    from documents
+),
+s as (select rid, doc_id, list_sort(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+             else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end) as sh from w),
+k as (select min(rid) as id, len(sh) as n, sh, min(doc_id) as first_id from s where len(sh) > 0 group by sh),
+e as (select id, n, unnest(sh) as x from k),
+l as (select a.id as a, b.id as b from e a join e b on a.x = b.x and a.id <> b.id and a.n * 10 >= b.n * 9 and b.n * 10 >= a.n * 9
+      group by a.id, b.id, a.n, b.n having 19 * count(*) >= 9 * (a.n + b.n)),
+r as (select id as a, id as b from k union select r.a, l.b from r join l on l.a = r.b),
+c as (select r.a as id, min(k.first_id) as component_id from r join k on k.id = r.b group by r.a)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, case when len(s.sh) = 0 then s.doc_id else c.component_id end as component_id
+from s left join k on k.sh = s.sh left join c on c.id = k.id
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
@@ -184,9 +207,10 @@ def queries() -> dict:
         "op9_top_k": op9_top_k,
         "op10_decontamination": op10_decontamination,
         "op11_vector_codes": op11_vector_codes,
+        "op12_ngram_jaccard": op12_ngram_jaccard,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL, "op11_vector_codes": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op9_top_k": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_ngram_jaccard": OP12_SQL, "op13_prefix_trie": OP13_SQL}
