@@ -228,32 +228,76 @@ def candidates(members: DataFrame, *, block: int = BLOCK, least: tuple[int, int]
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (a, b) whose sets (id, hashes) have a similarity of ``least`` or more."""
+def verified(pairs: DataFrame, slim: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (d1, id, hashes) have a similarity of ``least`` or more; ``slim`` has d1 of every id."""
     p, q = least
-    x, y = (sets.select(c("id").alias(k), c("hashes").alias(f"of_{k}")) for k in ("a", "b"))
+    for k in ("a", "b"):
+        pairs = pairs.join(slim.select(c("id").alias(k), c("d1").alias(f"d1_{k}")), k)
+    x, y = (sets.select(c("id").alias(f"id_{k}"), c("d1").alias(f"key_{k}"), c("hashes").alias(f"of_{k}")) for k in ("a", "b"))
+    pairs = pairs.join(x, (c("d1_a") == c("key_a")) & (c("a") == c("id_a"))).select("a", "b", "d1_b", "of_a")
+    pairs = pairs.join(y, (c("d1_b") == c("key_b")) & (c("b") == c("id_b")))
     both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return pairs.join(x, "a").join(y, "b").filter(both * F.lit(p + q).cast("long") >= total * F.lit(p).cast("long")).select("a", "b")
+    return pairs.filter(both * F.lit(p + q).cast("long") >= total * F.lit(p).cast("long")).select("a", "b")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, hashes) of ``wanted`` (id, first: a doc_id with that set, d1, d2), dealt by id: read again from the texts."""
-    ids = wanted.select("first").distinct()
-    texts = docs.select(c(doc_id).alias("__doc"), c(text).alias("__text")).join(ids, c("__doc").eqNullSafe(c("first")), "left_semi").select("__text")
+def bounded(pairs: DataFrame, slim: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) that sizes and counts (``slim``: id, n, counts) don't rule out."""
+    x, y = (slim.select(c("id").alias(k), c("n").alias(f"n_{k}"), c("counts").alias(f"of_{k}")) for k in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(k).to_numpy() for k in (2, 3)]
+            of = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDS).astype(np.int64) for k in (4, 5)]
+            go = _may(lambda k, of=of: of[0][k], lambda k, of=of: of[1][k], n[0], n[1], n[0], n[1], least)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], names=["a", "b"]).filter(pa.array(go))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+#: Bits of the filter of wanted sets, at most; beyond some millions of sets it lets more through, which costs time but no result.
+FILTER_BITS = 1 << 24
+#: Sets that a task remembers having sent.
+SENT = 1 << 20
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, *, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(d1, id, hashes) of ``wanted`` (id, d1, d2), in buckets of d1: made again from the texts, of which only those whose digest
+    passes a filter of the wanted ones leave their task, and copies once a task."""
+    word = F.shiftrightunsigned("d1", 6) % (FILTER_BITS // 64)
+    found = wanted.select(word.alias("w"), F.expr("shiftleft(1L, int(d1 & 63))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    if found:
+        words[[r["w"] for r in found]] = np.array([r["bits"] for r in found], np.int64).view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(words)  # FILTER_BITS at most, whatever the tables' sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for lo, hi in tx.passes(batch.column(0)):
-                row, found = shingles(batch.column(0).slice(lo, hi - lo), size)
+                row, hashed = shingles(batch.column(0).slice(lo, hi - lo), size)
                 cuts = np.flatnonzero(np.diff(row, prepend=-1))
                 if not len(cuts):
                     continue
-                digest = [np.add.reduceat(tx.mix(found ^ d), cuts).view(np.int64) for d in _DIGESTS]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(row)).astype(np.int32)), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(d) for d in digest), lists], names=["d1", "d2", "hashes"])
-
-    found = texts.mapInArrow(run, "d1 long, d2 long, hashes array<long>")
-    return shared.bucketed(found.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "hashes").dropDuplicates(["id"]), "id", "sets")
+                digest = [np.add.reduceat(tx.mix(hashed ^ d), cuts) for d in _DIGESTS]
+                passed = (held.value[((digest[0] >> np.uint64(6)) % np.uint64(FILTER_BITS // 64)).astype(np.int64)] >> (digest[0] & np.uint64(63))) & np.uint64(1)
+                ends = np.append(cuts, len(row))[1:]
+                some = []
+                for k in np.flatnonzero(passed).tolist():
+                    name = hash((int(digest[0][k]), int(digest[1][k])))
+                    if name not in sent:
+                        some.append(k)
+                        if len(sent) < SENT:
+                            sent.add(name)
+                if some:
+                    own = [hashed[cuts[k] : ends[k]].view(np.int64) for k in some]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(d[some].view(np.int64)) for d in digest), lists], names=["d1", "d2", "hashes"])
+
+    sets = docs.select(text).mapInArrow(run, "d1 long, d2 long, hashes array<long>")
+    named = wanted.select("id", c("d1").alias("__d1"), c("d2").alias("__d2"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = sets.repartition(buckets, "d1").dropDuplicates(["d1", "d2"]).join(named, (c("d1") == c("__d1")) & (c("d2") == c("__d2"))).select("d1", "id", "hashes")
+    return shared.bucketed(whole, "d1", "sets", dealt=True)
 
 
 def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,37 +305,55 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
 
     The links reach everything that all links reach: those between classes that others connect already may be missing.
     """
-    marked = shared.written(points(docs, doc_id=doc_id, text=text, size=size, least=least), "points")
+    spark = docs.sparkSession
+    path = shared.scratch(spark, "points")
+    made = points(docs, doc_id=doc_id, text=text, size=size, least=least)
+    made.write.parquet(path)
+    whole = spark.read.schema(made.schema).parquet(path)
+    marked = shared.written(whole.select("doc_id", "n", "d1", "d2"), "marked")
     rest = ["n", "own", "next", "counts"]
-    classes = marked.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), *[F.first(x).alias(x) for x in rest])
-    classes = shared.written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = whole.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), *[F.first(x).alias(x) for x in rest])
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
+    cells_at = shared.scratch(spark, "cells")
+    classes.write.parquet(cells_at)
+    classes = spark.read.schema(classes.schema).parquet(cells_at)
+    shared.remove(spark, path)  # what later steps need of it is in the two tables above
 
     keyed = classes.select("id", F.size("own").alias("__own"), F.posexplode(F.concat("own", "next")).alias("__at", "key")).select(
         "id", "key", (c("__at") >= c("__own")).alias("up"), F.when(c("__at") < c("__own"), c("__at")).otherwise(c("__at") - c("__own")).alias("part")
     )
-    common = keyed.groupBy("key").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi")).filter("__lo < __hi").select("key")
+    # A class has a cell once, so two rows are two classes.
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select("key")
     members = shared.written(keyed.join(common, "key"), "members")
-    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
-    sets = whole_sets(docs, wanted, doc_id=doc_id, text=text, size=size)
+    heads = [F.slice(x, 1, HEAD).alias(x) for x in ("own", "next")]
+    slim = shared.written(classes.select("id", "first", "n", "d1", "d2", *heads, "counts"), "classes")
+    shared.remove(spark, cells_at)
 
     # First each cell's points with the one that stands in the most crowded cells, as the original of many copies does.
-    heads = members.filter(c("part") < HEAD).select("key", "id")
-    crowd = heads.groupBy("key").agg(F.count(F.lit(1)).alias("__crowd"))
-    weight = heads.join(crowd, "key").groupBy("id").agg(F.sum("__crowd").alias("weight"))
-    leader = heads.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("__top")).select("key", c("__top.id").alias("leader"))
-    star = heads.join(leader, "key").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    star = shared.written(star, "pairs")
-    links = shared.written(verified(star, sets, least), "links")
+    seen = members.filter(c("part") < HEAD).select("key", "id")
+    crowd = seen.groupBy("key").agg(F.count(F.lit(1)).alias("__crowd"))
+    weight = seen.join(crowd, "key").groupBy("id").agg(F.sum("__crowd").alias("weight"))
+    leader = seen.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("__top")).select("key", c("__top.id").alias("leader"))
+    star = seen.join(leader, "key").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    star = shared.written(bounded(star, slim, least), "pairs")
+    links = shared.written(verified(star, slim, _sets_of(docs, star, slim, text, size), least), "links")
     labels = cc.components(links)
 
     grouped = members.join(labels, c("id") == c("node"), "left").select("key", "id", "up", "part", F.coalesce("component", "id").alias("group"))
     open_ = grouped.groupBy("key").agg(F.min("group").alias("__lo"), F.max("group").alias("__hi"), F.count(F.lit(1)).alias("cell")).filter("__lo < __hi")
-    left = grouped.join(open_.select("key", "cell"), "key").join(classes.select("id", *rest), "id").select(
-        "key", "id", "part", "group", "cell", "n", F.slice(F.when(c("up"), c("next")).otherwise(c("own")), 1, HEAD).alias("head"), "counts"
+    left = grouped.join(open_.select("key", "cell"), "key").join(slim.select("id", *rest), "id").select(
+        "key", "id", "part", "group", "cell", "n", F.when(c("up"), c("next")).otherwise(c("own")).alias("head"), "counts"
     )
-    tried = candidates(left, block=block, least=least).join(star, ["a", "b"], "left_anti")
-    more = shared.written(verified(shared.written(tried, "pairs"), sets, least), "links")
-    return marked, classes, links.union(more)
+    tried = shared.written(candidates(left, block=block, least=least).join(star, ["a", "b"], "left_anti"), "pairs")
+    if not tried.limit(1).count():
+        return marked, slim, links
+    more = shared.written(verified(tried, slim, _sets_of(docs, tried, slim, text, size), least), "links")
+    return marked, slim, links.union(more)
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, slim: DataFrame, text: str, size: int) -> DataFrame:
+    named = pairs.select(c("a").alias("id")).union(pairs.select("b")).distinct()
+    return whole_sets(docs, slim.join(named, "id", "left_semi"), text=text, size=size)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK) -> DataFrame:

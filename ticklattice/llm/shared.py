@@ -44,15 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, *, dealt: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder that joins on ``key`` without being shuffled again.
 
-    Its name is dropped at once: what is planned on it, and its files, stay.
+    Its name is dropped at once: what is planned on it, and its files, stay.  A frame that is ``dealt`` lies by ``key`` already.
     """
     spark = df.sparkSession
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), "ticklattice_" + uuid.uuid4().hex
-    dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", scratch(spark, name))
-    dealt.format("parquet").saveAsTable(table)
+    rows = df if dealt else df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
     found = spark.table(table)
     found.schema  # noqa: B018 (resolved before the name goes)
     spark.sql(f"drop table {table}")
