@@ -266,7 +266,7 @@ def test_quantiles_are_exact_for_skewed_repeated_and_missing_values(spark):
     rows = [tuple(None if np.isnan(v) and k % 14 else float(v) for v in row) for k, row in enumerate(zip(*columns.values(), strict=True))]
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns))
     probs = [0.0, 0.25, 0.5, 0.77, 0.99, 1.0]
-    got = quantiles.quantiles(df, {n: n for n in columns}, probs, parts=8)
+    got = quantiles.quantiles(df, {n: n for n in columns}, probs)
     assert got.pop("none") == [None] * len(probs)
     for n, values in got.items():
         assert np.allclose(values, np.nanquantile(columns[n], probs), rtol=1e-12)

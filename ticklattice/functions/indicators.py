@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import scan
+from ticklattice.functions import relay, scan
 
 KEY, TS = ["symbol"], ["ts"]
 
@@ -209,38 +209,60 @@ def candle() -> dict[str, Column]:
     }
 
 
-PSAR_SCHEMA = "symbol string, ts timestamp_ntz, psar double"
+def _sar(start: float, step: float, most: float, variant: str):
+    """One pass of the parabolic SAR; the state is direction, speed, SAR, extreme, and the lows and highs of the last two bars."""
+
+    def clamped(state: tuple, high: float, low: float) -> tuple:
+        rising, speed, sar, extreme, l1, l2, h1, h2 = state
+        sar += speed * (extreme - sar)
+        sar = min(sar, l1, l2) if rising else max(sar, h1, h2)
+        if low < sar if rising else high > sar:
+            return not rising, start, extreme, low if rising else high, low, l1, high, h1
+        if high > extreme if rising else low < extreme:
+            extreme, speed = high if rising else low, min(most, speed + step)
+        return rising, speed, sar, extreme, low, l1, high, h1
+
+    def plain(state: tuple, high: float, low: float) -> tuple:
+        rising, speed, sar, extreme, l1, _, h1, _ = state
+        sar += speed * (extreme - sar)
+        if high > extreme if rising else low < extreme:
+            extreme, speed = high if rising else low, min(most, speed + step)
+        if low <= sar if rising else high >= sar:
+            return not rising, start, extreme, low if rising else high, low, l1, high, h1
+        return rising, speed, sar, extreme, low, l1, high, h1
+
+    move = {"clamped": clamped, "plain": plain}[variant]
+
+    def fold(state: tuple | None, given: dict[str, list]) -> tuple[dict[str, list], tuple | None]:
+        out = []
+        for high, low in zip(given["high"], given["low"], strict=True):
+            if high is None or low is None:
+                out.append(None)
+                continue
+            if state is None:
+                sar, extreme = (low, high) if variant == "clamped" else (high, low)
+                state = (True, start, sar, extreme, low, low, high, high)
+            else:
+                state = move(state, high, low)
+            out.append(state[2])
+        return {"psar": out}, state
 
+    return fold
 
-def psar(bars: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """Parabolic SAR per symbol: a recurrence with branches, so each symbol's ordered series goes through one function."""
 
-    def one(pdf):
-        import numpy as np
+SAR_STATE = "rising boolean, speed double, sar double, extreme double, l1 double, l2 double, h1 double, h2 double"
 
-        pdf = pdf.sort_values("ts", kind="stable")
-        high, low = pdf["high"].to_numpy(), pdf["low"].to_numpy()
-        out = np.empty(len(pdf))
-        rising, speed, sar, extreme = True, start, low[0], high[0]
-        out[0] = sar
-        for k in range(1, len(pdf)):
-            sar += speed * (extreme - sar)
-            if rising:
-                sar = min(sar, low[k - 1], low[max(0, k - 2)])
-                if low[k] < sar:
-                    rising, sar, speed, extreme = False, extreme, start, low[k]
-                elif high[k] > extreme:
-                    extreme, speed = high[k], min(most, speed + step)
-            else:
-                sar = max(sar, high[k - 1], high[max(0, k - 2)])
-                if high[k] > sar:
-                    rising, sar, speed, extreme = True, extreme, start, high[k]
-                elif low[k] < extreme:
-                    extreme, speed = low[k], min(most, speed + step)
-            out[k] = sar
-        return pdf[["symbol", "ts"]].assign(psar=out)
-
-    return bars.select("symbol", "ts", "high", "low").groupBy("symbol").applyInPandas(one, PSAR_SCHEMA)
+
+def psar(bars: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2, *, variant: str = "clamped", tie: str | None = None,
+         block: int = relay.BLOCK, warm: int = relay.WARM) -> DataFrame:
+    """Adds psar, the parabolic SAR per symbol, by blocks of a series that run at the same time.
+
+    clamped: begins at the first low with the first high as extreme, and never enters the range of the last two bars.  plain:
+    begins at the first high with the first low as extreme, has no such bound, and moves the extreme before it tests for a
+    turn.  Bars without a high or low have no SAR and change nothing.
+    """
+    typed = bars.withColumns({x: c(x).cast("double") for x in ("high", "low")})
+    return relay.relayed(typed, _sar(start, step, most, variant), inputs=["high", "low"], state=SAR_STATE, out="psar double", tie=tie, block=block, warm=warm)
 
 
 def with_patterns(bars: DataFrame, n: int = 20) -> DataFrame:

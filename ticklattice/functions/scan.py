@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
+
 PART = "7 days"
 #: Rows after which powers of the decay start anew, to stay within what doubles hold.
 CHUNK = 128
@@ -71,6 +73,31 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: s
     )
 
 
+def known(df: DataFrame, x: str, *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int = frames.BLOCK) -> DataFrame:
+    """Adds the place ``__n`` of each row in its series, and the nearest rows with a value of ``x``: ``__back`` and ``__ahead``,
+    structs (n, x), the row itself included; null where no such row is on that side.
+
+    What a part of the series knows last and first is carried over the table of parts, one way each; a part without a value
+    hands on what came to it.
+    """
+    _, span = frames.measured(df, key=key, ts=ts, rows=rows)
+    at = frames.placed(df, span, key=key, ts=ts, tie=tie)
+    has = F.when(F.col(x).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(x).alias("x")))
+    inside = Window.partitionBy(key, "__part").orderBy("__n")
+    local = at.select(
+        "*", F.last(has, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__in_back"),
+        F.first(has, True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("__in_ahead"),
+    )
+    parts = at.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(F.max(has).alias("last"), F.min(has).alias("first"))
+    series = Window.partitionBy("__key").orderBy("__p")
+    carry = parts.select(
+        "__key", "__p", F.last("last", True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("first", True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    joined = local.join(carry, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__p")))
+    return joined.select(*df.columns, "__n", F.coalesce("__in_back", "__before").alias("__back"), F.coalesce("__in_ahead", "__after").alias("__ahead"))
+
+
 def ema(df: DataFrame, columns: dict[str, tuple[Column, int]], *, key: str = "symbol", ts: str = "ts", adjust: bool = True, tie: str | None = None) -> DataFrame:
     """Adds exponential moving averages, name: (x, span), with alpha = 2 / (span + 1).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import quantiles
+from ticklattice.functions import frames, quantiles, scan
 
 
 def clean_symbol(x: Column) -> Column:
@@ -46,42 +46,40 @@ def _order() -> Window:
     return Window.partitionBy("symbol").orderBy("ts", "trade_id")
 
 
-def fill_centred_mean(x: str, reach: int = 10) -> Column:
-    return F.coalesce(F.col(x), F.avg(x).over(_order().rowsBetween(-reach, reach)))
+def with_around(rows: DataFrame, x: str, reach: int, name: str) -> DataFrame:
+    """Adds the mean of ``x`` over the rows up to ``reach`` before and after, by blocks of a series."""
+    mean = F.avg(x).over(_order().rowsBetween(-reach, reach)).alias(name)
+    return frames.framed(rows, lambda r: r.select("*", mean), tie="trade_id", before=reach, after=reach)
 
 
-def fill_forward(x: str) -> Column:
-    return F.last(x, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+def fill_centred_mean(rows: DataFrame, x: str, name: str = "centred", reach: int = 10) -> DataFrame:
+    """Adds ``x`` with nulls filled by the mean of the rows around."""
+    return with_around(rows, x, reach, "__around").withColumn(name, F.coalesce(F.col(x), F.col("__around"))).drop("__around")
 
 
-def fill_backward(x: str) -> Column:
-    return F.first(x, ignorenulls=True).over(_order().rowsBetween(0, Window.unboundedFollowing))
+def fill_nearest(rows: DataFrame, x: str) -> DataFrame:
+    """Adds forward, backward and linear: ``x`` with nulls filled by the last value before, the first after, and the line between.
 
-
-def fill_linear(rows: DataFrame, x: str) -> DataFrame:
-    """Linear between the neighbours that have a value, by row position; the nearest value at the ends."""
-    at = rows.withColumn("__r", F.row_number().over(_order()))
-    at = at.withColumn("__k", F.when(F.col(x).isNotNull(), F.col("__r")))
-    back, ahead = _order().rowsBetween(Window.unboundedPreceding, 0), _order().rowsBetween(0, Window.unboundedFollowing)
-    at = at.select(
-        "*", F.last(x, True).over(back).alias("__a"), F.last("__k", True).over(back).alias("__i"), F.first(x, True).over(ahead).alias("__b"), F.first("__k", True).over(ahead).alias("__j")
-    )
-    line = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__r") - F.col("__i")) / (F.col("__j") - F.col("__i"))
-    value = F.when(F.col(x).isNotNull(), F.col(x)).when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.col("__a")).otherwise(line)
-    return at.select(*rows.columns, value.alias(f"{x}_linear"))
+    The line goes by row position, and takes the nearest value at the ends.  Series are split into parts; a part without a value
+    hands on what came to it.  Without any value all three stay null.
+    """
+    at = scan.known(rows, x, tie="trade_id")
+    a, i, b, j = F.col("__back.x"), F.col("__back.n"), F.col("__ahead.x"), F.col("__ahead.n")
+    line = a + (b - a) * (F.col("__n") - i) / (j - i)
+    linear = F.when(F.col(x).isNotNull(), F.col(x)).when(a.isNull(), b).when(b.isNull(), a).otherwise(line)
+    return at.select(*rows.columns, a.alias("forward"), b.alias("backward"), linear.alias("linear"))
 
 
-def symbol_statistics(rows: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Median, mean, quartiles and deviation per symbol, all fields in one aggregation."""
-    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
-        F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.25)).alias("q1"),
-        F.percentile(x, F.lit(0.75)).alias("q3"), F.stddev_samp(x).alias("std"),
-    )
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def with_symbol_statistics(rows: DataFrame, x: str) -> DataFrame:
-    """Rows beside their symbol's statistics; Spark broadcasts the small side where it is small."""
-    stats = symbol_statistics(rows, x)
+def with_symbol_statistics(rows: DataFrame, x: str, *, quartiles: bool = True) -> DataFrame:
+    """Rows beside their symbol's mean and deviation, with ``quartiles`` also q1, median and q3; Spark broadcasts the small side
+    where it is small."""
+    stats = rows.groupBy(F.col("symbol").alias("__symbol")).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    if quartiles:
+        found = quantiles.by_key(rows, "symbol", x, QUARTILES)
+        stats = stats.join(found, F.col("__symbol").eqNullSafe(F.col("symbol"))).drop("symbol")
     return rows.join(stats, F.col("symbol") == F.col("__symbol"), "left").drop("__symbol")
 
 
@@ -96,7 +94,8 @@ def outliers_iqr(rows: DataFrame, x: str, width: float = 1.5) -> DataFrame:
     s = with_symbol_statistics(rows, x)
     low, high = F.col("q1") - (F.col("q3") - F.col("q1")) * width, F.col("q3") + (F.col("q3") - F.col("q1")) * width
     out = F.coalesce((F.col(x) < low) | (F.col(x) > high), F.lit(False))
-    around = F.avg(x).over(_order().rowsBetween(-5, 5))
+    s = with_around(s, x, 5, "__around")
+    around = F.col("__around")
     return s.select(
         *rows.columns, out.alias("is_outlier"), F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), low), high)).alias("capped"),
         F.when(~out, F.col(x)).alias("nulled"), F.when(out, around).otherwise(F.col(x)).alias("smoothed"),
@@ -104,7 +103,7 @@ def outliers_iqr(rows: DataFrame, x: str, width: float = 1.5) -> DataFrame:
 
 
 def outliers_z(rows: DataFrame, x: str, width: float = 3.0) -> DataFrame:
-    s = with_symbol_statistics(rows, x)
+    s = with_symbol_statistics(rows, x, quartiles=False)
     low, high = F.col("mean") - F.col("std") * width, F.col("mean") + F.col("std") * width
     out = F.coalesce((F.col(x) < low) | (F.col(x) > high), F.lit(False))
     return s.select(*rows.columns, out.alias("is_outlier"), F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), low), high)).alias("capped"))
@@ -141,7 +140,7 @@ def clean_ticks(rows: DataFrame) -> DataFrame:
     t = keep_latest(typed(rows), ["symbol", "ts", "trade_id"], ["ingested"])
     t = t.select("symbol", "ts", "trade_id", F.col("price_decimal").cast("double").alias("price"), F.col("size_long").alias("size"))
     t = repair_ticks(t).select("symbol", "ts", "trade_id", F.col("price_fixed").alias("price"), F.col("size_fixed").alias("size"))
-    t = t.select("symbol", "ts", "trade_id", "size", F.col("price").isNull().alias("was_filled"), fill_centred_mean("price").alias("price"))
+    t = fill_centred_mean(t.withColumn("was_filled", F.col("price").isNull()), "price").select("symbol", "ts", "trade_id", "size", "was_filled", F.col("centred").alias("price"))
     capped = outliers_iqr(t, "price")
     return capped.select(
         "symbol", "ts", "trade_id", "size", F.col("capped").alias("price"), F.col("is_outlier").cast("int").alias("outliers_detected"), (F.col("is_outlier") | F.col("was_filled")).alias("data_cleaned")

@@ -43,7 +43,7 @@ O = "partition by symbol order by ts, trade_id"  # noqa: E741
 @Q.add("dc1_dc3_fills", f"""with {ND} select symbol, ts, trade_id, coalesce(price, avg(price) over ({O} rows between 10 preceding and 10 following)) as centred,
 last_value(price ignore nulls) over ({O} rows unbounded preceding) as forward, first_value(price ignore nulls) over ({O} rows between current row and unbounded following) as backward from nd""")
 def fills(spark, d):
-    return _numeric_dirty(spark, d).select("symbol", "ts", "trade_id", C.fill_centred_mean("price").alias("centred"), C.fill_forward("price").alias("forward"), C.fill_backward("price").alias("backward"))
+    return C.fill_nearest(C.fill_centred_mean(_numeric_dirty(spark, d), "price"), "price").select("symbol", "ts", "trade_id", "centred", "forward", "backward")
 
 
 @Q.add("dc2_linear_fill", f"""with {ND}, r as (select *, row_number() over ({O}) as r, case when price is not null then row_number() over ({O}) end as k from nd),
@@ -51,7 +51,7 @@ n as (select *, last_value(price ignore nulls) over b as a, last_value(k ignore
   window b as ({O} rows unbounded preceding), f as ({O} rows between current row and unbounded following))
 select symbol, ts, trade_id, case when price is not null then price when a is null then bb when bb is null then a else a + (bb - a) * (r - i) / (j - i) end as price_linear from n""")
 def linear(spark, d):
-    return C.fill_linear(_numeric_dirty(spark, d), "price").select("symbol", "ts", "trade_id", "price_linear")
+    return C.fill_nearest(_numeric_dirty(spark, d), "price").select("symbol", "ts", "trade_id", F.col("linear").alias("price_linear"))
 
 
 @Q.add("dc4_j1_statistic_fill", f"""with {ND}, s as (select symbol, quantile_cont(price, 0.5) as med, avg(price) as mean from nd group by 1)

@@ -216,7 +216,23 @@ p as (
                      greatest(p.sar + p.speed * (p.extreme - p.sar), n.h1, n.h2) as down from p join n on n.symbol = p.symbol and n.r = p.r + 1)))
 select symbol, ts, sar as psar from p""")
 def ti18(spark, d):
-    return I.psar(X.bars(spark, d))
+    return I.psar(X.bars(spark, d).select("symbol", "ts", "high", "low")).select("symbol", "ts", "psar")
+
+
+@Q.add("ti18_psar_plain", f"""with recursive {BARS},
+n as (select symbol, ts, high, low, row_number() over ({W}) as r from bars),
+p as (
+  select symbol, ts, r, true as rising, cast(0.02 as double) as speed, high as sar, low as extreme from n where r = 1
+  union all
+  select symbol, ts, r, rising <> flips, case when flips then cast(0.02 as double) else faster end, case when flips then beyond else next_sar end,
+         case when flips and rising then low when flips then high else beyond end
+  from (select *, case when rising then low <= next_sar else high >= next_sar end as flips
+        from (select n.*, p.rising, p.sar + p.speed * (p.extreme - p.sar) as next_sar, case when p.rising then greatest(p.extreme, n.high) else least(p.extreme, n.low) end as beyond,
+                     case when (p.rising and n.high > p.extreme) or (not p.rising and n.low < p.extreme) then least(cast(0.2 as double), p.speed + cast(0.02 as double)) else p.speed end as faster
+              from p join n on n.symbol = p.symbol and n.r = p.r + 1)))
+select symbol, ts, sar as psar from p""")
+def ti18_plain(spark, d):
+    return I.psar(X.bars(spark, d).select("symbol", "ts", "high", "low"), variant="plain").select("symbol", "ts", "psar")
 
 
 @Q.add("ti19_volume_ratio", _sql(f"avg(volume) over {_w(20)} as volume_sma, case when avg(volume) over {_w(20)} = 0 then 1.0 else volume / nullif(avg(volume) over {_w(20)}, 0) end as volume_ratio"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ticklattice import plans
 from ticklattice.plans.doubles import DOUBLES
 
-#: Digits of doubles in registered results, and what they are multiplied by before: means of short decimals often lie midway
-#: between two of as many digits, where the last bit of a double, which the order of its sum decides, would choose one.
-DIGITS, OFF_TIES = 6, 1 + 1e-12
+#: Digits of doubles in registered results, and what is added before: means of short decimals often lie midway between two of
+#: as many digits, where the last bit of a double, which the order of its sum decides, would choose one.  It never shows itself.
+DIGITS, OFF_TIES = 6, 1e-10
 
 
 def _modules():
@@ -31,7 +31,7 @@ def rounded(f):
     def run(spark, sf_dir):
         out = f(spark, sf_dir)
         # Adding 0 makes a negative zero plain.
-        return out.select(*[(F.round(F.col(f"`{c}`") * OFF_TIES, DIGITS) + F.lit(0.0)).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in out.dtypes])
+        return out.select(*[(F.round(F.col(f"`{c}`") + OFF_TIES, DIGITS) + F.lit(0.0)).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in out.dtypes])
 
     return run
 
@@ -41,7 +41,7 @@ def rounded_sql(name: str, sql: str) -> str:
     columns = DOUBLES.get(name, "").split()
     if not columns:
         return sql
-    return "select * replace (" + ", ".join(f'round(cast("{c}" as double) * {OFF_TIES!r}, {DIGITS}) + 0.0 as "{c}"' for c in columns) + f") from ({sql.strip()})"
+    return "select * replace (" + ", ".join(f'round(cast("{c}" as double) + {OFF_TIES!r}, {DIGITS}) + 0.0 as "{c}"' for c in columns) + f") from ({sql.strip()})"
 
 
 def queries() -> dict:
