@@ -209,7 +209,7 @@ def candle() -> dict[str, Column]:
     }
 
 
-def _sar(start: float, step: float, most: float, variant: str):
+def sar_fold(start: float, step: float, most: float, variant: str):
     """One pass of the parabolic SAR; the state is direction, speed, SAR, extreme, and the lows and highs of the last two bars."""
 
     def clamped(state: tuple, high: float, low: float) -> tuple:
@@ -262,7 +262,7 @@ def psar(bars: DataFrame, start: float = 0.02, step: float = 0.02, most: float =
     turn.  Bars without a high or low have no SAR and change nothing.
     """
     typed = bars.withColumns({x: c(x).cast("double") for x in ("high", "low")})
-    return relay.relayed(typed, _sar(start, step, most, variant), inputs=["high", "low"], state=SAR_STATE, out="psar double", tie=tie, block=block, warm=warm)
+    return relay.relayed(typed, sar_fold(start, step, most, variant), inputs=["high", "low"], state=SAR_STATE, out="psar double", tie=tie, block=block, warm=warm)
 
 
 def with_patterns(bars: DataFrame, n: int = 20) -> DataFrame:

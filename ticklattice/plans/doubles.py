@@ -147,6 +147,7 @@ DOUBLES: dict[str, str] = {
     "st6_keyed_state": "ema obv",
     "st7_row_frames_on_stream": "sma_20",
     "st13_latest_trade": "price",
+    "st6_indicator_state": "rsi macd macd_signal macd_hist psar garch_vol",
     "ti18_psar": "psar",
     "ti18_psar_plain": "psar",
     "ti27_all_indicators": "open high low close vwap sma_5 sma_10 sma_20 sma_50 rsi_14 bb_upper bb_middle bb_lower bb_width bb_position stoch_k tr tp williams_r momentum_10 roc_10 cmf_20 volume_ratio vi_plus vi_minus position_in_range body upper_shadow lower_shadow pivot r1 s1 stoch_d atr_14 cci_20",

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticklattice.functions import rolling as R
 from ticklattice.plans import Queries
+from ticklattice.plans.q_indicators import Q as INDICATOR_QUERIES
 from ticklattice.plans.q_indicators import W
+from ticklattice.plans.q_rolling import Q as ROLLING_QUERIES
 from ticklattice.sources import fixtures as X
 from ticklattice.streaming import jobs as J
+from ticklattice.streaming import state
+
+INDICATORS, ROLLING = INDICATOR_QUERIES.sql, ROLLING_QUERIES.sql
 
 Q = Queries()
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -53,6 +59,34 @@ def keyed_state(spark, d):
     return spark.read.parquet(f"{folder}/out").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "trade_id", "ema", "obv")
 
 
+SLICES = 6
+
+
+def bar_batches(spark, d, folder):
+    """Writes the hourly bars as a folder of files that come one after another in time; yields after each half of them."""
+    bars = X.bars(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = bars.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    step = (hi - lo) // SLICES + 1
+    for k in range(SLICES):
+        own = F.unix_seconds("ts").between(lo + k * step, lo + (k + 1) * step - 1)
+        bars.filter(own).coalesce(1).write.mode("append").parquet(folder)
+        if k % (SLICES // 2) == SLICES // 2 - 1:
+            yield spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", J.SILVER)
+
+
+@Q.add("st6_indicator_state", f"""select symbol, ts, rsi_ml as rsi, macd, macd_signal, macd_hist, psar, garch_vol, 0 as late
+from ({INDICATORS["ti4_rsi"]}) join ({INDICATORS["ti5_macd"]}) using (symbol, ts) join ({INDICATORS["ti18_psar"]}) using (symbol, ts) join ({ROLLING["rs8_garch"]}) using (symbol, ts)""")
+def indicator_state(spark, d):
+    """Six micro-batches, with the query stopped and started again after three."""
+    folder = J.workspace(spark, "bar-state")
+    returns = R.returns("close")["ret"]
+    long_run = X.bars(spark, d).select("symbol", returns.alias("ret")).groupBy("symbol").agg(F.var_samp("ret").alias("long_run"))
+    for stream in bar_batches(spark, d, f"{folder}/bars"):
+        state.run(stream, f"{folder}/out", f"{folder}/checkpoint", idle_s=86400 * 365, variances=long_run)
+    out = spark.read.schema(state.OUT).parquet(f"{folder}/out").filter("kind = 'bar'").drop("kind")
+    return out.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "late": F.col("late").cast("int")})
+
+
 @Q.add("st7_row_frames_on_stream", f"with {X.TRADES} select symbol, ts, trade_id, avg(price) over ({W}, trade_id rows between 19 preceding and current row) as sma_20 from trades")
 def row_frames(spark, d):
     from pyspark.sql import Window

@@ -6,8 +6,6 @@ Batch functions are reused where Structured Streaming allows them; row frames an
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ticklattice.functions import frames, scan
+from ticklattice.functions import folders, frames, scan
 from ticklattice.operators import bars as B
 
 c = F.col
@@ -24,14 +22,7 @@ c = F.col
 BRONZE, SILVER, GOLD = "10 minutes", "15 minutes", "10 minutes"
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and results, where all executors reach it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ticklattice-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+workspace = folders.folder
 
 
 def table_stream(spark: SparkSession, path: str, schema: str, *, ts: str = "ts", late: str = SILVER, files: int | None = None) -> DataFrame:
