@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames, quantiles, scan
+from tests import oracle
+from ticklattice import registry
+from ticklattice.functions import frames, quantiles, relay, scan, sliding
 from ticklattice.functions import indicators as I  # noqa: E741
 from ticklattice.operators import cleaning
 
@@ -115,3 +117,53 @@ def test_quantiles_by_key_with_large_keys_equal_those_in_one_place(spark):
         want = np.quantile(x, list(probs.values())) if x else [None] * 3
         assert got[k] == pytest.approx(tuple(want), rel=1e-12, nan_ok=True) if x else got[k] == (None, None, None)
     assert set(got) == {"A", "B", "C", "D", None}
+
+
+def test_an_ordered_window_equals_sorting(spark):
+    rng = np.random.default_rng(9)
+    window, held = sliding.Ordered(), []
+    for step in range(6000):
+        x = float(rng.integers(0, 900))
+        window.add(x), held.append(x)
+        if len(held) > 1500:
+            window.remove(held.pop(0))
+        if step % 97 == 0:
+            s = sorted(held)
+            assert window.size == len(s) and [window[k] for k in (0, len(s) // 2, len(s) - 1)] == [s[0], s[len(s) // 2], s[-1]]
+            assert window.counts(x) == (sum(v < x for v in s), s.count(x))
+            assert window.quantile(0.37) == pytest.approx(np.quantile(s, 0.37))
+    assert len(window.blocks) > 1 and sliding.Ordered().quantile(0.5) is None
+
+
+def test_sliding_quantiles_and_ranks_with_gaps(spark):
+    rng = np.random.default_rng(10)
+    values = [None if rng.random() < 0.2 else math.nan if rng.random() < 0.1 else float(rng.integers(0, 9)) for _ in range(300)]
+    rows = [(k, START, i, v) for k in ("A", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id int, x double").repartition(3)
+    made = {"q": ("quantile", "x", 11, 0.3), "r": ("rank", "x", 11)}
+    got = {(r["symbol"], r["id"]): (r["q"], r["r"]) for r in sliding.ordered(df, made, order=("ts", "id")).collect()}
+    good = lambda v: v is not None and v == v
+    for i, v in enumerate(values):
+        inside = [w for w in values[max(0, i - 10) : i + 1] if good(w)]
+        q = np.quantile(inside, 0.3) if inside else None
+        others = [w for w in values[max(0, i - 10) : i] if good(w)]
+        same = others.count(v)
+        r = None if not good(v) else 50.0 if not others else (2 * sum(w < v for w in others) + same + (same > 0)) * 50.0 / len(others)
+        for k in ("A", None):
+            assert got[k, i] == (q if q is None else pytest.approx(q), r if r is None else pytest.approx(r))
+
+
+FRAMES = """ti3_wma ti4_rsi ti6_bollinger ti7_stochastic ti8_atr ti9_adx ti10_cci ti12_momentum_roc ti15_ichimoku ti18_psar ti22_cmf ti27_all_indicators
+rs1_rolling_statistics rs3_percentile_rank rs4_entropy rs6_j7_beta rs9_vol_of_vol rs14_distribution rs15_autocorrelation rs16_ljung_box rs19_feature_set
+ad1_ad4_detectors ad5_outlier_3sigma ad6_correlation_breaks ad10_series_detectors dc1_dc3_fills dc2_linear_fill dc5_outliers_iqr dc10_dc11_clean_ticks""".split()
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_registered_frames_by_small_blocks_equal_sql(spark, sf_dir, monkeypatch, name):
+    """Series of the smallest tables are longer than these blocks, so every query runs in several."""
+    monkeypatch.setattr(frames, "BLOCK", 128)
+    monkeypatch.setattr(frames, "BEFORE", 125)
+    monkeypatch.setattr(relay, "BLOCK", 128)
+    framed = frames.framed
+    monkeypatch.setattr(frames, "framed", lambda df, build, **how: framed(df, build, **({"before": 125, "after": 64, "block": 128} | how)))
+    oracle.check(registry.queries()[name](spark, sf_dir), oracle.connect(sf_dir), registry.oracle_sql()[name])

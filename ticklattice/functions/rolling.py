@@ -10,15 +10,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticklattice.functions import sliding
 from ticklattice.functions.indicators import c, ever, full, lag, order, rows, sma
 
 ANNUAL = math.sqrt(252)
 
 
-def quantile(x, p: float, w) -> Column:
-    return F.percentile(c(x), F.lit(p)).over(w)
-
-
 def skew(x, w) -> Column:
     n = F.count(c(x)).over(w).cast("double")
     return F.when((n >= 3) & (F.var_pop(c(x)).over(w) > 0), F.skewness(c(x)).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
@@ -32,30 +29,29 @@ def kurt(x, w) -> Column:
 STATS = {
     "mean": lambda x, w: F.avg(c(x)).over(w), "std": lambda x, w: F.stddev_samp(c(x)).over(w), "var": lambda x, w: F.var_samp(c(x)).over(w),
     "min": lambda x, w: F.min(c(x)).over(w), "max": lambda x, w: F.max(c(x)).over(w), "sum": lambda x, w: F.sum(c(x)).over(w),
-    "median": lambda x, w: quantile(x, 0.5, w), "q25": lambda x, w: quantile(x, 0.25, w), "q75": lambda x, w: quantile(x, 0.75, w),
     "skew": skew, "kurt": kurt,
 }
+#: Statistics that need the window in order.
+ORDERED = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+ALL_STATS = (*STATS, *ORDERED)
 
 
-def rolling_statistics(x, windows=(5, 20), stats=tuple(STATS), least: int = 1) -> dict[str, Column]:
-    """Columns ``<stat>_<n>`` for every window length and statistic."""
+def with_rolling_statistics(df: DataFrame, x: str, windows=(5, 20), stats=ALL_STATS, *, least: int = 1, prefix: str = "") -> DataFrame:
+    """Adds ``<prefix><stat>_<n>`` for every window length and statistic; null in windows of fewer than ``least`` values."""
     held = lambda n, v: F.when(F.count(c(x)).over(rows(n)) >= least, v) if least > 1 else v
-    return {f"{s}_{n}": held(n, STATS[s](x, rows(n))) for n in windows for s in stats}
+    made = {f"{prefix}{s}_{n}": ("quantile", x, n, ORDERED[s]) for n in windows for s in stats if s in ORDERED}
+    given = sliding.ordered(df, made) if made else df
+    out = {f"{prefix}{s}_{n}": held(n, c(f"{prefix}{s}_{n}") if s in ORDERED else STATS[s](x, rows(n))) for n in windows for s in stats}
+    return given.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
 def z_score(x, n: int) -> Column:
     return F.try_divide(c(x) - F.avg(c(x)).over(rows(n)), F.stddev_samp(c(x)).over(rows(n)))
 
 
-def percentile_rank(x: str, n: int) -> Column:
-    """Mean rank of the last value among the n-1 before it, in percent; 50 where it stands alone."""
-    values = F.collect_list(c(x)).over(rows(n))
-    others = F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
-    below = F.size(F.filter(others, lambda v: v < c(x)))
-    same = F.size(F.filter(others, lambda v: v == c(x)))
-    count = F.size(others)
-    rank = (below * 2 + same + F.when(same > 0, 1).otherwise(0)) * 50.0 / count
-    return F.when(count == 0, 50.0).otherwise(rank)
+def with_percentile_rank(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
+    """Adds the mean rank of the last value among the n-1 before it, in percent; 50 where it stands alone."""
+    return sliding.ordered(df, {name: ("rank", x, n)})
 
 
 def entropy(x: str, n: int, bins: int = 10) -> Column:
@@ -110,13 +106,13 @@ def moments(x, n: int) -> dict[str, Column]:
     return {f"{k}_{n}": F.when(F.count(c(x)).over(w) >= least, v) for k, v in values.items()}
 
 
-def distribution(x, n: int = 50) -> dict[str, Column]:
-    """Mean, deviation, quartile and tail spreads, tails beyond two deviations of the row, coefficient of variation."""
+def with_distribution(df: DataFrame, x: str, n: int = 50) -> DataFrame:
+    """Adds mean, deviation, quartile and tail spreads and the coefficient of variation over n rows, once max(10, n / 5) are there."""
     w, least = rows(n), max(10, n // 5)
-    q = lambda p: quantile(x, p, w)
+    at = sliding.ordered(df, {f"__q{p}": ("quantile", x, n, p / 100) for p in (5, 25, 75, 95)})
     mean, sd = F.avg(c(x)).over(w), F.stddev_samp(c(x)).over(w)
-    values = {"mean": mean, "std": sd, "skew": skew(x, w), "kurt": kurt(x, w), "iqr": q(0.75) - q(0.25), "tail_range": q(0.95) - q(0.05), "cv": F.try_divide(sd, mean)}
-    return {k: F.when(F.count(c(x)).over(w) >= least, v) for k, v in values.items()}
+    values = {"mean": mean, "std": sd, "skew": skew(x, w), "kurt": kurt(x, w), "iqr": c("__q75") - c("__q25"), "tail_range": c("__q95") - c("__q5"), "cv": F.try_divide(sd, mean)}
+    return at.select(*df.columns, *[F.when(F.count(c(x)).over(w) >= least, v).alias(k) for k, v in values.items()])
 
 
 def autocorrelation(x, lag_by: int, n: int = 50) -> Column:
@@ -188,8 +184,22 @@ def with_streaks(df: DataFrame, x: str = "close", n: int = 11) -> DataFrame:
 
 
 def feature_set(bars: DataFrame) -> DataFrame:
-    """The comprehensive set over bars: returns first, then every statistic in one select."""
+    """The comprehensive set over bars: returns, rolling statistics of returns, and of closes z-score, rank, volatilities, gap to
+    the mean, momentum, entropy, moments, distribution, autocorrelations and Ljung-Box."""
     given = bars.select("*", *[v.alias(k) for k, v in returns().items()])
-    out = {f"ret_{k}": v for k, v in rolling_statistics("ret", (20,), ("mean", "std", "skew", "kurt", "q25", "q75"), least=5).items()}
-    out |= {"z_20": z_score("close", 20), "rank_20": percentile_rank("close", 20), "vol_20": realized_volatility("ret", 20), "parkinson_20": parkinson(20), "ma_gap_20": F.try_divide(c("close") - sma(n=20), sma(n=20))}
-    return given.select("*", *[v.alias(k) for k, v in (out | momentum_family("close")).items()])
+    given = given.select("*", *[lag("close", k).alias(f"__lag_{k}") for k in range(1, 6)])
+    given = sliding.ordered(given, {
+        "__q25": ("quantile", "ret", 20, 0.25), "__q75": ("quantile", "ret", 20, 0.75), "rank_20": ("rank", "close", 20),
+        **{f"__p{p}": ("quantile", "close", 50, p / 100) for p in (5, 25, 75, 95)},
+    })
+    enough = lambda v: F.when(F.count(c("ret")).over(rows(20)) >= 5, v)
+    out = {f"ret_{s}_20": enough(STATS[s]("ret", rows(20))) for s in ("mean", "std", "skew", "kurt")} | {f"ret_{q}_20": enough(c(f"__{q}")) for q in ("q25", "q75")}
+    out |= {"z_20": z_score("close", 20), "rank_20": c("rank_20"), "vol_20": realized_volatility("ret", 20), "parkinson_20": parkinson(20), "ma_gap_20": F.try_divide(c("close") - sma(n=20), sma(n=20))}
+    out |= momentum_family("close") | {"entropy_20": entropy("close", 20)} | moments("close", 20)
+    spread = F.count(c("close")).over(rows(50)) >= 10
+    out |= {"iqr_50": F.when(spread, c("__p75") - c("__p25")), "tail_range_50": F.when(spread, c("__p95") - c("__p5"))}
+    acf = {k: autocorrelation("close", k, 50) for k in range(1, 6)}
+    box = sum((F.pow(v, 2) / (50 - k) for k, v in acf.items()), F.lit(0.0)) * 50 * 52
+    out |= {"acf_1": acf[1], "acf_5": acf[5], "ljung_box": box}
+    kept = [*bars.columns, "ret", "log_ret"]
+    return given.select(*kept, *[v.alias(k) for k, v in out.items()])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames, quantiles
+from ticklattice.functions import frames, quantiles, sliding
 
 c = F.col
 
@@ -28,10 +28,11 @@ def detect(trades: DataFrame) -> DataFrame:
 def _detect(trades: DataFrame) -> DataFrame:
     w100, w50, w10 = _order().rowsBetween(-100, 0), _order().rowsBetween(-50, 0), _order().rowsBetween(-10, 0)
     z = F.try_divide(c("price") - F.avg("price").over(w100), F.stddev_samp("price").over(w100))
-    q1, q3 = F.percentile("price", F.lit(0.25)).over(w100), F.percentile("price", F.lit(0.75)).over(w100)
+    plain = trades.columns
+    trades = sliding.ordered(trades, {"__q1": ("quantile", "price", 101, 0.25), "__q3": ("quantile", "price", 101, 0.75)}, order=("ts", "trade_id"))
     prior = F.lag("price").over(_order())
     step = trades.select(
-        "*", F.abs(z).alias("__z"), q1.alias("__q1"), q3.alias("__q3"), F.try_divide(c("price") - prior, prior).alias("__move"),
+        "*", F.abs(z).alias("__z"), F.try_divide(c("price") - prior, prior).alias("__move"),
         F.abs(F.try_divide(c("size") - F.avg("size").over(w50), F.stddev_samp("size").over(w50))).alias("__vz"), F.try_divide(c("size"), F.avg("size").over(w50)).alias("__vr"),
         F.signum(c("price") - prior).alias("__sign"),
     )
@@ -47,7 +48,7 @@ def _detect(trades: DataFrame) -> DataFrame:
         "pattern": (same >= 8, same / 11.0),
     }
     scores = {k: F.least(F.when(flag, score).otherwise(0.0), F.lit(1.0)) for k, (flag, score) in flags.items()}
-    return step.select(*trades.columns, *[f.alias(f"is_{k}") for k, (f, _) in flags.items()], *[s.alias(f"anomaly_score_{k}") for k, s in scores.items()])
+    return step.select(*plain, *[f.alias(f"is_{k}") for k, (f, _) in flags.items()], *[s.alias(f"anomaly_score_{k}") for k, s in scores.items()])
 
 
 METHODS = ("zscore", "iqr", "spike", "volume", "pattern")

@@ -152,5 +152,5 @@ DOUBLES: dict[str, str] = {
     "ti18_psar_plain": "psar",
     "ti27_all_indicators": "open high low close vwap sma_5 sma_10 sma_20 sma_50 rsi_14 bb_upper bb_middle bb_lower bb_width bb_position stoch_k tr tp williams_r momentum_10 roc_10 cmf_20 volume_ratio vi_plus vi_minus position_in_range body upper_shadow lower_shadow pivot r1 s1 stoch_d atr_14 cci_20",
     "rs8_garch": "garch_vol",
-    "rs19_feature_set": "open high low close vwap ret log_ret ret_mean_20 ret_std_20 ret_skew_20 ret_kurt_20 ret_q25_20 ret_q75_20 z_20 rank_20 vol_20 parkinson_20 ma_gap_20 diff_5 pct_5 log_5 diff_10 pct_10 log_10",
+    "rs19_feature_set": "open high low close vwap ret log_ret ret_mean_20 ret_std_20 ret_skew_20 ret_kurt_20 ret_q25_20 ret_q75_20 z_20 rank_20 vol_20 parkinson_20 ma_gap_20 diff_5 pct_5 log_5 diff_10 pct_10 log_10 entropy_20 skew_20 kurt_20 m3_20 m4_20 iqr_50 tail_range_50 acf_1 acf_5 ljung_box",
 }

@@ -20,6 +20,10 @@ def _bars(spark, d, **columns):
     return frames.columns(X.bars(spark, d), "symbol", "ts", **columns)
 
 
+def _built(spark, d, build, columns):
+    return frames.framed(X.bars(spark, d), build).select("symbol", "ts", *columns)
+
+
 def _returns(spark, d):
     return frames.columns(X.bars(spark, d), "symbol", "ts", "open", "high", "low", "close", "volume", **R.returns())
 
@@ -33,9 +37,9 @@ def _stat(s: str, x: str, w: str) -> str:
     }[s]
 
 
-@Q.add("rs1_rolling_statistics", f"with {BARS} select symbol, ts, " + ", ".join(f"{_stat(s, 'close', _w(n))} as {s}_{n}" for n in (5, 20) for s in R.STATS) + " from bars")
+@Q.add("rs1_rolling_statistics", f"with {BARS} select symbol, ts, " + ", ".join(f"{_stat(s, 'close', _w(n))} as {s}_{n}" for n in (5, 20) for s in R.ALL_STATS) + " from bars")
 def rs1(spark, d):
-    return _bars(spark, d, **R.rolling_statistics("close"))
+    return _built(spark, d, lambda bars: R.with_rolling_statistics(bars, "close"), [f"{s}_{n}" for n in (5, 20) for s in R.ALL_STATS])
 
 
 @Q.add("rs2_z_score", f"with {BARS} select symbol, ts, (close - avg(close) over {_w(20)}) / nullif(stddev_samp(close) over {_w(20)}, 0) as z_20 from bars")
@@ -47,7 +51,7 @@ def rs2(spark, d):
 y as (select symbol, ts, len(a) - 1 as n, len(list_filter(a[1:len(a) - 1], lambda v: v < close)) as lo, len(list_filter(a[1:len(a) - 1], lambda v: v = close)) as eq from x)
 select symbol, ts, case when n = 0 then 50.0 else (lo * 2 + eq + case when eq > 0 then 1 else 0 end) * 50.0 / n end as rank_20 from y""")
 def rs3(spark, d):
-    return _bars(spark, d, rank_20=R.percentile_rank("close", 20))
+    return _built(spark, d, lambda bars: R.with_percentile_rank(bars, "close", 20, "rank_20"), ["rank_20"])
 
 
 @Q.add("rs4_entropy", f"""with {BARS}, x as (select symbol, ts, array_agg(close) over {_w(20)} as a, min(close) over {_w(20)} as lo, max(close) over {_w(20)} as hi from bars),
@@ -130,7 +134,7 @@ def rs13(spark, d):
     "iqr": f"quantile_cont(close, 0.75) over {_w(50)} - quantile_cont(close, 0.25) over {_w(50)}", "tail_range": f"quantile_cont(close, 0.95) over {_w(50)} - quantile_cont(close, 0.05) over {_w(50)}",
     "cv": f"stddev_samp(close) over {_w(50)} / nullif(avg(close) over {_w(50)}, 0)"}.items()) + " from bars")
 def rs14(spark, d):
-    return _bars(spark, d, **R.distribution("close"))
+    return _built(spark, d, lambda bars: R.with_distribution(bars, "close"), ["mean", "std", "skew", "kurt", "iqr", "tail_range", "cv"])
 
 
 def _acf(k: int) -> str:
@@ -166,8 +170,10 @@ _R19 = ", ".join(f"case when count(ret) over {_w(20)} >= 5 then {_stat(k, 'ret',
 
 @Q.add("rs19_feature_set", f"""with {BARS}{RET}, r as (select *, {_R19} from x)
 select symbol, ts, r.open, r.high, r.low, r.close, r.volume, r.vwap, r.trade_count, r.ret, r.log_ret, ret_mean_20, ret_std_20, ret_skew_20, ret_kurt_20, ret_q25_20, ret_q75_20,
-  z_20, rank_20, vol_20, parkinson_20, ma_gap_20, diff_5, pct_5, log_5, diff_10, pct_10, log_10 from r """ + " ".join(
-    f"join ({Q.sql[n]}) q{k} using (symbol, ts)" for k, n in enumerate(("rs2_z_score", "rs3_percentile_rank", "rs7_rs10_volatility", "rs12_mean_reversion", "rs11_momentum_family"))))
+  z_20, rank_20, vol_20, parkinson_20, ma_gap_20, diff_5, pct_5, log_5, diff_10, pct_10, log_10,
+  entropy_20, skew_20, kurt_20, m3_20, m4_20, iqr as iqr_50, tail_range as tail_range_50, acf_1, acf_5, ljung_box from r """ + " ".join(
+    f"join ({Q.sql[n]}) q{k} using (symbol, ts)" for k, n in enumerate(("rs2_z_score", "rs3_percentile_rank", "rs7_rs10_volatility", "rs12_mean_reversion", "rs11_momentum_family",
+                                                                          "rs4_entropy", "rs13_moments", "rs14_distribution", "rs15_autocorrelation", "rs16_ljung_box"))))
 def rs19(spark, d):
     return frames.framed(X.bars(spark, d), R.feature_set)
 
