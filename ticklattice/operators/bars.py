@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticklattice.functions import folders
+
 TIMEFRAMES = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}
 
 
@@ -17,29 +19,78 @@ def _share(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole) * 100
 
 
-def ohlcv(trades: DataFrame, duration: str, *, key: str = "symbol", ts: str = "ts", tie: str = "trade_id") -> DataFrame:
-    """Open, high, low, close, volume, count, mean, deviation, traded value, vwap, change and range per key and window.
-
-    Open and close are ordered by (ts, tie), so results don't depend on the order of rows.
-    """
+def bar_states(trades: DataFrame, duration: str, *, key: str = "symbol", ts: str = "ts", tie: str = "trade_id") -> DataFrame:
+    """What a bar per key and window needs and what a coarser one can be made from: first, last and extreme prices, sums, and the
+    prices' count, mean and sum of squares about it.  First and last are by (ts, tie), so nothing depends on the order of rows."""
     order = F.struct(ts, tie)
     out = trades.groupBy(key, F.window(ts, duration).alias("w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trade_count"),
-        F.avg("price").alias("avg_price"), F.stddev("price").alias("price_stddev"), F.sum(F.col("price") * F.col("size")).alias("value_traded"),
+        F.count("price").alias("priced"), F.avg("price").alias("mean"), (F.var_pop("price") * F.count("price")).alias("squares"),
+        F.sum(F.col("price") * F.col("size")).alias("value_traded"),
+    )
+    return out.select(key, "w.*", *[x for x in out.columns if x not in (key, "w")])
+
+
+def coarser_states(states: DataFrame, duration: str, *, key: str = "symbol") -> DataFrame:
+    """States of windows that hold whole windows of ``states``; squares are merged pair by pair about the common mean.
+
+    A window gathers as many small rows as it holds finer windows.
+    """
+    parts = F.sort_array(F.collect_list(F.when(F.col("priced") > 0, F.struct("start", F.col("priced").alias("n"), "mean", "squares"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        squares = a["squares"] + b["squares"] + apart * apart * a["n"] * b["n"] / n
+        return F.struct(n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), squares.alias("squares"))
+
+    out = states.groupBy(key, F.window("start", duration).alias("w")).agg(
+        F.min_by("open", "start").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "start").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count"), F.sum("value_traded").alias("value_traded"), parts.alias("parts"),
     )
+    all_ = F.aggregate("parts", zero, merge)
+    out = out.withColumn("all", F.when(F.size("parts") > 0, all_))
     return out.select(
-        key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "open", "high", "low", "close", "volume", "trade_count",
-        "avg_price", "price_stddev", "value_traded", F.try_divide("value_traded", "volume").alias("vwap"),
-        _share(F.col("close") - F.col("open"), F.col("open")).alias("change_pct"), (F.col("high") - F.col("low")).alias("range"),
-        _share(F.col("high") - F.col("low"), F.col("low")).alias("range_pct"),
+        key, "w.*", "open", "high", "low", "close", "volume", "trade_count", F.coalesce("all.n", F.lit(0)).alias("priced"), F.col("all.mean").alias("mean"),
+        F.col("all.squares").alias("squares"), "value_traded",
     )
 
 
+def bars_of(states: DataFrame, *, key: str = "symbol") -> DataFrame:
+    """Open, high, low, close, volume, count, mean, deviation, traded value, vwap, change and range of each state."""
+    return states.select(
+        key, F.col("start").alias("window_start"), F.col("end").alias("window_end"), "open", "high", "low", "close", "volume", "trade_count",
+        F.col("mean").alias("avg_price"), F.when(F.col("priced") > 1, F.sqrt(F.col("squares") / (F.col("priced") - 1))).alias("price_stddev"), "value_traded",
+        F.try_divide("value_traded", "volume").alias("vwap"), _share(F.col("close") - F.col("open"), F.col("open")).alias("change_pct"),
+        (F.col("high") - F.col("low")).alias("range"), _share(F.col("high") - F.col("low"), F.col("low")).alias("range_pct"),
+    )
+
+
+def ohlcv(trades: DataFrame, duration: str, *, key: str = "symbol", ts: str = "ts", tie: str = "trade_id") -> DataFrame:
+    """Bars per key and window, in one aggregation combined map-side."""
+    return bars_of(bar_states(trades, duration, key=key, ts=ts, tie=tie), key=key)
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _seconds(duration: str) -> int:
+    n, unit = duration.split()
+    return int(n) * _UNITS[unit.rstrip("s")]
+
+
 def ohlcv_timeframes(trades: DataFrame, timeframes: dict[str, str] | None = None) -> DataFrame:
-    """Bars of several timeframes in one table, tagged by ``timeframe``."""
-    frames = [ohlcv(trades, d).withColumn("timeframe", F.lit(name)) for name, d in (timeframes or TIMEFRAMES).items()]
-    return reduce(DataFrame.unionByName, frames)
+    """Bars of several timeframes in one table, tagged by ``timeframe``, from one scan and one shuffle of the trades.
+
+    The finest timeframe's states are written; those that it divides are made from that table, any other from the trades.
+    """
+    finest, *rest = sorted((timeframes or TIMEFRAMES).items(), key=lambda x: _seconds(x[1]))
+    states = folders.written(bar_states(trades, finest[1]), "bar-states")
+    made = [(finest[0], states)]
+    for name, d in rest:
+        made.append((name, bar_states(trades, d) if _seconds(d) % _seconds(finest[1]) else coarser_states(states, d)))
+    return reduce(DataFrame.unionByName, [bars_of(x).withColumn("timeframe", F.lit(name)) for name, x in made])
 
 
 def ohlcv_seconds(trades: DataFrame, seconds: tuple[int, ...] = (60, 300, 900, 3600)) -> DataFrame:

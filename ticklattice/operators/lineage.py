@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import folders
+
 c = F.col
 
 
@@ -14,14 +16,40 @@ def edges(events: DataFrame) -> DataFrame:
 
 
 def reachable(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(root, node, distance): nodes that each root (node) reaches along (src, dst) in at most ``depth`` steps, at their least distance."""
-    seen = start.select(c("node").alias("root"), "node", F.lit(0).alias("distance"))
-    front = seen
+    """(root, node, distance): what each named root (node) reaches along (src, dst) in at most ``depth`` steps, at its least distance.
+
+    A frontier is written before the next step is taken, so a level costs one join of the frontier with the graph.  The result
+    has a row a root and node: name roots, and ask ``reach`` for counts of all nodes.  Null nodes are nobody's neighbour.
+    """
+    seen = folders.written(start.select(c("node").alias("root"), "node", F.lit(0).alias("distance")).distinct(), "reach")
+    front, levels = seen, seen
     for k in range(1, depth + 1):
         step = front.join(graph, front.node == graph.src).select("root", c("dst").alias("node")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
-        seen = seen.unionByName(front)
-    return seen.filter("distance > 0")
+        front = folders.written(step.join(levels.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k)), "reach")
+        if not front.limit(1).count():
+            break
+        levels = levels.unionByName(front)
+    return levels.filter("distance > 0")
+
+
+#: Nodes that a sketch of a reachable set holds at most: counts below are exact, beyond the error is about one in its root.
+SKETCH = 256
+
+
+def reach(graph: DataFrame, nodes: DataFrame, depth: int, *, size: int = SKETCH) -> DataFrame:
+    """(node, of): for every node the ``size`` nodes of least hash among those it reaches in at most ``depth`` steps, itself included.
+
+    The least hashes of a union are found among the least of its parts, so each step joins the edges with the sketches once and
+    keeps the least; a node's rows are cut down in every task before they meet.
+    """
+    least = Window.partitionBy("node").orderBy(F.xxhash64("of"), "of")
+    sketch = folders.written(nodes.select("node", c("node").alias("of")).filter("node is not null").distinct(), "sketch")
+    edges_ = folders.written(graph.select("src", "dst").distinct(), "graph")
+    for _ in range(depth):
+        further = edges_.join(sketch, c("dst") == c("node")).select(c("src").alias("node"), "of")
+        both = sketch.unionByName(further).distinct()
+        sketch = folders.written(both.withColumn("__n", F.row_number().over(least)).filter(c("__n") <= size).drop("__n"), "sketch")
+    return sketch
 
 
 def rollup(events: DataFrame) -> DataFrame:
@@ -32,12 +60,21 @@ def rollup(events: DataFrame) -> DataFrame:
     )
 
 
-def impact(events: DataFrame, depth: int = 5) -> DataFrame:
-    """Dependents of each feature and a score: accesses of it and its dependents over 100, 10 at most."""
-    graph = edges(events)
-    use = rollup(events).select("feature_id", "accesses")
-    reach = reachable(graph, use.select(c("feature_id").alias("node")), depth)
-    both = reach.join(use, reach.node == use.feature_id).groupBy("root").agg(F.count(F.lit(1)).alias("dependents"), F.sum("accesses").alias("below"))
-    return use.join(both, use.feature_id == both.root, "left").select(
-        "feature_id", F.coalesce("dependents", F.lit(0)).alias("dependents"), F.least((c("accesses") + F.coalesce("below", F.lit(0))) / 100, F.lit(10.0)).alias("impact")
-    )
+def impact(events: DataFrame, depth: int = 5, *, size: int = SKETCH) -> DataFrame:
+    """Dependents of each feature and a score: accesses of it and its dependents over 100, 10 at most; ``is_exact`` where both are.
+
+    Reachable sets come as sketches; beyond ``size`` nodes their number follows from the largest hash kept, and their accesses
+    from the mean of those kept.
+    """
+    use = folders.written(rollup(events).select("feature_id", "accesses"), "use")
+    sketch = reach(edges(events), use.select(c("feature_id").alias("node")), depth, size=size)
+    held = sketch.join(use, sketch.of == use.feature_id).groupBy("node").agg(
+        F.count(F.lit(1)).alias("kept"), F.max(F.xxhash64("of")).alias("last"), F.sum(F.when(c("of") != c("node"), c("accesses"))).alias("below"),
+        F.count(F.when(c("of") != c("node"), 1)).alias("others"),
+    )
+    share = (c("last").cast("double") + 2.0**63) / 2.0**64
+    exact = c("kept") < size
+    dependents = F.when(exact, c("kept") - 1).otherwise(F.round((size - 1) / share) - 1).cast("long")
+    below = F.when(exact, F.coalesce("below", F.lit(0)).cast("double")).otherwise(c("below") / c("others") * dependents)
+    found = held.select("node", exact.alias("is_exact"), dependents.alias("dependents"), below.alias("below"))
+    return use.join(found, use.feature_id == found.node).select("feature_id", "dependents", F.least((c("accesses") + c("below")) / 100, F.lit(10.0)).alias("impact"), "is_exact")

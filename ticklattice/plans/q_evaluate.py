@@ -315,10 +315,10 @@ def threshold_alerts(spark, d):
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("place"))).filter("n = 1").select("symbol", "value", "level")
 
 
-@Q.add("st14_alert_lifecycle", f"""with {X.TRADES}, e as (select trade_id % 500 as alert_id, ts, trade_id, case trade_id % 3 when 0 then 'active' when 1 then 'acknowledged' else 'resolved' end as status from trades)
+@Q.add("st14_alert_lifecycle", f"""with {X.TRADES_FINE}, e as (select symbol as alert_id, ts, trade_id, case trade_id % 3 when 0 then 'active' when 1 then 'acknowledged' else 'resolved' end as status from trades_fine)
 select alert_id, arg_max(status, (ts, trade_id)) as status, min(ts) as opened, date_diff('second', min(ts), max(ts) filter (status = 'resolved')) / 60.0 as resolution_minutes from e group by 1""")
 def lifecycle(spark, d):
-    e = X.trades(spark, d).select((F.col("trade_id") % 500).alias("alert_id"), "ts", "trade_id", F.expr("case trade_id % 3 when 0 then 'active' when 1 then 'acknowledged' else 'resolved' end").alias("status"))
+    e = X.trades_fine(spark, d).select(F.col("symbol").alias("alert_id"), "ts", "trade_id", F.expr("case trade_id % 3 when 0 then 'active' when 1 then 'acknowledged' else 'resolved' end").alias("status"))
     one = e.groupBy("alert_id").agg(F.max_by("status", F.struct("ts", "trade_id")).alias("status"), F.min("ts").alias("opened"), F.max(F.when(F.col("status") == "resolved", F.col("ts"))).alias("done"))
     seconds = F.unix_timestamp(F.col("done").cast("timestamp")) - F.unix_timestamp(F.col("opened").cast("timestamp"))
     return one.select("alert_id", "status", "opened", (seconds / 60.0).alias("resolution_minutes"))
