@@ -5,10 +5,12 @@ Curves run over distinct scores, aggregated first, so prefix sums see one row pe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import quantiles
+from ticklattice.functions import probability, quantiles
 
 c = F.col
 
@@ -97,18 +99,50 @@ def rolling_metrics(rows: DataFrame, n: int = 30) -> DataFrame:
 
 
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Agreement table of two predictions against y, and the corrected chi-square."""
+    """Agreement table of two predictions against y, the corrected chi-square, and a p-value, exact unless there are many."""
     right_a, right_b = c(a) == c("y"), c(b) == c("y")
     one = rows.agg(F.count_if(right_a & right_b).alias("both"), F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"), F.count_if(~right_a & ~right_b).alias("neither"))
-    return one.withColumn("chi_square", F.try_divide(F.pow(F.abs(c("only_a") - c("only_b")) - 1, 2), c("only_a") + c("only_b")))
+    one = one.withColumn("chi_square", F.try_divide(F.pow(F.abs(c("only_a") - c("only_b")) - 1, 2), c("only_a") + c("only_b")))
+    return one.withColumn("p_value", probability.sign_p(F.least("only_a", "only_b"), c("only_a") + c("only_b"), c("chi_square")))
 
 
 def mann_whitney(rows: DataFrame) -> DataFrame:
-    """U of the scores of true rows against the rest, and its normal approximation z."""
+    """U of the scores of true rows against the rest, its normal approximation z, and a two-sided p-value, which corrects for ties
+    and continuity."""
     s = by_score(rows)
     total = s.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    u = s.crossJoin(F.broadcast(total)).agg(F.sum(c("neg") * (c("tp") - c("pos")) + c("neg") * c("pos") * 0.5).alias("u"), F.first("p").alias("n1"), F.first("n").alias("n2"))
-    return u.withColumn("z", F.try_divide(c("u") - c("n1") * c("n2") / 2, F.sqrt(c("n1") * c("n2") * (c("n1") + c("n2") + 1) / 12)))
+    t = (c("pos") + c("neg")).cast("double")
+    u = s.crossJoin(F.broadcast(total)).agg(
+        F.sum(c("neg") * (c("tp") - c("pos")) + c("neg") * c("pos") * 0.5).alias("u"), F.first("p").alias("n1"), F.first("n").alias("n2"), F.sum(t * t * t - t).alias("ties")
+    )
+    u = u.withColumn("z", F.try_divide(c("u") - c("n1") * c("n2") / 2, F.sqrt(c("n1") * c("n2") * (c("n1") + c("n2") + 1) / 12)))
+    both = (c("n1") + c("n2")).cast("double")
+    spread = F.sqrt(c("n1").cast("double") * c("n2") / 12 * (both + 1 - F.try_divide(c("ties"), both * (both - 1))))
+    corrected = F.try_divide(F.greatest(F.abs(c("u") - c("n1") * c("n2") / 2) - 0.5, F.lit(0.0)), spread)
+    return u.withColumn("p_value", probability.two_sided(corrected)).drop("ties")
+
+
+def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed-rank test of paired values: pairs that differ, the rank sums of both signs, z with ties corrected, and p-value.
+
+    Absolute differences are counted, dealt to ranges of about equal numbers of them, and ranked by the counts of the ranges below,
+    ties at their middle.  Pairs with a null, and equal ones, don't count; without any pair all but the counts is null.
+    """
+    d = c(a).cast("double") - c(b).cast("double")
+    g = rows.select(d.alias("d")).filter("d <> 0 and not isnan(d)").groupBy(F.abs("d").alias("size")).agg(F.count_if(c("d") > 0).alias("up"), F.count(F.lit(1)).alias("t"))
+    g = quantiles.dealt(g, "size")
+    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    sums = g.groupBy(c("part").alias("p")).agg(F.sum("t").alias("s")).select("p", F.coalesce(F.sum("s").over(below), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = g.join(F.broadcast(sums), c("part") == c("p")).withColumn("rank", c("base") + F.sum("t").over(inside) - (c("t") - 1) / 2.0)
+    t = c("t").cast("double")
+    one = ranked.agg(
+        F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(c("rank") * c("up")).alias("w_plus"), F.sum(c("rank") * (c("t") - c("up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties")
+    )
+    n = c("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (n * 2 + 1) / 24 - c("ties") / 48)
+    one = one.withColumn("z", F.try_divide(c("w_plus") - n * (n + 1) / 4, spread))
+    return one.withColumn("p_value", probability.signed_rank_p(c("n"), F.least("w_plus", "w_minus"), c("ties") > 0, c("z"))).drop("ties")
 
 
 def paired_t(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -164,17 +198,42 @@ def correlations(matrix: DataFrame, features: list[str]) -> DataFrame:
     return matrix.sparkSession.createDataFrame(pairs, "a string, b string, corr double").select("a", "b", F.nanvl("corr", F.lit(None).cast("double")).alias("corr"))
 
 
-def bootstrap(rows: DataFrame, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """95 % intervals of precision, recall and F1 by a Poisson bootstrap.
+#: Running chances of a Poisson variable of mean 1 to be at most 0, 1, ...
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13))
+
+
+def bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """95 % intervals of precision, recall and F1 by a Poisson bootstrap, in one pass without a row a replicate.
 
-    Each row draws a Poisson(1) weight per replicate from a hash, so replicates are the same for the same rows.
+    Each row draws a Poisson(1) weight per replicate from a hash, so replicates are the same for the same rows.  A task adds the
+    weights of its rows into one array for each pair of truth and prediction; what is shuffled is those four arrays a task.
     """
-    u = F.pmod(F.xxhash64("trade_id", "b", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    edges = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
-    r = rows.select("trade_id", "y", "pred", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("w", weight)
-    total = lambda x: F.sum(F.when(x, c("w")).otherwise(0))
-    m = r.groupBy("b").agg(total(c("y") & c("pred")).alias("tp"), total(~c("y") & c("pred")).alias("fp"), total(c("y") & ~c("pred")).alias("fn"))
+    import numpy as np
+    import pyarrow as pa
+
+    edges, salt = np.array(POISSON), np.uint64(seed)
+    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(batches):
+        total = np.zeros((4, replicates), np.int64)
+        for batch in batches:
+            group, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for lo in range(0, len(key), 256):
+                part = mixed(key[lo : lo + 256, None] ^ mixed(steps + salt))
+                weights = np.searchsorted(edges, (part >> np.uint64(11)).ravel() / 2.0**53, "right").reshape(part.shape)
+                for g in range(4):
+                    total[g] += weights[group[lo : lo + 256] == g].sum(0)
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "w"])
+
+    group = F.when(c("y") & c("pred"), 0).when(~c("y") & c("pred"), 1).when(c("y") & ~c("pred"), 2).otherwise(3)
+    drawn = rows.filter("y is not null and pred is not null").select(group.cast("long"), F.xxhash64("trade_id")).mapInArrow(run, "at long, w long")
+    m = drawn.groupBy((c("at") % replicates).alias("b")).agg(*[F.coalesce(F.sum(F.when(F.floor(c("at") / replicates) == g, c("w"))), F.lit(0)).alias(name) for g, name in enumerate(("tp", "fp", "fn"))])
     m = m.select(F.try_divide("tp", c("tp") + c("fp")).alias("precision"), F.try_divide("tp", c("tp") + c("fn")).alias("recall"), F.try_divide(c("tp") * 2, c("tp") * 2 + c("fp") + c("fn")).alias("f1"))
     long = m.unpivot([], ["precision", "recall", "f1"], "metric", "v")
     return long.groupBy("metric").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))

@@ -59,8 +59,9 @@ DOUBLES: dict[str, str] = {
     "sl7_precision_at_k": "precision_at_k",
     "j8_coverage": "coverage",
     "ml6_rolling_metrics": "precision recall",
-    "ml8_mcnemar": "chi_square",
-    "ml8_mann_whitney": "u z",
+    "ml8_mcnemar": "chi_square p_value",
+    "ml8_wilcoxon": "w_plus w_minus z p_value",
+    "ml8_mann_whitney": "u z p_value",
     "ml8_paired_t": "mean_difference t",
     "ml2_scaling": "standard minmax robust",
     "a20_correlation_matrix": "corr",

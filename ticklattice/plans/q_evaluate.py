@@ -89,18 +89,39 @@ def rolling_metrics(spark, d):
     return E.rolling_metrics(scored(spark, d))
 
 
+def _erfc(x: str) -> str:
+    """Complementary error function of ``x`` >= 0 (nothing is left beyond 6): a series of positive terms, from the last one inwards."""
+    x = f"least({x}, 6.0)"
+    return f"""greatest(0.0, 1 - 2 / sqrt(pi()) * {x} * exp(-1 * ({x}) * ({x})) * list_reduce(list_prepend(cast(1 as double), list_reverse(list_transform(range(1, 200), lambda k: cast(k as double)))),
+      lambda acc, k: 1 + acc * 2 * ({x}) ** 2 / (2 * k + 1)))"""
+
+
 @Q.add("ml8_mcnemar", f"""with {SCORED}, k as (select count(*) filter (pred = y and pred_b = y) as both, count(*) filter (pred = y and pred_b <> y) as only_a, count(*) filter (pred <> y and pred_b = y) as only_b, count(*) filter (pred <> y and pred_b <> y) as neither from sc)
-select *, (abs(only_a - only_b) - 1) ** 2 / nullif(only_a + only_b, 0) as chi_square from k""")
+select *, (abs(only_a - only_b) - 1) ** 2 / nullif(only_a + only_b, 0) as chi_square,
+  case when only_a + only_b <= 10000 then least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1),
+    lambda j: exp(lgamma(only_a + only_b + 1) - lgamma(j + 1) - lgamma(only_a + only_b - j + 1) - (only_a + only_b) * ln(2)))))
+  else {_erfc("sqrt((abs(only_a - only_b) - 1) ** 2 / (only_a + only_b) / 2)")} end as p_value from k""")
 def mcnemar(spark, d):
     return E.mcnemar(scored(spark, d), "pred", "pred_b")
 
 
-@Q.add("ml8_mann_whitney", f"""with {_CURVE}, u as (select sum(neg * (tp - pos) + neg * pos * 0.5) as u, cast(max(p) as bigint) as n1, cast(max(n) as bigint) as n2 from cu)
-select *, (u - n1 * n2 / 2) / nullif(sqrt(cast(n1 as double) * n2 * (n1 + n2 + 1) / 12), 0) as z from u""")
+@Q.add("ml8_mann_whitney", f"""with {_CURVE}, u as (select sum(neg * (tp - pos) + neg * pos * 0.5) as u, cast(max(p) as bigint) as n1, cast(max(n) as bigint) as n2, sum(cast(pos + neg as double) ** 3 - (pos + neg)) as ties from cu),
+s as (select *, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(cast(n1 as double) * n2 / 12 * (n1 + n2 + 1 - ties / (cast(n1 + n2 as double) * (n1 + n2 - 1)))) as cz from u)
+select u, n1, n2, (u - n1 * n2 / 2) / nullif(sqrt(cast(n1 as double) * n2 * (n1 + n2 + 1) / 12), 0) as z, {_erfc("greatest(cz, 0.0) / sqrt(2)")} as p_value from s""")
 def mann_whitney(spark, d):
     return E.mann_whitney(scored(spark, d))
 
 
+@Q.add("ml8_wilcoxon", f"""with {X.bars_sql()}, d as (select open - close as d from bars where open - close <> 0),
+g as (select abs(d) as size, count(*) filter (d > 0) as up, count(*) as t from d group by 1),
+r as (select *, sum(t) over (order by size rows unbounded preceding) - (t - 1) / 2.0 as rank from g),
+w as (select cast(sum(t) as bigint) as n, cast(sum(rank * up) as double) as w_plus, cast(sum(rank * (t - up)) as double) as w_minus, sum(cast(t as double) ** 3 - t) as ties from r),
+z as (select *, (w_plus - cast(n as double) * (n + 1) / 4) / sqrt(cast(n as double) * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from w)
+select n, w_plus, w_minus, z, {_erfc("abs(z) / sqrt(2)")} as p_value from z""")
+def wilcoxon(spark, d):
+    return E.wilcoxon(X.bars(spark, d), "open", "close")
+
+
 @Q.add("ml8_paired_t", f"with {X.bars_sql()} select count(*) as n, avg(open - close) as mean_difference, avg(open - close) / nullif(stddev_samp(open - close) / sqrt(count(*)), 0) as t from bars")
 def paired_t(spark, d):
     return E.paired_t(X.bars(spark, d), "open", "close")
