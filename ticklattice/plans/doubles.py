@@ -148,6 +148,9 @@ DOUBLES: dict[str, str] = {
     "st6_keyed_state": "ema obv",
     "st7_row_frames_on_stream": "sma_20",
     "st13_latest_trade": "price",
+    "st5_stream_dedupe": "price",
+    "snk3_stream_dead_letters": "price",
+    "st8_layers": "high low",
     "st6_indicator_state": "rsi macd macd_signal macd_hist psar garch_vol",
     "ti18_psar": "psar",
     "ti18_psar_plain": "psar",

@@ -43,10 +43,28 @@ def stream_sessions(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@Q.add("st5_stream_dedupe", "select distinct event_id % 1000 as slot from events")
+BATCHES = 3
+
+
+def trade_batches(spark, d, folder, rows=None, late=J.SILVER):
+    """The trades (or ``rows`` of them) as a stream of files that come one after another in time, one a micro-batch."""
+    rows = X.trades(spark, d).withColumn("ts", F.col("ts").cast("timestamp")) if rows is None else rows
+    lo, hi = rows.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    step = (hi - lo) // BATCHES + 1
+    for k in range(BATCHES):
+        rows.filter(F.unix_seconds("ts").between(lo + k * step, lo + (k + 1) * step - 1)).write.parquet(f"{folder}/{k}")
+    # A folder's files come together; the next folder's are newer.
+    most = max(len([f for f in spark.read.parquet(f"{folder}/{k}").inputFiles()]) for k in range(BATCHES))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(f"{folder}/*").withWatermark("ts", late)
+
+
+@Q.add("st5_stream_dedupe", f"with {X.TRADES} select symbol, ts, trade_id, price from trades")
 def stream_dedupe(spark, d):
-    s = trade_stream(spark, d, late="60 days").select((F.col("trade_id") % 1000).alias("slot"), "ts")
-    return J.drained(J.deduplicated(s, ["slot"]), "dedupe").select("slot")
+    """Each seventh trade is delivered twice."""
+    folder = J.workspace(spark, "dedupe")
+    twice = X.trades(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.expr("if(trade_id % 7 = 0, array(0, 1), array(0))"))).drop("copy")
+    s = trade_batches(spark, d, f"{folder}/in", twice).select("symbol", "ts", "trade_id", "price")
+    return J.drained(J.deduplicated(s, ["trade_id"]), "dedupe").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # The average over the last 401 prices: what is older has a weight below 1e-28.
@@ -55,7 +73,7 @@ select symbol, ts, trade_id, list_reduce(p, lambda acc, v: acc * {11 / 13!r} + v
   sum(case when dl > 0 then size when dl < 0 then -size else 0 end) over ({W}, trade_id rows unbounded preceding)::double as obv from a""")
 def keyed_state(spark, d):
     folder = J.workspace(spark, "state")
-    J.each_batch(trade_stream(spark, d), J.indicator_state(folder), f"{folder}/checkpoint")
+    J.each_batch(trade_batches(spark, d, f"{folder}/in"), J.indicator_state(folder), f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "trade_id", "ema", "obv")
 
 
@@ -93,20 +111,22 @@ def row_frames(spark, d):
 
     w = Window.partitionBy("symbol").orderBy("ts", "trade_id").rowsBetween(-19, 0)
     folder = J.workspace(spark, "frames")
-    s = trade_stream(spark, d)
+    s = trade_batches(spark, d, f"{folder}/in")
     run = J.with_tail(lambda rows: rows.withColumn("sma_20", F.avg("price").over(w)), f"{folder}/out", rows=20, inputs=["symbol", "ts", "trade_id", "price"])
     J.each_batch(s, run, f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "trade_id", "sma_20")
 
 
-@Q.add("st8_layers", f"with {X.TRADES} select symbol, count(*) as trade_count from trades where date_trunc('day', ts) + interval 1 day <= (select date_trunc('second', max(ts)) - interval 15 minutes from trades) group by 1")
+@Q.add("st8_layers", f"""with {X.TRADES}, b as (select symbol, date_trunc('day', ts)::timestamp as window_start, date_trunc('second', ts) as ts, price, size from trades)
+select symbol, window_start, max(price) as high, min(price) as low, cast(sum(size) as bigint) as volume, count(*) as trade_count from b group by 1, 2
+having window_start + interval 1 day <= (select date_trunc('second', max(ts)) - interval 15 minutes from trades)""")
 def layered(spark, d):
     raw = trade_stream(spark, d).select(
         F.lit("trades").alias("topic"), F.col("symbol").alias("key"),
         F.to_json(F.struct("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), F.col("trade_id").cast("string").alias("trade_id"))).alias("value"),
     )
     paths = J.layers(spark, raw, J.workspace(spark, "layers"))
-    return spark.read.parquet(paths["gold"]).groupBy("symbol").agg(F.sum("trade_count").alias("trade_count"))
+    return spark.read.parquet(paths["gold"]).select("symbol", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "high", "low", "volume", "trade_count")
 
 
 @Q.add("st13_latest_trade", f"with {X.TRADES} select symbol, arg_max(price, (ts, trade_id)) as price, max(ts) as ts from trades group by 1")
@@ -116,9 +136,12 @@ def latest(spark, d):
     return spark.read.parquet(f"{folder}/out").select("symbol", "price", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@Q.add("snk3_stream_dead_letters", f"with {X.TRADES} select count(*) filter (price > 5) as good, count(*) filter (price <= 5) as dead from trades")
+@Q.add("snk3_stream_dead_letters", f"with {X.TRADES} select trade_id, price > 5 as is_good, case when price > 5 then symbol end as symbol, case when price > 5 then price end as price from trades")
 def dead_letters(spark, d):
     folder = J.workspace(spark, "dlq")
-    J.each_batch(trade_stream(spark, d), J.with_dead_letters(F.col("price") > 5, f"{folder}/main", f"{folder}/dead"), f"{folder}/checkpoint")
-    good, dead = (spark.read.parquet(f"{folder}/{n}").agg(F.count(F.lit(1)).alias(m)) for n, m in (("main", "good"), ("dead", "dead")))
-    return good.join(dead)
+    J.each_batch(trade_batches(spark, d, f"{folder}/in"), J.with_dead_letters(F.col("price") > 5, f"{folder}/main", f"{folder}/dead"), f"{folder}/checkpoint")
+    good = spark.read.parquet(f"{folder}/main").select("trade_id", F.lit(True).alias("is_good"), "symbol", "price")
+    dead = spark.read.parquet(f"{folder}/dead")
+    record = next(x for x, k in dead.dtypes if k == "string")
+    bad = dead.select(F.get_json_object(record, "$.trade_id").cast("long").alias("trade_id"), F.lit(False).alias("is_good"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("double").alias("price"))
+    return good.unionByName(bad)

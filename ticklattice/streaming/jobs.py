@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ticklattice.functions import folders, frames, scan
 from ticklattice.operators import bars as B
+from ticklattice.streaming import tables
 
 c = F.col
 
@@ -131,32 +132,29 @@ def _write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
 def with_tail(process: Callable[[DataFrame], DataFrame], path: str, *, rows: int, key: str = "symbol", order: tuple[str, ...] = ("ts", "trade_id"), inputs: list[str]) -> Callable:
     """A ``foreachBatch`` function for row-frame operators: it sees the last ``rows`` of each key before the batch.
 
-    Output rows keep the inputs, so the tail comes from what was written; only the batch's own rows are written.
+    Those lie in a keyed table beside the output (``path``-tail), of which a batch reads and writes the parts of its own keys, so
+    a batch costs as much after many batches as after one.  Only the batch's own rows are written to ``path``.
     """
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*inputs).withColumn("__new", F.lit(True))
-        if batch_id and _exists(spark, path):
-            old = spark.read.parquet(path).filter(c("_batch_id") < batch_id).select(*inputs)
-            w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
-            tail = old.withColumn("__n", F.row_number().over(w)).filter(c("__n") <= rows).drop("__n").withColumn("__new", F.lit(False))
-            new = new.unionByName(tail)
-        _write_batch(process(new).filter("__new").drop("__new"), batch_id, path)
+        tail = tables.KeyedTable(batch.sparkSession, f"{path}-tail", [key])
+        with folders.held(batch.select(*inputs), "batch") as new:
+            old = tail.read(new.schema, before=batch_id, parts=tail.touched(new))
+            known = old.join(new.select(c(key).alias("__key")).distinct(), c(key).eqNullSafe(c("__key")), "left_semi")
+            seen = new.withColumn("__new", F.lit(True)).unionByName(known.withColumn("__new", F.lit(False)))
+            _write_batch(process(seen).filter("__new").drop("__new"), batch_id, path)
+            tail.update(new, batch_id, lambda both: tables.last_rows(both, key, order, rows))
 
     return run
 
 
 def keep_latest(path: str, keys: list[str], latest_by: str) -> Callable:
-    """A ``foreachBatch`` upsert: the table at ``path``/<batch> is the latest row of each key so far."""
+    """A ``foreachBatch`` upsert: a keyed table at ``path`` holds the latest row of each key so far; a batch rewrites the parts that
+    hold its own keys."""
     from ticklattice.operators.asof import latest as newest
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/{batch_id - 1}"
-        both = batch
-        if batch_id and _exists(spark, before):
-            both = batch.unionByName(spark.read.parquet(before))
-        newest(both, keys, [latest_by]).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        tables.KeyedTable(batch.sparkSession, path, keys).update(batch, batch_id, lambda both: newest(both, keys, [latest_by]))
 
     return run
 
