@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -45,25 +45,28 @@ def _fold(text: str) -> bytes:
 
 def train(labelled: DataFrame, *, total_bytes: int = TOTAL_BYTES, language_bytes: int = LANGUAGE_BYTES,
           sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """Training text per language from (doc_id, text, lang): a bounded sample, the same for the same rows.
+    """Training text per language from (text, lang): a bounded sample, the same for the same texts.
 
-    Rows with a null lang or a text without letters are left out.  Documents are taken in the order of a hash of doc_id
-    and text, so the sample doesn't depend on the order or the number of partitions.
+    Rows with a null lang or a text without letters are left out; without any other, nothing is learned.  Distinct texts are
+    taken in the order of their hashes, 2 * ``sample_docs`` of a language at most, so neither doc_ids (null, repeated), copies,
+    row order nor partitions matter.  Of a long text the first bytes are learned from.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "lang", "text", F.xxhash64("doc_id", F.length("text")).alias("h")
-    )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     if not counts:
         return []
     each = min(language_bytes, total_bytes // len(counts))
-    # A language's share of rows gives the hash range that holds about sample_docs of them.
-    edges = [(lang, min(2**63 - 1, int(-(2**63) + min(1.0, 2 * sample_docs / n) * 2**64))) for lang, n in counts.items()]
+    # The share of a language's distinct texts gives the hash range that holds about twice sample_docs of them; all, if few.
+    edges = [(lang, min(2**63 - 1, int(-(2**63) + min(1.0, 2 * sample_docs / max(1, n)) * 2**64))) for lang, n in counts.items()]
     edge = spark.createDataFrame(edges, "lang string, edge long")
-    taken = rows.join(F.broadcast(edge), "lang").filter("h <= edge").select("lang", "h", F.substring("text", 1, each).alias("text"))
+    near = rows.join(F.broadcast(edge), "lang").filter("h <= edge").select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= 2 * sample_docs).drop("k")
+    # 2 * sample_docs rows of each of MOST_LANGUAGES languages at most, of which each has its share of the bytes.
+    taken = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, each)).alias("text"))
     texts: dict[str, list] = {}
     for r in taken.collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
