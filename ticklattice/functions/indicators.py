@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import relay, scan
+from ticklattice.functions import folders, frames, relay, scan
 
 KEY, TS = ["symbol"], ["ts"]
 
@@ -308,3 +308,62 @@ def all_indicators(bars: DataFrame) -> DataFrame:
 
 
 ANNUAL = math.sqrt(252)
+
+
+def _windowed(bars: DataFrame, names: set[str]) -> DataFrame:
+    """The indicators of ``names`` that windows of a fixed number of rows give, by blocks of a series."""
+    first = {
+        **{f"sma_{n}": {f"sma_{n}": sma(n=n)} for n in (5, 10, 20, 50, 200)}, "rsi_14": {"rsi_14": rsi()}, "bollinger_bands": bollinger(), "cmf_20": {"cmf_20": cmf()},
+        "stochastic": {"stoch_k": stochastic_k()}, "atr_14": {"__range": true_range()}, "volume_ratio": {"volume_ratio": volume_ratio()}, "williams_r": {"williams_r": williams_r()},
+    }
+    second = {"stochastic": {"stoch_d": full("stoch_k", 3, F.avg("stoch_k").over(rows(3)))}, "atr_14": {"atr_14": full("__range", 14, F.avg("__range").over(rows(14)))}}
+    made = {k: v for n in first if n in names for k, v in first[n].items()}
+    after = {k: v for n in second if n in names for k, v in second[n].items()}
+
+    def build(b: DataFrame) -> DataFrame:
+        out = b.select("*", *[v.alias(k) for k, v in made.items()]).select("*", *[v.alias(k) for k, v in after.items()])
+        out = with_adx(out) if "adx" in names else out
+        return out.drop("__range")
+
+    return frames.framed(bars, build)
+
+
+#: Indicators that carry from the first row on, each a step over the bars.
+CARRIED = {
+    "ema_50": lambda b: with_ema(b, (50,)), "macd": with_macd, "keltner_channels": with_keltner, "parabolic_sar": psar,
+}
+CUMULATIVE = {"obv": "obv", "vwap": "vwap_cum", "ad_line": "ad_line"}
+
+#: Named sets (fixed values).
+SETS = {
+    "basic_trend": ("sma_20", "ema_50", "sma_200"),
+    "momentum_suite": ("rsi_14", "macd", "stochastic"),
+    "volatility_package": ("bollinger_bands", "atr_14", "keltner_channels"),
+    "volume_analysis": ("obv", "vwap", "ad_line", "cmf_20"),
+    "complete_technical": ("sma_20", "ema_50", "sma_200", "rsi_14", "macd", "stochastic", "bollinger_bands", "atr_14", "obv", "vwap", "parabolic_sar"),
+}
+
+
+def indicator_set(bars: DataFrame, name: str | tuple[str, ...]) -> DataFrame:
+    """``bars`` with the indicators of a set of SETS, or of those named."""
+    names = SETS[name] if isinstance(name, str) else name
+    out = _windowed(folders.written(bars, "bars"), set(names))  # read by every step
+    kept = list(out.columns)
+    # The SAR counts its rows first, so it comes before what would be made twice for that.
+    for n in sorted(names, key=lambda x: x != "parabolic_sar"):
+        if n in CARRIED:
+            # Written, as each such step reads its input twice: for the sums of parts, and to add them.
+            out = folders.written(CARRIED[n](out), "bars")
+            kept = [*kept, *[x for x in out.columns if x not in kept]]
+    summed = [CUMULATIVE[n] for n in names if n in CUMULATIVE]
+    if summed:
+        out = with_cumulative(out)
+        kept = [*kept, *summed]
+    return out.select(*kept)
+
+
+def for_timeframes(bars: dict[str, DataFrame], name: str | tuple[str, ...]) -> DataFrame:
+    """The set over the bars of every timeframe, in one table tagged by ``timeframe``; each timeframe has its own series."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [indicator_set(b, name).withColumn("timeframe", F.lit(k)) for k, b in bars.items()])

@@ -174,17 +174,28 @@ def time_folds(positioned: DataFrame, folds: int = 5) -> DataFrame:
     return rows.withColumn("role", F.when(c("part") == c("fold"), "test").otherwise("train"))
 
 
-def scale(matrix: DataFrame, features: list[str]) -> DataFrame:
-    """Standard (population deviation), min-max and robust scaling of each feature."""
+def scale_params(matrix: DataFrame, features: list[str]) -> dict[str, dict[str, tuple[float | None, float | None]]]:
+    """(shift, width) of each feature and kind of scaling: standard (population deviation), minmax and robust."""
     one = matrix.agg(*[a.alias(f"{f}__{n}") for f in features for n, a in (("m", F.avg(f)), ("s", F.stddev_pop(f)), ("lo", F.min(f)), ("hi", F.max(f)))]).first()
     q = quantiles.quantiles(matrix, {f: f for f in features}, [0.25, 0.5, 0.75])
-    out = []
-    for f in features:
-        m, s, lo, hi, q1, med, q3 = (F.lit(x).cast("double") for x in (*(one[f"{f}__{n}"] for n in ("m", "s", "lo", "hi")), *q[f]))
-        out += [
-            F.try_divide(c(f) - m, s).alias(f"{f}_standard"), F.try_divide(c(f) - lo, hi - lo).alias(f"{f}_minmax"), F.try_divide(c(f) - med, q3 - q1).alias(f"{f}_robust"),
-        ]
-    return matrix.select("*", *out)
+    gap = lambda b, a: None if a is None or b is None else b - a
+    return {
+        f: {"standard": (one[f"{f}__m"], one[f"{f}__s"]), "minmax": (one[f"{f}__lo"], gap(one[f"{f}__hi"], one[f"{f}__lo"])), "robust": (q[f][1], gap(q[f][2], q[f][0]))}
+        for f in features
+    }
+
+
+def scale(matrix: DataFrame, features: list[str], params: dict | None = None) -> DataFrame:
+    """Standard, min-max and robust scaling of each feature; a feature without spread gives null."""
+    params = params or scale_params(matrix, features)
+    number = lambda x: F.lit(x).cast("double")
+    return matrix.select("*", *[F.try_divide(c(f) - number(a), number(w)).alias(f"{f}_{kind}") for f in features for kind, (a, w) in params[f].items()])
+
+
+def unscale(scaled: DataFrame, params: dict, kind: str) -> DataFrame:
+    """Adds each feature ``<f>_back`` as it was before scaling, from ``<f>_<kind>``."""
+    number = lambda x: F.lit(x).cast("double")
+    return scaled.select("*", *[(c(f"{f}_{kind}") * number(params[f][kind][1]) + number(params[f][kind][0])).alias(f"{f}_back") for f in params])
 
 
 def correlations(matrix: DataFrame, features: list[str]) -> DataFrame:
@@ -239,17 +250,83 @@ def bootstrap(rows: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFra
     return long.groupBy("metric").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
 
 
+#: Parts whose sums one task carries forward at a time.
+CARRY = 4096
+
+
+def _sums_before(sums: DataFrame, part: str, names: list[str]) -> DataFrame:
+    """Replaces each of ``names`` by its sum over the parts before; parts go by blocks, so no task sees them all."""
+    cut = sums.withColumn("__block", F.floor(c(part) / CARRY))
+    inside = Window.partitionBy("__block").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(c("__block").alias("__b")).agg(*[F.sum(x).alias(f"__{x}") for x in names])
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per CARRY parts
+    blocks = blocks.select("__b", *[F.sum(f"__{x}").over(before).alias(f"__{x}") for x in names])
+    local = cut.select(part, "__block", *[F.sum(x).over(inside).alias(x) for x in names])
+    joined = local.join(blocks, c("__block") == c("__b"))
+    return joined.select(part, *[F.when(c(x).isNotNull() | c(f"__{x}").isNotNull(), F.coalesce(x, F.lit(0)) + F.coalesce(f"__{x}", F.lit(0))).alias(x) for x in names])
+
+
 def backtest(rows: DataFrame, step: int = 500) -> DataFrame:
     """Walk-forward test of a z-score detector: parameters of all rows before each part, F1 of the part, and its change.
 
     Parts are of ``step`` rows by position; sums of counts, values and squares carry the expanding parameters.
     """
-    part = F.floor((c("position") - 1) / step).cast("int")
-    r = rows.withColumn("part", part)
+    r = rows.withColumn("part", F.floor((c("position") - 1) / step).cast("int"))
     sums = r.groupBy("part").agg(F.count("price").alias("n"), F.sum("price").alias("s"), F.sum(c("price") * c("price")).alias("q"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    p = sums.select(c("part").alias("p"), F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.sum("q").over(w).alias("q"))
-    p = p.filter("n > 1").select("p", (c("s") / c("n")).alias("m"), F.sqrt((c("q") - c("s") * c("s") / c("n")) / (c("n") - 1)).alias("sd"))
-    scored = r.join(F.broadcast(p), c("part") == c("p")).withColumn("pred", F.coalesce(F.abs(c("price") - c("m")) > c("sd"), F.lit(False)))
+    p = _sums_before(sums, "part", ["n", "s", "q"]).filter("n > 1")
+    p = p.select(c("part").alias("p"), (c("s") / c("n")).alias("m"), F.sqrt((c("q") - c("s") * c("s") / c("n")) / (c("n") - 1)).alias("sd"))
+    scored = r.join(p, c("part") == c("p")).withColumn("pred", F.coalesce(F.abs(c("price") - c("m")) > c("sd"), F.lit(False)))
     f = confusion(scored, "part").select("part", "precision", "recall", "f1")
-    return f.withColumn("degraded", F.coalesce(c("f1") < F.lag("f1").over(Window.orderBy("part")) * 0.9, F.lit(False)))
+    prior = f.select((c("part") + 1).alias("__next"), c("f1").alias("__prior"))
+    return f.join(prior, c("part") == c("__next"), "left").select("part", "precision", "recall", "f1", F.coalesce(c("f1") < c("__prior") * 0.9, F.lit(False)).alias("degraded"))
+
+
+def backtest_summary(parts: DataFrame) -> DataFrame:
+    """One row on a backtest: means and spread of F1 (none counts as 0), its trend over the parts, stability, parts that fell off."""
+    f1 = F.coalesce("f1", F.lit(0.0))
+    one = parts.agg(
+        F.count(F.lit(1)).alias("parts"), F.avg(f1).alias("mean_f1"), F.stddev_pop(f1).alias("std_f1"), F.min(f1).alias("min_f1"), F.max(f1).alias("max_f1"),
+        F.avg(F.coalesce("precision", F.lit(0.0))).alias("mean_precision"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("mean_recall"),
+        F.corr(c("part").cast("double"), f1).alias("__r"), F.count_if("degraded").alias("alerts"),
+    )
+    trend = F.when(c("parts") < 3, "insufficient_data").when(c("__r") > 0.1, "improving").when(c("__r") < -0.1, "declining").otherwise("stable")
+    stability = F.when(c("mean_f1") > 0, 1 - c("std_f1") / c("mean_f1")).otherwise(0.0)
+    return one.withColumns({"trend": trend, "stability": stability}).drop("__r")
+
+
+#: Metrics of a threshold by the counts at or above it (tp, fp) and all there are (p, n).
+METRICS = {
+    "f1": lambda tp, fp, p, n: F.try_divide(tp * 2, tp + fp + p),
+    "accuracy": lambda tp, fp, p, n: F.try_divide(tp + n - fp, p + n),
+    "youden": lambda tp, fp, p, n: F.try_divide(tp, p) - F.try_divide(fp, n),
+    "balanced_accuracy": lambda tp, fp, p, n: (F.try_divide(tp, p) + 1 - F.try_divide(fp, n)) / 2,
+}
+
+
+def metric_threshold(rows: DataFrame, metric: str = "youden", *, maximize: bool = True) -> DataFrame:
+    """(threshold, score): the best of the scores' percentiles 1 to 99 by a metric of METRICS, the lowest of several.
+
+    All candidates are counted in one pass over the distinct scores.
+    """
+    s = by_score(rows)
+    at = quantiles.quantiles(rows, {"score": "score"}, [k / 100 for k in range(1, 100)])["score"]
+    spark = rows.sparkSession
+    if at[0] is None:
+        return spark.createDataFrame([], "threshold double, score double")
+    counted = s.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), *[F.coalesce(F.max(F.when(c("score") >= t, c(x))), F.lit(0)).alias(f"{x}{k}") for k, t in enumerate(at) for x in ("tp", "fp")])
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), METRICS[metric](c(f"tp{k}"), c(f"fp{k}"), c("p"), c("n")).alias("score")) for k, t in enumerate(at)])
+    found = counted.select(F.explode(each).alias("e")).select("e.threshold", "e.score").filter("score is not null")
+    return found.orderBy(F.desc("score") if maximize else F.asc("score"), "threshold").limit(1)
+
+
+def target_thresholds(rows: DataFrame, *, precision: float, recall: float) -> DataFrame:
+    """(target, threshold, precision, recall): the threshold of most recall that reaches the precision, and that of most precision
+    that reaches the recall; no row for a target out of reach."""
+    t = thresholds(rows)
+    reach = lambda name, least, most: t.filter(c(name) >= least).orderBy(F.desc(most), F.desc("threshold")).limit(1).select(F.lit(name).alias("target"), "threshold", "precision", "recall")
+    return reach("precision", precision, "recall").unionByName(reach("recall", recall, "precision"))
+
+
+def contamination_threshold(rows: DataFrame, share: float) -> float | None:
+    """The score above which about ``share`` of the rows lie."""
+    return quantiles.quantiles(rows, {"score": "score"}, [1 - share])["score"][0]

@@ -89,6 +89,18 @@ def score(matrix: DataFrame, nodes: DataFrame, features: list[str], *, sample: i
     return matrix.withColumn("iforest_score", paths(*[c(f).cast("double") for f in features]))
 
 
+def score_bounds(scored: DataFrame, score: str = "iforest_score") -> tuple[float | None, float | None]:
+    """The least and greatest score of the rows that a forest was fitted on."""
+    return tuple(scored.agg(F.min(score), F.max(score)).first())
+
+
+def normalised(scored: DataFrame, bounds: tuple[float | None, float | None], score: str = "iforest_score", name: str = "iforest_share") -> DataFrame:
+    """Adds the score between the bounds of the fit, from 0 to 1; beyond them it stays at the end, and without spread it is 0."""
+    low, high = (F.lit(x).cast("double") for x in bounds)
+    share = F.least(F.greatest((c(score) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return scored.withColumn(name, F.when(high > low, share).otherwise(F.lit(0.0)))
+
+
 def contamination(matrix: DataFrame, features: list[str]) -> DataFrame:
     """Median over the features of the share of IQR outliers, between 0.01 and 0.5."""
     q = quantiles.quantiles(matrix, {f: f for f in features}, [0.25, 0.75])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
+
 c = F.col
 ANNUAL = math.sqrt(252)
 
@@ -137,3 +139,54 @@ def alert_list(alerts: DataFrame, *, kinds: list[str] | None = None, symbol: str
     kept = alerts if kinds is None else alerts.filter(c("kind").isin(kinds))
     kept = kept if symbol is None else kept.filter(c("symbol") == symbol)
     return kept.orderBy(F.desc("ts"), "trade_id", "rule_id").limit(limit)
+
+
+def rebalance_shares(values: DataFrame, targets: DataFrame, prices: DataFrame, *, band: float = 2.0, fee: float = 0.001) -> DataFrame:
+    """Trades of each user's positions that bring weights to ``targets`` (user, symbol, target in percent; none: sell all).
+
+    Only weights more than ``band`` points off are traded.  Shares come from the price, or the average cost where none is known.
+    """
+    p = prices.select(c("symbol").alias("__s"), "price")
+    t = targets.select(c("user").alias("__u"), c("symbol").alias("__t"), "target")
+    rows = values.join(p, c("symbol") == c("__s"), "left").join(t, (c("user") == c("__u")) & (c("symbol") == c("__t")), "left")
+    total = F.sum("market_value").over(Window.partitionBy("user"))
+    off = c("weight") - F.coalesce("target", F.lit(0.0))
+    rows = rows.select("user", "symbol", "weight", F.coalesce("target", F.lit(0.0)).alias("target"), off.alias("__off"), total.alias("__total"), F.coalesce("price", "avg_cost").alias("__price"))
+    value = F.abs("__off") / 100 * c("__total")
+    return rows.filter(F.abs("__off") > band).select(
+        "user", "symbol", "weight", "target", F.when(c("__off") > 0, "SELL").otherwise("BUY").alias("action"), F.try_divide(value, c("__price")).alias("shares"), value.alias("value"), (value * fee).alias("cost")
+    )
+
+
+def _met(value: Column, prior: Column, rules: dict[str, Column]) -> Column:
+    """Whether a rule's condition (above, below, crosses) holds for a value and the one before."""
+    condition, threshold = rules["condition"], rules["threshold"]
+    crosses = ((prior < threshold) & (value >= threshold)) | ((prior > threshold) & (value <= threshold))
+    return F.when(condition == "above", value > threshold).when(condition == "below", value < threshold).when(condition == "crosses", crosses)
+
+
+def indicator_alerts(rows: DataFrame, rules: list[tuple], indicators: list[str]) -> DataFrame:
+    """Alerts of ``rules`` (rule_id, indicator, symbol or None, condition, threshold) over (symbol, ts, one column an indicator).
+
+    Conditions: above, below, crosses (the bar before was on the other side).  An indicator that is null fires nothing.
+    """
+    spark = rows.sparkSession
+    order = Window.partitionBy("symbol").orderBy("ts")
+    # The bar before travels with its bar, by blocks of a series.
+    held = frames.framed(rows.select("symbol", "ts", *indicators), lambda r: r.select("*", *[F.lag(x).over(order).alias(f"__{x}") for x in indicators]), before=1, after=0)
+    table = spark.createDataFrame(rules, "rule_id int, indicator string, rule_symbol string, condition string, threshold double")
+    each = F.array(*[F.struct(F.lit(x).alias("indicator"), c(x).cast("double").alias("value"), c(f"__{x}").cast("double").alias("prior")) for x in indicators])
+    long = held.select("symbol", "ts", F.explode(each).alias("e")).select("symbol", "ts", "e.value", "e.prior", c("e.indicator").alias("__of"))
+    both = long.join(F.broadcast(table), (c("__of") == c("indicator")) & (c("rule_symbol").isNull() | (c("rule_symbol") == c("symbol"))))  # a row a rule
+    return both.filter(_met(c("value"), c("prior"), {x: c(x) for x in ("condition", "threshold")})).select("rule_id", "indicator", "symbol", "ts", "value")
+
+
+def portfolio_alerts(summaries: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Alerts of ``rules`` (rule_id, metric, condition above or below, threshold) over one row of metrics a user."""
+    spark = summaries.sparkSession
+    metrics = sorted({r[1] for r in rules})
+    table = spark.createDataFrame(rules, "rule_id int, metric string, condition string, threshold double")
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), c(m).cast("double").alias("value")) for m in metrics])
+    long = summaries.select("user", F.explode(each).alias("e")).select("user", "e.value", c("e.metric").alias("__of"))
+    both = long.join(F.broadcast(table), c("__of") == c("metric"))  # a row a rule
+    return both.filter(_met(c("value"), F.lit(None).cast("double"), {x: c(x) for x in ("condition", "threshold")})).select("rule_id", "metric", "user", "value")

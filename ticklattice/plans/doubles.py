@@ -152,6 +152,19 @@ DOUBLES: dict[str, str] = {
     "snk3_stream_dead_letters": "price",
     "st8_layers": "high low",
     "st6_indicator_state": "rsi macd macd_signal macd_hist psar garch_vol",
+    "ti27_sets": "close sma_20 ema_50 sma_200 rsi_14 macd macd_signal macd_hist stoch_k stoch_d bb_upper bb_middle bb_lower bb_width bb_position atr_14 obv vwap_cum ad_line cmf_20 kc_upper kc_lower psar adx",
+    "dr5_drift_report": "ks ks_p wasserstein wasserstein_norm psi chi_square js_distance",
+    "ml10_search": "width mean_f1 sd_f1",
+    "rs20_preparation": "close ret log_ret mean_20 std_20 vol_20 z_20",
+    "fs3_training_table": "volume_scaled spread_scaled target",
+    "ml11_mask_effect": "sharpe_all volatility_all drawdown_all sharpe_kept volatility_kept drawdown_kept",
+    "ml5_target_thresholds": "threshold precision recall",
+    "ml5_metric_threshold": "threshold score",
+    "ml9_backtest_summary": "mean_f1 std_f1 min_f1 max_f1 mean_precision mean_recall stability",
+    "ml2_inverse": "f0 f1 f2 f3 f4 f5 f6 f7 f8 f9 f10 f11 f12 f13 f14 f15 f16 f17 f18 f19 f20 f21 f22 f23 f24 f25 f26 f27 f28 f29 f30 f31 f32 f33 f34 f35 f36 f37 f38 f39 f40 f41 f42 f43 f44 f45 f46 f47 f48 f49 f50 f51 f52 f53 f54 f55 f56 f57 f58 f59 f60 f61 f62 f63",
+    "pr4_rebalance_shares": "weight target shares value cost",
+    "st11_indicator_alerts": "value",
+    "st11_portfolio_alerts": "value",
     "ti18_psar": "psar",
     "ti18_psar_plain": "psar",
     "ti27_all_indicators": "open high low close vwap sma_5 sma_10 sma_20 sma_50 rsi_14 bb_upper bb_middle bb_lower bb_width bb_position stoch_k tr tp williams_r momentum_10 roc_10 cmf_20 volume_ratio vi_plus vi_minus position_in_range body upper_shadow lower_shadow pivot r1 s1 stoch_d atr_14 cci_20",

@@ -225,7 +225,14 @@ def binned(spark, d):
     return D.binned_tests(drift_rows(spark, d))
 
 
-@Q.add("dr5_drift_report")
+_KS_X = "(sqrt(n_old * n_new / (n_old + n_new)) + 0.12 + 0.11 / sqrt(n_old * n_new / (n_old + n_new))) * ks"
+
+
+@Q.add("dr5_drift_report", f"""with a as ({Q.sql["dr1_dr4_distances"]}), b as ({Q.sql["dr2_dr3_binned_tests"]}),
+k as (select *, case when {_KS_X} < 0.2 then 1.0 else greatest(0.0, least(1.0, list_sum(list_transform(range(1, 21), lambda k: 2 * pow(-1, k - 1) * exp(-2.0 * k * k * ({_KS_X}) * ({_KS_X})))))) end as ks_p
+  from a join b using (feature_id) where n_old >= 10 and n_new >= 10),
+s as (select *, case when psi >= 0.25 and ks_p < 0.01 then 'high' when psi >= 0.1 or ks_p < 0.05 then 'medium' else 'none' end as severity from k)
+select *, severity <> 'none' as has_drift from s""")
 def drift_report(spark, d):
     return D.report(drift_rows(spark, d))
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ticklattice.operators import evaluate as E
 from ticklattice.operators import portfolio as P
 from ticklattice.plans import Queries
-from ticklattice.plans.q_detect import FEATURES, LONG, matrix
+from ticklattice.plans.q_detect import FEATURES, LONG, MATRIX, matrix
+from ticklattice.plans.q_indicators import Q as INDICATOR_QUERIES
 from ticklattice.plans.q_rolling import MARKET, RET, _returns, with_market
 from ticklattice.sources import fixtures as X
 
 Q = Queries()
+INDICATORS = INDICATOR_QUERIES.sql
 
 
 def scored(spark, d):
@@ -59,6 +61,26 @@ def best(spark, d):
     return E.best_threshold(scored(spark, d))
 
 
+@Q.add("ml5_target_thresholds", f"""with {_CURVE}, t as (select score as threshold, tp / nullif(tp + fp, 0) as precision, tp / nullif(p, 0) as recall from cu)
+(select 'precision' as target, * from t where precision >= 0.2 order by recall desc, threshold desc limit 1) union all (select 'recall', * from t where recall >= 0.9 order by precision desc, threshold desc limit 1)""")
+def target_thresholds(spark, d):
+    return E.target_thresholds(scored(spark, d), precision=0.2, recall=0.9)
+
+
+@Q.add("ml5_metric_threshold", f"""with {SCORED}, c as (select unnest(quantile_cont(score, [{", ".join(str(k / 100) for k in range(1, 100))}])) as threshold from sc),
+k as (select threshold, count(*) filter (y and score >= threshold) as tp, count(*) filter (not y and score >= threshold) as fp, count(*) filter (y) as p, count(*) filter (not y) as n from sc, c group by 1)
+select threshold, tp / p - fp / n as score from k order by score desc, threshold limit 1""")
+def metric_threshold(spark, d):
+    return E.metric_threshold(scored(spark, d), "youden")
+
+
+@Q.add("ml5_contamination", f"with {SCORED}, q as (select quantile_cont(score, 0.95) as edge from sc) select trade_id, score > edge as is_anomaly from sc, q")
+def contamination_threshold(spark, d):
+    """The twentieth of the rows with the highest scores."""
+    rows = scored(spark, d)
+    return rows.select("trade_id", (F.col("score") > F.lit(E.contamination_threshold(rows, 0.05))).alias("is_anomaly"))
+
+
 @Q.add("sl7_precision_at_k", f"with {SCORED} select avg(cast(y as integer)) as precision_at_k from (select y from sc order by score desc, trade_id limit 100)")
 def precision_at_k(spark, d):
     return E.precision_at_k(scored(spark, d), 100, tie="trade_id")
@@ -203,6 +225,26 @@ def backtest(spark, d):
     return E.backtest(rows)
 
 
+@Q.add("ml9_backtest_summary", f"""with b as ({Q.sql["ml9_backtest"]}), k as (select part, coalesce(f1, 0) as f1, coalesce(precision, 0) as precision, coalesce(recall, 0) as recall, degraded from b),
+s as (select count(*) as parts, avg(f1) as mean_f1, stddev_pop(f1) as std_f1, min(f1) as min_f1, max(f1) as max_f1, avg(precision) as mean_precision, avg(recall) as mean_recall, corr(part, f1) as r, count(*) filter (degraded) as alerts from k)
+select * exclude (r), case when parts < 3 then 'insufficient_data' when r > 0.1 then 'improving' when r < -0.1 then 'declining' else 'stable' end as trend,
+  case when mean_f1 > 0 then 1 - std_f1 / mean_f1 else 0 end as stability from s""")
+def backtest_summary(spark, d):
+    return E.backtest_summary(backtest(spark, d))
+
+
+@Q.add("ml2_inverse", f"with {MATRIX} select vec_id, " + ", ".join(FEATURES) + " from matrix")
+def inverse_scaling(spark, d):
+    """Scaled and scaled back, by each kind in turn over the features."""
+    m = matrix(spark, d)
+    params = E.scale_params(m, FEATURES)
+    scaled = E.scale(m, FEATURES, params)
+    kinds = ("standard", "minmax", "robust")
+    for k, kind in enumerate(kinds):
+        scaled = E.unscale(scaled, {f: params[f] for f in FEATURES[k :: len(kinds)]}, kind)
+    return scaled.select("vec_id", *[F.col(f"{f}_back").alias(f) for f in FEATURES])
+
+
 # Portfolios.
 
 
@@ -252,6 +294,21 @@ def rebalance(spark, d):
     return P.rebalance(valued(spark, d), targets)
 
 
+@Q.add("pr4_rebalance_shares", f"""with {VALUED}, t as (select user_id, symbol, 100.0 / count(*) over (partition by user_id) as target, count(*) over (partition by user_id) as n from va),
+b as (select va.user_id, va.symbol, weight, case when va.symbol % 10 = 0 then 0.0 else target end as target, sum(market_value) over (partition by va.user_id) as total, coalesce(p_retailprice, avg_cost) as price
+  from va join t using (user_id, symbol) left join part on p_partkey = va.symbol)
+select user_id as "user", symbol, weight, target, case when weight > target then 'SELL' else 'BUY' end as action, abs(weight - target) / 100 * total / nullif(price, 0) as shares, abs(weight - target) / 100 * total as value,
+  abs(weight - target) / 100 * total * 0.001 as cost from b where abs(weight - target) > 2""")
+def rebalance_shares(spark, d):
+    """Equal weights, but none of every tenth symbol."""
+    from pyspark.sql import Window
+
+    held = valued(spark, d)
+    share = 100.0 / F.count(F.lit(1)).over(Window.partitionBy("user"))
+    targets = held.select("user", "symbol", share.alias("target")).filter(F.col("symbol") % 10 != 0)
+    return P.rebalance_shares(held, targets, prices(spark, d))
+
+
 _SQ = 15.874507866387544
 
 
@@ -276,7 +333,14 @@ def tax_lots(spark, d):
     return P.tax_lots(X.transactions(spark, d), "2001-08-01")
 
 
-@Q.add("ml11_mask_effect")
+def _effect(which: str, name: str) -> str:
+    return f"""(select symbol, avg(ret) / nullif(stddev_pop(ret), 0) * {_SQ} as sharpe_{name}, stddev_pop(ret) * {_SQ} as volatility_{name}, min(dd) as drawdown_{name} from (
+  select *, wealth / max(wealth) over (partition by symbol order by ts rows unbounded preceding) - 1 as dd from (
+    select *, exp(sum(ln(1 + ret)) over (partition by symbol order by ts rows unbounded preceding)) as wealth from m where {which})) group by symbol)"""
+
+
+@Q.add("ml11_mask_effect", f"""with {X.bars_sql()}{RET}, m as (select *, coalesce(abs(ret) > 5, false) as mask from x where ret > -1)
+select * from {_effect("true", "all")} join {_effect("not mask", "kept")} using (symbol)""")
 def mask_effect(spark, d):
     return P.drop_flagged_effect(_returns(spark, d).withColumn("mask", F.coalesce(F.abs("ret") > 5, F.lit(False))))
 
@@ -293,6 +357,24 @@ def alerts(spark, d):
     return P.evaluate_alerts(X.trades(spark, d), rules(spark))
 
 
+@Q.add("st11_indicator_alerts", f"""with i as ({INDICATORS["ti4_rsi"]}), m as ({INDICATORS["ti5_macd"]}), j as (select symbol, ts, rsi_ml as rsi_14, macd_hist from i join m using (symbol, ts)),
+p as (select *, lag(rsi_14) over (partition by symbol order by ts) as r0, lag(macd_hist) over (partition by symbol order by ts) as m0 from j)
+select 1 as rule_id, 'rsi_14' as indicator, symbol, ts, rsi_14 as value from p where rsi_14 > 70 union all select 2, 'rsi_14', symbol, ts, rsi_14 from p where rsi_14 < 30 and symbol = 'VIEW'
+union all select 3, 'macd_hist', symbol, ts, macd_hist from p where (m0 < 0 and macd_hist >= 0) or (m0 > 0 and macd_hist <= 0)""")
+def indicator_alerts(spark, d):
+    from ticklattice.functions import indicators as I  # noqa: E741
+
+    rows = I.indicator_set(X.bars(spark, d), ("rsi_14", "macd"))
+    rules = [(1, "rsi_14", None, "above", 70.0), (2, "rsi_14", "VIEW", "below", 30.0), (3, "macd_hist", None, "crosses", 0.0)]
+    return P.indicator_alerts(rows, rules, ["rsi_14", "macd_hist"])
+
+
+@Q.add("st11_portfolio_alerts", f"""with s as ({Q.sql["a10_pr3_summary"]}) select 1 as rule_id, 'largest_weight' as metric, "user", largest_weight as value from s where largest_weight > 60
+union all select 2, 'gain_pct', "user", gain_pct from s where gain_pct < -5""")
+def portfolio_alerts(spark, d):
+    return P.portfolio_alerts(summary(spark, d), [(1, "largest_weight", "above", 60.0), (2, "gain_pct", "below", -5.0)])
+
+
 def alert_rows(spark, d):
     return P.evaluate_alerts(X.trades(spark, d), rules(spark))
 

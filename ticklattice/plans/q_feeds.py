@@ -13,25 +13,39 @@ Q = Queries()
 c = F.col
 
 
+AT = "2024-02-02 03:04:05"
+
+
 def _raw(spark, d):
-    return S.messages(X.trades(spark, d), X.quotes(spark, d))
+    """Messages as a source gives them: a partition by key, and the time of arrival."""
+    part = F.pmod(F.length("key"), F.lit(3)).alias("partition")
+    return S.messages(X.trades(spark, d), X.quotes(spark, d)).select("*", part, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("kafka_timestamp"))
+
+
+def _at():
+    return F.lit(AT).cast("timestamp_ntz")
 
 
 @Q.add("pf1_pf4_bronze", f"""with {X.TRADES}, {X.QUOTES}, u as (select 'trades' as topic, symbol, ts, trade_id as id from trades union all select 'quotes', symbol, ts, null from quotes)
-select topic, symbol, trade_id, has_valid_symbol, has_valid_timestamp, quality_score, is_high_quality, year, month, day, hour from (select topic, symbol, cast(id as varchar) as trade_id, true as has_valid_symbol, true as has_valid_timestamp,
+select topic, symbol, trade_id, has_valid_symbol, has_valid_timestamp, quality_score, is_high_quality, year, month, day, hour,
+  cast(length(symbol) % 3 as integer) as partition, timestamp '2024-02-01' as kafka_timestamp, timestamp '{AT}' as ingestion_timestamp, 'intake' as ingestion_job from (select topic, symbol, cast(id as varchar) as trade_id, true as has_valid_symbol, true as has_valid_timestamp,
   1.0::double as quality_score, true as is_high_quality, cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(day(ts) as integer) as day, cast(hour(ts) as integer) as hour from u)""")
 def bronze(spark, d):
-    return S.bronze(_raw(spark, d)).select("topic", "symbol", "trade_id", "has_valid_symbol", "has_valid_timestamp", "quality_score", "is_high_quality", "year", "month", "day", "hour")
+    return S.bronze(_raw(spark, d), job="intake", ingested=_at()).select(
+        "topic", "symbol", "trade_id", "has_valid_symbol", "has_valid_timestamp", "quality_score", "is_high_quality", "year", "month", "day", "hour", "partition", "kafka_timestamp",
+        "ingestion_timestamp", "ingestion_job",
+    )
 
 
 @Q.add("pf5_pf12_silver", f"""with {X.TRADES}, {X.QUOTES}, u as (select 'trades' as topic, symbol, date_trunc('second', ts)::timestamp as ts, price, null::double as bid, null::double as ask, size as volume from trades
   union all select 'quotes', symbol, ts, null, bid, ask, null from quotes),
 f as (select *, (bid + ask) / 2 as mid_price, ask - bid as spread, case when bid > 0 then (ask - bid) / nullif((bid + ask) / 2, 0) * 10000 end as spread_bps from u)
 select topic, symbol, ts, round(price, 6) as price, volume, cast(hour(ts) as integer) as hour_of_day, cast(dayofweek(ts) + 1 as integer) as day_of_week, hour(ts) between 9 and 16 as is_market_hours,
-  (cast(coalesce(coalesce(price, mid_price) between 0.01 and 100000, false) as integer) + 1 + cast(coalesce(spread_bps <= 1000, true) as integer)) / 3 as overall_score from f""")
+  (cast(coalesce(coalesce(price, mid_price) between 0.01 and 100000, false) as integer) + 1 + cast(coalesce(spread_bps <= 1000, true) as integer)) / 3 as overall_score,
+  cast(length(symbol) % 3 as integer) as partition, timestamp '{AT}' as silver_processed_timestamp, 'refine' as silver_job_id, '2.0' as data_version, 64 as id_length from f""")
 def silver(spark, d):
-    s = S.silver(S.bronze(_raw(spark, d)))
-    return s.select("topic", "symbol", "ts", F.round("price", 6).alias("price"), "volume", "hour_of_day", "day_of_week", "is_market_hours", "overall_score")
+    s = S.silver(S.bronze(_raw(spark, d)), job="refine", processed=_at(), version="2.0").withColumn("id_length", F.length("record_id"))
+    return s.select("partition", "silver_processed_timestamp", "silver_job_id", "data_version", "id_length", "topic", "symbol", "ts", F.round("price", 6).alias("price"), "volume", "hour_of_day", "day_of_week", "is_market_hours", "overall_score")
 
 
 @Q.add("pf7_quote_fields", f"with {X.QUOTES} select quote_id, (bid + ask) / 2 as mid, ask - bid as spread, case when bid > 0 then (ask - bid) / nullif((bid + ask) / 2, 0) * 10000 end as spread_bps from quotes")

@@ -297,3 +297,22 @@ from bars b """ + _joined("ti1_sma", "ti4_rsi", "ti6_bollinger", "ti7_stochastic
                           "ti23_ti24_pivots_candles", "ti10_cci"))
 def ti27(spark, d):
     return frames.framed(X.bars(spark, d), I.all_indicators)
+
+
+_SET_COLUMNS = """sma_20, ema_50, sma_200, rsi_ml as rsi_14, macd, macd_signal, macd_hist, stoch_k, stoch_d, bb_upper, bb_middle, bb_lower, bb_width, bb_position,
+  atr_14, obv, vwap_cum, ad_line, cmf_20, kc_upper, kc_lower, psar, adx"""
+_SET_SQL = f"""with recursive {BARS} select symbol, ts, {{name}} as timeframe, b.close, {_SET_COLUMNS} from bars b """ + _joined(
+    "ti1_sma", "ti4_rsi", "ti5_macd", "ti6_bollinger", "ti7_stochastic", "ti8_atr", "ti13_ti14_ti20_ti21_cumulative", "ti22_cmf", "ti17_keltner", "ti18_psar", "ti9_adx"
+) + f" join (with {BARS}{_ALL} select symbol, ts, {_ewm(50)} as ema_50 from x) e using (symbol, ts)"
+TIMEFRAMES = {"1h": "1 hour", "1d": "1 day"}
+
+
+@Q.add("ti27_sets", " union all ".join("select * from (" + _SET_SQL.format(name=f"'{k}'").replace("interval '1 hour'", f"interval '{v}'") + ")" for k, v in TIMEFRAMES.items()))
+def ti27_sets(spark, d):
+    """Every indicator of the named sets, over the bars of two timeframes."""
+    names = tuple(dict.fromkeys(x for n in I.SETS.values() for x in n)) + ("adx",)
+    out = I.for_timeframes({k: X.bars(spark, d, v) for k, v in TIMEFRAMES.items()}, names)
+    return out.select(
+        "symbol", "ts", "timeframe", "close", "sma_20", "ema_50", "sma_200", "rsi_14", "macd", "macd_signal", "macd_hist", "stoch_k", "stoch_d", "bb_upper", "bb_middle", "bb_lower",
+        "bb_width", "bb_position", "atr_14", "obv", "vwap_cum", "ad_line", "cmf_20", "kc_upper", "kc_lower", "psar", "adx",
+    )

@@ -28,10 +28,15 @@ def messages(trades: DataFrame, quotes: DataFrame) -> DataFrame:
     return t.unionByName(q)
 
 
-def bronze(raw: DataFrame) -> DataFrame:
-    """Messages parsed by topic into one wide row of strings, with flags, score and date parts.
+#: Columns of a message source that stay beside what is parsed, where they are there.
+SOURCE = ("partition", "offset", "kafka_timestamp")
 
-    Each topic has its own schema; fields of one name come together.
+
+def bronze(raw: DataFrame, *, job: str = "bronze", ingested: Column | None = None) -> DataFrame:
+    """Messages parsed by topic into one wide row of strings, with flags, score, date parts, and who took them in when.
+
+    Each topic has its own schema; fields of one name come together.  ``raw`` keeps its columns, those of SOURCE among them;
+    ``ingested`` is the time of intake (now, if not given).
     """
     parsed = raw.select("*", *[F.when(c("topic") == t, F.from_json("value", s)).alias(f"__{t}") for t, s in TOPIC_JSON.items()])
     fields: dict[str, list[Column]] = {}
@@ -45,15 +50,22 @@ def bronze(raw: DataFrame) -> DataFrame:
     return out.select(
         "*", ok_symbol.alias("has_valid_symbol"), ts.isNotNull().alias("has_valid_timestamp"), score.alias("quality_score"), (score >= 0.8).alias("is_high_quality"),
         F.year(ts).alias("year"), F.month(ts).alias("month"), F.dayofmonth(ts).alias("day"), F.hour(ts).alias("hour"),
+        (F.current_timestamp() if ingested is None else ingested).alias("ingestion_timestamp"), F.lit(job).alias("ingestion_job"),
     )
 
 
-def silver(rows: DataFrame) -> DataFrame:
-    """Bronze rows of high quality, typed and enriched: mid, spread, time features, flags and overall score."""
+def silver(rows: DataFrame, *, job: str = "silver", processed: Column | None = None, version: str = "1.0") -> DataFrame:
+    """Bronze rows of high quality, typed and enriched: mid, spread, time features, flags and overall score, and the run's metadata.
+
+    ``record_id`` is a hash of the message's place in its topic (of its content where the source names no place), so a record that
+    is processed again keeps its id.
+    """
+    place = [c(x).cast("string") for x in ("topic", "partition", "offset") if x in rows.columns]
+    record = F.sha2(F.concat_ws("|", *(place if len(place) == 3 else [c("topic"), c("content_hash")])), 256).alias("record_id")
     number = lambda n: F.regexp_replace(n, "[^0-9.-]", "").try_cast("decimal(18,8)")
     t = rows.filter("is_high_quality").select(
         "topic", F.upper(F.trim("symbol")).alias("symbol"), F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        *[number(n).cast("double").alias(n) for n in ("price", "bid_price", "ask_price")], F.coalesce("size", "volume").try_cast("double").cast("long").alias("volume"), "content_hash",
+        *[number(n).cast("double").alias(n) for n in ("price", "bid_price", "ask_price")], F.coalesce("size", "volume").try_cast("double").cast("long").alias("volume"), "content_hash", *[x for x in SOURCE if x in rows.columns], record,
     )
     mid = (c("bid_price") + c("ask_price")) / 2
     spread = c("ask_price") - c("bid_price")
@@ -64,7 +76,8 @@ def silver(rows: DataFrame) -> DataFrame:
     flags = {"is_valid_price": F.coalesce(F.coalesce("price", "mid_price").between(0.01, 100000), F.lit(False)), "is_valid_volume": F.coalesce(c("volume") >= 0, F.lit(True)), "is_valid_spread": F.coalesce(c("spread_pct") <= 10, F.lit(True))}
     t = t.select("*", *[v.alias(k) for k, v in flags.items()])
     score = sum((c(k).cast("double") for k in flags), F.lit(0.0)) / len(flags)
-    return t.withColumn("overall_score", score).withColumn("is_silver_quality", score >= 0.8)
+    done = F.current_timestamp() if processed is None else processed
+    return t.select("*", score.alias("overall_score"), (score >= 0.8).alias("is_silver_quality"), done.alias("silver_processed_timestamp"), F.lit(job).alias("silver_job_id"), F.lit(version).alias("data_version"))
 
 
 def market_session(ts: Column) -> Column:
