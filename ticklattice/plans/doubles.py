@@ -165,6 +165,7 @@ DOUBLES: dict[str, str] = {
     "pr4_rebalance_shares": "weight target shares value cost",
     "st11_indicator_alerts": "value",
     "st11_portfolio_alerts": "value",
+    "ad15_dynamic_selection": "dynamic_score",
     "ti18_psar": "psar",
     "ti18_psar_plain": "psar",
     "ti27_all_indicators": "open high low close vwap sma_5 sma_10 sma_20 sma_50 rsi_14 bb_upper bb_middle bb_lower bb_width bb_position stoch_k tr tp williams_r momentum_10 roc_10 cmf_20 volume_ratio vi_plus vi_minus position_in_range body upper_shadow lower_shadow pivot r1 s1 stoch_d atr_14 cci_20",

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticklattice.functions import quantiles
+from ticklattice.operators import ensemble as N
 from ticklattice.operators import evaluate as E
 from ticklattice.operators import forest as M
 from ticklattice.operators import training as T
 from ticklattice.plans import Queries
+from ticklattice.plans.q_detect import _DETECT as DETECT
 from ticklattice.plans.q_detect import FEATURES, MATRIX, matrix
 from ticklattice.plans.q_evaluate import SCORED, scored
 from ticklattice.plans.q_rolling import RET, _returns
@@ -120,3 +122,29 @@ def stacking(spark, d):
     rows = A.detect(E.time_split(scored(spark, d).withColumn("size", c("trade_id") % 97)))
     names = [f"anomaly_score_{m}" for m in A.METHODS]
     return M.stack(rows, names).select("trade_id", "y", "split", "stacked_score")
+
+
+_FLAGS = ("is_zscore", "is_iqr", "is_spike", "is_volume")
+_F1 = ", ".join(f"coalesce(2 * count(*) filter (y and {f}) / nullif(count(*) filter ({f}) + count(*) filter (y), 0), 0) as {f}" for f in _FLAGS)
+_BEST = "greatest(" + ", ".join(f"l_{f}" for f in _FLAGS) + ") - 0.1 - 1e-12"
+_TAKEN = ", ".join(f"case when l_{f} >= {_BEST} then l_{f} * w_{f} else 0 end as t_{f}" for f in _FLAGS)
+
+
+@Q.add("ad15_dynamic_selection", f"""with {DETECT}, po as (select trade_id, price, size, size % 5 = 0 as y, row_number() over (order by ts, trade_id) as position, count(*) over () as n from trades),
+sp as (select po.*, {", ".join(_FLAGS)}, case when position <= floor(n * 0.7) then 'train' when position <= floor(n * 0.85) then 'validation' else 'test' end as split from po join g using (trade_id)),
+va as (select *, least(floor((position - min(position) over ()) * 3 / count(*) over ()), 2) as fold from sp where split = 'validation'),
+f1 as (select fold, {_F1} from va group by 1), ra as (select {", ".join(f"greatest(avg({f}), 0.1) as {f}" for f in _FLAGS)} from f1),
+we as (select {", ".join(f"{f} / ({' + '.join(_FLAGS)}) as w_{f}" for f in _FLAGS)} from ra),
+nn as (select te.trade_id, {", ".join(f"(va.{f} = va.y)::int::double as {f}" for f in _FLAGS)} from sp te, va where te.split = 'test'
+  qualify row_number() over (partition by te.trade_id order by (te.price - va.price) * (te.price - va.price) + (te.size - va.size)::double * (te.size - va.size), va.trade_id) <= 25),
+lo as (select trade_id, {", ".join(f"avg({f}) as l_{f}" for f in _FLAGS)} from nn group by 1),
+ta as (select trade_id, {", ".join(_FLAGS)}, {_TAKEN} from sp join lo using (trade_id), we)
+select trade_id, ({" + ".join(f"t_{f} * {f}::int" for f in _FLAGS)}) / nullif({" + ".join(f"t_{f}" for f in _FLAGS)}, 0) as dynamic_score, {" + ".join(f"(t_{f} > 0)::int" for f in _FLAGS)} as n_selected from ta""")
+def dynamic_selection(spark, d):
+    """Detectors weighed by the validation part as a whole and around each row of the test part."""
+    from ticklattice.operators import anomaly as A
+
+    rows = A.detect(E.time_split(X.trades(spark, d))).withColumn("y", c("size") % 5 == 0)
+    validation, test = (rows.filter(c("split") == x) for x in ("validation", "test"))
+    weights = N.auto_weights(validation, list(_FLAGS))
+    return N.select(test, validation, list(_FLAGS), ["price", "size"], weights).select("trade_id", "dynamic_score", "n_selected")
