@@ -155,6 +155,7 @@ def test_sliding_quantiles_and_ranks_with_gaps(spark):
 
 FRAMES = """ti3_wma ti4_rsi ti6_bollinger ti7_stochastic ti8_atr ti9_adx ti10_cci ti12_momentum_roc ti15_ichimoku ti18_psar ti22_cmf ti27_all_indicators
 rs1_rolling_statistics rs3_percentile_rank rs4_entropy rs6_j7_beta rs9_vol_of_vol rs14_distribution rs15_autocorrelation rs16_ljung_box rs19_feature_set
+ti2_ema ti5_macd ti13_ti14_ti20_ti21_cumulative ti17_keltner rs8_garch
 ad1_ad4_detectors ad5_outlier_3sigma ad6_correlation_breaks ad10_series_detectors dc1_dc3_fills dc2_linear_fill dc5_outliers_iqr dc10_dc11_clean_ticks""".split()
 
 
@@ -164,6 +165,37 @@ def test_registered_frames_by_small_blocks_equal_sql(spark, sf_dir, monkeypatch,
     monkeypatch.setattr(frames, "BLOCK", 128)
     monkeypatch.setattr(frames, "BEFORE", 125)
     monkeypatch.setattr(relay, "BLOCK", 128)
+    monkeypatch.setattr(scan, "CHUNK", 16)
+    monkeypatch.setattr(scan, "CHUNKS", 3)
     framed = frames.framed
     monkeypatch.setattr(frames, "framed", lambda df, build, **how: framed(df, build, **({"before": 125, "after": 64, "block": 128} | how)))
     oracle.check(registry.queries()[name](spark, sf_dir), oracle.connect(sf_dir), registry.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("rows", [40, 100_000])
+def test_decayed_sums_over_many_chunks_and_parts(spark, monkeypatch, rows):
+    """Three levels of carries, decays at both ends, a large old value that still shows, ties and a null ts."""
+    monkeypatch.setattr(scan, "CHUNK", 16)
+    monkeypatch.setattr(scan, "CHUNKS", 3)
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, 500)
+    x[3] = 1e30
+    data = [("A", None if k == 0 else at(60 * (k // 2)), k, float(v)) for k, v in enumerate(x)] + [(None, at(k), k, 1.0) for k in range(70)]
+    df = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, id int, x double").repartition(5)
+    decays = {"none": 0.0, "short": 0.5, "long": 0.99, "sum": 1.0}
+    got = scan.decayed_sums(df, {k: (F.col("x"), d) for k, d in decays.items()}, tie="id", rows=rows).collect()
+    one = sorted((r for r in got if r["symbol"] == "A"), key=lambda r: r["id"])
+    assert [r["__n"] for r in one] == list(range(500))
+    for name, d in decays.items():
+        y, want = 0.0, []
+        for v in x:
+            y = d * y + v
+            want.append(y)
+        assert np.allclose([r[name] for r in one], want, rtol=1e-9, atol=1e-9)
+    assert sorted(r["sum"] for r in got if r["symbol"] is None) == list(range(1, 71))
+    summed = scan.running_sums(df.filter("id <> 3"), {"s": F.col("x")}, tie="id", rows=rows).filter("symbol = 'A'").orderBy("id").collect()
+    assert np.allclose([r["s"] for r in summed], np.cumsum(np.delete(x, 3)))
+    ones = scan.ema(df, {"e": (F.col("x"), 1)}, tie="id", rows=rows).filter("symbol = 'A'").collect()
+    assert all(r["e"] == r["x"] for r in ones)
+    with pytest.raises(ValueError, match="decay"):
+        scan.decayed_sums(df, {"y": (F.col("x"), 1.5)})

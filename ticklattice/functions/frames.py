@@ -55,8 +55,11 @@ def placed(df: DataFrame, span: int, *, key: str = "symbol", ts: str = "ts", tie
 
 
 def numbered(df: DataFrame, *, key: str = "symbol", ts: str = "ts", tie: str | None = None, block: int | None = None) -> DataFrame:
-    """Adds ``__n``, each row's place (from 0) in its key's series; no task holds a series."""
-    _, span = measured(df, key=key, ts=ts, rows=block or BLOCK)
+    """Adds ``__n``, each row's place (from 0) in its key's series; no task holds a series longer than a block."""
+    longest, span = measured(df, key=key, ts=ts, rows=block or BLOCK)
+    if longest <= (block or BLOCK):
+        order = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []), F.xxhash64(*[c(f"`{x}`") for x in df.columns]))
+        return df.withColumn("__n", (F.row_number().over(order) - 1).cast("long"))
     return placed(df, span, key=key, ts=ts, tie=tie).drop("__part")
 
 

@@ -162,7 +162,7 @@ def with_adx(bars: DataFrame, n: int = 14) -> DataFrame:
 def with_cumulative(bars: DataFrame) -> DataFrame:
     """OBV, price-volume trend, accumulation/distribution and cumulative VWAP, by running sums that carry over parts."""
     delta = c("close") - c("__prior")
-    rows_ = bars.withColumn("__prior", lag("close"))
+    rows_ = frames.framed(bars, lambda b: b.withColumn("__prior", lag("close")), before=1, after=0)
     money = F.try_divide((c("close") - c("low")) - (c("high") - c("close")), c("high") - c("low")) * c("volume")
     out = scan.running_sums(rows_, {
         "obv": F.when(delta > 0, c("volume")).when(delta < 0, -c("volume")).otherwise(0),
@@ -191,9 +191,10 @@ def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
 
 
 def with_keltner(bars: DataFrame, n: int = 20, atr_n: int = 10, width: float = 2.0) -> DataFrame:
-    middle = scan.ema(bars, {"kc_middle": (c("close"), n)}).withColumn("__tr", true_range())
-    atr = full("__tr", atr_n, F.avg("__tr").over(rows(atr_n)))
-    return middle.select(*bars.columns, "kc_middle", (c("kc_middle") + atr * width).alias("kc_upper"), (c("kc_middle") - atr * width).alias("kc_lower"))
+    spread = full("__tr", atr_n, F.avg("__tr").over(rows(atr_n))) * width
+    wide = frames.framed(bars, lambda b: b.withColumn("__tr", true_range()).withColumn("__width", spread).drop("__tr"), before=atr_n + 1, after=0)
+    middle = scan.ema(wide, {"kc_middle": (c("close"), n)})
+    return middle.select(*bars.columns, "kc_middle", (c("kc_middle") + c("__width")).alias("kc_upper"), (c("kc_middle") - c("__width")).alias("kc_lower"))
 
 
 def pivots() -> dict[str, Column]:

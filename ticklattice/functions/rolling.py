@@ -154,13 +154,12 @@ def with_garch(df: DataFrame, r: str, n: int = 252, alpha: float = 0.1, beta_: f
 
     The recurrence is linear in v, so it runs as a decayed sum; the first row has the series' variance.
     """
-    from pyspark.sql import Window
-
-    from ticklattice.functions import scan
+    from ticklattice.functions import frames, scan
 
-    var = F.var_samp(c(r)).over(Window.partitionBy("symbol"))
-    given = df.withColumn("__var", var).withColumn("__prior", lag(r)).withColumn("__first", F.row_number().over(order()) == 1)
-    term = F.when(c("__first"), c("__var")).otherwise((1 - alpha - beta_) * c("__var") + alpha * F.coalesce(F.pow(c("__prior"), 2), F.lit(0.0)))
+    var = df.groupBy(c("symbol").alias("__symbol")).agg(F.var_samp(c(r)).alias("__var"))
+    prior = frames.framed(df, lambda b: b.withColumn("__prior", lag(r)), before=1, after=0)
+    given = frames.numbered(prior.join(var, c("symbol").eqNullSafe(c("__symbol"))).drop("__symbol"))
+    term = F.when(c("__n") == 0, c("__var")).otherwise((1 - alpha - beta_) * c("__var") + alpha * F.coalesce(F.pow(c("__prior"), 2), F.lit(0.0)))
     out = scan.decayed_sums(given, {"garch_var": (term, beta_)})
     return out.select(*df.columns, F.sqrt("garch_var").alias("garch_vol"))
 

@@ -1,8 +1,7 @@
 """Recurrences and running sums over long series, without holding a series in one task.
 
-A series is cut by time into parts of a bounded number of rows.  Each part is summed on its own, the small table of parts
-is carried forward per key, and the carry is added back: one sort by (key, part), and a join with a table that has a row
-per part.
+A series is cut into parts of a bounded number of rows.  Each part is summed on its own, the small table of parts is carried
+forward per key, and the carry is added back.
 """
 
 from __future__ import annotations
@@ -14,63 +13,71 @@ from pyspark.sql import functions as F
 
 from ticklattice.functions import frames
 
-PART = "7 days"
-#: Rows after which powers of the decay start anew, to stay within what doubles hold.
-CHUNK = 128
-#: Weight below which what is past no longer shows in a double.
-FADED = 1e-24
+#: Rows after which powers of a decay start anew, to stay within what doubles hold, and such chunks of a part.
+CHUNK, CHUNKS = 128, 512
+#: Decays between 0 and this are refused: their powers over a chunk leave the range of doubles.
+LEAST_DECAY = 0.01
+#: Logarithm of the least positive double: what decays below it is gone.
+GONE = -745.0
 
 
-def _parts(df: DataFrame, keys: list[str], ts: str, part: str) -> DataFrame:
-    return df.withColumn("__part", F.window(F.col(ts), part).start)
-
-
-def running_sums(df: DataFrame, sums: dict[str, Column], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, part: str = PART) -> DataFrame:
-    """Adds cumulative sums per key in the order of (ts, tie); null terms count as nothing."""
-    rows = _parts(df, [key], ts, part).select("*", *[e.alias(f"__{n}") for n, e in sums.items()])
+def running_sums(df: DataFrame, sums: dict[str, Column], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None) -> DataFrame:
+    """Adds cumulative sums per key in the order of (ts, tie); null terms count as nothing, a null ts comes first."""
+    _, span = frames.measured(df, key=key, ts=ts, rows=rows or frames.BLOCK)
+    cut = df.select("*", F.floor(frames.micros(df, ts) / span).cast("long").alias("__part"), *[e.alias(f"__{n}") for n, e in sums.items()])
     order = [ts, *([tie] if tie else [])]
     inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
+    totals = cut.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy("__key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("__key", "__p", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums])
-    local = rows.select("*", *[F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in sums])
-    joined = local.join(carry, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__part") == F.col("__p")))
+    local = cut.select("*", *[F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in sums])
+    joined = local.join(carry, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__p")))
     return joined.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
 
 
-def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, part: str = PART) -> DataFrame:
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None) -> DataFrame:
     """Adds y[t] = decay * y[t-1] + x[t] per key in the order of (ts, tie), for each name: (x, decay); also ``__n``, the place.
 
-    Null x count as 0.  Holds for any series length: within a chunk y is a weighted window sum, and a chunk takes over what
-    the totals of those before it leave, each by its distance.
+    Null x count as 0; decays are 0 (x itself), LEAST_DECAY to 1 (a running sum), and none leaves anything out.  Within a chunk y is
+    a weighted window sum; a chunk takes over what the chunks before it in its part leave, and a part what the parts before it
+    leave: two tables, each a small fraction of the one below.  Rows that have ``__n`` already keep it.
     """
-    order = [ts, *([tie] if tie else [])]
-    rows = _parts(df, [key], ts, part).select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"__{n}") for n, (x, _) in sums.items()])
-    number = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)) - 1
-    rows = rows.withColumn("__r", number).withColumn("__chunk", F.floor(F.col("__r") / CHUNK).cast("int")).withColumn("__j", (F.col("__r") % CHUNK).cast("int"))
-    inside = Window.partitionBy(key, "__part", "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *[(F.sum(F.col(f"__{n}") * F.pow(F.lit(1 / d), F.col("__j"))).over(inside) * F.pow(F.lit(d), F.col("__j"))).alias(f"__l_{n}") for n, (_, d) in sums.items()])
-    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p"), F.col("__chunk").alias("__k")).agg(
-        F.count(F.lit(1)).alias("__size"),
-        *[F.sum(F.col(f"__{n}") * F.pow(F.lit(d), F.lit(-1.0) * F.col("__j"))).alias(f"__s_{n}") for n, (_, d) in sums.items()],
-    )
-    series = Window.partitionBy("__key").orderBy("__p", "__k")
-    ends = ends.withColumn("__before", F.coalesce(F.sum("__size").over(series.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-    def carry(name: str, d: float) -> Column:
-        """What the chunks before leave; those so far back that doubles no longer hold their weight are left out."""
-        reach = math.ceil(math.log(FADED) / math.log(d)) + CHUNK
-        near = F.collect_list(F.struct((F.col("__before") + F.col("__size")).alias("end"), F.col("__size").alias("size"), F.col(f"__s_{name}").alias("s")))
-        near = near.over(Window.partitionBy("__key").orderBy("__before").rangeBetween(-reach, -1))
-        return F.aggregate(near, F.lit(0.0), lambda acc, c: acc + c["s"] * F.pow(F.lit(d), F.col("__before") - c["end"] + c["size"] - 1))
-
-    carried = ends.select("__key", "__p", "__k", "__before", *[carry(n, d).alias(f"__c_{n}") for n, (_, d) in sums.items()])
-    joined = local.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")) & (F.col("__chunk") == F.col("__k")))
-    return joined.select(
-        *df.columns,
-        (F.col("__before") + F.col("__j")).alias("__n"),
-        *[(F.col(f"__l_{n}") + F.col(f"__c_{n}") * F.pow(F.lit(d), F.col("__j") + 1)).alias(n) for n, (_, d) in sums.items()],
-    )
+    for _, d in sums.values():
+        if d != 0 and not LEAST_DECAY <= d <= 1:
+            raise ValueError(f"decay {d}")
+    c = F.col
+    at = df if "__n" in df.columns else frames.numbered(df, key=key, ts=ts, tie=tie, block=rows)
+    kept = [x for x in df.columns if x != "__n"]
+    at = at.select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"__x_{n}") for n, (x, _) in sums.items()])
+    at = at.withColumn("__chunk", F.floor(c("__n") / CHUNK).cast("long")).withColumn("__j", (c("__n") % CHUNK).cast("int"))
+    real = {n: d for n, (_, d) in sums.items() if d}
+    inside = Window.partitionBy(key, "__chunk").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    local = at.select("*", *[(F.sum(c(f"__x_{n}") * F.pow(F.lit(1 / d), c("__j"))).over(inside) * F.pow(F.lit(d), c("__j"))).alias(f"__l_{n}") for n, d in real.items()])
+    # What a chunk leaves at its end, counted as full; only the last of a series is not, and nothing follows that.
+    ends = at.groupBy(c(key).alias("__key"), c("__chunk").alias("__k")).agg(*[F.sum(c(f"__x_{n}") * F.pow(F.lit(d), F.lit(CHUNK - 1) - c("__j"))).alias(f"__s_{n}") for n, d in real.items()])
+    ends = ends.withColumn("__part", F.floor(c("__k") / CHUNKS)).withColumn("__i", (c("__k") % CHUNKS).cast("int"))
+    near = Window.partitionBy("__key", "__part").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+
+    def left(name: str, d: float) -> Column:
+        """Of the chunks before in the part; at most CHUNKS of them."""
+        held = F.collect_list(F.struct(c("__i").alias("i"), c(f"__s_{name}").alias("s"))).over(near)
+        return F.aggregate(held, F.lit(0.0), lambda a, e: a + e["s"] * F.pow(F.lit(d), (c("__i") - 1 - e["i"]) * CHUNK))
+
+    parts = ends.groupBy(c("__key").alias("__pk"), c("__part").alias("__p")).agg(*[F.sum(c(f"__s_{n}") * F.pow(F.lit(d), (F.lit(CHUNKS - 1) - c("__i")) * CHUNK)).alias(f"__t_{n}") for n, d in real.items()])
+
+    def before(name: str, d: float) -> Column:
+        """Of the parts before; those from which not even the least double is left are not asked."""
+        size = CHUNK * CHUNKS
+        reach = Window.unboundedPreceding if d == 1 else -math.ceil(GONE / (size * math.log(d))) - 1
+        far = F.collect_list(F.struct(c("__p").alias("p"), c(f"__t_{name}").alias("t"))).over(Window.partitionBy("__pk").orderBy("__p").rangeBetween(reach, -1))
+        return F.aggregate(far, F.lit(0.0), lambda a, e: a + e["t"] * F.pow(F.lit(d), (c("__p") - 1 - e["p"]) * size))
+
+    parts = parts.select("__pk", "__p", *[before(n, d).alias(f"__b_{n}") for n, d in real.items()])
+    carried = ends.select("*", *[left(n, d).alias(f"__c_{n}") for n, d in real.items()]).join(parts, c("__key").eqNullSafe(c("__pk")) & (c("__part") == c("__p")))
+    carried = carried.select("__key", "__k", *[(c(f"__c_{n}") + c(f"__b_{n}") * F.pow(F.lit(d), c("__i") * CHUNK)).alias(f"__c_{n}") for n, d in real.items()])
+    joined = local.join(carried, c(key).eqNullSafe(c("__key")) & (c("__chunk") == c("__k")))
+    value = lambda n: c(f"__l_{n}") + c(f"__c_{n}") * F.pow(F.lit(real[n]), c("__j") + 1) if n in real else c(f"__x_{n}")
+    return joined.select(*kept, "__n", *[value(n).alias(n) for n in sums])
 
 
 def known(df: DataFrame, x: str, *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int = frames.BLOCK) -> DataFrame:
@@ -98,15 +105,14 @@ def known(df: DataFrame, x: str, *, key: str = "symbol", ts: str = "ts", tie: st
     return joined.select(*df.columns, "__n", F.coalesce("__in_back", "__before").alias("__back"), F.coalesce("__in_ahead", "__after").alias("__ahead"))
 
 
-def ema(df: DataFrame, columns: dict[str, tuple[Column, int]], *, key: str = "symbol", ts: str = "ts", adjust: bool = True, tie: str | None = None) -> DataFrame:
-    """Adds exponential moving averages, name: (x, span), with alpha = 2 / (span + 1).
+def ema(df: DataFrame, columns: dict[str, tuple[Column, int]], *, key: str = "symbol", ts: str = "ts", adjust: bool = True, tie: str | None = None, rows: int | None = None) -> DataFrame:
+    """Adds exponential moving averages, name: (x, span), with alpha = 2 / (span + 1); a span of 1 gives x itself.
 
     ``adjust`` weighs by the terms seen so far (the mean of a growing series); without it the first value seeds the series.
     """
     decay = {n: 1 - 2 / (span + 1) for n, (_, span) in columns.items()}
-    first = F.row_number().over(Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))) == 1
-    given = df if adjust else df.withColumn("__first", first)
-    terms = {f"__y_{n}": (x if adjust else F.when(F.col("__first"), x).otherwise(x * (1 - decay[n])), decay[n]) for n, (x, _) in columns.items()}
-    rows = decayed_sums(given, terms, key=key, ts=ts, tie=tie)
+    at = frames.numbered(df, key=key, ts=ts, tie=tie, block=rows)
+    terms = {f"__y_{n}": (x if adjust else F.when(F.col("__n") == 0, x).otherwise(x * (1 - decay[n])), decay[n]) for n, (x, _) in columns.items()}
+    summed = decayed_sums(at, terms, key=key, ts=ts, tie=tie)
     value = lambda n: F.col(f"__y_{n}") * (1 - decay[n]) / (1 - F.pow(F.lit(decay[n]), F.col("__n") + 1)) if adjust else F.col(f"__y_{n}")
-    return rows.select(*df.columns, *[value(n).alias(n) for n in columns])
+    return summed.select(*df.columns, *[value(n).alias(n) for n in columns])
