@@ -51,6 +51,8 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: s
     at = at.select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"__x_{n}") for n, (x, _) in sums.items()])
     at = at.withColumn("__chunk", F.floor(c("__n") / CHUNK).cast("long")).withColumn("__j", (c("__n") % CHUNK).cast("int"))
     real = {n: d for n, (_, d) in sums.items() if d}
+    if not real:
+        return at.select(*kept, "__n", *[c(f"__x_{n}").alias(n) for n in sums])
     inside = Window.partitionBy(key, "__chunk").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
     local = at.select("*", *[(F.sum(c(f"__x_{n}") * F.pow(F.lit(1 / d), c("__j"))).over(inside) * F.pow(F.lit(d), c("__j"))).alias(f"__l_{n}") for n, d in real.items()])
     # What a chunk leaves at its end, counted as full; only the last of a series is not, and nothing follows that.
