@@ -92,7 +92,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(got) == len(pages)
     by = {(g[1], g[2]): g for g in got}
     assert by[0, "http://a/"][3:] == ("response", None, 120, big.encode())
-    assert by[1, "http://b/%0D%0AX: y"][3:] == ("revisit", 0, 120, None)
+    assert by[1, "http://b/\r\nX: y"][3:] == ("revisit", 0, 120, None)
     assert by[2, None][3] == by[3, "u"][3] == by[4, "u"][3] == "response" and by[4, "u"][5] == 0
     assert by[None, "n"][3] == "response" and by[1, "again"][6] == b"<p>" * 100_000
     # A selection of the index reads only those records.

@@ -8,6 +8,7 @@ rows, so that a task that runs twice leaves a file that no index row points to,
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -29,8 +30,8 @@ RECORD = (
 LEAST_REVISIT = 100
 #: Ranges closer than GAP are read at once, up to RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
-#: Bytes of an archive that one task reads in a row.
-TASK_BYTES = 4 << 20
+#: Bytes of an archive that stay with one task, bytes that a task reads where there are many, and tasks a core where there are few.
+SLOT_BYTES, TASK_BYTES, TASKS = 4 << 20, 256 << 20, 4
 
 
 def _header(value: str) -> str:
@@ -53,18 +54,32 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     ]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
+        if _header(url) != url:  # the url as it came, for the reader
+            lines.append(f"Target-URI-Base64: {base64.b64encode(url.encode()).decode()}")
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _info(name: str) -> bytes:
+    """The record that opens a file; the index doesn't name it."""
+    block = b"format: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _member(record: bytes, level: int) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
 def write_archives(pages: DataFrame, folder: str, *, level: int = 6) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files in ``folder``; returns the index as a written table.
 
     Of records with equal payloads of at least ``LEAST_REVISIT`` bytes, that with the smallest page_id is the response and
-    the others are revisits of it.  Null html is an empty payload, a null url writes no target; rows with a null page_id
-    are responses; a page_id that repeats is written as often (its smallest copy counts by payload alone, so copies of the
+    the others are revisits of it.  Null html is an empty payload, a null url writes no target, one with control characters is
+    read back as it was; payloads may be of any length, an empty table writes no file.  Rows with a null page_id are responses; a page_id that repeats is written as often (its smallest copy counts by payload alone, so copies of the
     response's own id stay responses).  Other columns are ignored.
     """
     spark = pages.sparkSession
@@ -96,11 +111,13 @@ def write_archives(pages: DataFrame, folder: str, *, level: int = 6) -> DataFram
             ids, urls, payloads, digests, refers = (batch.column(k) for k in range(5))
             for k in range(len(batch)):
                 record = _record(ids[k].as_py(), urls[k].as_py(), payloads[k].as_py(), digests[k].as_py(), refers[k].as_py())
-                packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(record) + packer.flush()
+                member = _member(record, level)
                 if out is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(path, compression=None)
+                    first = _member(_info(name.rpartition("/")[2]), level)
+                    out.write(first)
+                    at = len(first)
                 out.write(member)
                 index["offset"].append(at)
                 index["length"].append(len(member))
@@ -138,7 +155,7 @@ def _parse(record: bytes) -> dict:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
     return {
         "page_id": number(fields["WARC-Record-ID"]),
-        "url": fields.get("WARC-Target-URI"),
+        "url": base64.b64decode(fields["Target-URI-Base64"]).decode() if "Target-URI-Base64" in fields else fields.get("WARC-Target-URI"),
         "record_type": kind,
         "refers_to": number(fields.get("WARC-Refers-To")),
         "payload_bytes": int(fields["Payload-Length"]),
@@ -148,13 +165,19 @@ def _parse(record: bytes) -> dict:
 
 
 def read_archives(index: DataFrame, *, with_payload: bool = True, gap: int = GAP, most: int = RANGE) -> DataFrame:
-    """Records of the given index rows (any selection of them), read by coalesced ranges and checked by digest."""
+    """Records of the given index rows (any selection of them), read by coalesced ranges and checked by digest.
+
+    A row that the selection names twice is read twice; no rows, no records.  Payloads may be of any length; those of revisits
+    are null.
+    """
     # Dealt by bytes of the archives, for the index itself is small: neighbours in a file lie together and in order, and a
-    # large file goes to several tasks.  The number of tasks follows from the bytes asked for.
+    # large file goes to several tasks.  There is a task for each TASK_BYTES asked for; of less, TASKS a core at most.
     places = index.select("file", "offset", "length")
     asked = places.agg(F.sum("length").alias("n")).first()["n"] or 0
-    slot = F.floor(F.col("offset") / TASK_BYTES)
-    places = places.repartition(1 + 2 * asked // TASK_BYTES, F.col("file"), slot).sortWithinPartitions("file", "offset")
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = 1 + max(asked // TASK_BYTES, min(2 * asked // SLOT_BYTES, TASKS * cores))
+    slot = F.floor(F.col("offset") / SLOT_BYTES)
+    places = places.repartition(tasks, F.col("file"), slot).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
