@@ -28,8 +28,10 @@ def grow(matrix: DataFrame, features: list[str], *, key: str, trees: int = TREES
     """Nodes of all trees.  A row joins a tree's sample by a hash of its key, so samples are the same for the same rows."""
     total = matrix.count()
     rate = min(1.0, 2.0 * sample / max(1, total))
-    u = F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = matrix.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("__u", u).filter(c("__u") < rate)
+    u = lambda tree: F.pmod(F.xxhash64(key, tree, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    # Only the trees that draw a row make one of it.
+    drawn_by = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < rate)
+    drawn = matrix.select(key, *features, F.explode(drawn_by).alias("tree")).withColumn("__u", u(c("tree")))
     few = Window.partitionBy("tree").orderBy("__u", key)
     drawn = drawn.withColumn("__n", F.row_number().over(few)).filter(c("__n") <= sample)
 
@@ -134,11 +136,14 @@ def search(rows: DataFrame, spans: tuple[int, ...] = (20, 50, 100), widths: tupl
     """(span, width, mean_f1, sd_f1) of rolling z-score detectors over five time folds of rows with ``position`` and y."""
     w = lambda n: Window.partitionBy("symbol").orderBy("ts", "trade_id").rowsBetween(-(n - 1), 0)
     z = rows.select("y", "position", *[F.abs(F.try_divide(c("price") - F.avg("price").over(w(n)), F.stddev_samp("price").over(w(n)))).alias(f"z{n}") for n in spans])
-    grid = F.array(*[F.struct(F.lit(n).alias("span"), F.lit(t).alias("width"), F.coalesce(c(f"z{n}") > t, F.lit(False)).alias("pred")) for n in spans for t in widths])
     total = z.agg(F.count(F.lit(1)).alias("n"))
-    g = z.crossJoin(F.broadcast(total)).select("y", F.least(F.floor((c("position") - 1) * 5 / c("n")), F.lit(4)).alias("fold"), F.explode(grid).alias("g"))  # one row
-    f = g.groupBy("g.span", "g.width", "fold").agg(F.try_divide(F.count_if(c("y") & c("g.pred")) * 2, F.count_if("g.pred") + F.count_if("y")).alias("f1"))
-    return f.groupBy("span", "width").agg(F.avg("f1").alias("mean_f1"), F.stddev_samp("f1").alias("sd_f1"))
+    dealt = z.crossJoin(F.broadcast(total)).withColumn("fold", F.least(F.floor((c("position") - 1) * 5 / c("n")), F.lit(4)))  # one row
+    grid = [(n, t, F.coalesce(c(f"z{n}") > t, F.lit(False))) for n in spans for t in widths]
+    f1 = lambda pred: F.try_divide(F.count_if(c("y") & pred) * 2, F.count_if(pred) + F.count_if("y"))
+    # All detectors are counted in one pass: a row a fold comes out, whatever their number.
+    each = dealt.groupBy("fold").agg(*[f1(pred).alias(f"f{k}") for k, (_, _, pred) in enumerate(grid)])
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.lit(t).alias("width"), c(f"f{k}").alias("f1")) for k, (n, t, _) in enumerate(grid)])).alias("g"))
+    return long.groupBy("g.span", "g.width").agg(F.avg("g.f1").alias("mean_f1"), F.stddev_samp("g.f1").alias("sd_f1"))
 
 
 def stack(rows: DataFrame, scores: list[str], *, y: str = "y") -> DataFrame:
