@@ -268,18 +268,29 @@ def psar(bars: DataFrame, start: float = 0.02, step: float = 0.02, most: float =
 
 def with_patterns(bars: DataFrame, n: int = 20) -> DataFrame:
     """Support and resistance (a bar at the extreme of its last n, not within n of either end) and closes outside the bands."""
-    position, size = F.row_number().over(order()), F.count(F.lit(1)).over(Window.partitionBy(*KEY))
-    inner = (position > n) & (position <= size - n)
+    sizes = bars.groupBy(c("symbol").alias("__of")).agg(F.count(F.lit(1)).alias("__size"))
+    placed = frames.numbered(bars).join(sizes, c("symbol").eqNullSafe(c("__of")))
+    at = placed.select(*bars.columns, ((c("__n") >= n) & (c("__n") < c("__size") - n)).alias("__inner"))
+    inner = c("__inner")
     bands = bollinger(n=n)
-    return bars.select(
-        "*", (inner & (c("high") == F.max("high").over(rows(n)))).alias("is_resistance"), (inner & (c("low") == F.min("low").over(rows(n)))).alias("is_support"),
-        F.coalesce(c("close") > bands["bb_upper"], F.lit(False)).alias("breakout_up"), F.coalesce(c("close") < bands["bb_lower"], F.lit(False)).alias("breakout_down"),
-    )
+    made = {
+        "is_resistance": inner & (c("high") == F.max("high").over(rows(n))), "is_support": inner & (c("low") == F.min("low").over(rows(n))),
+        "breakout_up": F.coalesce(c("close") > bands["bb_upper"], F.lit(False)), "breakout_down": F.coalesce(c("close") < bands["bb_lower"], F.lit(False)),
+    }
+    out = frames.framed(at, lambda b: b.select("*", *[v.alias(k) for k, v in made.items()]), before=n)
+    return out.select(*bars.columns, *made)
+
+
+#: Bars of a symbol that its latest signals depend on, at most.
+RECENT = 64
 
 
 def signals(bars: DataFrame) -> DataFrame:
     """The latest bar's votes per symbol: RSI, price against SMA 20, band position, stochastic; bullish share over 60 %, bearish under 40 %."""
     bands = bollinger()
+    # No signal looks further back, and a task cuts a symbol's bars down before they meet.
+    recent = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ts")))
+    bars = bars.withColumn("__recent", recent).filter(c("__recent") <= RECENT)
     rows_ = bars.select(
         "symbol", "ts", "close", rsi().alias("rsi"), sma(n=20, variant="dash").alias("sma_20"), bands["bb_position"].alias("bb_position"), stochastic_k().alias("stoch_k"),
         F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ts"))).alias("__latest"),

@@ -164,22 +164,21 @@ def with_garch(df: DataFrame, r: str, n: int = 252, alpha: float = 0.1, beta_: f
     return out.select(*df.columns, F.sqrt("garch_var").alias("garch_vol"))
 
 
-def streaks(x: str = "close", n: int = 11) -> tuple[Column, Column, Column]:
-    """Sign of the last move, its run number parts, and moves that are not zero in the last n rows."""
-    delta = c(x) - lag(c(x))
-    return F.signum(delta), F.sum(F.when(delta != 0, 1).otherwise(0)).over(rows(n)), delta
+def with_streaks(df: DataFrame, x: str = "close", n: int = 11) -> DataFrame:
+    """Length of the current run of moves in one direction, and moves in the last n rows.
 
+    A run is as long as its place is beyond that of its first row, which the scan of last known values finds over parts.
+    """
+    from ticklattice.functions import frames, scan
 
-def with_streaks(df: DataFrame, x: str = "close", n: int = 11) -> DataFrame:
-    """Length of the current run of moves in one direction (gaps and islands), and moves in the last n rows."""
-    from pyspark.sql import Window
-
-    one = df.withColumn("__sign", F.signum(c(x) - lag(c(x)))).withColumn("__row", F.row_number().over(order()))
-    sign = Window.partitionBy("symbol", "__sign").orderBy("ts")
-    one = one.withColumn("__island", c("__row") - F.row_number().over(sign))
-    run = Window.partitionBy("symbol", "__sign", "__island").orderBy("ts")
-    moves = F.sum(F.when(c("__sign") != 0, 1).otherwise(0)).over(rows(n))
-    return one.withColumn("streak", F.when(c("__sign").isNotNull() & (c("__sign") != 0), F.row_number().over(run)).otherwise(0)).withColumn("moves", moves).select(*df.columns, "streak", "moves")
+    def build(b: DataFrame) -> DataFrame:
+        one = b.withColumn("__sign", F.signum(c(x) - lag(c(x))))
+        moves = F.sum(F.when(c("__sign") != 0, 1).otherwise(0)).over(rows(n))
+        return one.select("*", moves.alias("moves"), F.when(~c("__sign").eqNullSafe(lag("__sign")), 1).alias("__start"))
+
+    at = scan.known(frames.framed(df, build, before=n + 2, after=0), "__start")
+    run = (c("__n") - c("__back.n") + 1).cast("int")
+    return at.select(*df.columns, F.when(c("__sign") != 0, run).otherwise(0).alias("streak"), "moves")
 
 
 def feature_set(bars: DataFrame) -> DataFrame:

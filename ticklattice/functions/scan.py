@@ -21,18 +21,22 @@ LEAST_DECAY = 0.01
 GONE = -745.0
 
 
-def running_sums(df: DataFrame, sums: dict[str, Column], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None) -> DataFrame:
-    """Adds cumulative sums per key in the order of (ts, tie); null terms count as nothing, a null ts comes first."""
+def running_sums(df: DataFrame, sums: dict[str, Column], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None, greatest: bool = False) -> DataFrame:
+    """Adds cumulative sums per key in the order of (ts, tie), or with ``greatest`` running maxima; null terms count as nothing (a
+    maximum of nothing is null), a null ts comes first."""
+    add = F.max if greatest else F.sum
+    nothing = F.lit(None).cast("double") if greatest else F.lit(0)
     _, span = frames.measured(df, key=key, ts=ts, rows=rows or frames.BLOCK)
     cut = df.select("*", F.floor(frames.micros(df, ts) / span).cast("long").alias("__part"), *[e.alias(f"__{n}") for n, e in sums.items()])
     order = [ts, *([tie] if tie else [])]
     inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cut.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
+    totals = cut.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__p")).agg(*[add(f"__{n}").alias(f"__t_{n}") for n in sums])
     before = Window.partitionBy("__key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("__key", "__p", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums])
-    local = cut.select("*", *[F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in sums])
+    carry = totals.select("__key", "__p", *[F.coalesce(add(f"__t_{n}").over(before), nothing).alias(f"__c_{n}") for n in sums])
+    local = cut.select("*", *[F.coalesce(add(f"__{n}").over(inside), nothing).alias(f"__l_{n}") for n in sums])
     joined = local.join(carry, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__p")))
-    return joined.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
+    both = (lambda n: F.greatest(f"__l_{n}", f"__c_{n}")) if greatest else (lambda n: F.col(f"__l_{n}") + F.col(f"__c_{n}"))
+    return joined.select(*df.columns, *[both(n).alias(n) for n in sums])
 
 
 def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None) -> DataFrame:
@@ -82,14 +86,14 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], *, key: s
     return joined.select(*kept, "__n", *[value(n).alias(n) for n in sums])
 
 
-def known(df: DataFrame, x: str, *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int = frames.BLOCK) -> DataFrame:
+def known(df: DataFrame, x: str, *, key: str = "symbol", ts: str = "ts", tie: str | None = None, rows: int | None = None) -> DataFrame:
     """Adds the place ``__n`` of each row in its series, and the nearest rows with a value of ``x``: ``__back`` and ``__ahead``,
     structs (n, x), the row itself included; null where no such row is on that side.
 
     What a part of the series knows last and first is carried over the table of parts, one way each; a part without a value
     hands on what came to it.
     """
-    _, span = frames.measured(df, key=key, ts=ts, rows=rows)
+    _, span = frames.measured(df, key=key, ts=ts, rows=rows or frames.BLOCK)
     at = frames.placed(df, span, key=key, ts=ts, tie=tie)
     has = F.when(F.col(x).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(x).alias("x")))
     inside = Window.partitionBy(key, "__part").orderBy("__n")

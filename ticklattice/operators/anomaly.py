@@ -121,13 +121,18 @@ def series_detectors(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def seasonal_residuals(bars: DataFrame, period: int = 24, width: float = 3.0) -> DataFrame:
     """Additive decomposition: centred moving mean, mean by place in the period, and residuals beyond ``width`` deviations."""
-    order = Window.partitionBy("symbol").orderBy("ts")
     half = period // 2
-    step = bars.select("symbol", "ts", "close", F.avg("close").over(order.rowsBetween(-half, half)).alias("trend"), ((F.row_number().over(order) - 1) % period).alias("place"))
-    step = step.withColumn("detrended", c("close") - c("trend"))
-    place, whole = Window.partitionBy("symbol", "place"), Window.partitionBy("symbol")
-    step = step.withColumn("seasonal", F.avg("detrended").over(place) - F.avg("detrended").over(whole)).withColumn("residual", c("detrended") - c("seasonal"))
-    return step.withColumn("is_seasonal", _no(F.abs(c("residual") - F.avg("residual").over(whole)) > F.stddev_samp("residual").over(whole) * width)).drop("detrended")
+    trend = F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-half, half)).alias("trend")
+    near = frames.framed(bars.select("symbol", "ts", "close"), lambda b: b.select("*", trend), before=half, after=half)
+    step = frames.numbered(near).select("symbol", "ts", "close", "trend", (c("__n") % period).alias("place"), (c("close") - c("trend")).alias("detrended"))
+    # Means by place and by symbol are aggregated and joined back, so no task holds a symbol.
+    places = step.groupBy(c("symbol").alias("__s"), c("place").alias("__p")).agg(F.sum("detrended").alias("__sum"), F.count("detrended").alias("__count"))
+    wholes = places.groupBy(c("__s").alias("__w")).agg(F.try_divide(F.sum("__sum"), F.sum("__count")).alias("__mean"))
+    means = places.join(wholes, c("__s").eqNullSafe(c("__w"))).select("__s", "__p", (F.try_divide("__sum", "__count") - c("__mean")).alias("seasonal"))
+    rest = step.join(means, c("symbol").eqNullSafe(c("__s")) & (c("place") == c("__p"))).withColumn("residual", c("detrended") - c("seasonal"))
+    spread = rest.groupBy(c("symbol").alias("__r")).agg(F.avg("residual").alias("__m"), F.stddev_samp("residual").alias("__sd"))
+    both = rest.join(spread, c("symbol").eqNullSafe(c("__r")))
+    return both.select("symbol", "ts", "close", "trend", "place", "seasonal", "residual", _no(F.abs(c("residual") - c("__m")) > c("__sd") * width).alias("is_seasonal"))
 
 
 def combine(rows: DataFrame, flags: list[str], weights: dict[str, float] | None = None) -> DataFrame:

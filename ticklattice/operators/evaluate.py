@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import probability, quantiles
+from ticklattice.functions import frames, probability, quantiles
 
 c = F.col
 
@@ -95,7 +95,9 @@ def rolling_metrics(rows: DataFrame, n: int = 30) -> DataFrame:
     w = order.rowsBetween(-(n - 1), 0)
     count = lambda x: F.sum(F.when(x, 1).otherwise(0)).over(w)
     tp, fp, fn = count(c("y") & c("pred")), count(~c("y") & c("pred")), count(c("y") & ~c("pred"))
-    return rows.select("symbol", "trade_id", F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), (c("pred") == F.lag("pred").over(order)).alias("consistent"))
+    made = {"precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "consistent": c("pred") == F.lag("pred").over(order)}
+    out = frames.framed(rows, lambda r: r.select("*", *[v.alias(k) for k, v in made.items()]), tie="trade_id", before=n, after=0)
+    return out.select("symbol", "trade_id", *made)
 
 
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:

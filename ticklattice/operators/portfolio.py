@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames
+from ticklattice.functions import frames, scan
 
 c = F.col
 ANNUAL = math.sqrt(252)
@@ -46,8 +46,8 @@ def risk(returns: DataFrame, *, key: str = "symbol", rf: float = 0.02) -> DataFr
 
     The drawdown is of the close against its running maximum.
     """
-    w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    r = returns.withColumn("__dd", F.try_divide(c("close"), F.max("close").over(w)) - 1)
+    top = scan.running_sums(returns, {"__top": c("close").cast("double")}, key=key, greatest=True)
+    r = top.withColumn("__dd", F.try_divide(c("close"), c("__top")) - 1)
     one = r.groupBy(key).agg(
         (F.avg("ret") * 252).alias("annual_return"), (F.stddev_samp("ret") * ANNUAL).alias("annual_volatility"), (F.stddev_samp(F.when(c("ret") < 0, c("ret"))) * ANNUAL).alias("downside"),
         F.min("__dd").alias("max_drawdown"), F.percentile("ret", F.lit(0.05)).alias("var_95"),
@@ -94,10 +94,9 @@ def drop_flagged_effect(returns: DataFrame) -> DataFrame:
     """What leaving out flagged rows (mask) does to Sharpe, volatility and drawdown of a series (symbol, ts, ret, mask)."""
 
     def measures(rows: DataFrame, suffix: str) -> DataFrame:
-        w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        wealth = F.exp(F.sum(F.log1p("ret")).over(w))
-        r = rows.withColumn("__w", wealth)
-        r = r.withColumn("__dd", c("__w") / F.max("__w").over(w) - 1)
+        grown = scan.running_sums(rows, {"__log": F.log1p("ret")})
+        top = scan.running_sums(grown, {"__top": c("__log")}, greatest=True)
+        r = top.withColumn("__dd", F.exp(c("__log") - c("__top")) - 1)
         one = r.groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s"), F.min("__dd").alias(f"drawdown_{suffix}"))
         return one.select("symbol", (F.try_divide("m", "s") * ANNUAL).alias(f"sharpe_{suffix}"), (c("s") * ANNUAL).alias(f"volatility_{suffix}"), f"drawdown_{suffix}")
 
