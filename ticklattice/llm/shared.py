@@ -89,7 +89,7 @@ def read_bytes(uri: str) -> bytes:
 #: What a Python worker keeps for the tasks that come after this one, oldest first, and when it was last asked for.
 _KEPT: dict[tuple, object] = {}
 #: Seconds after which an idle worker forgets it, and how often it looks.
-IDLE_S, LOOK_S = 4.0, 1.0
+IDLE_S, LOOK_S = 1.5, 0.5
 _USE = {"busy": 0, "last": 0.0, "watched": False}
 _LOCK = threading.Lock()
 
