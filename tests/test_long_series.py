@@ -157,7 +157,8 @@ FRAMES = """ti3_wma ti4_rsi ti6_bollinger ti7_stochastic ti8_atr ti9_adx ti10_cc
 rs1_rolling_statistics rs3_percentile_rank rs4_entropy rs6_j7_beta rs9_vol_of_vol rs14_distribution rs15_autocorrelation rs16_ljung_box rs19_feature_set
 ti2_ema ti5_macd ti13_ti14_ti20_ti21_cumulative ti17_keltner rs8_garch
 ad1_ad4_detectors ad5_outlier_3sigma ad6_correlation_breaks ad10_series_detectors dc1_dc3_fills dc2_linear_fill dc5_outliers_iqr dc10_dc11_clean_ticks
-ti25_patterns rs21_streaks ad11_seasonal_residuals ml6_rolling_metrics pr2_risk ml11_mask_effect rs20_preparation fs3_training_table""".split()
+ti25_patterns rs21_streaks ad11_seasonal_residuals ml6_rolling_metrics pr2_risk ml11_mask_effect rs20_preparation fs3_training_table
+j8_coverage j9_detection_delay dq2_dq3_dq4_dq6_assess st11_alerts st11_indicator_alerts""".split()
 
 
 @pytest.mark.parametrize("name", FRAMES)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames, probability, quantiles
+from ticklattice.functions import frames, probability, quantiles, scan
 
 c = F.col
 
@@ -74,19 +74,26 @@ def precision_at_k(rows: DataFrame, k: int, *, tie: str) -> DataFrame:
 def coverage(rows: DataFrame, reach: int = 5) -> DataFrame:
     """Per key, the share of true rows with a prediction within ``reach`` rows."""
     w = Window.partitionBy("symbol").orderBy("ts", "trade_id").rowsBetween(-reach, reach)
-    near = rows.withColumn("near", F.max(c("pred").cast("int")).over(w) == 1)
+    near = frames.framed(rows, lambda r: r.withColumn("near", F.max(c("pred").cast("int")).over(w) == 1), tie="trade_id", before=reach, after=reach)
     return near.filter("y").groupBy("symbol").agg(F.avg(c("near").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("anomalies"))
 
 
 def detection_delay(rows: DataFrame, horizon: int = 50) -> DataFrame:
-    """Each start of an anomaly with the rows until a prediction: within its segment, and within ``horizon`` rows."""
+    """Each start of an anomaly with the rows until a prediction: within its segment, and within ``horizon`` rows.
+
+    The next prediction and the end of the segment are the next known places of a flag, found over parts of a series.
+    """
     order = Window.partitionBy("symbol").orderBy("ts", "trade_id")
-    r = rows.select("symbol", "ts", "trade_id", "y", "pred", F.row_number().over(order).alias("pos"), (c("y") & ~F.coalesce(F.lag("y").over(order), F.lit(False))).alias("starts"))
-    r = r.withColumn("segment", F.sum(F.when(c("y") != F.coalesce(F.lag("y").over(order), F.lit(False)), 1).otherwise(0)).over(order))
-    hit = F.when(c("pred"), c("pos"))
-    inside = Window.partitionBy("symbol", "segment")
-    r = r.select("*", F.min(hit).over(inside).alias("in_segment"), F.min(hit).over(order.rowsBetween(0, horizon - 1)).alias("in_horizon"))
-    return r.filter("starts").select("symbol", "trade_id", (c("in_segment") - c("pos")).alias("delay_segment"), (c("in_horizon") - c("pos")).alias("delay_horizon"))
+
+    def build(r: DataFrame) -> DataFrame:
+        after = F.lead("y").over(order)
+        starts = c("y") & ~F.coalesce(F.lag("y").over(order), F.lit(False))
+        return r.select("*", starts.alias("starts"), F.when(c("pred"), 1).alias("__hit"), F.when(after.isNull() | (after != c("y")), 1).alias("__end"))
+
+    r = frames.framed(rows.select("symbol", "ts", "trade_id", "y", "pred"), build, tie="trade_id", before=1, after=1)
+    r = scan.known(r, "__hit", tie="trade_id").select(*r.columns, c("__ahead.n").alias("__hit_at"))
+    r = scan.known(r, "__end", tie="trade_id").filter("starts").select("symbol", "trade_id", (c("__hit_at") - c("__n")).cast("int").alias("__far"), (c("__ahead.n") - c("__n")).alias("__left"))
+    return r.select("symbol", "trade_id", F.when(c("__far") <= c("__left"), c("__far")).alias("delay_segment"), F.when(c("__far") < horizon, c("__far")).alias("delay_horizon"))
 
 
 def rolling_metrics(rows: DataFrame, n: int = 30) -> DataFrame:

@@ -111,10 +111,13 @@ def evaluate_alerts(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("symbol").orderBy("ts", "trade_id")
     w20, w50 = order.rowsBetween(-20, -1), order.rowsBetween(-49, 0)
-    r = rows.select(
-        "symbol", "ts", "trade_id", "price", "size", F.lag("price").over(order).alias("prior"), F.avg("size").over(w20).alias("mean_size"),
-        F.abs(F.try_divide(c("price") - F.avg("price").over(w50), F.stddev_samp("price").over(w50))).alias("z"),
-    )
+    made = {
+        "prior": F.lag("price").over(order), "mean_size": F.avg("size").over(w20),
+        "z": F.abs(F.try_divide(c("price") - F.avg("price").over(w50), F.stddev_samp("price").over(w50))),
+    }
+    given = rows.select("symbol", "ts", "trade_id", "price", "size")
+    r = frames.framed(given, lambda x: x.select("*", *[v.alias(k) for k, v in made.items()]), tie="trade_id", before=50, after=0)
+    r = r.select(*given.columns, *made)
     rule = rules.withColumnRenamed("symbol", "rule_symbol")
     met = F.broadcast(rule)  # rules are a fixed small table
     fires = (

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticklattice.functions import frames
+
 c = F.col
 
 
@@ -112,7 +114,8 @@ def uniqueness(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 def with_in_order(rows: DataFrame) -> DataFrame:
     """Adds in_order: ts is not before that of the row with the previous trade_id of its symbol."""
-    return rows.withColumn("in_order", c("ts") >= F.lag("ts").over(Window.partitionBy("symbol").orderBy("trade_id")))
+    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy("trade_id"))
+    return frames.framed(rows, lambda r: r.withColumn("in_order", c("ts") >= before), ts="trade_id", before=1, after=0)
 
 
 def assess(rows: DataFrame) -> DataFrame:
