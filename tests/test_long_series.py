@@ -105,6 +105,21 @@ def test_known_values_cross_empty_parts(spark):
     assert filled.filter("forward is null and backward is null and linear is null").count() == 80
 
 
+def test_known_values_of_several_columns_without_frames_to_the_end(spark):
+    """A frame to the end of a part is gone through anew for each row: a part of 65,536 rows took two thousand million steps."""
+    rows = [("A", at(40 * k), k, k if k % 7 == 0 else None, k if k % 11 == 5 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trade_id int, x int, y int").repartition(3)
+    both = scan.known(df, "x", "y", tie="trade_id", rows=30)
+    for found in (both, scan.known(df, "x", tie="trade_id")):
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    value = lambda s: None if s is None else s["x"]
+    nearest = lambda ks, ok: next((k for k in ks if ok(k)), None)
+    for r in both.collect():
+        k = r["trade_id"]
+        for x, ok in (("x", lambda j: j % 7 == 0), ("y", lambda j: j % 11 == 5)):
+            assert (value(r[f"__back_{x}"]), value(r[f"__ahead_{x}"])) == (nearest(range(k, -1, -1), ok), nearest(range(k, 300), ok))
+
+
 def test_quantiles_by_key_with_large_keys_equal_those_in_one_place(spark):
     rng = np.random.default_rng(6)
     rows = [("A", float(v)) for v in rng.normal(0, 1e6, 900)] + [("B", float(v)) for v in rng.integers(-3, 3, 700)]
