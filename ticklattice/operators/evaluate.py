@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklattice.functions import frames, probability, quantiles, scan
+from ticklattice.functions import folders, frames, probability, quantiles, scan
 
 c = F.col
 
@@ -91,8 +91,8 @@ def detection_delay(rows: DataFrame, horizon: int = 50) -> DataFrame:
         return r.select("*", starts.alias("starts"), F.when(c("pred"), 1).alias("__hit"), F.when(after.isNull() | (after != c("y")), 1).alias("__end"))
 
     r = frames.framed(rows.select("symbol", "ts", "trade_id", "y", "pred"), build, tie="trade_id", before=1, after=1)
-    r = scan.known(r, "__hit", tie="trade_id").select(*r.columns, c("__ahead.n").alias("__hit_at"))
-    r = scan.known(r, "__end", tie="trade_id").filter("starts").select("symbol", "trade_id", (c("__hit_at") - c("__n")).cast("int").alias("__far"), (c("__ahead.n") - c("__n")).alias("__left"))
+    r = scan.known(folders.written(r, "delay"), "__hit", "__end", tie="trade_id").filter("starts")
+    r = r.select("symbol", "trade_id", (c("__ahead___hit.n") - c("__n")).cast("int").alias("__far"), (c("__ahead___end.n") - c("__n")).alias("__left"))
     return r.select("symbol", "trade_id", F.when(c("__far") <= c("__left"), c("__far")).alias("delay_segment"), F.when(c("__far") < horizon, c("__far")).alias("delay_horizon"))
 
 
