@@ -61,3 +61,13 @@ def test_bootstrap_weights_have_mean_one_and_do_not_depend_on_partitions(spark):
         assert low < sure[metric] < high
         width = 2 * 1.96 * math.sqrt(sure[metric] * (1 - sure[metric]) / n[metric])
         assert 0.6 * width < high - low < 1.5 * width
+
+
+def test_mann_whitney_of_more_rows_than_longs_hold_products_of(spark, monkeypatch):
+    """2e6 true and 5e6 other rows: n1 * n2 * (n1 + n2 + 1) is beyond the longs."""
+    counts = spark.createDataFrame([(2.0, 1_500_000, 1_000_000, 1_500_000, 1_000_000), (1.0, 500_000, 4_000_000, 2_000_000, 5_000_000)], "score double, pos long, neg long, tp long, fp long")
+    monkeypatch.setattr(evaluate, "by_score", lambda rows: counts)
+    got = evaluate.mann_whitney(None).first()
+    u, n1, n2 = 1.5e6 * 1e6 / 2 + 4e6 * 1.5e6 + 4e6 * 5e5 / 2, 2_000_000, 5_000_000
+    assert (got["u"], got["n1"], got["n2"]) == (u, n1, n2)
+    assert got["z"] == pytest.approx((u - n1 * n2 / 2) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)) and 0 <= got["p_value"] <= 1

@@ -124,10 +124,12 @@ def mann_whitney(rows: DataFrame) -> DataFrame:
     u = s.crossJoin(F.broadcast(total)).agg(
         F.sum(c("neg") * (c("tp") - c("pos")) + c("neg") * c("pos") * 0.5).alias("u"), F.first("p").alias("n1"), F.first("n").alias("n2"), F.sum(t * t * t - t).alias("ties")
     )
-    u = u.withColumn("z", F.try_divide(c("u") - c("n1") * c("n2") / 2, F.sqrt(c("n1") * c("n2") * (c("n1") + c("n2") + 1) / 12)))
-    both = (c("n1") + c("n2")).cast("double")
-    spread = F.sqrt(c("n1").cast("double") * c("n2") / 12 * (both + 1 - F.try_divide(c("ties"), both * (both - 1))))
-    corrected = F.try_divide(F.greatest(F.abs(c("u") - c("n1") * c("n2") / 2) - 0.5, F.lit(0.0)), spread)
+    # Doubles: products of three counts leave the range of longs from some four million rows.
+    n1, n2 = c("n1").cast("double"), c("n2").cast("double")
+    off, both = c("u") - n1 * n2 / 2, n1 + n2
+    u = u.withColumn("z", F.try_divide(off, F.sqrt(n1 * n2 * (both + 1) / 12)))
+    spread = F.sqrt(n1 * n2 / 12 * (both + 1 - F.try_divide(c("ties"), both * (both - 1))))
+    corrected = F.try_divide(F.greatest(F.abs(off) - 0.5, F.lit(0.0)), spread)
     return u.withColumn("p_value", probability.two_sided(corrected)).drop("ties")
 
 
