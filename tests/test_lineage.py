@@ -53,3 +53,16 @@ def test_counts_of_all_nodes_by_sketches(spark, size):
         else:
             errors.append(got[k]["dependents"] / len(found) - 1)
     assert len(errors) > 20 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 2 / size**0.5
+
+
+def test_counts_of_all_nodes_are_exact_beyond_a_sketch(spark):
+    """Circles, nodes that reach more than a sketch holds, and events of no feature."""
+    edges = graph(900, 3, 4) | {(5, 3), (3, 5), (899, 0)}
+    accesses = {k: k % 7 for k in range(900)}
+    rows = [(b, "computed", [a]) for a, b in edges] + [(k, "accessed", []) for k, n in accesses.items() for _ in range(n)] + [(k, "computed", []) for k in accesses]
+    events = spark.createDataFrame([*rows, (None, "accessed", [])], "feature_id long, kind string, dependencies array<long>").selectExpr("*", "timestamp'2024-01-01' as ts")
+    got = {r["feature_id"]: (r["dependents"], r["impact"], r["is_exact"]) for r in lineage.impact_of_all(events, 6).collect()}
+    assert got.pop(None) == (0, 0.01, True)
+    found = {k: set(search(edges, k, 6)) - {k} for k in accesses}
+    assert max(map(len, found.values())) > lineage.SKETCH
+    assert got == {k: (len(f), pytest.approx(min((accesses[k] + sum(accesses[n] for n in f)) / 100, 10.0)), True) for k, f in found.items()}

@@ -60,13 +60,61 @@ def rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def _accessed(events: DataFrame) -> DataFrame:
+    return folders.written(rollup(events).select("feature_id", "accesses"), "use")
+
+
+def _numbered(nodes: DataFrame, name: str) -> DataFrame:
+    """(node, number): places from 0 in the order of ``name``, by ranges of it, so no task sorts all; null has none."""
+    dealt = nodes.filter(c(name).isNotNull()).select(c(name).alias("node")).repartitionByRange("node")
+    dealt = folders.written(dealt.withColumn("part", F.spark_partition_id()), "nodes")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = dealt.groupBy(c("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("node"))
+    return folders.written(dealt.withColumn("place", place).join(F.broadcast(sizes), c("part") == c("p")).select("node", (c("base") + c("place") - 1).alias("number")), "nodes")
+
+
+def reach_all(graph: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
+    """(node, word, bits): for every node the nodes it reaches in at most ``depth`` steps, itself included, each a bit of a word of 64.
+
+    ``numbers`` (node, number).  Each step joins the edges with the words once and adds them up bit by bit, in every task before they
+    meet.  All pairs are named, a 64th of a row each at best: memory is bounded, the number of words grows as the sets do.
+    """
+    bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
+    words = folders.written(numbers.select("node", F.floor(c("number") / 64).alias("word"), bit.alias("bits")), "words")
+    edges_ = folders.written(graph.select("src", "dst").distinct(), "graph")
+    for _ in range(depth):
+        further = edges_.join(words, c("dst") == c("node")).select(c("src").alias("node"), "word", "bits")
+        words = folders.written(words.unionByName(further).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "words")
+    return words
+
+
+def impact_of_all(events: DataFrame, depth: int = 5) -> DataFrame:
+    """What ``impact`` estimates from sketches, counted: exact for every feature, however many depend on it."""
+    use = _accessed(events)
+    numbers = _numbered(use, "feature_id")
+    words = reach_all(edges(events), numbers, depth)
+    held = numbers.join(use, c("node") == c("feature_id")).groupBy(F.floor(c("number") / 64).alias("__w"))
+    held = held.agg(F.map_from_entries(F.collect_list(F.struct((c("number") % 64).cast("int"), "accesses"))).alias("__m"))  # 64 entries at most
+    held = held.select("__w", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("__m", k), F.lit(0))).alias("uses"))
+    of_word = F.expr("aggregate(uses, 0L, (s, n) -> s + n)")
+    of_bits = F.expr("aggregate(sequence(0, 63), 0L, (s, k) -> s + if(getbit(bits, k) = 1, uses[k], 0L))")
+    counted = words.join(held, c("word") == c("__w")).groupBy("node").agg(
+        F.sum(F.bit_count("bits")).alias("reached"), F.sum(F.when(c("bits") == -1, of_word).otherwise(of_bits)).alias("used")
+    )
+    # A feature reaches itself, so its own accesses are among those used; one without a name reaches nothing.
+    return use.join(counted, c("feature_id") == c("node"), "left").select(
+        "feature_id", F.coalesce(c("reached") - 1, F.lit(0)).alias("dependents"), F.least(F.coalesce("used", "accesses") / 100, F.lit(10.0)).alias("impact"), F.lit(True).alias("is_exact")
+    )
+
+
 def impact(events: DataFrame, depth: int = 5, *, size: int = SKETCH) -> DataFrame:
     """Dependents of each feature and a score: accesses of it and its dependents over 100, 10 at most; ``is_exact`` where both are.
 
     Reachable sets come as sketches; beyond ``size`` nodes their number follows from the largest hash kept, and their accesses
     from the mean of those kept.
     """
-    use = folders.written(rollup(events).select("feature_id", "accesses"), "use")
+    use = _accessed(events)
     sketch = reach(edges(events), use.select(c("feature_id").alias("node")), depth, size=size)
     held = sketch.join(use, sketch.of == use.feature_id).groupBy("node").agg(
         F.count(F.lit(1)).alias("kept"), F.max(F.xxhash64("of")).alias("last"), F.sum(F.when(c("of") != c("node"), c("accesses"))).alias("below"),

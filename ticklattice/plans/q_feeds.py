@@ -234,5 +234,4 @@ def reachable(spark, d):
 b as (select root, count(*) as dependents, sum(a) as below from d join u on node = feature_id group by 1)
 select u.feature_id, coalesce(dependents, 0) as dependents, least((a + coalesce(below, 0)) / 100, 10.0) as impact, true as is_exact from u left join b on root = u.feature_id""")
 def impact(spark, d):
-    """Exact while fewer nodes than a sketch holds are reached; the tests measure the error beyond."""
-    return L.impact(events(spark, d), 5)
+    return L.impact_of_all(events(spark, d), 5)
