@@ -34,6 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest doc_id.
 
+    SimHash links and, for what lies beyond their radius, MinHash bands name pairs; every pair is checked by its whole sets.
+
     Rows count by themselves, whatever their doc_id: no text is lost because its doc_id repeats or is null (null goes last).
     Null and empty texts have no words and are copies of one another.  Other columns may have any name.
     """

@@ -715,3 +715,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path, docs, rows):
     last = {r["doc_id"]: list(r["ids"]) for r in P.run(spark, str(folder)).collect()}
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert last == {r["doc_id"]: lib.encode(r["text"]) for r in four}
+
+
+def test_simhash_links_take_part_in_the_pipelines_near_copies(spark, monkeypatch):
+    """Without any band, close copies are found by their fingerprints; linked texts that are not similar are told apart."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words[::-1]), "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("row"), "text")
+    assert (0, 1) in {tuple(r) for r in nearcopies.fingerprinted(rows).collect()}
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(nearcopies, "pairs", lambda buckets, *, leaders=0: none)
+    assert {r["doc_id"] for r in nearcopies.one_of_each(docs).collect()} == {0, 2, 3}

@@ -1,6 +1,7 @@
 """Near copies by the share of common shingles: the pipeline's rule, Jaccard similarity 0.8 or more of five-word shingles.
 
-Rows with equal sets of shingles form one class first.  Bands of MinHash values name candidates: sets with similarity s
+Rows with equal sets of shingles form one class first.  SimHash fingerprints of the same shingles name candidates by covering
+tables (``simhash.links``): the close copies.  Few bits differ only then, so bands of MinHash values name the rest: sets with similarity s
 share some of b bands of r values with probability 1 - (1 - s**r)**b (at 0.8 all but 3 in a million pairs).  Every candidate
 whose MinHash values agree often enough is checked by its whole sets of 64-bit shingle hashes.  A bucket first compares its
 members with two leaders, those that stand in the most crowded buckets, as the common original of many copies does; what
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components as cc
-from . import shared
+from . import shared, simhash
 from . import text as tx
 
 SHINGLE = 5
@@ -270,6 +271,19 @@ def linked(crowded: DataFrame, texts: DataFrame) -> DataFrame:
     return shared.written(dealt.mapInArrow(compare, "a long, b long").distinct(), "near")
 
 
+def fingerprinted(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: rows of ``texts`` (row, text) linked by SimHash fingerprints of their shingles, of RADIUS differing bits at most.
+
+    Equal fingerprints hang on the smallest row; between unlike ones the links are those of ``simhash.links``, one a pair of classes.
+    """
+    marked = shared.written(simhash.fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), shingle=SHINGLE), "fingerprints")
+    classes = shared.written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("row")), "fingerprint-classes")
+    equal = marked.join(classes, "fingerprint").filter("row < doc_id").select(F.col("row").alias("x"), F.col("doc_id").alias("y"))
+    side = lambda name, row: classes.select(F.col("fingerprint").alias(name), F.col("row").alias(row))
+    near = simhash.links(classes.select(F.col("fingerprint").alias("value"))).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    return equal.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each group of near copies: that with the smallest doc_id.
 
@@ -288,7 +302,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     weight = buckets.groupBy("row").agg(F.sum("n").alias("weight"))
     members = shared.written(marked.join(weight, "row").select("row", "size", "weight", "values"), "members")
     buckets = shared.written(buckets.select("key", "row").join(members, "row"), "buckets")
-    tested = shared.written(pairs(buckets.withColumn("group", F.col("row")), leaders=LEADERS), "pairs")
+    close = fingerprinted(texts.join(classes.select("row"), "row", "left_semi"))
+    tested = shared.written(pairs(buckets.withColumn("group", F.col("row")), leaders=LEADERS).union(close).distinct(), "pairs")
     edges = similar(tested, texts)
     labels = cc.components(edges)
     grouped = buckets.join(labels, buckets.row == labels.node, "left").select("key", "row", "size", "weight", "values", F.coalesce("component", "row").alias("group"))
