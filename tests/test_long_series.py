@@ -216,3 +216,12 @@ def test_decayed_sums_over_many_chunks_and_parts(spark, monkeypatch, rows):
     assert all(r["e"] == r["x"] for r in ones)
     with pytest.raises(ValueError, match="decay"):
         scan.decayed_sums(df, {"y": (F.col("x"), 1.5)})
+
+
+def test_the_cleaning_chain_reads_its_source_once(spark):
+    """Numbering and quantiles ran the whole chain before them anew; what they read is written first."""
+    ticks = spark.range(200).selectExpr("' a.us' as symbol", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "id as trade_id", "string(id) as size", "if(id % 9 = 0, null, double(id)) as price", "timestamp'2024-01-01' as ingested")
+    found = cleaning.clean_ticks(ticks)
+    assert "Range (" in ticks._jdf.queryExecution().optimizedPlan().toString() and "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["trade_id"]: r for r in found.collect()}
+    assert len(rows) == 200 and rows[9]["price"] == pytest.approx(163 / 17) and rows[9]["data_cleaned"] and not rows[10]["data_cleaned"]
