@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticklattice.functions import folders
 from ticklattice.operators import neighbours
 
 c = F.col
@@ -35,12 +36,15 @@ def select(rows: DataFrame, validation: DataFrame, flags: list[str], features: l
 
     A row's region of competence is its k nearest ``validation`` rows by ``features``.  A detector's competence is the share of them
     that it judged right; those within ``margin`` of the best take part, with their weight times their competence.  Rows without a
-    neighbour (no validation, or a null feature) get the plain weighted vote of all detectors.
+    neighbour (no validation, or a null feature) get the plain weighted vote of all detectors.  Rows with equal features have one
+    region, which is searched once.
     """
-    near = neighbours.nearest(rows.withColumnRenamed(key, "query_id"), validation.withColumnRenamed(key, "point_id"), features, k)
+    regions = folders.written(rows.groupBy(*features).agg(F.min(key).alias("query_id")), "regions")
+    near = neighbours.nearest(regions, validation.withColumnRenamed(key, "point_id"), features, k)
     right = validation.select(c(key).alias("__p"), *[(c(f) == c(y)).cast("double").alias(f"__{f}") for f in flags])
     local = near.join(right, c("point_id") == c("__p")).groupBy(c("query_id").alias("__q")).agg(*[F.avg(f"__{f}").alias(f"__{f}") for f in flags])
-    both = rows.join(local, c(key) == c("__q"), "left")
+    local = regions.join(local, c("query_id") == c("__q")).select("__q", *[c(f).alias(f"__at_{f}") for f in features], *[f"__{f}" for f in flags])
+    both = rows.join(local, reduce(lambda a, b: a & b, [c(f) == c(f"__at_{f}") for f in features]), "left")
     known = c("__q").isNotNull()
     best = F.greatest(*[c(f"__{f}") for f in flags]) if len(flags) > 1 else c(f"__{flags[0]}")
     taken = {f: F.when(known, F.when(c(f"__{f}") >= best - margin - 1e-12, c(f"__{f}") * weights[f]).otherwise(0.0)).otherwise(weights[f]) for f in flags}

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ticklattice.functions import folders
 
 c = F.col
-#: Pivots, points of a block, queries of a share.
-PIVOTS, BLOCK, SHARE = 256, 4096, 1 << 16
+#: Pivots at least and at most (else the root of the number of points), points of a block, queries of a share.
+PIVOTS, MOST_PIVOTS, BLOCK, SHARE = 256, 2048, 4096, 1 << 16
+#: Rows that are compared with all pivots at once.
+ROWS = 1024
 #: What rounding may take from a distance.
 SLACK = 1e-9
 
@@ -35,15 +37,19 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int, *, query_id: str = "query_id", point_id: str = "point_id", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int, *, query_id: str = "query_id", point_id: str = "point_id", pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, point_id, distance: squared, rank from 1) of each query's k nearest points (all, if fewer), ties to the smaller id.
 
-    Ids are longs, unique on each side; rows with a null or NaN feature take no part.  No points, no rows.
+    Ids are longs, unique on each side; rows with a null or NaN feature take no part.  No points, no rows.  Of points with equal
+    features only the k of smallest id can be among anyone's k nearest, so no more are kept.
     """
     spark, n = queries.sparkSession, len(features)
     good = F.forall(F.array(*[c(f).cast("double") for f in features]), lambda x: x.isNotNull() & ~F.isnan(x))
     numbers = [c(f).cast("double").alias(f) for f in features]
-    p = folders.written(points.filter(good).select(c(point_id).cast("long").alias("id"), *numbers), "points")
+    p = points.filter(good).select(c(point_id).cast("long").alias("id"), *numbers)
+    p = folders.written(p.withColumn("__r", F.row_number().over(Window.partitionBy(*features).orderBy("id"))).filter(c("__r") <= k).drop("__r"), "points")
+    if pivots is None:
+        pivots = min(max(PIVOTS, int(p.count() ** 0.5)), MOST_PIVOTS)
     q = queries.filter(good).select(c(query_id).cast("long").alias("id"), *numbers)
     # A bounded number of rows by the order of a hash.
     chosen = p.orderBy(F.xxhash64("id"), "id").limit(pivots).select(*features).collect()
@@ -52,8 +58,12 @@ def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int,
     centers = np.unique(np.array([list(r) for r in chosen], float), axis=0)
     fields = ", ".join(f"`{f}` double" for f in features)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield from (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
             d = _far(_matrix(batch, 1, n), centers)
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(np.sqrt(d[np.arange(len(d)), cell]))], names=["id", *features, "cell", "off"])
@@ -66,7 +76,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int,
     blocks = -(-held // block)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             d = np.sqrt(_far(_matrix(batch, 1, n), centers))
             d[:, held == 0] = np.inf
             by = np.argsort(d + radius, axis=1)

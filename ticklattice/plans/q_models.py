@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticklattice.functions import quantiles
+from ticklattice.functions import folders, quantiles
 from ticklattice.operators import ensemble as N
 from ticklattice.operators import evaluate as E
 from ticklattice.operators import forest as M
@@ -144,7 +144,7 @@ def dynamic_selection(spark, d):
     """Detectors weighed by the validation part as a whole and around each row of the test part."""
     from ticklattice.operators import anomaly as A
 
-    rows = A.detect(E.time_split(X.trades(spark, d))).withColumn("y", c("size") % 5 == 0)
+    rows = folders.written(A.detect(E.time_split(X.trades(spark, d))).withColumn("y", c("size") % 5 == 0), "detected")
     validation, test = (rows.filter(c("split") == x) for x in ("validation", "test"))
     weights = N.auto_weights(validation, list(_FLAGS))
     return N.select(test, validation, list(_FLAGS), ["price", "size"], weights).select("trade_id", "dynamic_score", "n_selected")
