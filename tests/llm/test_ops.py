@@ -727,3 +727,13 @@ def test_simhash_links_take_part_in_the_pipelines_near_copies(spark, monkeypatch
     none = spark.createDataFrame([], "a long, b long")
     monkeypatch.setattr(nearcopies, "pairs", lambda buckets, *, leaders=0: none)
     assert {r["doc_id"] for r in nearcopies.one_of_each(docs).collect()} == {0, 2, 3}
+
+
+def test_pii_plan_names_each_value_once(spark):
+    """What a surrogate or a mark is made of is written into the plan once, not at each of its uses: driver memory."""
+    drawn = str(pii.surrogate(F.col("kind"), F.col("value"), F.col("attempt"), "key"))
+    assert drawn.count("sha2(") == 1 and drawn.count("attempt") == 1
+    assert str(pii.marked(F.col("text"))).count("THEN replace(replace(replace(replace(") == 1
+    docs = spark.createDataFrame([(1, "Mail ann@corp.com, call +1 202 555 0147")], "doc_id long, text string")
+    out = pii.replace(docs, key="k")
+    assert len(out._jdf.queryExecution().analyzed().toJSON()) < 12_000_000
