@@ -303,3 +303,12 @@ def test_indicator_state_is_carried_across_batches(spark, tmp_path):
     got = {r["trade_id"]: (r["ema"], r["obv"]) for r in spark.read.parquet(str(tmp_path / "state" / "out")).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_silver_parses_each_message_once(spark, sf_dir):
+    """Its filter stays behind the parse: pushed before it, the messages would be made and parsed again for each flag."""
+    from ticklattice.plans import q_feeds
+
+    plan = q_feeds.silver(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("from_json" in line or "StructsToJson" in line for line in filters)

@@ -38,11 +38,13 @@ def bronze(raw: DataFrame, *, job: str = "bronze", ingested: Column | None = Non
     Each topic has its own schema; fields of one name come together.  ``raw`` keeps its columns, those of SOURCE among them;
     ``ingested`` is the time of intake (now, if not given).
     """
-    parsed = raw.select("*", *[F.when(c("topic") == t, F.from_json("value", s)).alias(f"__{t}") for t, s in TOPIC_JSON.items()])
+    # Parsed by a generator of one row, so that later filters on what is parsed stay behind it and don't parse each message again.
+    topics = F.struct(*[F.when(c("topic") == t, F.from_json("value", s)).alias(t) for t, s in TOPIC_JSON.items()])
+    parsed = raw.select("*", F.explode(F.array(topics)).alias("__parsed"))
     fields: dict[str, list[Column]] = {}
     for t, s in TOPIC_JSON.items():
         for f in (x.split()[0] for x in s.split(", ")):
-            fields.setdefault(f, []).append(c(f"__{t}.{f}"))
+            fields.setdefault(f, []).append(c(f"__parsed.{t}.{f}"))
     out = parsed.select(*raw.columns, *[F.coalesce(*x).alias(f) for f, x in fields.items()], F.md5("value").alias("content_hash"))
     ts = F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss"))
     ok_symbol = F.coalesce(F.length(F.trim("symbol")) > 0, F.lit(False))
