@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -66,3 +67,22 @@ def test_counts_of_all_nodes_are_exact_beyond_a_sketch(spark):
     found = {k: set(search(edges, k, 6)) - {k} for k in accesses}
     assert max(map(len, found.values())) > lineage.SKETCH
     assert got == {k: (len(f), pytest.approx(min((accesses[k] + sum(accesses[n] for n in f)) / 100, 10.0)), True) for k, f in found.items()}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"width": 64, "sources": 100, "sent": 3000}])
+def test_counts_of_all_nodes_leave_no_pairs_on_disk(spark, sizes):
+    """In one part and in many; an event counts once, whatever it was made from, and unknown nodes are nobody's."""
+    edges = graph(500, 4, 7) | {(499, 0), (3, 3)} | {(k, 450) for k in range(450)}  # a circle, a loop, and a list that is cut
+    rows = [(b, "computed", [a]) for a, b in edges] + [(k, "accessed", []) for k in range(500)]
+    rows += [(7, "accessed", [1, 2, None, 2]), (8, "accessed", None), (9, "accessed", [None]), (5, "computed", [5000])]
+    edges |= {(1, 7), (2, 7)}
+    accesses = {k: 1 + (k in (7, 8, 9)) for k in range(500)}
+    events = spark.createDataFrame(rows, "feature_id long, kind string, dependencies array<long>").selectExpr("*", "timestamp'2024-01-01' as ts")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("words-*"))
+    for depth in (0, 1, 5):
+        got = {r["feature_id"]: (r["dependents"], r["impact"]) for r in lineage.impact_of_all(events, depth, **sizes).collect()}
+        found = {k: set(search(edges, k, depth)) - {k} for k in accesses}
+        assert got == {k: (len(f), pytest.approx(min((accesses[k] + sum(accesses[n] for n in f)) / 100, 10.0))) for k, f in found.items()}
+    assert set(shared.glob("words-*")) == before
+    assert [tuple(r)[1:] for r in lineage.impact_of_all(events.limit(1).selectExpr("null::long as feature_id", "'accessed' as kind", "dependencies", "ts"), 5, **sizes).collect()] == [(0, 0.01, True)]
